@@ -65,7 +65,7 @@ def factors_filter(df: DataFrame, keys: Sequence[str], name: str = "name",
 
 def times_text(ratio: str | Column) -> Column:
     """'N times' in Russian: one decimal below ten, the word agrees with the number."""
-    r = col(ratio)
+    r = col(ratio).cast("double")
     shown = F.when(r >= 10, F.bround(r, 0)).otherwise(F.bround(r, 1))
     whole = shown.cast("long")
     few = (whole % 10).isin(2, 3, 4) & ~(whole % 100).isin(12, 13, 14)
@@ -79,7 +79,8 @@ def relative_summary(df: DataFrame, group: Sequence[str], p: str = "probability"
                      out: str = "summary") -> DataFrame:
     """Risk of a card against the mean of its run. Means are joined back, not windowed:
     a run may hold a third of all cards."""
-    known = F.when(~F.isnan(p), F.col(p))
+    value = F.col(p).cast("double")
+    known = F.when(~F.isnan(value), value)
     means = df.groupBy(*group).agg(F.avg(known).alias("_mean"), F.count(known).alias("_n"))
     ratio = known / F.col("_mean")
     text = (
