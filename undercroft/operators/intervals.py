@@ -9,23 +9,19 @@ from pyspark.sql import functions as F
 
 from undercroft import config
 from undercroft.functions.clock import boundary_diff, shift
-from undercroft.operators.ordered import neighbour_row, stab_count, sweep
+from undercroft.operators.ordered import neighbour_row, neighbour_rows, stab_count, state_runs, sweep
 
 
 def state_changes(states: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Rows whose value differs from the previous one of the key (ties by value)."""
-    seen = states.select(*keys, ts, value).distinct()
-    stepped = neighbour_row(seen, keys, ts, [value], {"_prev": F.col(value)})
-    return stepped.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(value))).drop("_prev")
+    return state_runs(states, keys, ts, value, "_next").drop("_next")
 
 
 def disarm_windows(guard: DataFrame, keys: Sequence[str] = ("object_id",), ts: str = "ts",
                    value: str = "value", off: str = "off", open_forever: bool = False) -> DataFrame:
     """[off, next change). The open one ends with the last record seen, or never
     (``open_forever``, the online rule)."""
-    steps = neighbour_row(
-        state_changes(guard, keys, ts, value), keys, ts, [value], {"_next": F.col(ts)}, forward=True
-    ).filter(F.col(value) == off)
+    steps = state_runs(guard, keys, ts, value, "_next").filter(F.col(value) == off)
     if open_forever:
         return steps.select(*keys, F.col(ts).alias("t_from"), F.col("_next").alias("t_to"),
                             F.col("_next").isNull().alias("open_end"))
@@ -101,15 +97,14 @@ def pump_hours(rows: DataFrame, keys: Sequence[str] = ("channel_id",), on: str =
     One long table of measures and a single final aggregation take the place of
     three aggregates, a union of their keys and three joins.
     """
-    state = rows.filter(F.col("value").isin(on, off))
-    changes = state_changes(state, keys)
-    first = state.groupBy(*keys).agg(F.min(F.struct("ts", "value")).alias("_first"))
-    changed = (
-        changes.join(first, list(keys))
-        .filter(F.struct("ts", "value") != F.col("_first"))
-        .select(*keys, F.date_trunc("hour", "ts").alias("hour"), F.lit(1).alias("n_changes"))
-    )
-    minutes = cut(on_intervals(state, keys, on=on), keys, "a", "b", "hour", "hour").select(
+    state = rows.filter(F.col("value").isin(on, off)).select(*keys, "ts", "value").distinct()
+    stepped = neighbour_rows(state, keys, "ts", ["value"], {"_prev": F.col("value")}, {"_next": F.col("ts")})
+    changed = stepped.filter(F.col("_prev") != F.col("value")).select(
+        *keys, F.date_trunc("hour", "ts").alias("hour"), F.lit(1).alias("n_changes"))
+    spans = stepped.filter(F.col("value") == on).select(
+        *keys, F.col("ts").alias("a"),
+        F.least(F.coalesce("_next", "ts"), shift("ts", config.MAX_ON_HOURS * 3600)).alias("b"))
+    minutes = cut(spans, keys, "a", "b", "hour", "hour").select(
         *keys, "hour", (boundary_diff("second", "a", "b") / 60.0).alias("on_minutes")
     )
     alarm = rows.filter(F.col("alarm") & F.col("value").isin(*unavailable, all_running, flooded))

@@ -49,26 +49,64 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[
     return out.drop("_b", *[f"_c_{n}" for n in sums])
 
 
-def neighbour_row(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
-                  values: Mapping[str, Column], bucket: str = "day",
-                  forward: bool = False) -> DataFrame:
-    """Adds values of the previous row (or the next, ``forward``) of the key."""
+def neighbour_rows(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
+                   previous: Mapping[str, Column] | None = None, following: Mapping[str, Column] | None = None,
+                   bucket: str = "day") -> DataFrame:
+    """Adds values of the previous and of the next row of the key, both in one pass."""
     rows = df.withColumn("_b", bucket_of(ts, bucket))
     part = [*keys, "_b"]
-    packed = F.struct(*[c.alias(n) for n, c in values.items()])
     rank = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    edge = (F.min_by if forward else F.max_by)(packed, rank)
-    step = F.lead if forward else F.lag
-    summary = rows.groupBy(*part).agg(edge.alias("_edge"))
-    carry = summary.select(
-        *part, step("_edge").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry")
-    )
-    inside = Window.partitionBy(*part).orderBy(ts, *tiebreak)
-    out = rows.withColumn("_near", step(packed).over(inside)).join(carry, part)
-    near = F.coalesce(F.col("_near"), F.col("_carry"))
-    for n in values:
-        out = out.withColumn(n, near[n])
-    return out.drop("_b", "_near", "_carry")
+    inside, across = Window.partitionBy(*part).orderBy(ts, *tiebreak), Window.partitionBy(*keys).orderBy("_b")
+    sides = {}
+    if previous:
+        sides["p"] = (F.struct(*[c.alias(n) for n, c in previous.items()]), F.lag, F.max_by, previous)
+    if following:
+        sides["n"] = (F.struct(*[c.alias(n) for n, c in following.items()]), F.lead, F.min_by, following)
+    edges = rows.groupBy(*part).agg(*[pick(packed, rank).alias(f"_e{k}") for k, (packed, _, pick, _) in sides.items()])
+    carry = edges.select(*part, *[step(f"_e{k}").over(across).alias(f"_c{k}") for k, (_, step, _, _) in sides.items()])
+    near = rows.withColumns({f"_w{k}": step(packed).over(inside) for k, (packed, step, _, _) in sides.items()})
+    out = near.join(carry, part)
+    for k, (_, _, _, values) in sides.items():
+        hit = F.coalesce(F.col(f"_w{k}"), F.col(f"_c{k}"))
+        out = out.withColumns({n: hit[n] for n in values})
+    return out.drop("_b", *[f"_{x}{k}" for x in "wc" for k in sides])
+
+
+def neighbour_row(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
+                  values: Mapping[str, Column], bucket: str = "day", forward: bool = False) -> DataFrame:
+    """Values of the previous row of the key, or of the next one (``forward``)."""
+    if forward:
+        return neighbour_rows(df, keys, ts, tiebreak, following=values, bucket=bucket)
+    return neighbour_rows(df, keys, ts, tiebreak, previous=values, bucket=bucket)
+
+
+def state_runs(states: DataFrame, keys: Sequence[str], ts: str, value: str, out: str,
+               bucket: str = "day") -> DataFrame:
+    """Rows where the value changes, each with the stamp of the next change (null for the last).
+
+    A bucket tells its first and last value and its first inner change.  Whether its
+    first row is a change, and where the change after its last row lies, follows from
+    the buckets around it, so lag, filter and lead are one pass over the rows.
+    """
+    rows = states.select(*keys, ts, value).distinct().withColumn("_b", bucket_of(ts, bucket))
+    part = [*keys, "_b"]
+    inside = Window.partitionBy(*part).orderBy(ts, value)
+    rows = rows.withColumn("_prev", F.lag(value).over(inside))
+    inner = F.col("_prev").isNotNull() & (F.col("_prev") != F.col(value))
+    rank = F.struct(ts, value)
+    edges = rows.groupBy(*part).agg(
+        F.min(rank).alias("_first"), F.max(rank).alias("_last"), F.min(F.when(inner, F.col(ts))).alias("_inner"))
+    across = Window.partitionBy(*keys).orderBy("_b")
+    before = F.lag("_last").over(across)
+    starts = before.isNull() | (before[value] != F.col("_first")[value])
+    edges = edges.withColumn("_starts", starts).withColumn(
+        "_change", F.when(F.col("_starts"), F.col("_first")[ts]).otherwise(F.col("_inner")))
+    ahead = F.first("_change", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    carry = edges.select(*part, "_starts", ahead.alias("_ahead"))
+    later = F.first(F.when(inner, F.col(ts)), ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))
+    marked = rows.withColumn("_later", later).join(carry, part)
+    change = F.when(F.col("_prev").isNull(), F.col("_starts")).otherwise(F.col("_prev") != F.col(value))
+    return marked.filter(change).withColumn(out, F.coalesce("_later", "_ahead")).select(*keys, ts, value, out)
 
 
 def number_islands(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],

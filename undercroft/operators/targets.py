@@ -358,16 +358,12 @@ def expert_load(episodes: DataFrame, split: str, first: str, last: str) -> DataF
 
 
 def stratified_examples(df: DataFrame, by: str, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """Up to n rows per stratum in a seeded hash order: repeatable and never sorted whole.
-
-    ``min_by`` style top-n per stratum: a partition keeps its n smallest hashes first.
+    """Up to n rows per stratum in a seeded hash order: repeatable, and a plain top-n per
+    group, which Spark cuts to n rows per task before the shuffle.
     """
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    tagged = df.withColumn("_h", h).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy(by, "_pid").orderBy("_h", *keys)
-    few = tagged.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= n)
-    final = Window.partitionBy(by).orderBy("_h", *keys)
-    return few.withColumn("_r", F.row_number().over(final)).filter(F.col("_r") <= n).drop("_h", "_pid", "_r")
+    order = Window.partitionBy(by).orderBy("_h", *keys)
+    return df.withColumn("_h", h).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_h", "_r")
 
 
 def window_share(events: DataFrame, windows: DataFrame, flag: str) -> DataFrame:
