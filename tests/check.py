@@ -72,6 +72,7 @@ def main() -> None:
                 print("   ", names, theirs if theirs != names else "", "\n    ", *diff, flush=True)
         except Exception as error:  # noqa: BLE001
             bad.append(name)
+            con = connect(folder)
             print(f"FAIL  {name}: {str(error)[:1500]}", flush=True)
             if os.environ.get("TRACE"):
                 traceback.print_exc()

@@ -82,7 +82,7 @@ def relative_summary(df: DataFrame, group: Sequence[str], p: str = "probability"
     value = F.col(p).cast("double")
     known = F.when(~F.isnan(value), value)
     means = df.groupBy(*group).agg(F.avg(known).alias("_mean"), F.count(known).alias("_n"))
-    ratio = known / F.col("_mean")
+    ratio = F.try_divide(known, F.col("_mean"))
     text = (
         F.when(known.isNull() | (F.col("_mean") <= 0), "Риск не оценён")
         .when(ratio >= 1.25, F.concat(F.lit("Риск "), times_text(ratio), F.lit(" выше среднего по сети")))

@@ -95,10 +95,13 @@ def decaying_memory(days: DataFrame, keys: Sequence[str], flag: str, taus: Seque
     names = {tau: f"hawkes_tau{str(tau).replace('.', '_')}" for tau in taus}
     events = days.filter(F.col(flag) == 1).select(*keys, "day").withColumn(
         "_past", F.collect_list("day").over(event_order))
-    state = events.select(*keys, "day", F.struct(F.col("day").alias("_d"), *[
-        F.aggregate("_past", F.lit(0.0), lambda acc, d, tau=tau: acc + F.exp(
-            -F.datediff(F.col("day"), d).cast("double") / tau)).alias(n) for tau, n in names.items()
-    ]).alias("_s"))
+
+    def fold(tau: float) -> Column:
+        return F.aggregate("_past", F.lit(0.0), lambda acc, d: acc + F.exp(
+            -F.datediff(F.col("day"), d).cast("double") / tau))
+
+    state = events.select(*keys, "day", F.struct(
+        F.col("day").alias("_d"), *[fold(tau).alias(n) for tau, n in names.items()]).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("day").rowsBetween(UNBOUNDED, -1)
     out = days.join(state, [*keys, "day"], "left").withColumn("_last", F.last("_s", ignorenulls=True).over(before))
     gap = F.datediff(F.col("day"), F.col("_last._d")).cast("double")

@@ -30,23 +30,28 @@ def bucket_of(ts: str | Column, bucket: str = "day") -> Column:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
-                sums: Mapping[str, Column], bucket: str = "day") -> DataFrame:
-    """Adds cumulative sums over ``(ts, tiebreak)``, the current row included."""
+                sums: Mapping[str, Column], bucket: str = "day", maxes: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds cumulative sums (and maxima) over ``(ts, tiebreak)``, the current row included."""
+    maxes = dict(maxes or {})
     rows = df.withColumn("_b", bucket_of(ts, bucket))
     part = [*keys, "_b"]
-    totals = rows.groupBy(*part).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = rows.groupBy(*part).agg(
+        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_t_{n}") for n, c in maxes.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(UNBOUNDED, -1)
     carry = totals.select(
         *part,
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxes],
     )
     inside = Window.partitionBy(*part).orderBy(ts, *tiebreak).rowsBetween(UNBOUNDED, 0)
-    for n, c in sums.items():
-        rows = rows.withColumn(n, F.sum(c).over(inside))
-    out = rows.join(carry, part)
-    for n in sums:
-        out = out.withColumn(n, F.coalesce(F.col(n), F.lit(0)) + F.col(f"_c_{n}"))
-    return out.drop("_b", *[f"_c_{n}" for n in sums])
+    rows = rows.withColumns({
+        **{n: F.sum(c).over(inside) for n, c in sums.items()}, **{n: F.max(c).over(inside) for n, c in maxes.items()}})
+    out = rows.join(carry, part).withColumns({
+        **{n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_c_{n}") for n in sums},
+        **{n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in maxes}})
+    for n in maxes:
+        out = out.withColumn(n, F.greatest(F.col(n), F.col(f"_c_{n}")))
+    return out.drop("_b", *[f"_c_{n}" for n in (*sums, *maxes)])
 
 
 def neighbour_rows(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
@@ -284,23 +289,24 @@ def exact_quantile(df: DataFrame, value: str, q: float, group: Sequence[str] = (
 
 def prefix_sums(points: DataFrame, events: DataFrame, keys: Sequence[str], event_ts: str,
                 probes: Mapping[str, Column], sums: Mapping[str, Column], point_id: Sequence[str],
-                bucket: str = "day") -> DataFrame:
-    """Sums of events strictly before each probe stamp of a point: columns ``<sum>_<probe>``.
+                bucket: str = "day", maxes: Mapping[str, Column] | None = None) -> DataFrame:
+    """Sums (and maxima) of events strictly before each probe stamp of a point: columns
+    ``<name>_<probe>``.
 
     A half-open window [a, b) is the difference of two probes, so any number of look-back
     and look-ahead windows costs one sweep; points never meet events pairwise.
     """
+    maxes = dict(maxes or {})
+    ids = list(dict.fromkeys([*keys, *point_id]))
     asked = points.select(
-        *dict.fromkeys([*keys, *point_id]),
-        F.explode(F.array(*[F.struct(F.lit(n).alias("p"), c.alias("t")) for n, c in probes.items()])).alias("_q"),
-    )
-    left = asked.select(*dict.fromkeys([*keys, *point_id]), F.col("_q.t").alias("_t"), F.lit(0).alias("_o"),
-                        F.col("_q.p").alias("_p"))
+        *ids, F.explode(F.array(*[F.struct(F.lit(n).alias("p"), c.alias("t")) for n, c in probes.items()])).alias("_q"))
+    left = asked.select(*ids, F.col("_q.t").alias("_t"), F.lit(0).alias("_o"), F.col("_q.p").alias("_p"))
     right = events.groupBy(*keys, F.col(event_ts).alias("_t")).agg(
-        *[F.sum(c).alias(f"_v_{n}") for n, c in sums.items()]).withColumn("_o", F.lit(1))
+        *[F.sum(c).alias(f"_v_{n}") for n, c in sums.items()],
+        *[F.max(c).alias(f"_v_{n}") for n, c in maxes.items()]).withColumn("_o", F.lit(1))
     both = left.unionByName(right, allowMissingColumns=True)
-    summed = running_sum(both, keys, "_t", ["_o"], {f"_c_{n}_": F.col(f"_v_{n}") for n in sums}, bucket)
-    ids = list(dict.fromkeys([*keys, *point_id]))
+    summed = running_sum(both, keys, "_t", ["_o"], {f"_r_{n}": F.col(f"_v_{n}") for n in sums}, bucket,
+                         {f"_r_{n}": F.col(f"_v_{n}") for n in maxes})
     return summed.filter(F.col("_p").isNotNull()).groupBy(*ids).agg(*[
-        F.max(F.when(F.col("_p") == p, F.col(f"_c_{n}_"))).alias(f"{n}_{p}") for n in sums for p in probes
+        F.max(F.when(F.col("_p") == p, F.col(f"_r_{n}"))).alias(f"{n}_{p}") for n in (*sums, *maxes) for p in probes
     ])

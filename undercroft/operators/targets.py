@@ -123,7 +123,7 @@ def cover_lift(target_days: DataFrame, event_days: DataFrame, life: DataFrame, k
         return df.join(near, [key, "day"], "left").agg(F.count(F.lit(1)).alias(n), F.count("_c").alias(hit))
 
     both = side_by_side(covered(target, "obs_n", "obs_hit"), covered(alive, "exp_n", "exp_hit"))
-    observed, expected = F.col("obs_hit") / F.col("obs_n"), F.col("exp_hit") / F.col("exp_n")
+    observed, expected = F.try_divide("obs_hit", "obs_n"), F.try_divide("exp_hit", "exp_n")
     return both.select(
         "obs_n", "obs_hit", "exp_n", "exp_hit",
         F.round(100.0 * observed, 2).alias("observed_pct"), F.round(100.0 * expected, 2).alias("expected_pct"),
@@ -161,7 +161,8 @@ def label_version_stats(signals: DataFrame, grid: DataFrame, keys: Sequence[str]
         F.sum(F.when(off == 1, ev)).alias("_eo"), F.count_if(off == 1).alias("_no"),
         F.max("h_work").alias("_hw"), F.max("h_off").alias("_ho"),
     )
-    work, rest = F.col("_ew") / F.col("_nw") / F.col("_hw"), F.col("_eo") / F.col("_no") / F.col("_ho")
+    work = F.try_divide("_ew", "_nw") / F.col("_hw")
+    rest = F.try_divide("_eo", "_no") / F.col("_ho")
     return sums.select(
         "version", "period", "unit_days", "events", F.round(F.col("events") / F.col("unit_days"), 6).alias("base"),
         F.when(F.col("alerts") > 0, F.round(F.col("hits") / F.col("alerts"), 4)).alias("naive_precision"),
@@ -213,15 +214,15 @@ def criteria_screen(hours: DataFrame, unit_day: DataFrame, life: DataFrame, wet:
     hours_on = F.create_map(*[x for n, (_, a, _) in criteria.items() for x in (F.lit(n), F.lit(float(a)))])
     hours_off = F.create_map(*[x for n, (_, _, b) in criteria.items() for x in (F.lit(n), F.lit(float(b)))])
     full = sums.withColumn("_k", F.lit(1)).join(F.broadcast(base.withColumn("_k", F.lit(1))), "_k")
-    work = F.col("_hw") / (F.col("_lw") * F.element_at(hours_on, F.col("criterion")))
-    rest = F.col("_ho") / (F.col("_lo") * F.element_at(hours_off, F.col("criterion")))
-    rhythm = F.when(rest > 0, work / rest)
-    lift = F.when(F.col("_dry") > 0, (F.col("_wet") / F.col("_lwet")) / (F.col("_dry") / F.col("_ldry")))
+    work = F.try_divide(F.col("_hw"), F.col("_lw") * F.element_at(hours_on, F.col("criterion")))
+    rest = F.try_divide(F.col("_ho"), F.col("_lo") * F.element_at(hours_off, F.col("criterion")))
+    rhythm = F.try_divide(work, rest)
+    lift = F.try_divide(F.try_divide("_wet", "_lwet"), F.try_divide("_dry", "_ldry"))
     out = full.select(
         "criterion", F.col("_n").alias("positive_unit_days"), F.col("_train").alias("positive_unit_days_train"),
         F.round(F.col("_top") / F.col("_n"), 3).alias("top_object_share"),
         F.round(rhythm, 3).alias("workday_to_day_off"), F.round(lift, 3).alias("weather_lift"),
-        F.round(F.col("_ps") / F.col("_pc"), 2).alias("pump_vs_normal"),
+        F.round(F.try_divide("_ps", "_pc"), 2).alias("pump_vs_normal"),
         F.round(F.col("_adj") / F.col("_n"), 3).alias("adjacent_share"),
         F.round(F.col("_h816") / (F.col("_hw") + F.col("_ho")), 3).alias("share_8_16"),
         ((F.col("_train") >= 1000) & (F.col("_top") / F.col("_n") <= 0.5)).alias("passes_volume"),
@@ -265,7 +266,7 @@ def poisson_bounds(k: Column, exposure: Column) -> tuple[Column, Column]:
         return n * F.pow(1 - 1 / (9 * n) + sign * z / (3 * F.sqrt(n)), 3)
 
     low = F.when(k > 0, half_quantile(k.cast("double"), -1.0)).otherwise(0.0)
-    return low / exposure, half_quantile((k + 1).cast("double"), 1.0) / exposure
+    return F.try_divide(low, exposure), F.try_divide(half_quantile((k + 1).cast("double"), 1.0), exposure)
 
 
 def burn_in_curve(channels: DataFrame, events: DataFrame, unit: str, censor: str,
@@ -287,7 +288,7 @@ def burn_in_curve(channels: DataFrame, events: DataFrame, unit: str, censor: str
     hits = events.join(life.select(unit, "born"), unit).groupBy(bucket.alias("lo")).agg(
         F.count(F.lit(1)).alias("events"))
     table = exposure.join(hits, "lo", "left").fillna(0, ["events"])
-    rate = F.col("events") / F.col("exposure")
+    rate = F.try_divide("events", "exposure")
     low, high = poisson_bounds(F.col("events"), F.col("exposure"))
     mature = table.agg(F.max_by(rate, F.col("lo")).alias("_m")).withColumn("_k", F.lit(1))
     return table.withColumn("_k", F.lit(1)).join(F.broadcast(mature), "_k").select(

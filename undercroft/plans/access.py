@@ -17,6 +17,7 @@ from undercroft.operators.grids import Rolling, days_since, dense_grid
 from undercroft.operators.intervals import disarm_hours_by_day, is_open_at, overlaps_any
 from undercroft.operators.neighbours import line_neighbours
 from undercroft.operators.ordered import asof_last, prefix_sums
+from undercroft.session import cut
 
 KEY = ("object_id", "gallery", "section")
 PASSPORT = ("is_branch", "no_entry", "n_pickets", "n_contact", "n_motion", "n_emergency_exit",
@@ -120,8 +121,9 @@ def guard_days(days: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def access_daily(t: AccessInputs, guard_filter: bool = True) -> DataFrame:
-    dense = dense_days(t)
-    per_object = object_days(dense)
+    # The grid and its object-days are read by several branches: both are stored once.
+    dense = cut(dense_days(t))
+    per_object = cut(object_days(dense))
     ow = Rolling(("object_id",))
     objects = per_object.select(
         "object_id", "day", ow.sum("m_obj", 1).alias("obj_alarms_1d"), ow.sum("m_obj", 7).alias("obj_alarms_7d"),
@@ -180,31 +182,26 @@ def unknown_days(days: DataFrame, unknown: DataFrame, hours: int = 24) -> DataFr
 
 def access_rolling(t: AccessInputs, hours: Sequence[int] = (0, 6, 12, 18)) -> DataFrame:
     """Several points a day: features of the day, label and freshness at the point."""
-    base = access_daily(t, guard_filter=False).drop("label", "naive").withColumn(
-        "as_of_hour", F.explode(F.array(*[F.lit(int(h)) for h in hours]))
-    ).withColumn("as_of", F.timestamp_micros(F.unix_micros(F.col("day").cast("timestamp"))
-                                             + F.col("as_of_hour").cast("long") * 3_600_000_000))
+    at_hour = F.timestamp_micros(F.unix_micros(F.col("day").cast("timestamp")) + F.col("as_of_hour").cast("long") * 3_600_000_000)
+    spread = F.explode(F.array(*[F.lit(int(h)) for h in hours]))
+    base = access_daily(t, guard_filter=False).drop("label", "naive").withColumn("as_of_hour", spread).withColumn("as_of", at_hour)
+    # The points come straight from the lives of the sections, not from the finished panel.
     point = [*KEY, "as_of"]
-    points = base.select(*point, "as_of_hour", "unit_age_days")
+    points = dense_grid(t.unit, KEY).withColumn("as_of_hour", spread).select(*KEY, at_hour.alias("as_of"))
     at = {"next": shift("as_of", 86400), "now": F.col("as_of"), "h1": shift("as_of", -3600),
           "h6": shift("as_of", -6 * 3600), "prev": shift("as_of", -86400)}
-    events = prefix_sums(points, t.armed, KEY, "hour", at,
-                         {"ev": F.lit(1), "m": F.col("n_moments")}, point)
-    alarms = prefix_sums(points, t.alarm, KEY, "hour", {k: at[k] for k in ("now", "h1", "h6")},
-                         {"al": F.col("n_moments")}, point)
-    last = asof_last(points, t.alarm, KEY, "as_of", "hour", {"_la": F.col("hour")})
-    last = asof_last(last, t.armed, KEY, "as_of", "hour", {"_le": F.col("hour")})
-    never = 24 * (F.col("unit_age_days") + 1) + F.col("as_of_hour")
-    last = last.select(
-        *point, F.coalesce(boundary_diff("hour", "_la", "as_of"), never).alias("hours_since_last_alarm_t"),
-        F.coalesce(boundary_diff("hour", "_le", "as_of"), never).alias("hours_since_last_event_t"))
+    facts = t.armed.select(*KEY, "hour", F.lit(1).alias("ev"), F.col("n_moments").alias("m"), F.col("hour").alias("le")).unionByName(
+        t.alarm.select(*KEY, "hour", F.col("n_moments").alias("al"), F.col("hour").alias("la")), allowMissingColumns=True)
+    seen = prefix_sums(points, facts, KEY, "hour", at, {c: F.col(c) for c in ("ev", "m", "al")}, point,
+                       maxes={c: F.col(c) for c in ("la", "le")})
     moments = points.select("object_id", "as_of").distinct()
     guard = is_open_at(moments, t.disarm_window, ("object_id",), "as_of", "is_disarmed_at_t")
     guard = overlaps_any(guard.withColumn("_hi", shift("as_of", 86400)), t.guard_unknown, ("object_id",),
                          "as_of", "_hi", "_u").drop("_hi")
+    never = 24 * (F.col("unit_age_days") + 1) + F.col("as_of_hour")
+    probes = [f"{s}_{p}" for s in ("ev", "m", "al", "la", "le") for p in at]
     return (
-        base.join(events, point).join(alarms, point).join(last, point)
-        .join(guard, ["object_id", "as_of"]).join(t.unit.select(*KEY, "hour_to"), list(KEY))
+        base.join(seen, point).join(guard, ["object_id", "as_of"]).join(t.unit.select(*KEY, "hour_to"), list(KEY))
         .filter(~F.col("_u") & (shift("as_of", 86400) <= shift("hour_to", 3600)))
         .withColumn("label", (F.col("ev_next") > F.col("ev_now")).cast("int"))
         .withColumn("naive", (F.col("ev_now") > F.col("ev_prev")).cast("int"))
@@ -212,7 +209,9 @@ def access_rolling(t: AccessInputs, hours: Sequence[int] = (0, 6, 12, 18)) -> Da
         .withColumn("alarms_last_6h", F.col("al_now") - F.col("al_h6"))
         .withColumn("events_last_1h", F.col("m_now") - F.col("m_h1"))
         .withColumn("events_last_6h", F.col("m_now") - F.col("m_h6"))
-        .drop("_u", "hour_to", *[f"{s}_{p}" for s in ("ev", "m") for p in at], "al_now", "al_h1", "al_h6")
+        .withColumn("hours_since_last_alarm_t", F.coalesce(boundary_diff("hour", "la_now", "as_of"), never))
+        .withColumn("hours_since_last_event_t", F.coalesce(boundary_diff("hour", "le_now", "as_of"), never))
+        .drop("_u", "hour_to", *probes)
     )
 
 

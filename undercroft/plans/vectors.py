@@ -18,6 +18,7 @@ from undercroft.operators.intervals import disarm_windows, on_intervals, overlap
 from undercroft.operators.ordered import neighbour_row
 from undercroft.operators.sessions import flag_events
 from undercroft.plans.flood import melt, pump_growth
+from undercroft.session import cut
 
 ACCESS_TYPES = ("DOOR_OPEN", "MOTION")
 DAY = 86400
@@ -65,9 +66,9 @@ def access_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame,
     m = access_moments(events, sensors, now, 4000).withColumn("_d", back_days("ts", now))
     hit = F.col("event")
     # One row per unit and day back: every share and distinct-day count is a plain sum over it.
-    per_day = m.groupBy("facility_id", "_d").agg(
+    per_day = cut(m.groupBy("facility_id", "_d").agg(
         F.count(F.lit(1)).alias("_a"), F.count_if(hit).alias("_e"), F.max("ts").alias("_la"),
-        F.max(F.when(hit, F.col("ts"))).alias("_le"))
+        F.max(F.when(hit, F.col("ts"))).alias("_le")))
     d, a, e = F.col("_d"), F.col("_a"), F.col("_e")
     upto = lambda c, n: F.coalesce(F.sum(F.when(d < n, c)), F.lit(0))
     days_with = lambda c, n: F.count_if((d < n) & (c > 0)) / float(n)
@@ -201,7 +202,7 @@ def flood_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame, w
     for part in (evt, changes, marks, blink, on):
         unit = unit.join(part, "facility_id", "left")
     sums = [c for c in unit.columns if c not in ("facility_id", "collector", "district")]
-    unit = unit.fillna(0, sums)
+    unit = cut(unit.fillna(0, sums))  # summed to objects and complexes, then read again
     level = ("m_evt_24h", "m_evt_168h", "chg_24h", "blink_24h", "unavail_24h", "allp_24h", "allp_168h", "on_min_24h")
     by_object = unit.groupBy("collector").agg(*[F.sum(c).alias(f"_o_{c}") for c in level])
     by_complex = unit.groupBy("district").agg(*[F.sum(c).alias(f"_c_{c}") for c in level])

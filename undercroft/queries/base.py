@@ -3,7 +3,9 @@
 A view is one SQL text valid in Spark and in other ANSI engines, so both sides of a
 check read the same input.  A query gives its columns as ``name:type`` with types
 ``i`` (integer), ``d`` (double, six decimals), ``s`` (text), ``D`` (date), ``t``
-(timestamp) and ``b`` (boolean); both sides are cast to the same plain types.
+(timestamp) and ``b`` (boolean); both sides are cast to the same plain types.  Doubles
+are nudged by 1e-9 before rounding, so a value that ends on half a unit rounds the same
+way whatever the order its parts were added in.
 """
 
 from __future__ import annotations
@@ -146,7 +148,7 @@ VIEWS: dict[str, str] = {
                CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 24) * INTERVAL 1 HOUR AS computed_at,
                CAST(o_orderdate AS TIMESTAMP) AS bucket, o_orderkey % 700 AS compute_ms, 24 + o_orderkey % 24 AS horizon_hours,
                CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY END AS suppress_until,
-               CAST(o_totalprice AS BIGINT) % 5 AS evt_hours_24h
+               CAST(floor(o_totalprice) AS BIGINT) % 5 AS evt_hours_24h
         FROM orders""",
     "work_order": """
         SELECT o_orderkey AS order_id, o_orderkey AS prediction_id, o_custkey AS facility_id,
@@ -250,7 +252,7 @@ def with_views(sql: str) -> str:
 def typed_sql(columns: tuple[tuple[str, str], ...], sql: str) -> str:
     def one(name: str, kind: str) -> str:
         value = f"CAST({name} AS {CASTS[kind]})"
-        return f"round({value}, 6) AS {name}" if kind == "d" else f"{value} AS {name}"
+        return f"round({value} + 1e-9, 6) AS {name}" if kind == "d" else f"{value} AS {name}"
 
     views = with_views(sql)
     head = f"WITH {views}, " if views else "WITH "
@@ -261,7 +263,7 @@ def typed_frame(columns: tuple[tuple[str, str], ...], df: DataFrame) -> DataFram
     def one(name: str, kind: str):
         c = F.col(name)
         if kind == "d":
-            return F.round(c.cast("double"), 6).alias(name)
+            return F.round(c.cast("double") + 1e-9, 6).alias(name)
         return c.cast({"i": "bigint", "b": "int"}.get(kind, "string")).alias(name)
 
     return df.select(*[one(n, k) for n, k in columns])
