@@ -27,18 +27,29 @@ def dense_grid(units: DataFrame, keys: Sequence[str], lo: str = "hour_from", hi:
 
 
 class Rolling:
-    """Look-back windows of one key and order; the current row never counts."""
+    """Look-back windows of one key and order; the current row never counts.
+
+    Sums over long frames are differences of running sums: a sliding frame of n rows
+    costs n updates per row, a running sum one.  ``cumulate`` adds the running sums first;
+    all windows share one sort.
+    """
 
     def __init__(self, keys: Sequence[str], order: str = "day") -> None:
         self.order = order
         self.base = Window.partitionBy(*keys).orderBy(order)
         self.key = Window.partitionBy(*keys)
 
+    def cumulate(self, df: DataFrame, *columns: str) -> DataFrame:
+        upto = self.base.rowsBetween(UNBOUNDED, 0)
+        return df.withColumns({f"_cum_{c}": F.sum(c).over(upto) for c in columns})
+
     def agg(self, fn, column: str | Column, n: int) -> Column:
         return fn(column).over(self.base.rowsBetween(-n, -1))
 
-    def sum(self, column: str | Column, n: int) -> Column:
-        return self.agg(F.sum, column, n)
+    def sum(self, column: str, n: int) -> Column:
+        """Sum of the n rows before; null when there are none. Needs ``cumulate``."""
+        upto = F.col(f"_cum_{column}")
+        return F.lag(upto, 1).over(self.base) - F.coalesce(F.lag(upto, n + 1).over(self.base), F.lit(0))
 
     def mean(self, column: str | Column, n: int) -> Column:
         return self.agg(F.avg, column, n)

@@ -89,7 +89,7 @@ def network_days(object_day: DataFrame) -> DataFrame:
     """
     nd = object_day.groupBy("day").agg(F.sum("ev").alias("ev"), F.sum("n").alias("n"))
     w = Rolling((), "day")
-    shares = nd.select(
+    shares = w.cumulate(nd, "ev", "n").select(
         "day", *[(w.sum("ev", k) / w.sum("n", k)).alias(f"net_event_share_{k}d") for k in (1, 7)])
     gap = lambda a, b: F.least(F.abs(a - b), 365 - F.abs(a - b))
     targets = F.filter(F.sequence(F.lit(1), F.lit(366)), lambda a: gap(a, F.dayofyear("day")) <= 3)
@@ -125,14 +125,16 @@ def access_daily(t: AccessInputs, guard_filter: bool = True) -> DataFrame:
     dense = cut(dense_days(t))
     per_object = cut(object_days(dense))
     ow = Rolling(("object_id",))
-    objects = per_object.select(
+    objects = ow.cumulate(per_object, "m_obj", "units_alarmed").select(
         "object_id", "day", ow.sum("m_obj", 1).alias("obj_alarms_1d"), ow.sum("m_obj", 7).alias("obj_alarms_7d"),
         ow.sum("units_alarmed", 7).alias("obj_units_alarmed_7d"))
     guard = guard_days(per_object, t.disarm_window)
     near = line_neighbours(dense, ("object_id", "gallery"), "section", (-1, 1), {"nb_ev": "had_armed", "nb_m": "m_all"})
     w = Rolling(KEY)
     age = F.datediff("day", w.first())
-    rolled = dense.join(near, [*KEY, "day"], "left").fillna(0, ["nb_ev", "nb_m"]).select(
+    facts = dense.join(near, [*KEY, "day"], "left").fillna(0, ["nb_ev", "nb_m"])
+    rolled = w.cumulate(facts, "m_all", "m_armed", "had_alarm", "had_armed", "m_night", "disarm_hours", "n_fault",
+                        "nb_ev", "nb_m").select(
         *KEY, "day", F.col("had_armed").alias("label"), "n_channels", "chain",
         *[F.coalesce(w.sum("m_all", k), F.lit(0)).alias(f"n_alarms_{k}d") for k in (1, 7, 30, 90, 365)],
         *[F.coalesce(w.sum("m_armed", k), F.lit(0)).alias(f"n_armed_{k}d") for k in (1, 7, 30, 90)],

@@ -109,7 +109,8 @@ def fire_daily(t: FireInputs) -> DataFrame:
     def since(flag: str) -> Column:
         return days_since(w.last_where(F.col(flag) > 0), cap=config.DAYS_CAP)
 
-    rolled = days.select(
+    summed = ("ev", "m_ev", "l_ev", "o_walk", "chk", "n_ev", "n_chk", "n_chk_share", "rep", "faults", *COMPLEX_COUNTS)
+    rolled = w.cumulate(days, *summed).select(
         *KEY, "day", F.col("ev").alias("label"),
         *[s("ev", n).alias(f"evt_days_{n}d") for n in (1, 7, 30, 90, 365)],
         s("m_ev", 30).alias("evt_moments_30d"), since("ev").alias("evt_days_since"),

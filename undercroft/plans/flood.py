@@ -78,13 +78,13 @@ def group_rolled(hours: DataFrame, spans: DataFrame, key: str, prefix: str) -> D
     w = Rolling((key,), "hour")
     wanted = [("m_evt", 24), ("m_evt", 168), ("chg", 24), ("blink", 24), ("on_min", 24), ("unavail", 24),
               ("allp", 24), ("allp", 168)]
-    return dense.select(key, "hour", *[w.sum(m, n).alias(f"{prefix}{m}_{n}h") for m, n in wanted])
+    return w.cumulate(dense, *GROUP_MEASURES).select(key, "hour", *[w.sum(m, n).alias(f"{prefix}{m}_{n}h") for m, n in wanted])
 
 
 def weather_rolled(weather: DataFrame) -> DataFrame:
     """Weather before the hour. One row per hour of the whole network bounds the window."""
     w = Rolling((), "hour")
-    return weather.select(
+    return w.cumulate(weather, "precip", "rain", "snowfall").select(
         "hour",
         *[F.coalesce(w.sum("precip", n), F.lit(0.0)).alias(f"weather_precip_{n}h") for n in (24, 72, 168)],
         F.coalesce(w.sum("rain", 72), F.lit(0.0)).alias("weather_rain_72h"),
@@ -108,7 +108,7 @@ def flood_hourly(t: FloodInputs, blink: float, horizon: int = 24) -> DataFrame:
         return F.coalesce(w.sum(m, n), F.lit(0))
 
     first = w.first()
-    unit = hours.select(
+    unit = w.cumulate(hours, *MEASURES).select(
         *KEY, "hour", w.ahead_sum("had_evt", horizon).alias("_next"), w.ahead_rows(horizon).alias("_rows"),
         *[s("chg", n).alias(f"pump_changes_{n}h") for n in (1, 6, 24)],
         *[s("blink", n).alias(f"pump_blink_hours_{n}h") for n in (24, 168)],

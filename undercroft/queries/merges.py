@@ -1 +1,191 @@
-"""Pending."""
+"""Card and order merges, upserts, action replay."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from undercroft.operators import actions as ac
+from undercroft.operators import cards as cm
+from undercroft.operators import orders as om
+from undercroft.queries.base import query
+from undercroft.sources import writers as wr
+
+AT = "2001-08-02 09:00:00"
+FIN = "('DECIDED', 'CLOSED_CONFIRMED', 'CLOSED_NOT_CONFIRMED')"
+CARD_SQL = "SELECT CAST(prediction_id AS VARCHAR) AS prediction_id, facility_id, direction, bucket, status, assignee, CASE WHEN prediction_id % 17 = 0 THEN 'AGREED' END AS verdict, probability, level, computed_at, 0 AS run_id FROM card"
+FORE_SQL = f"""
+    SELECT facility_id, direction, CASE facility_id % 4 WHEN 0 THEN max(bucket) WHEN 1 THEN max(bucket) - INTERVAL 1 DAY WHEN 2 THEN min(bucket) ELSE TIMESTAMP '2001-08-02' END AS bucket, TIMESTAMP '{AT}' AS computed_at,
+      CASE WHEN facility_id % 3 = 0 THEN TIMESTAMP '{AT}' - INTERVAL 1 HOUR WHEN facility_id % 3 = 1 THEN TIMESTAMP '1995-01-01' END AS event_at, CAST(facility_id % 100 AS DOUBLE) / 100 AS probability FROM card WHERE facility_id % 5 <> 4 GROUP BY facility_id, direction
+    UNION ALL SELECT facility_id + 1000000, 'COLD_RISK', TIMESTAMP '2001-08-02', TIMESTAMP '{AT}', NULL, 0.9 FROM facility WHERE facility_id % 7 = 0"""
+
+
+def stored_cards(t):
+    return t.spark.sql(CARD_SQL.replace("VARCHAR", "STRING").replace("FROM card", "FROM {c}"), c=t.card).withColumn("run_id", F.lit(0).cast("long"))
+
+
+def forecasts(t):
+    text = FORE_SQL.replace("FROM card", "FROM {c}").replace("FROM facility", "FROM {f}")
+    return cm.assign_levels(t.spark.sql(text, c=t.card, f=t.facility)).withColumn("run_id", F.lit(7).cast("long"))
+
+
+PLAN_SQL = f"""
+    WITH c AS ({CARD_SQL}), f AS ({FORE_SQL}),
+    j AS (SELECT f.*, (SELECT count(*) FROM c WHERE c.facility_id = f.facility_id AND c.direction = f.direction AND c.status IN ('IN_REVIEW', 'ORDER_OPEN')) AS busy,
+      (SELECT arg_max(prediction_id, (bucket, prediction_id)) FROM c WHERE c.facility_id = f.facility_id AND c.direction = f.direction AND status = 'NEW' AND assignee IS NULL AND verdict IS NULL) AS open_id,
+      (SELECT max(bucket) FROM c WHERE c.facility_id = f.facility_id AND c.direction = f.direction AND status = 'NEW' AND assignee IS NULL AND verdict IS NULL) AS open_bucket,
+      (SELECT max(prediction_id) FROM c WHERE c.facility_id = f.facility_id AND c.direction = f.direction AND c.bucket = f.bucket) AS same_id,
+      (SELECT arg_max(prediction_id, (bucket, prediction_id)) FROM c WHERE c.facility_id = f.facility_id AND c.direction = f.direction AND c.bucket >= f.bucket) AS late_id,
+      (SELECT max(bucket) FROM c WHERE c.facility_id = f.facility_id AND c.direction = f.direction AND c.bucket >= f.bucket) AS late_bucket FROM f),
+    k AS (SELECT j.*, l.status AS late_status, l.computed_at AS late_at FROM j LEFT JOIN c l ON l.prediction_id = j.late_id),
+    p AS (SELECT facility_id, direction, probability, event_at, CASE WHEN busy > 0 THEN CASE WHEN same_id IS NOT NULL THEN 'refresh' ELSE 'none' END WHEN open_id IS NOT NULL THEN 'follow' WHEN late_id IS NULL THEN 'insert'
+        WHEN late_status NOT IN {FIN} THEN 'refresh' WHEN event_at > late_at THEN 'insert' ELSE 'none' END AS action,
+      CASE WHEN busy > 0 THEN same_id WHEN open_id IS NOT NULL THEN open_id WHEN late_status NOT IN {FIN} THEN late_id END AS target_id,
+      CASE WHEN busy > 0 THEN bucket WHEN open_id IS NOT NULL THEN CASE WHEN same_id <> open_id THEN open_bucket ELSE bucket END WHEN late_id IS NULL THEN bucket WHEN late_status NOT IN {FIN} THEN late_bucket WHEN event_at > late_at THEN TIMESTAMP '{AT}' ELSE late_bucket END AS bucket, open_bucket FROM k)
+    SELECT facility_id, direction, probability, action, target_id, bucket, CASE WHEN action = 'follow' AND bucket <> open_bucket OR action = 'insert' THEN 1 ELSE 0 END AS is_new FROM p"""
+
+
+@query("merge_plan", "facility_id:i direction:s action:s target_id:s bucket:t is_new:b", PLAN_SQL)
+def _(t):
+    return cm.merge_plan(stored_cards(t), forecasts(t))
+
+
+@query("merge_cards", "prediction_id:s facility_id:i direction:s bucket:t status:s probability:d level:s computed_at:t run_id:i is_new:b", f"""
+    WITH p AS ({PLAN_SQL}), q AS (SELECT *, CASE direction WHEN 'FLOOD_RISK' THEN CASE WHEN probability >= 0.3 THEN 'CRITICAL' WHEN probability >= 0.092818 THEN 'HIGH' WHEN probability >= 0.011471 THEN 'MEDIUM' ELSE 'LOW' END
+       WHEN 'UNAUTHORIZED_ACCESS' THEN CASE WHEN probability >= 0.3 THEN 'CRITICAL' WHEN probability >= 0.140342 THEN 'HIGH' WHEN probability >= 0.008183 THEN 'MEDIUM' ELSE 'LOW' END
+       ELSE CASE WHEN probability >= 0.78 THEN 'CRITICAL' WHEN probability >= 0.55 THEN 'HIGH' WHEN probability >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END END AS lv FROM p)
+    SELECT c.prediction_id, c.facility_id, c.direction, CASE WHEN q.action = 'follow' THEN q.bucket ELSE c.bucket END AS bucket, c.status, CASE WHEN q.action = 'follow' THEN q.probability ELSE c.probability END AS probability, CASE WHEN q.action = 'follow' THEN q.lv ELSE c.level END AS level,
+      CASE WHEN q.action = 'follow' OR q.action = 'refresh' AND c.status NOT IN {FIN} THEN TIMESTAMP '{AT}' ELSE c.computed_at END AS computed_at, CASE WHEN q.action = 'follow' THEN 7 ELSE 0 END AS run_id, CASE WHEN q.action = 'follow' THEN q.is_new ELSE 0 END AS is_new
+    FROM ({CARD_SQL}) c LEFT JOIN q ON q.target_id = c.prediction_id AND q.action IN ('follow', 'refresh')
+    UNION ALL SELECT concat(direction, '-', facility_id, '-', CAST(epoch(bucket) AS BIGINT)), facility_id, direction, bucket, 'NEW', probability, lv, TIMESTAMP '{AT}', 7, 1 FROM q WHERE action = 'insert'""")
+def _(t):
+    return cm.merge_cards(stored_cards(t), forecasts(t))
+
+
+@query("merge_cards_rerun", "changed:i")
+def _(t):
+    first = cm.merge_cards(stored_cards(t), forecasts(t)).drop("is_new")
+    again = cm.merge_cards(first, forecasts(t))
+    return again.agg(F.count_if("is_new").alias("changed"))
+
+
+@query("set_difference_busy", "facility_id:i direction:s", f"""
+    SELECT facility_id, direction FROM ({FORE_SQL}) f WHERE NOT EXISTS (SELECT 1 FROM card c WHERE c.facility_id = f.facility_id AND c.direction = f.direction AND c.status IN ('IN_REVIEW', 'ORDER_OPEN'))""")
+def _(t):
+    return cm.without_busy(forecasts(t), t.card)
+
+
+@query("refresh_taken", "prediction_id:i n:i first_title:s computed_at:t", f"""
+    SELECT prediction_id, CASE WHEN status NOT IN {FIN} AND prediction_id % 2 = 0 THEN 3 ELSE 2 END AS n, CASE WHEN status NOT IN {FIN} AND prediction_id % 2 = 0 THEN 'fresh series' ELSE 'old series' END AS first_title,
+      CASE WHEN status NOT IN {FIN} AND prediction_id % 2 = 0 THEN TIMESTAMP '{AT}' ELSE computed_at END AS computed_at FROM card""")
+def _(t):
+    block = lambda kind, title: F.struct(F.lit(kind).alias("type"), F.lit(title).alias("title"), F.lit("{}").alias("data"))
+    cards = t.card.withColumn("blocks", F.array(block("timeseries", "old series"), block("factors", "why")))
+    live = t.card.filter("prediction_id % 2 = 0").select("prediction_id", F.array(
+        block("timeseries", "fresh series"), block("factors", "why"), block("keyvalue", "freshness")).alias("live_blocks"))
+    out = cm.refresh_taken(cards, live, AT)
+    return out.select("prediction_id", F.size("blocks").alias("n"), F.get("blocks", F.lit(0))["title"].alias("first_title"), "computed_at")
+
+
+@query("stale_refresh", "prediction_id:i", f"SELECT prediction_id FROM card WHERE bucket = TIMESTAMP '1998-06-09' AND computed_at <= TIMESTAMP '1998-06-09 11:55:00' AND status NOT IN {FIN}")
+def _(t):
+    return cm.stale_refresh(t.card, "1998-06-09 12:00:00")
+
+
+@query("done_today", "direction:s done:b", "SELECT direction, CAST(bool_or(CASE direction WHEN 'FIRE_RISK' THEN computed_at >= TIMESTAMP '2001-08-01' ELSE bucket = TIMESTAMP '2001-08-01' END) AS INT) AS done FROM card GROUP BY direction")
+def _(t):
+    return cm.done_today(t.card, "2001-08-01 12:00:00")
+
+
+@query("suppressed_level", "facility_id:i direction:s muted:i", """
+    SELECT facility_id, direction, max(CASE level WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS muted FROM card WHERE suppress_until > TIMESTAMP '1999-01-01' GROUP BY 1, 2""")
+def _(t):
+    return cm.suppressed_level(t.card, "1999-01-01 00:00:00")
+
+
+@query("run_report", "prediction_count:i cards:i order_count:i duration_ms:i", """
+    SELECT (SELECT count(*) FROM card WHERE status = 'NEW') AS prediction_count, (SELECT count(*) FROM card) AS cards, (SELECT count(*) FROM work_order) AS order_count, 90500 AS duration_ms""")
+def _(t):
+    merged = t.card.withColumn("is_new", F.col("status") == "NEW")
+    return cm.run_report(merged, t.work_order, "2024-01-01 00:00:00", "2024-01-01 00:01:30.5")
+
+
+@query("stream_lag", "stream_events:i stream_lag_ms:i", """
+    SELECT count(*) AS stream_events, CAST(max(epoch(TIMESTAMP '2024-01-15 12:01:00') - epoch(ts)) * 1000 AS BIGINT) AS stream_lag_ms FROM journal WHERE ts + INTERVAL 20 SECOND > TIMESTAMP '2024-01-15 06:00:00' AND ts + INTERVAL 20 SECOND <= TIMESTAMP '2024-01-15 12:00:00'""")
+def _(t):
+    events = t.journal.select(F.col("ts").alias("occurred_at"), (F.col("ts") + F.expr("INTERVAL 20 SECONDS")).alias("received_at"))
+    return cm.stream_lag(events, "2024-01-15 06:00:00", "2024-01-15 12:00:00", "2024-01-15 12:01:00")
+
+
+# --- orders ----------------------------------------------------------------------------
+
+CAND_SQL = "SELECT max(prediction_id) AS prediction_id, facility_id, direction, arg_max(level, prediction_id) AS level, arg_max(horizon_hours, prediction_id) AS horizon_hours, arg_max(computed_at, prediction_id) AS computed_at FROM card WHERE bucket >= TIMESTAMP '2001-01-01' GROUP BY facility_id, direction"
+ORD_SQL = f"SELECT c.*, (SELECT arg_max(order_id, (created_at, order_id)) FROM work_order o WHERE o.facility_id = c.facility_id AND o.direction = c.direction AND o.status = 'AUTO_CREATED') AS auto_id FROM ({CAND_SQL}) c"
+DUE_SQL = "CASE direction WHEN 'FIRE_RISK' THEN computed_at + horizon_hours * INTERVAL 30 MINUTE ELSE date_trunc('day', computed_at + INTERVAL 3 HOUR) - INTERVAL 3 HOUR + INTERVAL 1 DAY END"
+
+
+def candidates(t):
+    last = F.max_by(F.struct("level", "horizon_hours", "computed_at"), "prediction_id").alias("l")
+    return t.card.filter("bucket >= TIMESTAMP '2001-01-01'").groupBy("facility_id", "direction").agg(F.max("prediction_id").alias("prediction_id"), last).select(
+        "prediction_id", "facility_id", "direction", "l.*")
+
+
+@query("follow_orders", "order_id:i prediction_id:i status:s due_at:t", f"""
+    SELECT o.order_id, CASE WHEN c.level IN ('HIGH', 'CRITICAL') THEN c.prediction_id ELSE o.prediction_id END AS prediction_id, CASE WHEN c.auto_id IS NOT NULL AND c.level NOT IN ('HIGH', 'CRITICAL') THEN 'REJECTED' ELSE o.status END AS status,
+      CASE WHEN c.level IN ('HIGH', 'CRITICAL') THEN c.due ELSE o.due_at END AS due_at FROM work_order o LEFT JOIN (SELECT *, {DUE_SQL} AS due FROM ({ORD_SQL})) c ON c.auto_id = o.order_id""")
+def _(t):
+    return om.follow_orders(t.work_order, candidates(t))
+
+
+@query("follow_log", "entity_id:s action_code:s", f"""
+    SELECT CAST(auto_id AS VARCHAR) AS entity_id, CASE WHEN level IN ('HIGH', 'CRITICAL') THEN 'relink' ELSE 'auto_reject' END AS action_code FROM ({ORD_SQL}) c JOIN work_order o ON o.order_id = c.auto_id WHERE level NOT IN ('HIGH', 'CRITICAL') OR o.prediction_id <> c.prediction_id""")
+def _(t):
+    return om.follow_log(t.work_order, candidates(t))
+
+
+@query("create_orders", "number:s prediction_id:i direction:s due_at:t status:s", f"""
+    SELECT concat('2001-', CASE WHEN n + 41 < 10000 THEN lpad(CAST(n + 41 AS VARCHAR), 4, '0') ELSE CAST(n + 41 AS VARCHAR) END) AS number, prediction_id, direction, due AS due_at, 'AUTO_CREATED' AS status FROM (
+      SELECT *, {DUE_SQL} AS due, row_number() OVER (ORDER BY facility_id, direction, prediction_id) AS n FROM ({ORD_SQL}) c WHERE auto_id IS NULL AND level IN ('HIGH', 'CRITICAL')
+        AND CASE level WHEN 'HIGH' THEN 3 ELSE 4 END > coalesce((SELECT max(CASE s.level WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) FROM card s WHERE s.facility_id = c.facility_id AND s.direction = c.direction AND s.suppress_until > c.computed_at), 0))""")
+def _(t):
+    return om.create_orders(t.work_order, candidates(t), t.card, 2001, 41)
+
+
+# --- upserts ---------------------------------------------------------------------------
+
+
+@query("upsert_replace", "day:D precip_mm:d temp_mean:d", """
+    SELECT day, CASE WHEN day >= DATE '2001-01-01' THEN precip_mm + 1 ELSE precip_mm END AS precip_mm, CASE WHEN day >= DATE '2001-01-01' THEN temp_mean - 1 ELSE temp_mean END AS temp_mean FROM weather_daily""")
+def _(t):
+    stored = t.weather_daily.filter("day < DATE '2001-06-01'").select("day", "precip_mm", "temp_mean")
+    fresh = t.weather_daily.filter("day >= DATE '2001-01-01'")
+    old = fresh.select("day", (F.col("precip_mm") * 0).alias("precip_mm"), (F.col("temp_mean") * 0).alias("temp_mean"), F.lit(1).alias("version"))
+    new = fresh.select("day", (F.col("precip_mm") + 1).alias("precip_mm"), (F.col("temp_mean") - 1).alias("temp_mean"), F.lit(2).alias("version"))
+    return wr.upsert_replace(stored, old.unionByName(new), ("day",))
+
+
+@query("upsert_greatest", "channel_id:i hour:t value:d", "SELECT channel_id, hour, max(value) AS value FROM journal WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2")
+def _(t):
+    half = lambda kind: t.journal.filter(F.col("event_type") == kind).groupBy("channel_id", "hour").agg(F.max("value").alias("value"))
+    return wr.upsert_greatest(half("purchase"), half("view"), ("channel_id", "hour"))
+
+
+# --- action log ------------------------------------------------------------------------
+
+VERBS = ("take", "decide", "assign", "close", "release", "reject")
+
+
+def action_log(t):
+    verb = F.element_at(F.array(*[F.lit(v) for v in VERBS]), (F.col("l_partkey") % 6 + 1).cast("int"))
+    level = F.when(F.col("l_quantity") >= 25, "HIGH").otherwise("LOW")
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("prediction_id"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_linenumber").alias("seq"), verb.alias("action"), level.alias("level"),
+        (F.col("l_discount") > 0.05).alias("fact"), (F.col("l_tax") > 0.06).alias("busy"), F.col("l_partkey"))
+    return rows.withColumn("event", ac.event_of())
+
+
+@query("replay_actions", "prediction_id:i card_status:s order_status:s applied:i ignored:i")
+def _(t):
+    log = action_log(t).select("prediction_id", "ts", "seq", "l_partkey", "event")
+    start = t.card.select("prediction_id", F.lit("NEW").alias("card_status"), F.lit("NONE").alias("order_status"))
+    replayed = ac.replay(log, start, tiebreak=("seq", "l_partkey"))
+    return ac.final_states(replayed, tiebreak=("seq", "l_partkey"))

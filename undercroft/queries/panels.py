@@ -37,7 +37,7 @@ def rng(n: int) -> str:
 def _(t):
     w = gr.Rolling(("unit_id",))
     z = lambda c: F.coalesce(c, F.lit(0))
-    return dense(t).select("unit_id", "day", z(w.sum("m", 1)).alias("s1"), z(w.sum("m", 7)).alias("s7"), z(w.sum("m", 30)).alias("s30"),
+    return w.cumulate(dense(t), "m").select("unit_id", "day", z(w.sum("m", 1)).alias("s1"), z(w.sum("m", 7)).alias("s7"), z(w.sum("m", 30)).alias("s30"),
                            w.mean("m", 90).alias("mean90"), w.max("m", 365).alias("max365"))
 
 
@@ -125,7 +125,7 @@ def slice_panel(t):
     w = gr.Rolling(section)
     z = lambda c: F.coalesce(c, F.lit(0))
     rows = grid.withColumn("ev", (F.col("m") > 0).cast("int"))
-    return rows.select(
+    return w.cumulate(rows, "m", "ev").select(
         *section, "day", F.col("ev").alias("y"), z(w.sum("m", 1)).alias("n_1d"), z(w.sum("m", 7)).alias("n_7d"), z(w.sum("ev", 7)).alias("days_7d"),
         z(w.sum("ev", 30)).alias("days_30d"), F.coalesce(gr.days_since(w.last_where(F.col("ev") == 1)), F.datediff("day", w.first()) + 1).alias("since"),
     ).withColumn("naive", (F.col("n_1d") > 0).cast("int"))
