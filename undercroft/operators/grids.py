@@ -131,8 +131,12 @@ def zero_filled(counts: DataFrame, grid: DataFrame, keys: Sequence[str], columns
 
 
 def first_non_empty(series: DataFrame, fallback: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
-    """Series with something other than zero; keys left without one take the fallback."""
+    """Series with something other than zero; keys left without one take the fallback.
+
+    ``fallback`` is one short chart series (a point per day), the same for every key.
+    """
     alive = series.groupBy(*keys).agg(F.max(F.abs(value)).alias("_m")).filter("_m > 0").drop("_m")
     kept = series.join(alive, list(keys), "left_semi")
-    empty = series.select(*keys).distinct().join(alive, list(keys), "left_anti")
-    return kept.unionByName(empty.join(fallback, [k for k in keys if k in fallback.columns]).select(*series.columns))
+    empty = series.select(*keys).distinct().join(alive, list(keys), "left_anti").withColumn("_k", F.lit(1))
+    points = fallback.withColumn("_k", F.lit(1))
+    return kept.unionByName(empty.join(points, "_k").select(*series.columns))

@@ -1 +1,116 @@
-"""Pending."""
+"""Model steps. Trees have no SQL twin: these are checked by rows and by the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from undercroft import config
+from undercroft.operators import evaluate as ev
+from undercroft.operators import grids as gr
+from undercroft.operators import labels as lb
+from undercroft.operators import models as md
+from undercroft.queries.base import query
+from undercroft.queries.panels import dense, rng
+from undercroft.queries.panels import DENSE_SQL
+from undercroft.session import cut
+
+FEATURES = ("evt_s7", "evt_s30", "evt_since", "cal_month")
+KEYS = ("unit_id", "day")
+FOLDS = (("1999-01-01", "2000-01-01"), ("2000-01-01", "2001-01-01"))
+
+
+def panel(t):
+    """A small model panel: look-back sums, freshness, month; label = an event that day."""
+    w = gr.Rolling(("unit_id",))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    rows = w.cumulate(dense(t), "m", "ev").select(
+        "unit_id", "object_id", "day", F.col("ev").alias("label"), z(w.sum("m", 7)).alias("evt_s7"), z(w.sum("m", 30)).alias("evt_s30"),
+        gr.days_since(w.last_where(F.col("ev") == 1), cap=config.DAYS_CAP).alias("evt_since"), F.month("day").alias("cal_month"),
+        (z(w.sum("ev", 1)) > 0).cast("int").alias("naive"))
+    return rows.filter("day >= DATE '1998-01-01'")
+
+
+@query("model_panel", "unit_id:i day:D label:i evt_s7:i evt_s30:i cal_month:i", f"""
+    SELECT unit_id, day, ev AS label, evt_s7, evt_s30, month(day) AS cal_month FROM (SELECT *, coalesce(sum(m) {rng(7)}, 0) AS evt_s7, coalesce(sum(m) {rng(30)}, 0) AS evt_s30 FROM ({DENSE_SQL})) WHERE day >= DATE '1998-01-01'""")
+def _(t):
+    return panel(t)
+
+
+@query("feature_groups", "name:s")
+def _(t):
+    p = panel(t)
+    names = ev.feature_columns(p.columns, ("evt", "cal"), config.FLOOD_GROUPS, config.WORK_WEEK_COLUMNS)
+    return p.groupBy().agg(*[F.count(c).alias(c) for c in names]).select(F.explode(F.array(*[F.when(F.col(c) > 0, c) for c in names])).alias("name"))
+
+
+@query("cross_validate", "fold:s seed:i unit_id:i day:D y:i naive:i margin:d")
+def _(t):
+    return md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217,), rounds=3, depth=3)
+
+
+@query("fold_report", "fold:s base:d pr_auc:d precision:d recall:d alerts:i model_alerts:i")
+def _(t):
+    return md.fold_report(md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217, 1301), rounds=3, depth=3), KEYS)
+
+
+@query("margin_ensemble", "unit_id:i p:d", """
+    SELECT unit_id, 1 / (1 + exp(-avg(margin))) AS p FROM (SELECT unit_id, year(day) AS seed, avg(p) * 4 - 2 AS margin FROM scored GROUP BY 1, 2) GROUP BY unit_id""")
+def _(t):
+    margins = t.scored.groupBy("unit_id", F.year("day").alias("seed")).agg((F.avg("p") * 4 - 2).alias("margin"))
+    return md.margin_ensemble(margins, ("unit_id",))
+
+
+@query("feature_selection_ladder", "k:i pr_auc_mean:d pr_auc_se:d chosen:b features:s")
+def _(t):
+    return md.feature_ladder(panel(t), FEATURES, KEYS, FOLDS, ladder=(1, 2), rounds=2)
+
+
+@query("isotonic_calibration", "unit_id:i day:D p:d p_calibrated:d")
+def _(t):
+    return md.isotonic_calibration(t.scored.filter("day < DATE '2000-01-01'"), t.scored.filter("day >= DATE '2000-01-01'"))
+
+
+@query("recency_weight", "unit_id:i day:D weight:d", "SELECT unit_id, day, pow(0.5, date_diff('day', day, DATE '2002-01-01') / 365.0) AS weight FROM scored")
+def _(t):
+    return t.scored.select("unit_id", "day", md.recency_weight(F.datediff(F.lit("2002-01-01").cast("date"), "day")).alias("weight"))
+
+
+@query("monthly_retrain", "month:s unit_id:i day:D y:i p:d")
+def _(t):
+    return md.monthly_retrain(cut(panel(t)), FEATURES, KEYS, ("2000-11-01", "2000-12-01"), rounds=3)
+
+
+@query("pu_label", "unit_id:i day:D labeled:i score:d p_real:d real:b")
+def _(t):
+    rows = t.unit_event.select("unit_id", "object_id", "day", "m", (F.col("unit_id") % 7).alias("place"), F.dayofmonth("day").alias("dom"),
+                               ((F.weekday("day") >= 5) & (F.col("m") >= 1)).cast("int").alias("labeled"))
+    return lb.pu_label(rows, ("m", "place", "dom"), KEYS, "2000-07-01", "1999-07-01", rounds=2)
+
+
+@query("embedding_pca", "unit_id:i emb1_abs:d emb2_abs:d")
+def _(t):
+    signals = t.long_rows.filter("l_quantity >= 40").select(F.col("channel_id").alias("unit_id"), "l_partkey", F.col("hour").alias("ts"), F.col("l_returnflag").alias("stype"))
+    profile = md.unit_profile(signals.withColumnRenamed("l_partkey", "channel_id"), ("unit_id",), "2000-07-01", "R", "A")
+    names = [c for c in profile.columns if c != "unit_id"]
+    out = md.pca_features(profile, names, 2, "emb")
+    # The sign of a component is arbitrary.
+    return out.select("unit_id", F.abs("emb1").alias("emb1_abs"), F.abs("emb2").alias("emb2_abs"))
+
+
+@query("unit_profile", "unit_id:i n_log:d h0:d h4:d wkend:d smoke:d days:i chans:i", """
+    SELECT channel_id AS unit_id, ln(1 + count(*)) AS n_log, avg(CASE WHEN hour(hour) < 6 THEN 1 ELSE 0 END) AS h0, avg(CASE WHEN hour(hour) >= 18 THEN 1 ELSE 0 END) AS h4, avg(CASE WHEN isodow(hour) >= 6 THEN 1 ELSE 0 END) AS wkend,
+           avg(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS smoke, count(DISTINCT day) AS days, count(DISTINCT l_partkey) AS chans FROM long_rows WHERE l_quantity >= 40 AND hour < TIMESTAMP '2000-07-01' GROUP BY 1 HAVING count(*) >= 3""")
+def _(t):
+    signals = t.long_rows.filter("l_quantity >= 40").select(F.col("channel_id").alias("unit_id"), F.col("l_partkey").alias("channel_id"), F.col("hour").alias("ts"), F.col("l_returnflag").alias("stype"))
+    return md.unit_profile(signals, ("unit_id",), "2000-07-01", "R", "A")
+
+
+@query("weather_pca", "day:D c1_abs:d")
+def _(t):
+    out = md.pca_features(t.weather_daily, ("precip_mm", "temp_mean", "snow_cm", "temp_max"), 3, "wxpca", F.col("day") < "2000-01-01")
+    return out.select("day", F.abs("wxpca1").alias("c1_abs"))
+
+
+@query("lz_complexity", "unit_id:i day:D lz_complexity:i")
+def _(t):
+    return md.lz_complexity(dense(t).select("unit_id", "day", F.col("ev")), ("unit_id",), "ev")

@@ -194,8 +194,7 @@ def _(t):
 
     early = t.unit_event.filter("day < DATE '1995-04-01'")
     own = early.select("unit_id", "day", F.when(F.col("unit_id") % 4 == 0, 0).otherwise(F.col("m")).alias("v"))
-    network = early.groupBy("day").agg(F.sum("m").alias("v")).withColumn("_all", F.lit(1))
-    return first_non_empty(own, network.drop("_all"), ("unit_id",))
+    return first_non_empty(own, early.groupBy("day").agg(F.sum("m").alias("v")), ("unit_id",))
 
 
 @query("eligible_units", "facility_id:i", """
