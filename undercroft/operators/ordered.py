@@ -236,12 +236,11 @@ def ranked(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), ra
     partitions before it.  ``order`` must be a total order inside a group.  With
     ``group`` the numbers restart per group, the running sums too.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = [F.col(g).asc() for g in group] + list(order)
+    # Without a count the adaptive planner sizes the range partitions by their bytes.
+    spread = df.repartitionByRange(partitions, *full) if partitions else df.repartitionByRange(*full)
     placed = cut(
-        df.repartitionByRange(n, *full)
-        .sortWithinPartitions(*full)
+        spread.sortWithinPartitions(*full)
         .withColumn("_mid", F.monotonically_increasing_id())
     ).withColumn("_pid", F.shiftright("_mid", 33))
     sums = dict(sums or {})

@@ -332,17 +332,21 @@ def schedule_check(readings: DataFrame, windows: DataFrame, before_days: int = 6
 
 
 def schedule_months_check(readings: DataFrame, plan: DataFrame, workdays: DataFrame) -> DataFrame:
-    """Share of workdays with a reading in the scheduled months against the other months."""
-    hit = readings.select("object_id", "day").distinct().withColumn("_h", F.lit(1))
-    grid = plan.select("object_id", "months").withColumn("_k", F.lit(1)).join(
-        F.broadcast(workdays.select("day").withColumn("_k", F.lit(1))), "_k")  # calendar-sized
-    rows = grid.join(hit, ["object_id", "day"], "left")
-    h = F.coalesce("_h", F.lit(0))
-    planned = F.array_contains("months", F.month("day"))
-    return rows.groupBy("object_id").agg(
-        F.round(F.coalesce(F.avg(F.when(planned, h)), F.lit(0.0)), 4).alias("share_in"),
-        F.round(F.coalesce(F.avg(F.when(~planned, h)), F.lit(0.0)), 4).alias("share_out"),
-    ).withColumn("lift", F.when(F.col("share_out") > 0, F.round(F.col("share_in") / F.col("share_out"), 2)))
+    """Share of workdays with a reading in the scheduled months against the other months.
+
+    Hits are counted per object and month of year, workdays per month of year: no object
+    by day grid is made.
+    """
+    work = F.broadcast(workdays.select("day"))  # calendar-sized
+    hits = readings.select("object_id", "day").distinct().join(work, "day").groupBy(
+        "object_id", F.month("day").alias("_mo")).agg(F.count(F.lit(1)).alias("_h"))
+    sizes = workdays.groupBy(F.month("day").alias("_mo")).agg(F.count(F.lit(1)).alias("_d"))
+    rows = plan.select("object_id", "months", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("_mo")).join(
+        F.broadcast(sizes), "_mo").join(hits, ["object_id", "_mo"], "left").fillna(0, ["_h"])
+    planned = F.array_contains("months", F.col("_mo"))
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.sum(F.when(c, F.col("_h"))), F.sum(F.when(c, F.col("_d")))), F.lit(0.0)), 4)
+    return rows.groupBy("object_id").agg(share(planned).alias("share_in"), share(~planned).alias("share_out")).withColumn(
+        "lift", F.when(F.col("share_out") > 0, F.round(F.col("share_in") / F.col("share_out"), 2)))
 
 
 def expert_load(episodes: DataFrame, split: str, first: str, last: str) -> DataFrame:

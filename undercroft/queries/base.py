@@ -251,8 +251,8 @@ def with_views(sql: str) -> str:
 
 def typed_sql(columns: tuple[tuple[str, str], ...], sql: str) -> str:
     def one(name: str, kind: str) -> str:
-        value = f"CAST({name} AS {CASTS[kind]})"
-        return f"round({value} + 1e-9, 6) AS {name}" if kind == "d" else f"{value} AS {name}"
+        value = f'CAST("{name}" AS {CASTS[kind]})'
+        return f'round({value} + 1e-9, 6) AS "{name}"' if kind == "d" else f'{value} AS "{name}"'
 
     views = with_views(sql)
     head = f"WITH {views}, " if views else "WITH "
