@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from undercroft import config
 from undercroft.functions.calendar import is_day_off, is_holiday, season
+from undercroft.functions.cards import hours_back
 from undercroft.functions.clock import local_day, local_midnight, shift
-from undercroft.operators.intervals import disarm_windows, on_intervals, overlap_hours, state_changes
-from undercroft.operators.ordered import neighbour_row
+from undercroft.operators.intervals import on_intervals, overlap_hours
+from undercroft.operators.ordered import state_runs
 from undercroft.operators.sessions import flag_events
 from undercroft.plans.flood import melt, pump_growth
 from undercroft.session import cut
@@ -33,13 +34,18 @@ def calendar_columns(day: Column) -> dict[str, Column]:
     }
 
 
-def access_moments(events: DataFrame, sensors: DataFrame, at: Column, days: int) -> DataFrame:
-    """Access moments of the last days with the event flag, by the online rule."""
-    known = events.filter(F.col("ts") < at)
-    guard = known.filter(F.col("code").isin("SECURITY_ARMED", "SECURITY_DISARMED")).select("facility_id", "ts", F.col("code").alias("value"))
-    windows = disarm_windows(guard, ("facility_id",), off="SECURITY_DISARMED", open_forever=True)
+def guard_runs(known: DataFrame) -> DataFrame:
+    """Changes of the guard mode with the stamp of the next one, stored: windows, hours and
+    the last change all read them."""
+    guard = known.filter(F.col("code").isin("SECURITY_ARMED", "SECURITY_DISARMED")).select(
+        "facility_id", "ts", F.col("code").alias("value"))
+    return cut(state_runs(guard, ("facility_id",), "ts", "value", "next"))
+
+
+def access_moments(known: DataFrame, windows: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Access moments with the event flag, by the online rule."""
     contacts = sensors.filter("sensor_type = 'CONTACT'").groupBy("facility_id").agg(F.count(F.lit(1)).alias("n_contact"))
-    moment = known.filter(F.col("code").isin(*ACCESS_TYPES) & (F.col("ts") >= shift(at, -days * DAY))).select(
+    moment = known.filter(F.col("code").isin(*ACCESS_TYPES)).select(
         "facility_id", F.col("sensor_id").alias("channel_id"), "ts",
         F.when(F.col("code") == "MOTION", "motion").otherwise("contact").alias("kind"),
         F.lit(None).cast("int").alias("entry_dist")).distinct()
@@ -63,7 +69,9 @@ def access_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame,
     units = facilities.join(seen, "facility_id", "left").withColumn(
         "_life", F.least(F.coalesce(F.col("born"), F.col("_seen"), now), now)).withColumn(
         "unit_age_days", F.floor((F.unix_micros(now) - F.unix_micros("_life")) / 8.64e10))
-    m = access_moments(events, sensors, now, 4000).withColumn("_d", back_days("ts", now))
+    runs = guard_runs(known)
+    windows = runs.filter("value = 'SECURITY_DISARMED'").select("facility_id", F.col("ts").alias("t_from"), F.col("next").alias("t_to"))
+    m = access_moments(known, windows, sensors).withColumn("_d", back_days("ts", now))
     hit = F.col("event")
     # One row per unit and day back: every share and distinct-day count is a plain sum over it.
     per_day = cut(m.groupBy("facility_id", "_d").agg(
@@ -81,13 +89,12 @@ def access_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame,
     objects = per_day.join(facilities.select("facility_id", "collector"), "facility_id").groupBy("collector").agg(
         upto(a, 1).alias("obj_alarms_1d"), upto(a, 7).alias("obj_alarms_7d"),
         F.count_if(d < 7).alias("obj_units_alarmed_7d"))
-    guard = known.filter(F.col("code").isin("SECURITY_ARMED", "SECURITY_DISARMED")).select(
-        "facility_id", "ts", F.col("code").alias("value"))
-    windows = disarm_windows(guard, ("facility_id",), off="SECURITY_DISARMED", open_forever=True)
     hours = overlap_hours(windows, ("facility_id",), now, {"disarm_hours_7d": 168, "_d30": 720})
-    steps = neighbour_row(state_changes(guard, ("facility_id",)), ("facility_id",), "ts", ["value"], {"_before": F.col("ts")})
-    change = steps.filter((F.col("value") == "SECURITY_DISARMED") | F.col("_before").isNotNull()).groupBy(
-        "facility_id").agg(F.max("ts").alias("_change"))
+    # The first arming without a disarming before it is no change.
+    change = runs.groupBy("facility_id").agg(
+        F.max("ts").alias("_hi"), F.min("ts").alias("_lo"),
+        F.max(F.when(F.col("value") == "SECURITY_DISARMED", F.col("ts"))).alias("_off")).select(
+        "facility_id", F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_off")).alias("_change"))
     net = network_share(per_day, units, now)
     day = F.to_date(now)
     full = (
@@ -171,45 +178,43 @@ def flood_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame, w
     (facility_id, day, is_water); ``weather``: hourly, one area.
     """
     p = local_midnight(F.lit(at).cast("timestamp"))
-    recent = events.filter((F.col("ts") < p) & (F.col("ts") >= shift(p, -8760 * 3600)))
-    verdicts = water_days.select("facility_id", "day", "is_water")
-    label = recent.filter(F.col("code").isin(*WATER_TYPES)).withColumn("day", local_day("ts")).join(
-        verdicts, ["facility_id", "day"]).withColumn("_h", F.date_trunc("hour", "ts"))
+    # One scan of the events: hour rows per sensor and code carry every counter, the first and
+    # the last stamps. The point lies on the hour, so hour rows cut the windows exactly.
+    hourly = cut(events.filter(F.col("ts") < p).groupBy("facility_id", "sensor_id", "code", F.date_trunc("hour", "ts").alias("_h")).agg(
+        F.count(F.lit(1)).alias("_n"), F.countDistinct("ts").alias("_m"), F.min("ts").alias("_lo"), F.max("ts").alias("_hi")))
     age = lambda c: (F.unix_micros(p) - F.unix_micros(c)) / 3.6e9
-    hours = label.groupBy("facility_id", "is_water", "_h").agg(
-        F.countDistinct("sensor_id", "ts").alias("_m"), F.max("ts").alias("_last"))
-    within = lambda n: age("_h") <= n  # noqa: E731  the point is on the hour
+    within = lambda n: age("_h") <= n
+    label = hourly.filter(F.col("code").isin(*WATER_TYPES)).withColumn("day", local_day("_h")).join(
+        water_days.select("facility_id", "day", "is_water"), ["facility_id", "day"])
     water = F.col("is_water")
-    evt = hours.groupBy("facility_id").agg(
+    evt = label.groupBy("facility_id", "is_water", "_h").agg(F.sum("_m").alias("_m"), F.max("_hi").alias("_hi")).groupBy("facility_id").agg(
         *[F.count_if(water & within(n)).alias(f"evt_hours_{n}h") for n in (6, 12, 24, 168, 720, 2160, 8760)],
         *[F.count_if(~water & within(n)).alias(f"check_hours_{n}h") for n in (24, 168, 720)],
-        *[F.sum(F.when(water & within(n), F.col("_m")).otherwise(0)).alias(f"m_evt_{n}h") for n in (24, 168)])
-    last = events.filter((F.col("ts") < p) & F.col("code").isin(*WATER_TYPES)).withColumn("day", local_day("ts")).join(
-        verdicts.filter("is_water"), ["facility_id", "day"]).groupBy("facility_id").agg(F.max("ts").alias("_last"))
-    alarm = recent.filter(F.col("code").isin("PUMP_UNAVAILABLE", "PUMP_ALL_RUNNING") & (age("ts") <= 168)).select(
-        "facility_id", "sensor_id", "code", "ts").distinct()
-    state = recent.filter(F.col("code").isin(*PUMP_STATES))
-    changes = state.groupBy("facility_id").agg(*[F.count_if(age("ts") <= n).alias(f"chg_{n}h") for n in (1, 6, 24)])
-    marks = alarm.groupBy("facility_id").agg(*[
-        F.count_if((F.col("code") == c) & (age("ts") <= n)).alias(f"{k}_{n}h")
-        for k, c in (("unavail", "PUMP_UNAVAILABLE"), ("allp", "PUMP_ALL_RUNNING")) for n in (24, 168)])
-    blink = state.filter(age("ts") <= 168).groupBy("facility_id", "sensor_id", F.date_trunc("hour", "ts").alias("_h")).agg(
-        F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > config.BLINK_CHANGES_PER_HOUR).groupBy("facility_id").agg(
+        *[F.sum(F.when(water & within(n), F.col("_m")).otherwise(0)).alias(f"m_evt_{n}h") for n in (24, 168)],
+        F.max(F.when(water, F.col("_hi"))).alias("_last"))
+    state, code = F.col("code").isin(*PUMP_STATES), F.col("code")
+    counts = hourly.groupBy("facility_id").agg(
+        F.min("_lo").alias("_first"),
+        *[F.sum(F.when(state & within(n), F.col("_n")).otherwise(0)).alias(f"chg_{n}h") for n in (1, 6, 24)],
+        *[F.sum(F.when((code == c) & within(n), F.col("_m")).otherwise(0)).alias(f"{k}_{n}h")
+          for k, c in (("unavail", "PUMP_UNAVAILABLE"), ("allp", "PUMP_ALL_RUNNING")) for n in (24, 168)])
+    blink = hourly.filter(state & within(168)).groupBy("facility_id", "sensor_id", "_h").agg(F.sum("_n").alias("_n")).filter(
+        F.col("_n") > config.BLINK_CHANGES_PER_HOUR).groupBy("facility_id").agg(
         F.count_if(within(24)).alias("blink_24h"), F.count(F.lit(1)).alias("blink_168h"))
-    lately = state.filter(age("ts") <= 744).select("facility_id", "sensor_id", "ts", F.col("code").alias("value"))
+    lately = events.filter((F.col("ts") < p) & (F.col("ts") >= shift(p, -744 * 3600)) & state).select(
+        "facility_id", "sensor_id", "ts", F.col("code").alias("value"))
     on = on_minutes(lately, p)
     unit = facilities.select("facility_id", "collector", "district")
-    for part in (evt, changes, marks, blink, on):
+    for part in (evt, counts, blink, on):
         unit = unit.join(part, "facility_id", "left")
-    sums = [c for c in unit.columns if c not in ("facility_id", "collector", "district")]
+    sums = [c for c in unit.columns if c not in ("facility_id", "collector", "district", "_first", "_last")]
     unit = cut(unit.fillna(0, sums))  # summed to objects and complexes, then read again
     level = ("m_evt_24h", "m_evt_168h", "chg_24h", "blink_24h", "unavail_24h", "allp_24h", "allp_168h", "on_min_24h")
     by_object = unit.groupBy("collector").agg(*[F.sum(c).alias(f"_o_{c}") for c in level])
     by_complex = unit.groupBy("district").agg(*[F.sum(c).alias(f"_c_{c}") for c in level])
-    first = events.filter(F.col("ts") < p).groupBy("facility_id").agg(F.min("ts").alias("_first"))
     full = (
-        unit.join(by_object, "collector", "left").join(by_complex, "district", "left").join(last, "facility_id", "left")
-        .join(first, "facility_id", "left").join(unit_sensors(events, sensors, p), "facility_id", "left")
+        unit.join(by_object, "collector", "left").join(by_complex, "district", "left")
+        .join(unit_sensors(hourly, sensors), "facility_id", "left")
         .fillna(0, ["unit_pumps", "unit_flood_sensors"]).withColumn("_k", F.lit(1))
         .join(F.broadcast(run_weather(weather, p)), "_k"))
     start = F.date_trunc("hour", F.coalesce("_first", p))
@@ -262,12 +267,12 @@ def on_minutes(states: DataFrame, p: Column, hours: Sequence[int] = (6, 24, 168,
     return got.select("facility_id", *[(F.col(f"on_min_{n}h") * 60).alias(f"on_min_{n}h") for n in hours])
 
 
-def unit_sensors(events: DataFrame, sensors: DataFrame, p: Column) -> DataFrame:
+def unit_sensors(seen_codes: DataFrame, sensors: DataFrame) -> DataFrame:
     """Pumps and flood sensors of a unit by the dictionary, by the journal when it has none."""
     named = sensors.groupBy("facility_id").agg(
         F.count_if(F.col("sensor_type") == "PUMP").alias("_p"), F.count_if(F.col("sensor_type") == "FLOOD_SENSOR").alias("_f"))
     types = (*WATER_TYPES, *PUMP_STATES, "PUMP_ALL_RUNNING", "PUMP_UNAVAILABLE")
-    seen = events.filter((F.col("ts") < p) & F.col("code").isin(*types)).groupBy(
+    seen = seen_codes.filter(F.col("code").isin(*types)).groupBy(
         "facility_id", "sensor_id").agg(
         F.max((F.col("code") != "FLOOD_SENSOR_OPEN").cast("int")).alias("_pump"),
         F.max((F.col("code") == "FLOOD_SENSOR_OPEN").cast("int")).alias("_flood")).groupBy("facility_id").agg(
@@ -292,3 +297,22 @@ def run_weather(weather: DataFrame, p: Column) -> DataFrame:
         (F.coalesce(now, F.lit(0.0)) * 100).alias("weather_snow_depth_cm"), melt(before, now).alias("weather_melt_72h_cm"),
     ).withColumn("_k", F.lit(1))
 
+
+
+# --- work types ----------------------------------------------------------------------
+
+
+def flood_work_type() -> Column:
+    """Standing water asks for pumping, a blinking or missing pump for a check, the rest is planned work."""
+    pump = (F.col("pump_blink_hours_24h") > 0) | (F.col("pump_unavailable_24h") > 0)
+    return F.when(F.col("evt_hours_24h") > 0, "Откачка воды").when(pump, "Проверка приямка и насоса").otherwise("Гидроизоляция")
+
+
+def access_work_type() -> Column:
+    """A fresh event asks for the response group, a fresh alarm for a look at the entry, a guard mode
+    silent for over a week for a check of the access system."""
+    back = lambda c: hours_back(c, "unit_age_days")
+    return (
+        F.when(back("hours_since_last_armed") < 24, "Выезд группы реагирования")
+        .when(back("hours_since_last_alarm") < 24, "Осмотр люка и запорного механизма")
+        .when(back("hours_since_guard_change") > config.GUARD_SILENCE_HOURS, "Проверка СКУД").otherwise("Замена замка"))

@@ -404,6 +404,28 @@ def _(t):
     return vectors.access_vector(events, run_units(t).withColumn("born", F.lit(None).cast("timestamp")), sensors, "2024-01-29 00:00:00")
 
 
+WORK_SQL = f"""
+    SELECT facility_id, CASE WHEN a < 24 AND a < lim THEN 'Выезд группы реагирования' WHEN l < 24 AND l < lim THEN 'Осмотр люка и запорного механизма' WHEN g > 168 AND g < lim THEN 'Проверка СКУД' ELSE 'Замена замка' END AS work_type
+    FROM (SELECT facility_id, hours_since_last_armed AS a, days_since_last_alarm * 20 AS l, hours_since_guard_change * 12 AS g, 24 * (unit_age_days + 1) AS lim FROM ({ACC_VECTOR_SQL}))"""
+
+
+@query("access_work_type", "facility_id:i work_type:s", WORK_SQL)
+def _(t):
+    events = run_events(t, {"error": "DOOR_OPEN", "click": "MOTION", "view": "SECURITY_ARMED", "signup": "SECURITY_DISARMED"})
+    sensors = t.journal.filter("channel_id % 2 = 0").select((F.col("channel_id") % 60).alias("facility_id"), F.col("channel_id").alias("sensor_id")).distinct().withColumn("sensor_type", F.lit("CONTACT"))
+    v = vectors.access_vector(events, run_units(t).withColumn("born", F.lit(None).cast("timestamp")), sensors, "2024-01-29 00:00:00")
+    v = v.withColumn("hours_since_last_alarm", F.col("days_since_last_alarm") * 20).withColumn("hours_since_guard_change", F.col("hours_since_guard_change") * 12)
+    return v.select("facility_id", vectors.access_work_type().alias("work_type"))
+
+
+@query("flood_work_type", "work_type:s n:i", f"""
+    SELECT CASE WHEN evt_hours_24h > 0 THEN 'Откачка воды' WHEN pump_blink_hours_24h > 0 OR pump_unavailable_24h > 0 THEN 'Проверка приямка и насоса' ELSE 'Гидроизоляция' END AS work_type, count(*) AS n
+    FROM ({FLOOD_SQL}) WHERE hour(hour) = 0 GROUP BY 1""")
+def _(t):
+    rows = flood.midnight_rows(flood.flood_hourly(flood_inputs(t), 1.0))
+    return rows.groupBy(vectors.flood_work_type().alias("work_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 FLOOD_CODES = {"error": "FLOODED", "click": "PUMP_UNAVAILABLE", "view": "PUMP_OFF", "purchase": "PUMP_ON", "signup": "PUMP_ALL_RUNNING"}
 R = f"TIMESTAMP '{RUN}'"
 FL_VECTOR_SQL = f"""
