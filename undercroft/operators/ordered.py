@@ -273,12 +273,14 @@ def ranked(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), ra
 def exact_quantile(df: DataFrame, value: str, q: float, group: Sequence[str] = (),
                    out: str = "quantile") -> DataFrame:
     """Linear-interpolated quantile of a column, exact and distributed."""
-    rows = df.filter(F.col(value).isNotNull()).select(*group, F.lit(0).alias("_all"), value)
-    by = [*group, "_all"]
-    numbered = ranked(rows, [F.col(value).asc()], by)
-    size = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.filter(F.col(value).isNotNull()).select(*group, value)
+    numbered = ranked(rows, [F.col(value).asc()], group)
+    size = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    if group:
+        joined = numbered.join(size, list(group))
+    else:  # a single row, attached to every task
+        joined = numbered.withColumn("_k", F.lit(1)).join(F.broadcast(size.withColumn("_k", F.lit(1))), "_k")
     pos = (F.col("_n") - 1) * F.lit(float(q))
-    joined = numbered.join(size, by)
     picked = joined.filter((F.col("rn") - 1 == F.floor(pos)) | (F.col("rn") - 1 == F.ceil(pos)))
     lo = F.min(F.when(F.col("rn") - 1 == F.floor(pos), F.col(value)))
     hi = F.max(F.when(F.col("rn") - 1 == F.ceil(pos), F.col(value)))

@@ -221,7 +221,7 @@ def publish_metric(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh.select("direction"), "direction", "left_anti").unionByName(fresh)
 
 
-def pipeline_health(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def run_health(runs: DataFrame, cards: DataFrame) -> DataFrame:
     """Last finished run, worst compute time and shortest horizon of its last day, and the last
     run that received stream events within an hour.  One row."""
     done = runs.filter("status = 'DONE'").withColumn("_k", F.lit(1))

@@ -129,13 +129,13 @@ def runs(t):
     return t.spark.sql(RUNS_SQL.replace("FROM orders", "FROM {o}"), o=t.orders)
 
 
-@query("pipeline_health", "last_run_at:t last_run_ms:i max_compute_ms:i min_horizon_hours:i stream_lag_ms:i stream_events:i", f"""
+@query("run_health", "last_run_at:t last_run_ms:i max_compute_ms:i min_horizon_hours:i stream_lag_ms:i stream_events:i", f"""
     WITH r AS ({RUNS_SQL}), l AS (SELECT finished_at AS at, duration_ms FROM r WHERE status = 'DONE' ORDER BY started_at DESC LIMIT 1),
     s AS (SELECT r.stream_lag_ms, r.stream_events FROM r JOIN l ON r.started_at >= l.at - INTERVAL 1 HOUR WHERE status = 'DONE' AND stream_events > 0 ORDER BY started_at DESC LIMIT 1)
     SELECT l.at AS last_run_at, duration_ms AS last_run_ms, (SELECT coalesce(max(compute_ms), 0) FROM card WHERE computed_at >= l.at - INTERVAL 24 HOUR) AS max_compute_ms, (SELECT coalesce(min(horizon_hours), 0) FROM card WHERE computed_at >= l.at - INTERVAL 24 HOUR) AS min_horizon_hours,
       (SELECT stream_lag_ms FROM s) AS stream_lag_ms, coalesce((SELECT stream_events FROM s), 0) AS stream_events FROM l""")
 def _(t):
-    return sv.pipeline_health(runs(t), t.card)
+    return sv.run_health(runs(t), t.card)
 
 
 SIG_SQL = "SELECT channel_id % 60 AS facility_id, channel_id AS sensor_id, ts FROM fire_signal"

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from undercroft.functions.cards import level_for
 
 
-def write_journal(df: DataFrame, path: str, partition: str = "day", mode: str = "errorifexists") -> None:
-    """ZSTD parquet by day. Rows of a day spread over several writers, so a hot day is no hot task."""
-    df.write.mode(mode).option("compression", "zstd").partitionBy(partition).parquet(path)
+def write_journal(df: DataFrame, path: str, partition: str = "day", mode: str = "errorifexists",
+                  spread: Sequence[str] = ("ts",)) -> None:
+    """ZSTD parquet by day.
+
+    Range partitioning on (day, time) gives every writer a few whole days and splits a hot
+    day over several, so neither small files nor a hot task appear.
+    """
+    df.repartitionByRange(partition, *spread).write.mode(mode).option("compression", "zstd").partitionBy(partition).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
