@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undercroft.llm import bpe, exact, language, mixing, urls
+from undercroft.llm import bpe, exact, language, mixing, neighbours, simhash, urls
 from undercroft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,17 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages").select("page_id", "url"), rules=urls.FIXED).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, folder, "documents"), size=4)
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op4_bpe, op5_language_id, op6_url_filter, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL}
