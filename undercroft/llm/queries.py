@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undercroft.llm import bpe, exact, language, mixing, neighbours, privacy, simhash, urls
+from undercroft.llm import bpe, exact, language, mixing, neighbours, passages, privacy, simhash, urls
 from undercroft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), weights=(3, 1, 2), budget=1.5, most_repeats=2)
 
 
+def op2_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.drop_passages(table(spark, folder, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "n_class")
     return privacy.find_private(table(spark, folder, "documents")).select(*columns)
@@ -51,5 +55,5 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_passages, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL}
