@@ -270,14 +270,16 @@ class Bytes:
         return out
 
 
-def digests(text: str | None, codec: Codec) -> tuple[int, str, str]:
-    """Number of tokens, SHA-256 of the ids and of the decoded text, both written as they come."""
+def digests(text: str | None, codec: Codec, keep: list[int] | None = None) -> tuple[int, str, str]:
+    """Number of tokens, SHA-256 of the ids and of the decoded text, both written as they come; ids are added to ``keep``."""
     n, ids_hash, text_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
     ids_out, text_out = [], []
     for ids, written, spelled in codec.stream(text or ""):
         if not ids:
             continue
         n += len(ids)
+        if keep is not None:
+            keep += ids
         ids_out.append(written)
         text_out.append(spelled)
         if len(ids_out) >= 8192:
@@ -303,10 +305,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         for whole in batches:
             for b in text_batches([whole], "text"):
                 texts = b.column("text").to_pylist()
-                n, ids, out = zip(*(digests(t, codec) for t in texts), strict=True)
+                tokens: list = [[] for _ in texts] if with_ids else [None] * len(texts)
+                n, ids, out = zip(*(digests(t, codec, k) for t, k in zip(texts, tokens, strict=True)), strict=True)
                 columns = [b.column("id__"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())]
                 if with_ids:
-                    columns.append(pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32())))
+                    columns.append(pa.array(tokens, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["id__", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     out = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text")).mapInArrow(
