@@ -44,8 +44,8 @@ def letters() -> np.ndarray:
 
 
 def pieces(texts: list, is_letter: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code points with borders as blanks, two blanks after each text, and the number of the text of each point."""
-    points, owner, size = [], [], 0
+    """Code points with borders as blanks, a blank around each text, and the number of the text of each point."""
+    points, owner, size, edge = [], [], 0, np.full(1, 32, np.uint32)
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -57,7 +57,7 @@ def pieces(texts: list, is_letter: np.ndarray) -> Iterator[tuple[np.ndarray, np.
             if end < len(whole):
                 blank = np.flatnonzero(whole[at:end] == 32)
                 end = at + int(blank[-1]) + 1 if len(blank) else end
-            points += [whole[at:end], np.full(2, 32, np.uint32)]
+            points += [edge, whole[at:end], edge]
             owner.append((i, end - at + 2))
             size += end - at + 2
             at = end

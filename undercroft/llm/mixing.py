@@ -102,12 +102,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, all columns of ``docs``, each as often as the mix takes it.
 
-    Rows that share an id share the larger number of copies, at most ``most_repeats``.
+    Rows without a word stay out; others that share an id share the larger number of copies, at most ``most_repeats``.
     """
     own, copies, turn = fresh(docs, "mix_id", "mix_copies", "mix_turn")
     plan = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0")
     plan = staged(plan.groupBy(F.col(id_col).alias(own)).agg(F.max("copies").alias(copies)), "mix-plan")
-    met = docs.join(plan, F.col(id_col).eqNullSafe(F.col(own)))
+    met = docs.filter(text_of(text_col).rlike(WORD)).join(plan, F.col(id_col).eqNullSafe(F.col(own)))
     return met.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
