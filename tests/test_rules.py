@@ -14,7 +14,7 @@ from undercroft.operators import cards as cm
 from undercroft.operators import intervals as iv
 from undercroft.operators import orders as om
 from undercroft.operators import sessions as se
-from undercroft.operators.evaluate import feature_columns, levels_from_threshold
+from undercroft.operators.evaluate import level_bounds, model_columns
 from undercroft.operators.models import phrase_count
 from undercroft.plans import fire_rules, serving
 
@@ -147,15 +147,20 @@ def test_blocks_and_texts(spark):
     assert [r.t for r in texts.collect()] == ["в 2 раза", "в 5 раз", "в 1,5 раза", "в 12 раз", "в 22 раза"]
 
 
-def test_small_rules():
-    assert serving.parse_bbox("1,2,3") is None and serving.parse_bbox("a,b,c,d") is None and serving.clamp_page(0, 9999) == (1, 500)
-    assert phrase_count("0" * 20) == 0 and phrase_count("0001101001000101") == 6
-    assert levels_from_threshold(0.01, 0.35) == {"MEDIUM": 0.01, "HIGH": 0.35, "CRITICAL": 0.4}
+def test_small_rules(spark):
     with pytest.raises(ValueError):
-        feature_columns(["cal_day_of_week", "evt_a"], ["evt", "bad"], {"evt": ("evt_",), "bad": ("cal_",)}, config.WORK_WEEK_COLUMNS)
-    registry = config.Registry()
-    registry.add("a", "x", 1)
+        serving.SortBy("secret")
+    assert config.DIRECTION["SENSOR_FAILURE"].work_types[0] == "Диагностика датчика"
+    assert phrase_count("0" * 20) == 0 and phrase_count("0001101001000101") == 6
+    naive = lambda b, at=0, n=0: n if at >= len(b) else naive(b, next((at + s for s in range(1, len(b) - at + 1) if b[at:at + s] not in b[:at + s - 1]), len(b)), n + 1)
+    for k in range(1, 900):
+        assert phrase_count(f"{k:010b}") == naive(f"{k:010b}")
+    scored = spark.createDataFrame([(1,)] + [(0,)] * 99, "y int")
+    assert tuple(level_bounds(scored, 0.35).first()) == (0.01, 0.35, 0.4)
+    with pytest.raises(Exception, match="rise"):
+        level_bounds(scored, 0.001).collect()
+    assert serving.one_page(spark.range(1200).orderBy("id"), 0, 9999).count() == 500
     with pytest.raises(ValueError):
-        registry.add("a", "x", 2)
+        model_columns(["cal_day_of_week", "evt_a"], ["evt", "bad"], {"evt_": "evt", "cal_": "bad"}, config.WORK_WEEK_COLUMNS)
     with pytest.raises(KeyError):
-        registry.take("a", ["y"])
+        model_columns(["evt_a"], ["no"], {"evt_": "evt"})

@@ -18,14 +18,6 @@ def boundary_diff(unit: str, a: str | Column, b: str | Column) -> Column:
     return (F.floor(F.unix_seconds(col(b)) / size) - F.floor(F.unix_seconds(col(a)) / size)).cast("long")
 
 
-def minutes_exact(a: str | Column, b: str | Column) -> Column:
-    return (F.unix_micros(col(b)) - F.unix_micros(col(a))) / F.lit(60_000_000.0)
-
-
-def hours_exact(a: str | Column, b: str | Column) -> Column:
-    return (F.unix_micros(col(b)) - F.unix_micros(col(a))) / F.lit(3_600_000_000.0)
-
-
 def shift(ts: str | Column, seconds: int) -> Column:
     """Stamp plus a whole number of seconds."""
     return F.timestamp_micros(F.unix_micros(col(ts)) + F.lit(int(seconds) * 1_000_000))

@@ -130,13 +130,14 @@ def zero_filled(counts: DataFrame, grid: DataFrame, keys: Sequence[str], columns
     return grid.join(counts, list(keys), "left").fillna(0, list(columns))
 
 
-def first_non_empty(series: DataFrame, fallback: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+def first_non_empty(series: DataFrame, fallback: DataFrame, keys: Sequence[str], value: str = "v", parts: int = 64) -> DataFrame:
     """Series with something other than zero; keys left without one take the fallback.
 
-    ``fallback`` is one short chart series (a point per day), the same for every key.
+    ``fallback`` is one short chart series (a point per day), the same for every key;
+    it is copied to ``parts`` parts, and the keys are dealt over them.
     """
     alive = series.groupBy(*keys).agg(F.max(F.abs(value)).alias("_m")).filter("_m > 0").drop("_m")
     kept = series.join(alive, list(keys), "left_semi")
-    empty = series.select(*keys).distinct().join(alive, list(keys), "left_anti").withColumn("_k", F.lit(1))
-    points = fallback.withColumn("_k", F.lit(1))
+    empty = series.select(*keys).distinct().join(alive, list(keys), "left_anti").withColumn("_k", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+    points = fallback.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return kept.unionByName(empty.join(points, "_k").select(*series.columns))

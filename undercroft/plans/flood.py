@@ -175,7 +175,3 @@ def pump_growth(on_24: Column, on_720: Column) -> Column:
 def midnight_rows(panel: DataFrame) -> DataFrame:
     """The model reads one point a day."""
     return panel.filter(F.hour("hour") == 0)
-
-
-def feature_names(panel: DataFrame) -> Sequence[str]:
-    return [c for c in panel.columns if c not in (*KEY, "hour", "label", "naive")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undercroft import config
@@ -54,41 +54,48 @@ def day_bounds(first: str | None = None, last: str | None = None, column: str =
     return hit
 
 
-def parse_sort(sort: str | None, allowed: Sequence[str] = SORTABLE) -> Column | None:
-    """``field:asc`` or ``field:desc``; an unknown field is no order at all."""
-    if not sort:
-        return None
-    name, _, way = sort.partition(":")
-    if name not in allowed:
-        return None
-    c = level_order("level") if name == "risk" else F.col(name)
-    return c.desc() if way == "desc" else c.asc()
+@dataclass(frozen=True)
+class SortBy:
+    """A column of ``SORTABLE`` and a direction; ``risk`` is the order of levels."""
+
+    column: str
+    falling: bool = False
+
+    def __post_init__(self) -> None:
+        if self.column not in SORTABLE:
+            raise ValueError(f"rows are not sorted by {self.column}")
 
+    def order(self) -> Column:
+        by = level_order("level") if self.column == "risk" else F.col(self.column)
+        return by.desc() if self.falling else by.asc()
+
+
+@dataclass(frozen=True)
+class Box:
+    """West, south, east, north; its borders count in."""
 
-def parse_bbox(raw: str | None) -> tuple[float, float, float, float] | None:
-    """minLon,minLat,maxLon,maxLat; a broken one filters nothing."""
-    parts = (raw or "").split(",")
-    if len(parts) != 4:
-        return None
-    try:
-        a, b, c, d = (float(x) for x in parts)
-    except ValueError:
-        return None
-    return a, b, c, d
+    west: float
+    south: float
+    east: float
+    north: float
 
+    def holds(self, lon: str = "lon", lat: str = "lat") -> Column:
+        return F.col(lon).between(self.west, self.east) & F.col(lat).between(self.south, self.north)
 
-def clamp_page(page: int, size: int) -> tuple[int, int]:
-    return max(page, 1), min(max(size, 1), MAX_PAGE)
+
+def one_page(rows: DataFrame, page: int, size: int, most: int = MAX_PAGE) -> DataFrame:
+    """Page ``page`` (from 1) of at most ``most`` rows of an ordered frame."""
+    size = sorted((1, size, most))[1]
+    return rows.offset(size * max(0, page - 1)).limit(size)
 
 
 def finished_last() -> Column:
     return F.col("status").isin(*config.FINISHED_CARDS).cast("int")
 
 
-def journal_order(sort: str | None = None, key: str = "prediction_id") -> list[Column]:
+def journal_order(sort: SortBy | None = None, key: str = "prediction_id") -> list[Column]:
     """Finished cards last, then severity (or the asked field), then the newest."""
-    main = parse_sort(sort)
-    return [finished_last().asc(), level_order("level").desc() if main is None else main,
+    return [finished_last().asc(), sort.order() if sort else level_order("level").desc(),
             F.col("computed_at").desc(), F.col(key).asc()]
 
 
@@ -105,9 +112,8 @@ def journal_filter(cards: DataFrame, facilities: DataFrame, scope: Scope = Scope
     return rows.filter(F.col("district") == district) if district is not None else rows
 
 
-def journal(rows: DataFrame, sort: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    page, size = clamp_page(page, size)
-    return rows.orderBy(*journal_order(sort)).offset((page - 1) * size).limit(size)
+def journal(rows: DataFrame, sort: SortBy | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    return one_page(rows.orderBy(*journal_order(sort)), page, size)
 
 
 def order_links(cards: DataFrame, orders: DataFrame) -> DataFrame:
@@ -166,14 +172,13 @@ def summary(cards: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def map_points(cards: DataFrame, facilities: DataFrame, directions: Sequence[str] = (), levels: Sequence[str] = (),
-               district=None, bbox: str | None = None, scope: Scope = Scope()) -> DataFrame:
+               district=None, box: Box | None = None, scope: Scope = Scope()) -> DataFrame:
     """Most probable card per facility; filters come before the choice, borders count in."""
     places = scope_filter(facilities, scope)
     if district is not None:
         places = places.filter(F.col("district") == district)
-    box = parse_bbox(bbox)
     if box:
-        places = places.filter(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+        places = places.filter(box.holds())
     rows = cards
     for column, values in (("direction", directions), ("level", levels)):
         if values:
@@ -194,8 +199,7 @@ def orders_page(orders: DataFrame, statuses: Sequence[str] = (), due_before: str
     rows = orders.filter(F.col("status").isin(*statuses)) if statuses else orders
     if due_before:
         rows = rows.filter(day_bounds(None, due_before, "due_at"))
-    page, size = clamp_page(page, size)
-    return rows.orderBy("due_at", "order_id").offset((page - 1) * size).limit(size)
+    return one_page(rows.orderBy("due_at", "order_id"), page, size)
 
 
 def alerts(cards: DataFrame, level: str = "CRITICAL", status: str = "NEW") -> DataFrame:
@@ -330,14 +334,3 @@ def eligible_units(kind: DataFrame, sensors: DataFrame, events: DataFrame, types
     top = units.filter(F.col("parent_id").isNull())
     via = members.join(has.withColumnRenamed("facility_id", "member"), "member", "left_semi")
     return top.join(via, "facility_id", "left_semi").select("facility_id")
-
-
-def registry_frame(spark: SparkSession) -> DataFrame:
-    rows = [(d.code, d.cadence, d.horizon_hours, d.due_factor, d.enabled) for d in config.DIRECTIONS]
-    return spark.createDataFrame(rows, "direction string, cadence string, horizon_hours int, due_factor double, enabled boolean")
-
-
-def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per key by an order, for small groups (a card's factors, a unit's forecasts of a day)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

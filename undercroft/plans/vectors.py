@@ -122,15 +122,17 @@ def boundary_hours(ts: str, now: Column) -> Column:
     return F.floor((F.unix_micros(now) - F.unix_micros(F.date_trunc("hour", ts))) / 3.6e9)
 
 
-def day_off_run(day: Column, limit: int = config.CHAIN_LIMIT) -> Column:
-    """Length of the run of days off around a date, searched no further than the limit."""
-    reach = F.sequence(F.lit(1), F.lit(limit))
+def day_off_run(day: Column, limit: int | None = None) -> Column:
+    """Length of the run of days off around a date; a limit cuts longer ones.  No run is longer than a year, which bounds the search."""
+    far = limit or 366
+    reach = F.sequence(F.lit(1), F.lit(far))
 
     def side(sign: int) -> Column:
         work = F.filter(reach, lambda i: ~is_day_off(F.date_add(day, sign * i)))
-        return F.coalesce(F.array_min(work), F.lit(limit + 1)) - 1
+        return F.coalesce(F.array_min(work), F.lit(far + 1)) - 1
 
-    return F.least(side(1) + side(-1) + 1, F.lit(limit))
+    run = side(1) + side(-1) + 1
+    return F.least(run, F.lit(limit)) if limit else run
 
 
 def network_share(per_day: DataFrame, units: DataFrame, now: Column) -> DataFrame:

@@ -188,7 +188,7 @@ def _(t):
     SELECT b AS budget, least(0.011471, p) AS medium, p AS high, greatest(0.3, p) AS critical FROM (SELECT p, row_number() OVER (ORDER BY p DESC) AS rn, sum(CASE WHEN naive > 3 THEN 1 ELSE 0 END) OVER () AS b FROM l) WHERE rn = b""")
 def _(t):
     cards = t.card.filter("direction = 'FLOOD_RISK'").select("facility_id", "computed_at", "probability", F.when(F.col("evt_hours_24h") > 3, 1).otherwise(0).alias("naive"))
-    return bg.budget_bands(cards, F.lit("1998-06-09 06:00:00").cast("timestamp"), config.direction("FLOOD_RISK").bands)
+    return bg.budget_bands(cards, F.lit("1998-06-09 06:00:00").cast("timestamp"), config.DIRECTION["FLOOD_RISK"].bands)
 
 
 @query("rank_levels", "facility_id:i prediction_id:i level:s", """

@@ -143,11 +143,11 @@ def _(t):
     return iv.state_share_by_hour(t.guard, ("object_id",), F.lit(AT).cast("timestamp"), 72, "on")
 
 
-POINTS_SQL = "SELECT DISTINCT object_id, day FROM long_rows WHERE day >= DATE '1996-01-01' AND day < DATE '1997-01-01'"
+POINTS_SQL = "SELECT DISTINCT object_id, day FROM long_rows"
 
 
 def points(t):
-    rows = t.long_rows.filter("day >= DATE '1996-01-01' AND day < DATE '1997-01-01'").select("object_id", "day").distinct()
+    rows = t.long_rows.select("object_id", "day").distinct()
     return rows.withColumn("at", F.col("day").cast("timestamp"))
 
 

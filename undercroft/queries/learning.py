@@ -23,15 +23,14 @@ def panel(t):
     """A small model panel: look-back sums, freshness, month; label = an event that day."""
     w = gr.Rolling(("unit_id",))
     z = lambda c: F.coalesce(c, F.lit(0))
-    rows = w.cumulate(dense(t), "m", "ev").select(
+    return w.cumulate(dense(t), "m", "ev").select(
         "unit_id", "object_id", "day", F.col("ev").alias("label"), z(w.sum("m", 7)).alias("evt_s7"), z(w.sum("m", 30)).alias("evt_s30"),
         gr.days_since(w.last_where(F.col("ev") == 1), cap=config.DAYS_CAP).alias("evt_since"), F.month("day").alias("cal_month"),
         (z(w.sum("ev", 1)) > 0).cast("int").alias("naive"))
-    return rows.filter("day >= DATE '1998-01-01'")
 
 
 @query("model_panel", "unit_id:i day:D label:i evt_s7:i evt_s30:i cal_month:i", f"""
-    SELECT unit_id, day, ev AS label, evt_s7, evt_s30, month(day) AS cal_month FROM (SELECT *, coalesce(sum(m) {rng(7)}, 0) AS evt_s7, coalesce(sum(m) {rng(30)}, 0) AS evt_s30 FROM ({DENSE_SQL})) WHERE day >= DATE '1998-01-01'""")
+    SELECT unit_id, day, ev AS label, evt_s7, evt_s30, month(day) AS cal_month FROM (SELECT *, coalesce(sum(m) {rng(7)}, 0) AS evt_s7, coalesce(sum(m) {rng(30)}, 0) AS evt_s30 FROM ({DENSE_SQL}))""")
 def _(t):
     return panel(t)
 
@@ -39,7 +38,7 @@ def _(t):
 @query("feature_groups", "name:s")
 def _(t):
     p = panel(t)
-    names = ev.feature_columns(p.columns, ("evt", "cal"), config.FLOOD_GROUPS, config.WORK_WEEK_COLUMNS)
+    names = ev.model_columns(p.columns, ("evt", "cal"), config.FLOOD_TAGS, config.WORK_WEEK_COLUMNS)
     return p.groupBy().agg(*[F.count(c).alias(c) for c in names]).select(F.explode(F.array(*[F.when(F.col(c) > 0, c) for c in names])).alias("name"))
 
 
@@ -77,7 +76,7 @@ def _(t):
 
 @query("monthly_retrain", "month:s unit_id:i day:D y:i p:d")
 def _(t):
-    return md.monthly_retrain(cut(panel(t)), FEATURES, KEYS, ("2000-11-01", "2000-12-01"), rounds=3)
+    return md.monthly_retrain(cut(panel(t)), FEATURES, KEYS, tuple(f"2000-{m:02d}-01" for m in range(7, 13)), rounds=3)
 
 
 @query("pu_label", "unit_id:i day:D labeled:i score:d p_real:d real:b")

@@ -118,14 +118,14 @@ def _(t):
 
 # --- orders ----------------------------------------------------------------------------
 
-CAND_SQL = "SELECT max(prediction_id) AS prediction_id, facility_id, direction, arg_max(level, prediction_id) AS level, arg_max(horizon_hours, prediction_id) AS horizon_hours, arg_max(computed_at, prediction_id) AS computed_at FROM card WHERE bucket >= TIMESTAMP '2001-01-01' GROUP BY facility_id, direction"
+CAND_SQL = "SELECT max(prediction_id) AS prediction_id, facility_id, direction, arg_max(level, prediction_id) AS level, arg_max(horizon_hours, prediction_id) AS horizon_hours, arg_max(computed_at, prediction_id) AS computed_at FROM card GROUP BY facility_id, direction"
 ORD_SQL = f"SELECT c.*, (SELECT arg_max(order_id, (created_at, order_id)) FROM work_order o WHERE o.facility_id = c.facility_id AND o.direction = c.direction AND o.status = 'AUTO_CREATED') AS auto_id FROM ({CAND_SQL}) c"
 DUE_SQL = "CASE direction WHEN 'FIRE_RISK' THEN computed_at + horizon_hours * INTERVAL 30 MINUTE ELSE date_trunc('day', computed_at + INTERVAL 3 HOUR) - INTERVAL 3 HOUR + INTERVAL 1 DAY END"
 
 
 def candidates(t):
     last = F.max_by(F.struct("level", "horizon_hours", "computed_at"), "prediction_id").alias("l")
-    return t.card.filter("bucket >= TIMESTAMP '2001-01-01'").groupBy("facility_id", "direction").agg(F.max("prediction_id").alias("prediction_id"), last).select(
+    return t.card.groupBy("facility_id", "direction").agg(F.max("prediction_id").alias("prediction_id"), last).select(
         "prediction_id", "facility_id", "direction", "l.*")
 
 

@@ -336,9 +336,9 @@ def _(t):
     return flood.flood_hourly(flood_inputs(t), 1.0)
 
 
-@query("level_minus_level", "object_id:i gallery:i picket:i hour:t obj_events_24h:i cx_events_24h:i obj_pump_on_minutes_24h:d", f"SELECT * FROM ({FLOOD_SQL}) WHERE hour(hour) = 0")
+@query("level_minus_level", "object_id:i gallery:i picket:i hour:t obj_events_24h:i cx_events_24h:i obj_pump_on_minutes_24h:d", FLOOD_SQL)
 def _(t):
-    return flood.midnight_rows(flood.flood_hourly(flood_inputs(t), 1.0))
+    return flood.flood_hourly(flood_inputs(t), 1.0)
 
 
 @query("weather_windows", "hour:t weather_precip_72h:d weather_temp_max_72h:d weather_melt_72h_cm:d", """
@@ -504,7 +504,7 @@ def _(t):
     WITH kp AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_custkey % 9) AS mx FROM orders GROUP BY 1), sp AS (SELECT day, lag(mx) OVER (ORDER BY day) AS space_kp_max_1d FROM kp),
     ch AS (SELECT f.unit_id, f.moment, sqrt(pow(sum(cos(2 * {math.pi} * p.h / 24)), 2) + pow(sum(sin(2 * {math.pi} * p.h / 24)), 2)) / count(*) AS r FROM (SELECT *, hour(moment) + minute(moment) / 60.0 AS h FROM ({EVT_CHAR})) f
            JOIN (SELECT *, hour(moment) + minute(moment) / 60.0 AS h FROM ({EVT_CHAR})) p ON p.unit_id = f.unit_id AND p.moment <= f.moment GROUP BY 1, 2),
-    hk AS (SELECT d.unit_id, d.day, coalesce(sum(exp(-date_diff('day', e.day, d.day) / 7.0)), 0) AS h FROM (SELECT unit_id, day FROM ({DENSE_SQL}) WHERE day >= DATE '2000-06-01') d LEFT JOIN (SELECT unit_id, day FROM unit_event WHERE ev = 1) e ON e.unit_id = d.unit_id AND e.day < d.day GROUP BY 1, 2)
+    hk AS (SELECT d.unit_id, d.day, coalesce(sum(exp(-date_diff('day', e.day, d.day) / 7.0)), 0) AS h FROM (SELECT unit_id, day FROM ({DENSE_SQL})) d LEFT JOIN (SELECT unit_id, day FROM unit_event WHERE ev = 1) e ON e.unit_id = d.unit_id AND e.day < d.day GROUP BY 1, 2)
     SELECT hk.unit_id, hk.day, hk.h AS hawkes_tau7, ch.r AS char_rayleigh, sp.space_kp_max_1d, cos(2 * {math.pi} * (x - floor(x))) AS moon_cos
     FROM (SELECT *, epoch(CAST(day AS TIMESTAMP) - TIMESTAMP '2000-01-06 18:14:00') / 86400.0 / 29.530588853 AS x FROM hk) hk LEFT JOIN sp ON sp.day = hk.day ASOF LEFT JOIN ch ON ch.unit_id = hk.unit_id AND ch.moment < hk.day""")
 def _(t):
@@ -512,4 +512,4 @@ def _(t):
 
     kp = t.orders.select(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 9).cast("double").alias("kp"))
     panel = dense(t).select("unit_id", "day", F.col("ev").alias("label"))
-    return add_hypotheses(panel, ("unit_id",), char_events(t).drop("day"), kp, taus=(7,)).filter("day >= DATE '2000-06-01'")
+    return add_hypotheses(panel, ("unit_id",), char_events(t).drop("day"), kp, taus=(7,))

@@ -67,9 +67,8 @@ def _(t):
 @query("incremental_relabel", "unit_id:i day:D ev:i", """
     SELECT unit_id, day, CASE WHEN day >= DATE '2000-06-29' AND day < DATE '2000-07-10' THEN 1 - ev ELSE ev END AS ev FROM unit_event WHERE day < DATE '2000-07-10'""")
 def _(t):
-    start, end = lb.days_to_label("2000-06-30", "2000-07-10")
     stored = t.unit_event.filter("day < DATE '2000-07-01'").select("unit_id", "day", "ev")
-    return lb.relabel(stored, t.unit_event.withColumn("ev", 1 - F.col("ev")), start, end)
+    return lb.relabel(stored, t.unit_event.withColumn("ev", 1 - F.col("ev")), "2000-07-10")
 
 
 @query("label_acceptance", "volume:i week_ratio:d kept_known:d passes_volume:b passes_week:b passes_known:b", """
@@ -342,13 +341,13 @@ def _(t):
 
 
 @query("complex_daily", "complex_id:i day:D phase_off:i fan_off:i gas_max:d gas_mean:d gas_ge1:i", """
-    WITH s AS (SELECT complex_id, day, count(*) FILTER (event_type = 'signup') AS phase_off, count(*) FILTER (event_type = 'click') AS fan_off FROM journal WHERE event_type IN ('signup', 'click') AND object_id < 5 GROUP BY 1, 2),
+    WITH s AS (SELECT complex_id, day, count(*) FILTER (event_type = 'signup') AS phase_off, count(*) FILTER (event_type = 'click') AS fan_off FROM journal WHERE event_type IN ('signup', 'click') GROUP BY 1, 2),
     g AS (SELECT object_id % 3 AS complex_id, day, max(gm) AS gas_max, avg(ga) AS gas_mean, sum(g1) AS gas_ge1 FROM (SELECT object_id, day, max(v) AS gm, avg(v) AS ga, count(*) FILTER (v >= 1) AS g1
         FROM (SELECT *, TRY_CAST(replace(value, ',', '.') AS DOUBLE) AS v FROM raw_journal WHERE stype = 'Газовый датчик') WHERE v BETWEEN 0 AND 100 GROUP BY 1, 2) GROUP BY 1, 2)
     SELECT complex_id, day, phase_off, fan_off, gas_max, gas_mean, gas_ge1 FROM s FULL JOIN g USING (complex_id, day)""")
 def _(t):
     kind = lambda k: (F.col("event_type") == k).cast("int")
-    states = t.journal.filter("event_type IN ('signup', 'click') AND object_id < 5").select(
+    states = t.journal.filter("event_type IN ('signup', 'click')").select(
         "object_id", "day", kind("signup").alias("phase_off"), kind("click").alias("fan_off"), F.lit(0).alias("talk"), F.lit(0).alias("door"))
     gas = fire.gas_days(t.raw_journal.filter("stype = 'Газовый датчик'"), t.cal)
     return fire.complex_days(states, gas, t.journal.select("object_id", "complex_id").distinct())

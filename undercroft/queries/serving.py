@@ -26,7 +26,7 @@ def _(t):
     SELECT prediction_id, probability FROM card JOIN facility USING (facility_id) WHERE assignee = 'user1' AND status IN ('NEW', 'IN_REVIEW') ORDER BY CASE WHEN status IN {FIN} THEN 1 ELSE 0 END, probability, computed_at DESC, prediction_id LIMIT 50""")
 def _(t):
     rows = sv.journal_filter(t.card, t.facility, statuses=("NEW", "IN_REVIEW"), assignee="user1")
-    return sv.journal(rows, sort="probability:asc", size=50)
+    return sv.journal(rows, sort=sv.SortBy("probability"), size=50)
 
 
 @query("journal_total", "total:i", "SELECT count(*) AS total FROM card JOIN facility USING (facility_id) WHERE district = 7 AND status = 'NEW'")
@@ -77,7 +77,7 @@ def _(t):
     SELECT facility_id, arg_max(prediction_id, (probability, -prediction_id)) AS prediction_id, max(probability) AS probability, any_value(lon) AS lon, any_value(lat) AS lat
     FROM card JOIN facility USING (facility_id) WHERE direction = 'FIRE_RISK' AND lon BETWEEN -50 AND 120 AND lat BETWEEN -40 AND 60 GROUP BY facility_id""")
 def _(t):
-    return sv.map_points(t.card, t.facility, directions=("FIRE_RISK",), bbox="-50,-40,120,60")
+    return sv.map_points(t.card, t.facility, directions=("FIRE_RISK",), box=sv.Box(-50, -40, 120, 60))
 
 
 @query("map_lines", "collector:i n:i", "SELECT collector, count(*) AS n FROM facility WHERE district = 5 GROUP BY collector")
@@ -187,14 +187,14 @@ def _(t):
 
 
 @query("first_non_empty_series", "unit_id:i day:D v:i", """
-    WITH s AS (SELECT unit_id, day, CASE WHEN unit_id % 4 = 0 THEN 0 ELSE m END AS v FROM unit_event WHERE day < DATE '1995-04-01'), f AS (SELECT day, sum(m) AS v FROM unit_event WHERE day < DATE '1995-04-01' GROUP BY day)
+    WITH s AS (SELECT unit_id, day, CASE WHEN unit_id % 4 = 0 THEN 0 ELSE m END AS v FROM unit_event), f AS (SELECT day, sum(m) AS v FROM unit_event GROUP BY day)
     SELECT * FROM s WHERE unit_id IN (SELECT unit_id FROM s GROUP BY 1 HAVING max(v) <> 0) UNION ALL SELECT u.unit_id, f.day, f.v FROM (SELECT unit_id FROM s GROUP BY 1 HAVING max(v) = 0) u CROSS JOIN f""")
 def _(t):
     from undercroft.operators.grids import first_non_empty
 
-    early = t.unit_event.filter("day < DATE '1995-04-01'")
-    own = early.select("unit_id", "day", F.when(F.col("unit_id") % 4 == 0, 0).otherwise(F.col("m")).alias("v"))
-    return first_non_empty(own, early.groupBy("day").agg(F.sum("m").alias("v")), ("unit_id",))
+    rows = t.unit_event
+    own = rows.select("unit_id", "day", F.when(F.col("unit_id") % 4 == 0, 0).otherwise(F.col("m")).alias("v"))
+    return first_non_empty(own, rows.groupBy("day").agg(F.sum("m").alias("v")), ("unit_id",))
 
 
 @query("eligible_units", "facility_id:i", """

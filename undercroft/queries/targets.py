@@ -11,7 +11,7 @@ from undercroft.session import cut
 
 UNIT = ("unit_id",)
 UNITS_SQL = "SELECT unit_id, object_id, CAST(min(day) AS TIMESTAMP) AS hour_from, CAST(max(day) AS TIMESTAMP) + INTERVAL 23 HOUR AS hour_to FROM unit_event GROUP BY 1, 2"
-ALARM_SQL = "SELECT DISTINCT channel_id AS unit_id, object_id, hour FROM long_rows WHERE l_quantity >= 42 AND day >= DATE '1995-02-01'"
+ALARM_SQL = "SELECT DISTINCT channel_id AS unit_id, object_id, hour FROM long_rows WHERE l_quantity >= 42"
 LIFE_SQL = f"""
     SELECT unit_id, object_id, day, is_day_off FROM (SELECT unit_id, object_id, CAST(unnest(generate_series(date_trunc('day', hour_from), date_trunc('day', hour_to), INTERVAL 1 DAY)) AS DATE) AS day FROM ({UNITS_SQL}))
     JOIN cal USING (day)"""
@@ -24,7 +24,7 @@ def units(t):
 
 
 def alarm(t):
-    rows = t.long_rows.filter("l_quantity >= 42 AND day >= DATE '1995-02-01'")
+    rows = t.long_rows.filter("l_quantity >= 42")
     return rows.select(F.col("channel_id").alias("unit_id"), "object_id", "hour").distinct()
 
 
@@ -89,7 +89,7 @@ def _(t):
 
 
 @query("cover_lift", "obs_n:i obs_hit:i exp_n:i exp_hit:i observed_pct:d expected_pct:d lift:d", f"""
-    WITH tgt AS (SELECT DISTINCT object_id, day FROM unit_event WHERE ev = 1 AND object_id < 8), ab AS (SELECT DISTINCT object_id, day FROM long_rows WHERE l_quantity = 33),
+    WITH tgt AS (SELECT DISTINCT object_id, day FROM unit_event WHERE ev = 1), ab AS (SELECT DISTINCT object_id, day FROM long_rows WHERE l_quantity = 33),
     cov AS (SELECT DISTINCT object_id, CAST(day + i * INTERVAL 1 DAY AS DATE) AS day FROM ab CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS i)),
     alive AS (SELECT DISTINCT object_id, day FROM ({LIFE_SQL}) WHERE object_id IN (SELECT object_id FROM tgt))
     SELECT obs_n, obs_hit, exp_n, exp_hit, round(100.0 * obs_hit / obs_n, 2) AS observed_pct, round(100.0 * exp_hit / exp_n, 2) AS expected_pct,
@@ -97,7 +97,7 @@ def _(t):
     FROM (SELECT (SELECT count(*) FROM tgt) AS obs_n, (SELECT count(*) FROM tgt JOIN cov USING (object_id, day)) AS obs_hit, (SELECT count(*) FROM alive) AS exp_n,
                  (SELECT count(*) FROM alive JOIN cov USING (object_id, day)) AS exp_hit)""")
 def _(t):
-    return tg.cover_lift(t.unit_event.filter("ev = 1 AND object_id < 8"), t.long_rows.filter("l_quantity = 33"), life(t))
+    return tg.cover_lift(t.unit_event.filter("ev = 1"), t.long_rows.filter("l_quantity = 33"), life(t))
 
 
 @query("label_version_stats", "version:s period:s unit_days:i events:i base:d naive_precision:d naive_recall:d week_rhythm:d", f"""
@@ -276,11 +276,11 @@ def _(t):
 @query("schedule_months_check", "object_id:i share_in:d share_out:d lift:d", """
     SELECT object_id, round(i, 4) AS share_in, round(o, 4) AS share_out, round(round(i, 4) / round(o, 4), 2) AS lift FROM (
       SELECT p.object_id, avg(CASE WHEN h.day IS NULL THEN 0 ELSE 1 END) FILTER (month(c.day) IN (p.object_id % 12 + 1, 7)) AS i, avg(CASE WHEN h.day IS NULL THEN 0 ELSE 1 END) FILTER (month(c.day) NOT IN (p.object_id % 12 + 1, 7)) AS o
-      FROM (SELECT DISTINCT object_id FROM long_rows) p CROSS JOIN (SELECT day FROM cal WHERE is_day_off = 0 AND day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31') c
+      FROM (SELECT DISTINCT object_id FROM long_rows) p CROSS JOIN (SELECT day FROM cal WHERE is_day_off = 0) c
       LEFT JOIN (SELECT DISTINCT object_id, day FROM long_rows WHERE l_quantity >= 25) h ON h.object_id = p.object_id AND h.day = c.day GROUP BY 1)""")
 def _(t):
     plan = t.long_rows.select("object_id").distinct().withColumn("months", F.array((F.col("object_id") % 12 + 1).cast("int"), F.lit(7)))
-    work = t.cal.filter("is_day_off = 0 AND day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'")
+    work = t.cal.filter("is_day_off = 0")
     return tg.schedule_months_check(t.long_rows.filter("l_quantity >= 25"), plan, work)
 
 

@@ -156,8 +156,3 @@ def cyclic_weather_fill(known: DataFrame, template: DataFrame, until: str, origi
     missing = last.select(F.explode(F.when(start <= end, F.sequence(start, end, step))).alias("hour"))
     position = F.pmod(F.floor((F.unix_seconds("hour") - F.unix_seconds(F.lit(origin).cast("timestamp"))) / 3600), F.lit(size))
     return missing.withColumn("position", position.cast("int")).join(F.broadcast(template), "position").drop("position")
-
-
-def channel_dictionary(channels: DataFrame, journal: DataFrame) -> DataFrame:
-    """Dictionary of live channels with their places."""
-    return with_place(live_channels(channels, journal))
