@@ -6,7 +6,7 @@ A paragraph is a line of at least ``WORDS`` words; shingles are five words, lowe
    from then on, so a common passage travels once a task.
 2. Bands that collide link paragraphs to the least one of the band.  The components of these links are candidate
    families.  Bands are tuned so that a pair of the wanted similarity is missed with the given probability at most.
-3. A family's distinct paragraphs meet with their words; exact Jaccard similarity is computed from a front of reached
+3. Texts with such a paragraph are taken out of the documents once.  A family's distinct paragraphs meet with their words; exact Jaccard similarity is computed from a front of reached
    paragraphs to all that are left, and gives a spanning forest of the links, not its pairs.  A family of more than
    ``MOST`` paragraphs is met in pairs of blocks, so no task holds more than two blocks.
 4. Components of verified links are classes.  The first occurrence of a class (least document id, then place) stays,
@@ -173,27 +173,31 @@ def shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(Spans(data), starts, ends))
 
 
-def verified(docs: DataFrame, text_col: str, families: DataFrame, least: int, similarity: float, most: int) -> DataFrame:
+def texts_of(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """``i, h, text, fetch``: the documents that have a marked paragraph, and the family paragraphs that are read from them (each from its first place)."""
+    met = lines.select("id", "th", "start", "end", "ph").join(marks, "ph")
+    mine = F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.th") == F.col("th")) & (F.col("keep.start") == F.col("start")) & F.col("family").isNotNull()
+    per = met.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_list(F.when(mine, F.struct("ph", "start", "end", "family", "block", "blocks"))).alias("fetch"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).alias("text"))
+    return source.join(per, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("i", "h", "text", "fetch")
+
+
+def verified(texts: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links by exact Jaccard between the distinct paragraphs (by hash) of each family."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # a task gives a paragraph once, so a common one is few rows; the join needs no more than one
         for whole in batches:
-            for b in text_batches([whole], "text", 2_000_000):
-                text, first = buffer_of(b.column("text").to_pylist())
-                _, s, e, *_ = paragraphs(text, first, least)
-                raw = [(h, r) for h, r in {paragraph_hash(text[x:y]): text[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)}.items() if h not in seen]
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(h for h, _ in raw)
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in raw], pa.binary()), pa.array([r for _, r in raw], pa.binary())], names=["ph", "raw"])
-
-    wanted = families.select("ph", "family", "block", "blocks")
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(lines, "ph binary, raw binary").join(wanted, "ph")
-    got = got.groupBy("ph").agg(F.first("raw").alias("raw"), F.first("family").alias("family"), F.first("block").alias("block"), F.first("blocks").alias("blocks"))
-    # block i meets every block j >= i once
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi"))))
-    met = got.select("family", pairs.alias("p"), "ph", "raw").select("family", "p.lo", "p.hi", "ph", "raw")
+            for b in text_batches([whole], "text"):
+                out = []
+                for text, fetch in zip(b.column("text").to_pylist(), b.column("fetch").to_pylist(), strict=True):
+                    raw = text.encode("utf-8", "replace").translate(LOWER)
+                    for f in fetch:
+                        # block i meets every block j once
+                        out += [(f["family"], min(f["block"], j), max(f["block"], j), f["ph"], raw[f["start"]:f["end"]]) for j in range(f["blocks"])]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["family", "lo", "hi", "ph", "raw"])
+
+    met = texts.filter(F.size("fetch") > 0).select("text", "fetch").mapInArrow(lines, "family long, lo int, hi int, ph binary, raw binary")
 
     def meet(group: pa.Table) -> pa.Table:
         ph, raw = group["ph"].to_pylist(), group["raw"].to_pylist()
@@ -203,21 +207,25 @@ def verified(docs: DataFrame, text_col: str, families: DataFrame, least: int, si
     return met.groupBy("family", "lo", "hi").applyInArrow(meet, "a binary, b binary")
 
 
-def classes(docs: DataFrame, text_col: str, lines: DataFrame, least: int, similarity: float, recall: float, most: int) -> DataFrame:
-    """``ph, class_size, keep`` (id, text hash and start of the occurrence that stays) of paragraphs in a class of two or more."""
+def candidates(lines: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct paragraphs ``ph, n, keep`` (their first place), and of those that repeat or have a family ``ph, keep, family, block, blocks``."""
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "start")
     distinct = staged(lines.groupBy("ph").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("keep"), F.first("keys").alias("keys"))
                       .withColumn("pid", F.conv(F.substring(F.hex("ph"), 1, 15), 16, 10).cast("long")), "passages-distinct")
     linked = components(staged(band_links(distinct), "passages-links")).withColumnsRenamed({"node": "pid", "component": "family"})
-    families = staged(distinct.join(linked, "pid").select("ph", "pid", "family"), "passages-families")
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    families = families.join(sizes.filter("size > 1"), "family").withColumn("blocks", F.ceil(F.col("size") / most).cast("int"))
-    families = staged(families.withColumn("block", F.pmod(F.xxhash64("ph"), F.col("blocks")).cast("int")), "passages-blocks")
-    links = staged(verified(docs, text_col, families, least, similarity, most), "passages-verified")
+    sizes = linked.join(distinct.select("pid"), "pid").groupBy("family").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / most).cast("int"))
+    linked = staged(linked.join(sizes, "family").select("pid", "family", "blocks"), "passages-families")
+    marks = distinct.select("ph", "n", "keep", "pid").join(linked, "pid", "left").filter("n > 1 OR family IS NOT NULL")
+    marks = marks.select("ph", "keep", "family", F.pmod(F.xxhash64("ph"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    return distinct.select("ph", "n", "keep"), staged(marks, "passages-marks")
+
+
+def classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``ph, keep`` (id, text hash and start of the occurrence that stays) of paragraphs in a class of two or more."""
     roots = components(links).withColumnsRenamed({"node": "ph", "component": "root"})
-    rooted = staged(distinct.drop("keys", "pid").join(roots, "ph", "left").withColumn("root", F.coalesce("root", "ph")), "passages-roots")
-    whole = rooted.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("keep").alias("class_keep")).filter("class_size > 1")
-    return rooted.join(whole, "root").select("ph", "class_size", F.col("class_keep").alias("keep"))
+    rooted = staged(distinct.join(roots, "ph", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "ph")), "passages-roots")
+    whole = rooted.groupBy("root").agg(F.min("keep").alias("class_keep"))
+    return rooted.join(whole, "root").select("ph", F.col("class_keep").alias("keep"))
 
 
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST) -> DataFrame:
@@ -225,7 +233,10 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``repeats_of`` (ids of the documents whose passage stays for each class the document has part in)."""
     read = staged(occurrences(docs, id_col, text_col, least, tuned(similarity, recall)), "passages")
     lines = read.select("id", "th", F.explode("lines").alias("l")).select("id", "th", "l.*")
-    found = staged(classes(docs, text_col, lines, least, similarity, recall, most), "passages-classes")
+    distinct, marks = candidates(lines, most)
+    texts = staged(texts_of(docs, id_col, text_col, lines, marks), "passages-texts")
+    links = staged(verified(texts, similarity), "passages-verified")
+    found = staged(classes(distinct, links), "passages-classes")
     hit = lines.select("id", "th", "start", "end", "ph").join(found, "ph")
     stays = F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.th") == F.col("th")) & (F.col("keep.start") == F.col("start"))
     hit = hit.withColumn("gone", ~stays).dropDuplicates(["id", "th", "start"])
@@ -234,7 +245,7 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("start", "end")))).alias("cuts")), "passages-cuts")
     slim = read.select("id", "th", "n_bytes", "sha", F.size("lines").cast("long").alias("n_paragraphs"))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))
-    kept = staged(without(docs, id_col, text_col, per.filter(F.size("cuts") > 0).select("i", "h", "cuts")), "passages-kept").withColumnsRenamed({"i": "ki", "h": "kh"})
+    kept = staged(without(texts, per.filter(F.size("cuts") > 0).select("i", "h", "cuts")), "passages-kept").withColumnsRenamed({"i": "ki", "h": "kh"})
     met = slim.join(per.drop("cuts"), same, "left").join(kept, F.col("id").eqNullSafe(F.col("ki")) & (F.col("th") == F.col("kh")), "left")
     zero = F.lit(0).cast("long")
     return met.select(
@@ -242,11 +253,11 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("repeats_of", F.array().cast(per.schema["repeats_of"].dataType)).alias("repeats_of"))
 
 
-def without(docs: DataFrame, id_col: str, text_col: str, cuts: DataFrame) -> DataFrame:
+def without(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     """``i, h, n_removed, n_spans, kept_sha256`` of the documents with byte spans ``cuts`` taken out."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).alias("text"))
-    met = source.join(cuts, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("i", "h", "text", "cuts").dropDuplicates(["i", "h"])
+    kind = texts.schema["i"].dataType.simpleString()
+    cuts = cuts.withColumnsRenamed({"i": "ci", "h": "ch"})
+    met = texts.select("i", "h", "text").join(cuts, F.col("i").eqNullSafe(F.col("ci")) & (F.col("h") == F.col("ch"))).select("i", "h", "text", "cuts").dropDuplicates(["i", "h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
