@@ -89,11 +89,18 @@ def replay(log: DataFrame, start: DataFrame, key: str = "prediction_id", ts: str
         "_acts", identity,
         lambda acc, a: F.transform(acc, lambda s: F.element_at(_lookup(moves, a[event]), s + 1)))
     days = chunks.withColumn("_map", composed)
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # Days are chained by doubling: a round puts the map of 1, 2, 4, ... days earlier before the own one.
+    longest = known.select(key, "_b").distinct().groupBy(key).count().agg(F.max("count")).first()[0] or 1
+    chain, step = Window.partitionBy(key).orderBy("_b"), 1
+    days = days.withColumn("_upto", F.col("_map"))
+    while step < longest:
+        days = days.withColumn("_far", F.lag("_upto", step).over(chain))
+        days = days.withColumn("_upto", F.when(F.col("_far").isNull(), F.col("_upto")).otherwise(F.transform("_far", lambda s: F.element_at("_upto", s + 1))))
+        step *= 2
     first = _code(F.col("card_status"), F.col("order_status"))
-    entered = days.withColumn("_maps", F.collect_list("_map").over(before)).join(
+    entered = days.withColumn("_before", F.lag("_upto").over(chain)).join(
         start.select(key, first.alias("_s0")), key, "left").withColumn("_s0", F.coalesce("_s0", F.lit(0))).withColumn(
-        "_s", F.aggregate("_maps", F.col("_s0"), lambda s, m: F.element_at(m, s + 1)))
+        "_s", F.coalesce(F.element_at("_before", F.col("_s0") + 1), F.col("_s0")))
     # Inside a chunk the states are laid out in one array, then exploded next to the actions.
     steps = F.aggregate(
         "_acts", F.array(F.col("_s")),

@@ -95,24 +95,28 @@ def rolling_median(df: DataFrame, keys: Sequence[str], ts: str, value: str, out:
     return df.withColumn(out, F.percentile(value, 0.5).over(w))
 
 
-def decaying_memory(days: DataFrame, keys: Sequence[str], flag: str, taus: Sequence[float]) -> DataFrame:
+def decaying_memory(days: DataFrame, keys: Sequence[str], flag: str, taus: Sequence[float], most_months: int = 2048) -> DataFrame:
     """h[t] = a (h[t-1] + ev[t-1]), a = exp(-1/tau), over the dense day grid.
 
-    Only event days carry state: S = 1 + S_prev exp(-gap/tau).  A day then reads the
-    last state before it and lets it decay, so no large exponent is ever multiplied and
-    quiet days cost nothing.
+    Inside a month the state is a running sum of exp(days from its first / tau).  Months hand their state on by
+    doubling: a round adds what the month 1, 2, 4, ... event months earlier holds, decayed over the time between, so
+    no list is built and no exponent spans more than a month.  A day then reads the last state before it.
     """
-    event_order = Window.partitionBy(*keys).orderBy("day").rowsBetween(UNBOUNDED, 0)
     names = {tau: f"hawkes_tau{str(tau).replace('.', '_')}" for tau in taus}
-    events = days.filter(F.col(flag) == 1).select(*keys, "day").withColumn(
-        "_past", F.collect_list("day").over(event_order))
-
-    def fold(tau: float) -> Column:
-        return F.aggregate("_past", F.lit(0.0), lambda acc, d: acc + F.exp(
-            -F.datediff(F.col("day"), d).cast("double") / tau))
-
-    state = events.select(*keys, "day", F.struct(
-        F.col("day").alias("_d"), *[fold(tau).alias(n) for tau, n in names.items()]).alias("_s"))
+    events = days.filter(F.col(flag) == 1).select(*keys, "day", F.trunc("day", "month").alias("_b"))
+    since = F.datediff("day", "_b").cast("double")
+    months = events.groupBy(*keys, "_b").agg(*[F.sum(F.exp(since / tau)).alias(f"_own{n}") for tau, n in names.items()])
+    chain, step = Window.partitionBy(*keys).orderBy("_b"), 1
+    months = months.withColumns({f"_all{n}": F.col(f"_own{n}") for n in names.values()})
+    while step < most_months:
+        apart = F.datediff("_b", F.lag("_b", step).over(chain)).cast("double")
+        months = months.withColumns({f"_all{n}": F.col(f"_all{n}") + F.coalesce(F.lag(f"_all{n}", step).over(chain) * F.exp(-apart / tau), F.lit(0.0)) for tau, n in names.items()})
+        step *= 2
+    carried = months.select(*keys, "_b", *[(F.col(f"_all{n}") - F.col(f"_own{n}")).alias(f"_in{n}") for n in names.values()])
+    inside = Window.partitionBy(*keys, "_b").orderBy("day").rowsBetween(UNBOUNDED, 0)
+    summed = events.withColumns({n: F.sum(F.exp(since / tau)).over(inside) for tau, n in names.items()}).join(carried, [*keys, "_b"])
+    state = summed.select(*keys, "day", F.struct(F.col("day").alias("_d"), *[
+        ((F.col(n) + F.col(f"_in{n}")) * F.exp(-since / tau)).alias(n) for tau, n in names.items()]).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("day").rowsBetween(UNBOUNDED, -1)
     out = days.join(state, [*keys, "day"], "left").withColumn("_last", F.last("_s", ignorenulls=True).over(before))
     gap = F.datediff(F.col("day"), F.col("_last._d")).cast("double")

@@ -363,10 +363,10 @@ def expert_load(episodes: DataFrame, split: str, first: str, last: str) -> DataF
 
 
 def stratified_examples(df: DataFrame, by: str, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """Up to n rows per stratum in a seeded hash order: repeatable, and a plain top-n per
+    """Up to n rows per stratum in the order of the MD5 of seed and keys: repeatable, and a plain top-n per
     group, which Spark cuts to n rows per task before the shuffle.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
     order = Window.partitionBy(by).orderBy("_h", *keys)
     return df.withColumn("_h", h).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_h", "_r")
 

@@ -35,7 +35,7 @@ def _(t):
     return panel(t)
 
 
-@query("feature_groups", "name:s")
+@query("feature_groups", "name:s", "SELECT unnest(['evt_s7', 'evt_s30', 'evt_since', 'cal_month']) AS name")
 def _(t):
     p = panel(t)
     names = ev.model_columns(p.columns, ("evt", "cal"), config.FLOOD_TAGS, config.WORK_WEEK_COLUMNS)
@@ -64,7 +64,19 @@ def _(t):
     return md.feature_ladder(panel(t), FEATURES, KEYS, FOLDS, ladder=(1, 2), rounds=2)
 
 
-@query("isotonic_calibration", "unit_id:i day:D p:d p_calibrated:d")
+ISO_SQL = """
+    WITH t AS (SELECT p, sum(y) AS s, count(*) AS n FROM scored WHERE day < DATE '2000-01-01' GROUP BY p),
+    k AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS cs, sum(n) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS cn, s, n FROM t),
+    a AS (SELECT lo.i AS j, hi.i AS h, CAST(hi.cs - lo.cs + lo.s AS DOUBLE) / (hi.cn - lo.cn + lo.n) AS mean FROM k lo JOIN k hi ON hi.i >= lo.i),
+    m AS (SELECT j, h AS i, min(mean) OVER (PARTITION BY j ORDER BY h DESC ROWS UNBOUNDED PRECEDING) AS least FROM a),
+    f AS (SELECT k.p, max(least) AS v FROM m JOIN k USING (i) GROUP BY k.p),
+    q AS (SELECT DISTINCT p FROM scored WHERE day >= DATE '2000-01-01'),
+    e AS (SELECT q.p, (SELECT max(f.p) FROM f WHERE f.p <= q.p) AS lo, (SELECT min(f.p) FROM f WHERE f.p >= q.p) AS hi FROM q),
+    g AS (SELECT e.p, CASE WHEN e.lo IS NULL THEN u.v WHEN e.hi IS NULL OR e.hi = e.lo THEN l.v ELSE l.v + (u.v - l.v) * (e.p - e.lo) / (e.hi - e.lo) END AS v FROM e LEFT JOIN f l ON l.p = e.lo LEFT JOIN f u ON u.p = e.hi)
+    SELECT s.unit_id, s.day, s.p, g.v AS p_calibrated FROM scored s JOIN g USING (p) WHERE s.day >= DATE '2000-01-01'"""
+
+
+@query("isotonic_calibration", "unit_id:i day:D p:d p_calibrated:d", ISO_SQL)
 def _(t):
     return md.isotonic_calibration(t.scored.filter("day < DATE '2000-01-01'"), t.scored.filter("day >= DATE '2000-01-01'"))
 
@@ -110,6 +122,12 @@ def _(t):
     return out.select("day", F.abs("wxpca1").alias("c1_abs"))
 
 
-@query("lz_complexity", "unit_id:i day:D lz_complexity:i")
+@query("lz_complexity", "unit_id:i day:D lz_complexity:i", f"""
+    WITH RECURSIVE b AS (SELECT unit_id, day, coalesce(string_agg(CAST(ev AS VARCHAR), '') OVER (PARTITION BY unit_id ORDER BY day ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING), '') AS bits FROM ({DENSE_SQL})),
+    r(bits, pos, size, n) AS (
+      SELECT DISTINCT bits, 0, 1, 0 FROM b WHERE contains(bits, '1')
+      UNION ALL SELECT bits, CASE WHEN more THEN pos ELSE pos + size END, CASE WHEN more THEN size + 1 ELSE 1 END, CASE WHEN more THEN n ELSE n + 1 END
+      FROM (SELECT *, pos + size <= length(bits) AND contains(substr(bits, 1, pos + size - 1), substr(bits, pos + 1, size)) AS more FROM r) WHERE pos < length(bits))
+    SELECT unit_id, day, coalesce(n, 0) AS lz_complexity FROM b LEFT JOIN (SELECT bits, max(n) AS n FROM r GROUP BY bits) USING (bits)""")
 def _(t):
     return md.lz_complexity(dense(t).select("unit_id", "day", F.col("ev")), ("unit_id",), "ev")

@@ -61,7 +61,17 @@ def _(t):
     return cm.merge_cards(stored_cards(t), forecasts(t))
 
 
-@query("merge_cards_rerun", "changed:i")
+#: Cards after a first run, then the plan of the same forecasts over them.
+AGAIN_SQL = f"""
+    WITH p AS ({PLAN_SQL}),
+    a AS (SELECT c.prediction_id, c.facility_id, c.direction, CASE WHEN p.action = 'follow' THEN p.bucket ELSE c.bucket END AS bucket, c.status, c.assignee, c.verdict,
+            CASE WHEN p.action = 'follow' OR p.action = 'refresh' AND c.status NOT IN {FIN} THEN TIMESTAMP '{AT}' ELSE c.computed_at END AS computed_at
+          FROM ({CARD_SQL}) c LEFT JOIN p ON p.target_id = c.prediction_id AND p.action IN ('follow', 'refresh')
+          UNION ALL SELECT concat(direction, '-', facility_id, '-', CAST(epoch(bucket) AS BIGINT)), facility_id, direction, bucket, 'NEW', NULL, NULL, TIMESTAMP '{AT}' FROM p WHERE action = 'insert')
+    SELECT coalesce(sum(is_new), 0) AS changed FROM ({PLAN_SQL.replace(CARD_SQL, "SELECT * FROM a")})"""
+
+
+@query("merge_cards_rerun", "changed:i", AGAIN_SQL)
 def _(t):
     first = cm.merge_cards(stored_cards(t), forecasts(t)).drop("is_new")
     again = cm.merge_cards(first, forecasts(t))
@@ -183,7 +193,25 @@ def action_log(t):
     return rows.withColumn("event", ac.event_of())
 
 
-@query("replay_actions", "prediction_id:i card_status:s order_status:s applied:i ignored:i")
+def moves_sql() -> str:
+    """Allowed moves of the joint state as rows."""
+    rows = [(e, c, o, *to) for e in ac.EVENTS for c in ac.CARD for o in ac.ORDER if (to := ac.step(e, c, o))]
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+LOG_SQL = """
+    SELECT l_orderkey AS prediction_id, CAST(l_shipdate AS TIMESTAMP) AS ts, l_linenumber AS seq, l_partkey, CASE l_partkey % 6 WHEN 0 THEN 'take' WHEN 2 THEN 'assign' WHEN 4 THEN 'release' WHEN 5 THEN 'reject'
+           WHEN 3 THEN CASE WHEN l_discount > 0.05 THEN 'close_yes' ELSE 'close_no' END ELSE CASE WHEN l_quantity >= 25 THEN CASE WHEN l_tax > 0.06 THEN 'decide_busy' ELSE 'decide_order' END ELSE 'decide_close' END END AS event FROM lineitem"""
+
+
+@query("replay_actions", "prediction_id:i card_status:s order_status:s applied:i ignored:i", f"""
+    WITH RECURSIVE log AS (SELECT prediction_id, event, row_number() OVER (PARTITION BY prediction_id ORDER BY ts, seq, l_partkey, event) AS n FROM ({LOG_SQL})),
+    moves AS (SELECT * FROM (VALUES {moves_sql()}) AS v(event, c, o, c2, o2)),
+    run(prediction_id, n, c, o, applied) AS (
+      SELECT DISTINCT prediction_id, CAST(0 AS BIGINT), 'NEW', 'NONE', 0 FROM log
+      UNION ALL SELECT r.prediction_id, l.n, coalesce(m.c2, r.c), coalesce(m.o2, r.o), r.applied + CASE WHEN m.c2 IS NULL THEN 0 ELSE 1 END
+      FROM run r JOIN log l ON l.prediction_id = r.prediction_id AND l.n = r.n + 1 LEFT JOIN moves m ON m.event = l.event AND m.c = r.c AND m.o = r.o)
+    SELECT prediction_id, arg_max(c, n) AS card_status, arg_max(o, n) AS order_status, max(applied) AS applied, max(n) - max(applied) AS ignored FROM run GROUP BY prediction_id""")
 def _(t):
     log = action_log(t).select("prediction_id", "ts", "seq", "l_partkey", "event")
     start = t.card.select("prediction_id", F.lit("NEW").alias("card_status"), F.lit("NONE").alias("order_status"))

@@ -312,7 +312,8 @@ def _(t):
     return t.scored.filter("naive = 0 AND day < DATE '2000-07-01'").agg(F.avg("y").alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query("stratified_examples", "level:s prediction_id:i")
+@query("stratified_examples", "level:s prediction_id:i", """
+    SELECT level, prediction_id FROM (SELECT level, prediction_id, row_number() OVER (PARTITION BY level ORDER BY md5(concat('0|', prediction_id)), prediction_id) AS r FROM card) WHERE r <= 5""")
 def _(t):
     return tg.stratified_examples(t.card.select("level", "prediction_id"), "level", ("prediction_id",), 5)
 
