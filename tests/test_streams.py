@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from undercroft.session import scratch_path
-from undercroft.sources.writers import VersionedTable, upsert_greatest
+from undercroft.sources.writers import read_greatest, write_batch
 from undercroft.streaming import ingest as ing
 from undercroft.streaming import windows as win
 
@@ -26,26 +27,25 @@ def test_ingest_counts_and_hour_max(spark):
     random.Random(2).shuffle(shuffled)
     for part in (shuffled[:3], shuffled[3:]):
         spark.createDataFrame(part, rows.schema).write.mode("append").parquet(path)
-    table = VersionedTable(spark, scratch_path(spark, "readings"), ing.READING_SCHEMA, "day")
-    events, state = scratch_path(spark, "events"), scratch_path(spark, "state")
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     for _ in range(2):  # the second start finds nothing new
-        ing.start_ingest(stream, sensors, events, table, state).awaitTermination()
-    got = spark.read.parquet(events)
+        ing.start_ingest(stream, sensors, out, state).awaitTermination()
+    got = spark.read.parquet(f"{out}/events")
+    assert spark.read.parquet(f"{out}/counters").agg(F.sum("received"), F.sum("events"), F.sum("skipped")).first()[:] == (7, 3, 3)
     assert sorted((r.sensor_id, r.code) for r in got.collect()) == [("C1", "SMOKE_DETECTED"), ("C2-a", "SECURITY_ARMED"), ("C2-b", "SECURITY_ARMED")]
-    assert [(r.sensor_id, r.hour, r.value) for r in table.read().collect()] == [("C3", T, 25.0)]
+    assert [(r.sensor_id, r.hour, r.value) for r in ing.ingested_readings(spark, out).collect()] == [("C3", T, 25.0)]
 
 
-def test_versioned_table_replay_and_untouched_days(spark):
-    table = VersionedTable(spark, scratch_path(spark, "table"), "k long, value double, day date", "day")
-    fold = lambda old, new: upsert_greatest(old, new, ["k"], carried=["day"])
-    make = lambda rows: spark.createDataFrame(rows, "k long, value double, day date")
+def test_batches_overwrite_themselves_only(spark):
+    path, schema = scratch_path(spark, "table"), "k long, value double, day date"
+    make = lambda rows: spark.createDataFrame(rows, schema)
     d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
-    assert table.merge(make([(1, 5.0, d1), (2, 1.0, d2)]), fold, 0)
-    assert table.merge(make([(1, 3.0, d1), (3, 9.0, d1)]), fold, 1)
-    assert not table.merge(make([(1, 99.0, d1)]), fold, 1)
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 5.0, d1), (2, 1.0, d2), (3, 9.0, d1)]
-    assert [r.k for r in table.read([str(d2)]).collect()] == [2]
+    write_batch(make([(1, 5.0, d1), (2, 1.0, d2)]), path, 0)
+    write_batch(make([(1, 99.0, d1)]), path, 1)
+    write_batch(make([(1, 3.0, d1), (3, 9.0, d1)]), path, 1)
+    assert sorted(tuple(r)[:2] for r in read_greatest(spark, path, schema, ["k"]).collect()) == [(1, 5.0), (2, 1.0), (3, 9.0)]
+    assert [r.k for r in read_greatest(spark, path, schema, ["k"], days=[str(d2)]).collect()] == [2]
 
 
 def test_fire_incident_state(spark):
@@ -64,7 +64,17 @@ def test_session_stream_equals_batch(spark):
     path = scratch_path(spark, "moments")
     rows.repartition(3).write.parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = win.run_available(spark, win.sessions(stream, ("u",)), "sess", mode="complete")
-    last = got.agg(F.max("batch_id")).first()[0]
+    win.closed(rows, "ts").write.mode("append").parquet(path)
+    got = win.run_available(spark, win.sessions(spark.readStream.schema(rows.schema).parquet(path), ("u",)), "sess").filter("u IS NOT NULL")
     key = lambda df: sorted((r.u, r.started, r.ended, r.n_moments) for r in df.collect())
-    assert key(got.filter(F.col("batch_id") == last)) == key(win.sessions(rows, ("u",)))
+    assert key(got) == key(win.sessions(rows, ("u",)))
+
+
+def test_late_signals_stand_apart(spark):
+    path, schema = scratch_path(spark, "late-signals"), "facility_id long, ts timestamp"
+    for hours in ([50], [10, 51], [90]):
+        spark.createDataFrame([(1, T + dt.timedelta(hours=h)) for h in hours], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in order of time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = [(None if r.late else (r.started - T).total_seconds() / 3600, r.n, r.late) for r in win.run_available(spark, win.fire_incidents(stream), "inc").orderBy("ts").collect()]
+    assert got == [(None, 0, True), (50, 1, False), (50, 2, False), (90, 1, False)]

@@ -191,14 +191,13 @@ def _(t):
 
 @query("versioned_upsert", "day:D n:i total:d", "SELECT day, count(*) AS n, sum(v) AS total FROM (SELECT channel_id, day, hour, max(value) AS v FROM journal GROUP BY 1, 2, 3) GROUP BY day")
 def _(t):
-    table = wr.VersionedTable(t.spark, scratch_path(t.spark, "versioned"), "channel_id long, hour timestamp, value double, day date", "day")
-    fold = lambda old, new: wr.upsert_greatest(old, new, ["channel_id", "hour"], carried=["day"])
+    path, keys = scratch_path(t.spark, "versioned"), ["channel_id", "hour"]
     rows = t.journal.groupBy("channel_id", "hour", "day", "event_type").agg(F.max("value").alias("value"))
     for i, kinds in enumerate((("error", "click"), ("view", "purchase"), ("signup",))):
         part = rows.filter(F.col("event_type").isin(*kinds)).groupBy("channel_id", "hour", "day").agg(F.max("value").alias("value"))
-        table.merge(part, fold, i)
-        table.merge(part.withColumn("value", F.lit(1e9)), fold, i)  # a replay of the same batch
-    return table.read().groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+        wr.write_batch(part.withColumn("value", F.lit(1e9)), path, i)  # what a failed try left behind
+        wr.write_batch(part, path, i)
+    return wr.read_greatest(t.spark, path, "channel_id long, hour timestamp, value double, day date", keys).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 @query("cyclic_weather_fill", "hour:t temp:d", """

@@ -8,7 +8,6 @@ from undercroft.functions.calendar import is_day_off
 from undercroft.queries.base import query
 from undercroft.queries.functions import CODE_SQL, FLAG_SQL
 from undercroft.session import scratch_path
-from undercroft.sources.writers import VersionedTable
 from undercroft.streaming import ingest as ing
 from undercroft.streaming import windows as win
 
@@ -41,27 +40,27 @@ FITS = "((stype = 'Датчик температуры' AND v BETWEEN -60 AND 15
 
 
 def ingested(t):
-    events, readings = scratch_path(t.spark, "events"), VersionedTable(t.spark, scratch_path(t.spark, "readings"), ing.READING_SCHEMA, "day")
-    ing.start_ingest(raw_stream(t), sensor_dictionary(t), events, readings, scratch_path(t.spark, "ingest-state")).awaitTermination()
-    return t.spark.read.parquet(events), readings.read()
+    path = scratch_path(t.spark, "ingest")
+    ing.start_ingest(raw_stream(t), sensor_dictionary(t), path, f"{path}-state").awaitTermination()
+    return path
 
 
 @query("ingest_stream_events", "code:s n:i sources:i", f"SELECT code, sum(fan) AS n, count(DISTINCT event_id) AS sources FROM ({SPREAD_SQL}) WHERE code IS NOT NULL GROUP BY code")
 def _(t):
-    return ingested(t)[0].groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_event_id").alias("sources"))
+    return t.spark.read.parquet(f"{ingested(t)}/events").groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_event_id").alias("sources"))
 
 
 @query("ingest_stream_readings", "sensor_id:s metric:s hour:t value:d", f"""
     SELECT concat('C', channel_id, '-0') AS sensor_id, CASE stype WHEN 'Датчик температуры' THEN 'temperature_c' ELSE 'methane_pct' END AS metric, date_trunc('hour', ts) AS hour, max(v) AS value FROM ({SPREAD_SQL}) WHERE {FITS} GROUP BY channel_id, stype, 3""")
 def _(t):
-    return ingested(t)[1]
+    return ing.ingested_readings(t.spark, ingested(t))
 
 
 @query("ingest_counters", "received:i events:i skipped:i", f"""
     SELECT (SELECT count(*) FROM raw_journal) AS received, (SELECT sum(fan) FROM ({SPREAD_SQL}) WHERE code IS NOT NULL) AS events,
            (SELECT count(*) FROM raw_journal) - (SELECT count(*) FROM ({SPREAD_SQL}) WHERE code IS NOT NULL OR {FITS}) AS skipped""")
 def _(t):
-    return ing.counters(ing.map_rows(t.raw_journal, sensor_dictionary(t)))
+    return t.spark.read.parquet(f"{ingested(t)}/counters").agg(*[F.sum(c).alias(c) for c in ("received", "events", "skipped")])
 
 
 @query("hour_max_reading_stream", "user_id:i hour:t value:d", "SELECT user_id, date_trunc('hour', ts) AS hour, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
@@ -76,11 +75,13 @@ def _(t):
       FROM (SELECT section, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY section ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b
             FROM (SELECT user_id % 50 AS section, date_trunc('second', ts) AS ts, event_id FROM events WHERE event_type IN ('error', 'click')))) GROUP BY section, g""")
 def _(t):
-    rows = event_stream(t).filter("event_type IN ('error', 'click')").withColumn("section", F.col("user_id") % 50)
-    got = win.run_available(t.spark, win.sessions(rows, ("section",)), "sessions", mode="complete")
-    # In complete mode every batch holds the whole result; the last one is the answer.
-    last = got.agg(F.max("batch_id").alias("batch_id"))
-    return got.join(F.broadcast(last), "batch_id")
+    path = scratch_path(t.spark, "moments")
+    rows = t.events.filter("event_type IN ('error', 'click')").select((F.col("user_id") % 50).alias("section"), F.date_trunc("second", "ts").alias("ts"))
+    rows.write.parquet(path)
+    win.closed(rows, "ts").write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).parquet(path)
+    # Append mode: an incident is given out once, when the watermark has passed it.
+    return win.run_available(t.spark, win.sessions(stream, ("section",)), "sessions").filter("section IS NOT NULL")
 
 
 @query("session_window_batch", "section:i started:t ended:t n_moments:i", """
@@ -107,12 +108,12 @@ def _(t):
 def _(t):
     rows = event_stream(t).filter("event_type = 'error'").select((F.col("user_id") % 40).alias("facility_id"), "ts")
     got = win.run_available(t.spark, win.fire_incidents(rows), "incidents")
-    return got.groupBy("facility_id", "started").agg(F.count(F.lit(1)).alias("signals"))
+    return got.filter("NOT late").groupBy("facility_id", "started").agg(F.count(F.lit(1)).alias("signals"))
 
 
 @query("late_rows_kept", "day:D n:i off:b", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(isodow(CAST(ts AS DATE)) >= 6 OR CAST(ts AS DATE) <= DATE '2024-01-08' AS INT) AS off FROM events GROUP BY 1")
 def _(t):
     """Rows arriving in any order land in their own day: history is partitioned by event time."""
-    stream = event_stream(t).select(F.to_date("ts").alias("day"))
-    got = win.run_available(t.spark, stream, "late")
+    stream = event_stream(t).select("event_id", F.to_date("ts").alias("day"))
+    got = win.run_available(t.spark, stream, "late", day="day")
     return got.groupBy("day").agg(F.count(F.lit(1)).alias("n")).withColumn("off", is_day_off("day"))

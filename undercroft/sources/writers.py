@@ -1,10 +1,10 @@
-"""Writers. Facts are partitioned by time; keyed tables are versioned, never edited in place."""
+"""Writers. Facts are partitioned by time; micro-batches land under their day and batch, so a replay overwrites itself."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +21,14 @@ def write_journal(df: DataFrame, path: str, partition: str = "day", mode: str =
     df.repartitionByRange(partition, *spread).write.mode(mode).option("compression", "zstd").partitionBy(partition).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def journal_to_parquet(df: DataFrame, path: str, partition: str = "day") -> bool:
     """One pass to parquet; what is already there is not rebuilt."""
-    if exists(df.sparkSession, f"{path}/_SUCCESS"):
+    try:
+        df.sparkSession.read.parquet(path).schema  # noqa: B018  a folder that a failed job left has no committed file
         return False
-    write_journal(df, path, partition, mode="overwrite")
-    return True
+    except AnalysisException:
+        write_journal(df, path, partition, mode="overwrite")
+        return True
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
@@ -87,56 +84,14 @@ def upsert_greatest(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], va
     return both.groupBy(*keys).agg(F.max(value).alias(value), *[F.max(c).alias(c) for c in carried])
 
 
-class VersionedTable:
-    """A keyed parquet table whose partitions are rewritten as new versions.
+def write_batch(rows: DataFrame, path: str, batch_id: int, day: str = "day") -> None:
+    """Rows of one micro-batch under their day.  A replayed batch overwrites what it wrote itself and nothing else."""
+    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, "batch").parquet(path)
 
-    Parquet cannot be overwritten while it is read, and readers must not see half a write.
-    A change writes the touched partitions under ``v=<n>``; a one-line pointer, written
-    last, names the version that holds each partition value.  Batch ids only grow, so a
-    replayed micro-batch is recognised and changes nothing.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, partition: str) -> None:
-        self.spark, self.path, self.schema, self.partition = spark, path.rstrip("/"), schema, partition
-
-    def _pointer(self) -> dict:
-        root = f"{self.path}/_pointer"
-        if not exists(self.spark, root):
-            return {"version": 0, "batch": -1, "parts": {}}
-        base = self.spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        numbers = [int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("p-")]
-        complete = [n for n in numbers if exists(self.spark, f"{root}/p-{n}/_SUCCESS")]
-        if not complete:
-            return {"version": 0, "batch": -1, "parts": {}}
-        return json.loads(self.spark.read.text(f"{root}/p-{max(complete)}").first()[0])
-
-    def _store(self, pointer: dict) -> None:
-        row = self.spark.createDataFrame([(json.dumps(pointer),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{self.path}/_pointer/p-{pointer['version']}")
-
-    def read(self, parts: Sequence[str] | None = None) -> DataFrame:
-        """The table, or only some of its partitions (the others are not even listed)."""
-        held = self._pointer()["parts"]
-        wanted = held if parts is None else {p: v for p, v in held.items() if p in set(parts)}
-        files = [f"{self.path}/v={v}/_part={p}" for p, v in wanted.items()]
-        if not files:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(*files)
-
-    def merge(self, fresh: DataFrame, fold, batch_id: int | None = None) -> bool:
-        """Rewrites the partitions ``fresh`` touches with ``fold(stored, fresh)``."""
-        pointer = self._pointer()
-        if batch_id is not None and batch_id <= pointer["batch"]:
-            return False
-        part = F.col(self.partition).cast("string")
-        touched = [r[0] for r in fresh.select(part.alias("p")).distinct().collect()]  # partition values, not rows
-        version = pointer["version"] + 1
-        merged = fold(self.read(touched), fresh)
-        merged.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/v={version}")
-        pointer["parts"].update({p: version for p in touched})
-        pointer["version"] = version
-        if batch_id is not None:
-            pointer["batch"] = batch_id
-        self._store(pointer)
-        return True
+def read_greatest(spark: SparkSession, path: str, schema: str, keys: Sequence[str], value: str = "value", carried: Sequence[str] = ("day",), days: Sequence[str] = ()) -> DataFrame:
+    """The greatest value of each key over the batches of ``write_batch``; ``days`` prunes the folders that are read."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    if days:
+        rows = rows.filter(F.col("day").isin(*days))
+    return rows.groupBy(*keys).agg(F.max(value).alias(value), *[F.max(c).alias(c) for c in carried])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from undercroft.functions.mapping import alarm_flag, event_code, metric, metric_unit, reading_value
-from undercroft.sources.writers import VersionedTable, upsert_greatest
+from undercroft.sources.writers import read_greatest, write_batch
 
 READING_KEYS = ("sensor_id", "metric", "hour")
 READING_SCHEMA = "sensor_id string, facility_id string, metric string, hour timestamp, value double, unit string, day date"
@@ -58,19 +60,23 @@ def counters(mapped: DataFrame) -> DataFrame:
         F.coalesce(F.sum((F.size("hits") == 0).cast("int")), F.lit(0)).alias("skipped"))
 
 
-def start_ingest(rows: DataFrame, sensors: DataFrame, events_path: str, readings: VersionedTable, checkpoint: str,
-                 received_at: str | None = None) -> StreamingQuery:
+def start_ingest(rows: DataFrame, sensors: DataFrame, path: str, checkpoint: str, received_at: str | None = None) -> StreamingQuery:
     """Runs the stream until the available input is done.
 
-    Events of a batch land under ``batch=<id>`` in overwrite mode and readings merge under
-    the batch id, so a replayed batch changes nothing.
+    Events, readings and counters of a batch land in ``events``, ``readings`` (both by day) and ``counters`` under the batch
+    id, so a replayed batch changes nothing and a day's history is one folder.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         mapped = map_rows(batch, sensors).persist()
         stamp = F.current_timestamp() if received_at is None else F.lit(received_at).cast("timestamp")
-        events_of(mapped).withColumn("received_at", stamp).write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        readings.merge(readings_of(mapped), lambda old, new: upsert_greatest(
-            old, new, ["sensor_id", "metric", "hour"], carried=["facility_id", "unit", "day"]), batch_id)
+        write_batch(events_of(mapped).withColumns({"received_at": stamp, "day": F.to_date("occurred_at")}), f"{path}/events", batch_id)
+        write_batch(readings_of(mapped), f"{path}/readings", batch_id)
+        write_batch(counters(mapped).withColumn("day", F.to_date(stamp)), f"{path}/counters", batch_id)
         mapped.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested_readings(spark: SparkSession, path: str, days: Sequence[str] = ()) -> DataFrame:
+    """The largest value per sensor, metric and hour over all batches."""
+    return read_greatest(spark, f"{path}/readings", READING_SCHEMA, READING_KEYS, carried=("facility_id", "unit", "day"), days=days)

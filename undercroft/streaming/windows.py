@@ -30,44 +30,58 @@ def deduplicated(rows: DataFrame, key: str = "event_id", ts: str = "ts", late: s
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-OUTPUT = "facility_id long, started timestamp, ts timestamp, n int, is_new boolean"
+OUTPUT = "facility_id long, started timestamp, ts timestamp, n int, is_new boolean, late boolean"
 STATE = "started long, n int"
 
 
-def fire_incidents(signals: DataFrame, hours: int = 24) -> DataFrame:
-    """Incidents keyed by their first signal outside a burst: signals of a facility within the
-    window of that first one belong to it, a later one opens the next.
+def fire_incidents(signals: DataFrame, hours: int = 24, late: str = "2 days") -> DataFrame:
+    """Incidents keyed by their first signal: signals of a facility within the window of it belong to it, a later one opens the next.
 
-    State is two numbers per facility.  Signals of a micro-batch come in time order.
+    Signals come without those of bursts (``operators.neighbours.burst_neighbours`` on the batch).  State is two numbers
+    a facility, dropped when the watermark passes the incident's end.  A signal from before the running incident is
+    given out as late, without a start, and changes nothing.
     """
     span = hours * 3_600_000_000
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         started, n = state.get if state.exists else (None, 0)
         stamps = pd.concat([f["ts"] for f in frames]).sort_values()
         out = []
         for t in stamps:
             at = int(t.value // 1000)
+            if started is not None and at < started:
+                out.append((key[0], pd.NaT, t, 0, False, True))
+                continue
             new = started is None or at - started >= span
             started, n = (at, 1) if new else (started, n + 1)
-            out.append((key[0], pd.Timestamp(started, unit="us"), t, n, new))
+            out.append((key[0], pd.Timestamp(started, unit="us"), t, n, new, False))
         state.update((started, n))
-        yield pd.DataFrame(out, columns=["facility_id", "started", "ts", "n", "is_new"])
+        state.setTimeoutTimestamp(max((started + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["facility_id", "started", "ts", "n", "is_new", "late"])
 
-    return signals.groupBy("facility_id").applyInPandasWithState(
-        fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return signals.withWatermark("ts", late).groupBy("facility_id").applyInPandasWithState(
+        fold, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", schema: str | None = None) -> DataFrame:
-    """Drains a stream into a folder per batch and returns what it wrote, the last state of
-    an updated row last."""
+def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", schema: str | None = None, day: str | None = None) -> DataFrame:
+    """Drains a stream into a folder per batch (inside one per day, if a day column is named) and returns what it wrote."""
     path = scratch_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b{batch_id}")
+        rows = batch.withColumn("batch_id", F.lit(batch_id))
+        parts = [day, "batch_id"] if day else ["batch_id"]
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option(
         "checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    reader = spark.read.option("recursiveFileLookup", True)
-    return reader.schema(schema).parquet(path) if schema else reader.parquet(path)
+    return spark.read.schema(schema or stream.withColumn("batch_id", F.lit(0)).schema).parquet(path)
+
+
+def closed(rows: DataFrame, ts: str, after: str = "10 days") -> DataFrame:
+    """A last row, all null but a time behind all others: it moves the watermark past them, so that append mode gives out what was still open."""
+    end = rows.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias(ts))
+    return end.select(*[F.col(ts) if c == ts else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes])
