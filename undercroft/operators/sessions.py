@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from undercroft import config
 from undercroft.functions.clock import boundary_diff
 from undercroft.operators.ordered import number_islands, stab_count
-from undercroft.session import cut
+from undercroft.session import stored
 
 
 def long_gap(minutes: int = config.INCIDENT_GAP_MINUTES, exact: bool = False):
@@ -63,7 +63,7 @@ def flag_events(moment: DataFrame, windows: DataFrame, keys: Sequence[str],
 
     The marked moments are stored once: numbering, validity and the flags all read them.
     """
-    marked = cut(off_guard(moment, cut(windows), guard_keys))
+    marked = stored(off_guard(moment, stored(windows), guard_keys))
     numbered = incidents(marked.filter(~F.col("off_guard")), keys, minutes, exact)
     valid = incident_facts(numbered, keys).filter(is_valid(near_entry)).select(*keys, "incident")
     armed = numbered.join(valid.withColumn("event", F.lit(True)), [*keys, "incident"], "left")

@@ -17,7 +17,7 @@ from undercroft.operators.grids import Rolling, days_since, dense_grid
 from undercroft.operators.intervals import disarm_hours_by_day, is_open_at, overlaps_any
 from undercroft.operators.neighbours import line_neighbours
 from undercroft.operators.ordered import asof_last, prefix_sums
-from undercroft.session import cut
+from undercroft.session import stored
 
 KEY = ("object_id", "gallery", "section")
 PASSPORT = ("is_branch", "no_entry", "n_pickets", "n_contact", "n_motion", "n_emergency_exit",
@@ -122,13 +122,12 @@ def guard_days(days: DataFrame, windows: DataFrame) -> DataFrame:
 
 def access_daily(t: AccessInputs, guard_filter: bool = True) -> DataFrame:
     # The grid and its object-days are read by several branches: both are stored once.
-    dense = cut(dense_days(t))
-    per_object = cut(object_days(dense))
+    dense = stored(dense_days(t))
+    per_object = stored(object_days(dense))
     ow = Rolling(("object_id",))
     objects = ow.cumulate(per_object, "m_obj", "units_alarmed").select(
         "object_id", "day", ow.sum("m_obj", 1).alias("obj_alarms_1d"), ow.sum("m_obj", 7).alias("obj_alarms_7d"),
         ow.sum("units_alarmed", 7).alias("obj_units_alarmed_7d"))
-    guard = guard_days(per_object, t.disarm_window)
     near = line_neighbours(dense, ("object_id", "gallery"), "section", (-1, 1), {"nb_ev": "had_armed", "nb_m": "m_all"})
     w = Rolling(KEY)
     age = F.datediff("day", w.first())
@@ -164,15 +163,16 @@ def access_daily(t: AccessInputs, guard_filter: bool = True) -> DataFrame:
         .withColumn("has_access_chain_1d", F.col("chain").cast("int"))
         .withColumn("naive", (F.col("n_armed_1d") > 0).cast("int"))
         .drop("_night_30", "_night_365", "disarm_hours_30d", "chain")
-        .join(objects, ["object_id", "day"], "left").fillna(0, ["obj_alarms_1d", "obj_alarms_7d", "obj_units_alarmed_7d"])
-        .join(guard, ["object_id", "day"], "left")
-        .join(network_days(per_object), "day", "left")
-        .join(t.section_info.select(*KEY, *PASSPORT), list(KEY), "left")
-        .join(t.calendar.select("day", *CALENDAR), "day")
     )
-    if not guard_filter:
-        return panel
-    return panel.join(unknown_days(per_object, t.guard_unknown), ["object_id", "day"], "left_anti")
+    # All that an object-day or a day knows is one table, which the panel meets once.
+    around = (
+        objects.join(guard_days(per_object, t.disarm_window), ["object_id", "day"], "left")
+        .join(network_days(per_object), "day", "left").join(t.calendar.select("day", *CALENDAR), "day")
+    )
+    if guard_filter:
+        around = around.join(unknown_days(per_object, t.guard_unknown), ["object_id", "day"], "left_anti")
+    counts = ["obj_alarms_1d", "obj_alarms_7d", "obj_units_alarmed_7d"]
+    return panel.join(around.fillna(0, counts), ["object_id", "day"]).join(t.section_info.select(*KEY, *PASSPORT), list(KEY), "left")
 
 
 def unknown_days(days: DataFrame, unknown: DataFrame, hours: int = 24) -> DataFrame:
@@ -186,7 +186,7 @@ def access_rolling(t: AccessInputs, hours: Sequence[int] = (0, 6, 12, 18)) -> Da
     """Several points a day: features of the day, label and freshness at the point."""
     at_hour = F.timestamp_micros(F.unix_micros(F.col("day").cast("timestamp")) + F.col("as_of_hour").cast("long") * 3_600_000_000)
     spread = F.explode(F.array(*[F.lit(int(h)) for h in hours]))
-    base = access_daily(t, guard_filter=False).drop("label", "naive").withColumn("as_of_hour", spread).withColumn("as_of", at_hour)
+    base = access_daily(t, guard_filter=False).drop("label", "naive")
     # The points come straight from the lives of the sections, not from the finished panel.
     point = [*KEY, "as_of"]
     points = dense_grid(t.unit, KEY).withColumn("as_of_hour", spread).select(*KEY, at_hour.alias("as_of"))
@@ -200,20 +200,22 @@ def access_rolling(t: AccessInputs, hours: Sequence[int] = (0, 6, 12, 18)) -> Da
     guard = is_open_at(moments, t.disarm_window, ("object_id",), "as_of", "is_disarmed_at_t")
     guard = overlaps_any(guard.withColumn("_hi", shift("as_of", 86400)), t.guard_unknown, ("object_id",),
                          "as_of", "_hi", "_u").drop("_hi")
+    # What a point knows is folded to one row a day before it meets the wide panel, and spread again last.
+    known = seen.join(guard, ["object_id", "as_of"]).filter("NOT _u").select(
+        *KEY, F.to_date("as_of").alias("day"), F.struct(
+            F.hour("as_of").alias("as_of_hour"), "as_of", "is_disarmed_at_t",
+            (F.col("ev_next") > F.col("ev_now")).cast("int").alias("label"), (F.col("ev_now") > F.col("ev_prev")).cast("int").alias("naive"),
+            (F.col("al_now") - F.col("al_h1")).alias("alarms_last_1h"), (F.col("al_now") - F.col("al_h6")).alias("alarms_last_6h"),
+            (F.col("m_now") - F.col("m_h1")).alias("events_last_1h"), (F.col("m_now") - F.col("m_h6")).alias("events_last_6h"),
+            F.col("la_now").alias("_la"), F.col("le_now").alias("_le")).alias("_p"))
+    folded = known.groupBy(*KEY, "day").agg(F.collect_list("_p").alias("_points"))
     never = 24 * (F.col("unit_age_days") + 1) + F.col("as_of_hour")
-    probes = [f"{s}_{p}" for s in ("ev", "m", "al", "la", "le") for p in at]
+    wide = base.join(folded, [*KEY, "day"]).join(t.unit.select(*KEY, "hour_to"), list(KEY)).withColumn("_p", F.explode("_points"))
     return (
-        base.join(seen, point).join(guard, ["object_id", "as_of"]).join(t.unit.select(*KEY, "hour_to"), list(KEY))
-        .filter(~F.col("_u") & (shift("as_of", 86400) <= shift("hour_to", 3600)))
-        .withColumn("label", (F.col("ev_next") > F.col("ev_now")).cast("int"))
-        .withColumn("naive", (F.col("ev_now") > F.col("ev_prev")).cast("int"))
-        .withColumn("alarms_last_1h", F.col("al_now") - F.col("al_h1"))
-        .withColumn("alarms_last_6h", F.col("al_now") - F.col("al_h6"))
-        .withColumn("events_last_1h", F.col("m_now") - F.col("m_h1"))
-        .withColumn("events_last_6h", F.col("m_now") - F.col("m_h6"))
-        .withColumn("hours_since_last_alarm_t", F.coalesce(boundary_diff("hour", "la_now", "as_of"), never))
-        .withColumn("hours_since_last_event_t", F.coalesce(boundary_diff("hour", "le_now", "as_of"), never))
-        .drop("_u", "hour_to", *probes)
+        wide.select(*base.columns, "_p.*", "hour_to").filter(shift("as_of", 86400) <= shift("hour_to", 3600))
+        .withColumn("hours_since_last_alarm_t", F.coalesce(boundary_diff("hour", "_la", "as_of"), never))
+        .withColumn("hours_since_last_event_t", F.coalesce(boundary_diff("hour", "_le", "as_of"), never))
+        .drop("_la", "_le", "hour_to")
     )
 
 

@@ -14,7 +14,7 @@ from undercroft.functions.mapping import decimal
 from undercroft.operators.grids import Rolling, days_since, dense_grid
 from undercroft.operators.neighbours import burst_neighbours, line_neighbours
 from undercroft.operators.ordered import stab_count
-from undercroft.session import cut
+from undercroft.session import stored
 
 KEY = ("object_id", "gallery", "picket")
 EVENT_FACTS = ("ev_to_midnight", "ev_channels", "ev_smoke", "ev_heat", "ev_temp")
@@ -65,7 +65,7 @@ def unit_days(t: FireInputs) -> DataFrame:
         F.max(c).alias(c) for c in ("m_ev", "m_chk", *EVENT_FACTS, "faults", "t_max", "t_mean")])
     ud = grid.join(sparse, [*KEY, "day"], "left").fillna(0, ["m_ev", "m_chk", "faults"]).withColumn(
         "ev", (F.col("m_ev") > 0).cast("int")).withColumn("chk", (F.col("m_chk") > 0).cast("int"))
-    ud = cut(ud)  # read by the object sums, the line neighbours and the panel
+    ud = stored(ud)  # read by the object sums, the line neighbours and the panel
     od = ud.groupBy("object_id", "day").agg(
         F.sum("ev").alias("o_ev"), F.sum("chk").alias("o_chk"), F.count(F.lit(1)).alias("o_units"))
     line = line_neighbours(ud, ("object_id", "gallery"), "picket",
@@ -142,8 +142,8 @@ def fire_daily(t: FireInputs) -> DataFrame:
     full = (
         rolled.join(t.unit.select(*KEY, "hour_from", "n_smoke", "n_temp", "n_heat"), list(KEY))
         .filter(F.col("day") > F.to_date("hour_from"))
-        .join(lines, ["object_id", "gallery"]).join(weather_days(t), "day", "left")
-        .join(t.calendar.select("day", "day_of_week", "is_day_off", "season", "month", "day_of_year"), "day")
+        .join(lines, ["object_id", "gallery"])
+        .join(t.calendar.select("day", "day_of_week", "is_day_off", "season", "month", "day_of_year").join(weather_days(t), "day", "left"), "day")
     )
     return (
         full.withColumn("naive", (F.col("evt_days_1d") > 0).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from undercroft.functions.clock import boundary_diff
 from undercroft.operators.grids import Rolling, dense_grid
 from undercroft.operators.ordered import exact_quantile
-from undercroft.session import cut
+from undercroft.session import stored
 
 KEY = ("object_id", "gallery", "picket")
 MEASURES = ("m_evt", "had_evt", "chg", "blink", "on_min", "unavail", "allp", "had_check")
@@ -124,7 +124,7 @@ def flood_hourly(t: FloodInputs, blink: float, horizon: int = 24) -> DataFrame:
         s("had_check", 24).alias("recent_check_hours_24h"),
         *[s("had_check", n).alias(f"check_hours_{n}h") for n in (168, 720)],
     )
-    by_object = cut(group_hours(t, blink))
+    by_object = stored(group_hours(t, blink))
     by_complex = by_object.join(t.object_complex, "object_id").groupBy("complex_id", "hour").agg(*[
         F.sum(m).alias(m) for m in GROUP_MEASURES])
     objects = group_rolled(by_object, t.unit, "object_id", "_o_")

@@ -19,7 +19,7 @@ from undercroft.operators.intervals import on_intervals, overlap_hours
 from undercroft.operators.ordered import state_runs
 from undercroft.operators.sessions import flag_events
 from undercroft.plans.flood import melt, pump_growth
-from undercroft.session import cut
+from undercroft.session import stored
 
 ACCESS_TYPES = ("DOOR_OPEN", "MOTION")
 DAY = 86400
@@ -39,7 +39,7 @@ def guard_runs(known: DataFrame) -> DataFrame:
     the last change all read them."""
     guard = known.filter(F.col("code").isin("SECURITY_ARMED", "SECURITY_DISARMED")).select(
         "facility_id", "ts", F.col("code").alias("value"))
-    return cut(state_runs(guard, ("facility_id",), "ts", "value", "next"))
+    return stored(state_runs(guard, ("facility_id",), "ts", "value", "next"))
 
 
 def access_moments(known: DataFrame, windows: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def access_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame,
     m = access_moments(known, windows, sensors).withColumn("_d", back_days("ts", now))
     hit = F.col("event")
     # One row per unit and day back: every share and distinct-day count is a plain sum over it.
-    per_day = cut(m.groupBy("facility_id", "_d").agg(
+    per_day = stored(m.groupBy("facility_id", "_d").agg(
         F.count(F.lit(1)).alias("_a"), F.count_if(hit).alias("_e"), F.max("ts").alias("_la"),
         F.max(F.when(hit, F.col("ts"))).alias("_le")))
     d, a, e = F.col("_d"), F.col("_a"), F.col("_e")
@@ -182,7 +182,7 @@ def flood_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame, w
     p = local_midnight(F.lit(at).cast("timestamp"))
     # One scan of the events: hour rows per sensor and code carry every counter, the first and
     # the last stamps. The point lies on the hour, so hour rows cut the windows exactly.
-    hourly = cut(events.filter(F.col("ts") < p).groupBy("facility_id", "sensor_id", "code", F.date_trunc("hour", "ts").alias("_h")).agg(
+    hourly = stored(events.filter(F.col("ts") < p).groupBy("facility_id", "sensor_id", "code", F.date_trunc("hour", "ts").alias("_h")).agg(
         F.count(F.lit(1)).alias("_n"), F.countDistinct("ts").alias("_m"), F.min("ts").alias("_lo"), F.max("ts").alias("_hi")))
     age = lambda c: (F.unix_micros(p) - F.unix_micros(c)) / 3.6e9
     within = lambda n: age("_h") <= n
@@ -210,7 +210,7 @@ def flood_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame, w
     for part in (evt, counts, blink, on):
         unit = unit.join(part, "facility_id", "left")
     sums = [c for c in unit.columns if c not in ("facility_id", "collector", "district", "_first", "_last")]
-    unit = cut(unit.fillna(0, sums))  # summed to objects and complexes, then read again
+    unit = stored(unit.fillna(0, sums))  # summed to objects and complexes, then read again
     level = ("m_evt_24h", "m_evt_168h", "chg_24h", "blink_24h", "unavail_24h", "allp_24h", "allp_168h", "on_min_24h")
     by_object = unit.groupBy("collector").agg(*[F.sum(c).alias(f"_o_{c}") for c in level])
     by_complex = unit.groupBy("district").agg(*[F.sum(c).alias(f"_c_{c}") for c in level])

@@ -10,14 +10,14 @@ from undercroft.operators.ordered import asof_last, prefix_sums
 from undercroft.plans import access, flood
 from undercroft.queries.base import query
 from undercroft.queries.journal import WINDOWS_SQL
-from undercroft.session import cut
+from undercroft.session import stored
 
 AT = "2024-01-29 12:00:00"
 ACC_WINDOWS_SQL = WINDOWS_SQL.replace("FROM guard)", "FROM acc_guard)")
 
 
 def acc_windows(t):
-    return cut(iv.disarm_windows(t.acc_guard))
+    return stored(iv.disarm_windows(t.acc_guard))
 
 
 @query("state_changes", "object_id:i ts:t value:s", """
@@ -44,7 +44,7 @@ UNKNOWN_SQL = """
 
 
 def unknown(t):
-    return cut(iv.guard_unknown(t.acc_guard, "2001-09-01", silence_hours=120))
+    return stored(iv.guard_unknown(t.acc_guard, "2001-09-01", silence_hours=120))
 
 
 @query("guard_unknown", "object_id:i t_from:t t_to:t", UNKNOWN_SQL)
@@ -127,7 +127,7 @@ def _(t):
     WHERE hour < TIMESTAMP '2024-01-20' AND n_changes > 0 AND NOT EXISTS (
       SELECT 1 FROM ({PUMP_HOUR_SQL}) b WHERE (b.n_unavail > 1 OR b.n_flooded > 1) AND b.channel_id = p.channel_id AND CAST(b.hour AS DATE) = CAST(p.hour AS DATE))""")
 def _(t):
-    hours = cut(iv.pump_hours(t.pump_rows))
+    hours = stored(iv.pump_hours(t.pump_rows))
     worse = hours.withColumn("n_unavail", F.greatest(F.col("n_unavail") - 1, F.lit(0))).withColumn(
         "n_flooded", F.greatest(F.col("n_flooded") - 1, F.lit(0)))
     return flood.blink_threshold(worse, "2024-01-20")

@@ -9,7 +9,7 @@ from undercroft.operators import journal as jr
 from undercroft.operators import sessions as se
 from undercroft.operators.intervals import disarm_windows
 from undercroft.queries.base import query
-from undercroft.session import cut
+from undercroft.session import stored
 
 SECTION = ("object_id", "gallery", "section")
 PICKET = ("object_id", "gallery", "picket")
@@ -249,7 +249,7 @@ VALID_SQL = f"""
 
 
 def windows(t):
-    return cut(disarm_windows(t.guard))
+    return stored(disarm_windows(t.guard))
 
 
 def moments_with_contacts(t):
@@ -264,7 +264,7 @@ def _(t):
 @query("access_incident", "object_id:i gallery:i section:i incident:i started:t ended:t n_moments:i", f"""
     SELECT object_id, gallery, section, incident, min(ts) AS started, max(ts) AS ended, count(*) AS n_moments FROM ({ARMED_SQL}) GROUP BY object_id, gallery, section, incident""")
 def _(t):
-    armed = cut(se.off_guard(moments_with_contacts(t), windows(t)).filter("NOT off_guard"))
+    armed = stored(se.off_guard(moments_with_contacts(t), windows(t)).filter("NOT off_guard"))
     return se.incident_facts(se.incidents(armed, SECTION), SECTION)
 
 
@@ -274,13 +274,13 @@ def _(t):
       FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY object_id, gallery, section ORDER BY ts, channel_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS is_new
             FROM ({FLAGGED_SQL}) WHERE NOT off_guard)) GROUP BY object_id, gallery, section, incident""")
 def _(t):
-    armed = cut(se.off_guard(moments_with_contacts(t), windows(t)).filter("NOT off_guard"))
+    armed = stored(se.off_guard(moments_with_contacts(t), windows(t)).filter("NOT off_guard"))
     return se.incident_facts(se.incidents(armed, SECTION, exact=True), SECTION)
 
 
 @query("valid_incident", "object_id:i gallery:i section:i incident:i started:t ended:t n_moments:i", VALID_SQL)
 def _(t):
-    armed = cut(se.off_guard(moments_with_contacts(t), windows(t)).filter("NOT off_guard"))
+    armed = stored(se.off_guard(moments_with_contacts(t), windows(t)).filter("NOT off_guard"))
     return se.incident_facts(se.incidents(armed, SECTION), SECTION).filter(se.is_valid())
 
 

@@ -12,7 +12,7 @@ from undercroft.operators import models as md
 from undercroft.queries.base import query
 from undercroft.queries.panels import dense, rng
 from undercroft.queries.panels import DENSE_SQL
-from undercroft.session import cut
+from undercroft.session import stored
 
 FEATURES = ("evt_s7", "evt_s30", "evt_since", "cal_month")
 KEYS = ("unit_id", "day")
@@ -88,7 +88,7 @@ def _(t):
 
 @query("monthly_retrain", "month:s unit_id:i day:D y:i p:d")
 def _(t):
-    return md.monthly_retrain(cut(panel(t)), FEATURES, KEYS, tuple(f"2000-{m:02d}-01" for m in range(7, 13)), rounds=3)
+    return md.monthly_retrain(stored(panel(t)), FEATURES, KEYS, tuple(f"2000-{m:02d}-01" for m in range(7, 13)), rounds=3)
 
 
 @query("pu_label", "unit_id:i day:D labeled:i score:d p_real:d real:b")

@@ -9,7 +9,7 @@ from undercroft.operators.sessions import episodes_per_day
 from undercroft.plans import fire, fire_rules
 from undercroft.queries.base import query
 from undercroft.queries.journal import EVENT_SQL, flagged
-from undercroft.session import cut
+from undercroft.session import stored
 
 NB_SQL = """
     SELECT a.*, (SELECT count(DISTINCT (r.gallery, r.picket)) FROM fire_signal r WHERE r.object_id = a.object_id AND (r.gallery <> a.gallery OR r.picket <> a.picket)
@@ -63,7 +63,7 @@ def _(t):
       ON m.object_id = c.object_id AND m.gallery = c.gallery AND m.section = c.section AND m.kind = 'motion' AND m.ts > c.ts AND m.ts <= c.ts + INTERVAL 30 MINUTE
     WHERE c.kind = 'contact' GROUP BY c.object_id, c.gallery, c.section, c.ts""")
 def _(t):
-    return nb.contact_then_motion(cut(flagged(t)), ("object_id", "gallery", "section"))
+    return nb.contact_then_motion(stored(flagged(t)), ("object_id", "gallery", "section"))
 
 
 @query("line_neighbours_sections", "object_id:i section:i day:D ev:i m:i", """

@@ -16,7 +16,7 @@ from undercroft.queries.base import query
 from undercroft.queries.intervals import ACC_WINDOWS_SQL, CUT_DAY_SQL, PUMP_HOUR_SQL, UNKNOWN_SQL, acc_windows, unknown
 from undercroft.queries.journal import EVENT_SQL, flagged
 from undercroft.queries.targets import LIFE_SQL, life
-from undercroft.session import cut
+from undercroft.session import stored
 
 # --- look-back windows over the seven-year grid ----------------------------------------
 
@@ -117,7 +117,7 @@ def _(t):
 def slice_panel(t):
     """Events of one month folded to hours, put on a day grid with look-back windows."""
     section = ("object_id", "gallery", "section")
-    events = cut(flagged(t))
+    events = stored(flagged(t))
     armed = jr.hourly_rollup(events.filter("event"), section)
     lives = jr.unit_life(t.journal, t.moment.select("channel_id", *section), section)
     days = armed.groupBy(*section, F.to_date("hour").alias("day")).agg(F.sum("n_moments").alias("m"))
@@ -263,7 +263,7 @@ P = "object_id, gallery, picket"
 
 def flood_inputs(t, hours=None):
     chan = t.journal.groupBy("channel_id", "object_id", "complex_id", "gallery", "picket").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    pumps = (cut(iv.pump_hours(t.pump_rows)) if hours is None else hours).join(
+    pumps = (stored(iv.pump_hours(t.pump_rows)) if hours is None else hours).join(
         chan.select("channel_id", "object_id", "complex_id", "gallery", F.when(F.col("channel_id") % 11 != 0, F.col("picket")).alias("picket")), "channel_id")
     unit = chan.groupBy("object_id", "gallery", "picket").agg(
         F.min("lo").cast("timestamp").alias("hour_from"), shift(F.max("hi").cast("timestamp"), 23 * 3600).alias("hour_to"))

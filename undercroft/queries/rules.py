@@ -13,7 +13,7 @@ from undercroft.plans import fire, fire_rules
 from undercroft.queries.base import query
 from undercroft.queries.intervals import PUMP_HOUR_SQL
 from undercroft.queries.neighbours import NB_SQL
-from undercroft.session import cut
+from undercroft.session import stored
 
 K = ("object_id", "gallery", "picket")
 P = "object_id, gallery, picket"
@@ -45,7 +45,7 @@ def water_days(t):
     kind = lambda k: (F.col("event_type") == k).cast("int")
     hours = signals.groupBy(*K, "hour").agg(F.count(F.lit(1)).alias("n_moments"), F.max(kind("error")).alias("from_sensor"), F.max(kind("click")).alias("from_pump"))
     places = t.journal.select("channel_id", *K).distinct()
-    pumps = cut(iv.pump_hours(t.pump_rows).join(places, "channel_id"))
+    pumps = stored(iv.pump_hours(t.pump_rows).join(places, "channel_id"))
     weather = t.weather_hour.groupBy(F.to_date("hour").alias("day")).agg(F.sum("precip").alias("precip_mm"), (F.count(F.lit(1)) / 7).alias("melt_cm"))
     return lb.water_event_features(hours, signals, pumps, weather, t.cal, "2024-01-20")
 
@@ -175,7 +175,7 @@ def _(t):
     SELECT CASE lv WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS level, period, count(*) AS episodes, round(avg(nx), 4) AS next_day_rate, round(count(*) / CASE period WHEN 'calibration' THEN 19 ELSE 11 END * 365, 1) AS per_year,
       round(count(*) / CASE period WHEN 'calibration' THEN 19 ELSE 11 END, 3) AS per_day FROM e GROUP BY lv, period""")
 def _(t):
-    graded = cut(fire_rules.grade(facts(t)))
+    graded = stored(fire_rules.grade(facts(t)))
     nxt = graded.filter("signal").select(*K, F.date_sub("day", 1).alias("day"), F.lit(1).alias("next_label"))
     episodes = graded.join(nxt, [*K, "day"], "left").fillna(0, ["next_label"])
     return tg.expert_load(episodes, "2024-01-20", "2024-01-01", "2024-01-31")

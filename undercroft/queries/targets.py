@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from undercroft.operators import targets as tg
 from undercroft.operators.grids import dense_grid
 from undercroft.queries.base import query
-from undercroft.session import cut
+from undercroft.session import stored
 
 UNIT = ("unit_id",)
 UNITS_SQL = "SELECT unit_id, object_id, CAST(min(day) AS TIMESTAMP) AS hour_from, CAST(max(day) AS TIMESTAMP) + INTERVAL 23 HOUR AS hour_to FROM unit_event GROUP BY 1, 2"
@@ -191,7 +191,7 @@ def screen(t):
         F.max((F.col("l_returnflag") == "R").cast("int")).alias("from_sensor"), F.max((F.col("l_returnflag") == "A").cast("int")).alias("from_pump"),
         F.bool_or((F.col("is_day_off") == 0) & (h >= 8) & (h < 16)).alias("in_work"), F.bool_or((h >= 22) | (h < 6)).alias("at_night"),
         F.bool_or(F.col("is_day_off") == 1).alias("day_off"))
-    hours = cut(hours)
+    hours = stored(hours)
     d = hours.groupBy("unit_id", "object_id", "day").agg(
         F.count(F.lit(1)).alias("hrs"), F.bool_and("in_work").alias("work_only"), F.max("from_sensor").alias("any_sensor"), F.max("from_pump").alias("any_pump"))
     from pyspark.sql import Window

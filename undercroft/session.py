@@ -1,7 +1,7 @@
 """Session settings and the shared scratch folder.
 
-Cutting lineage uses ``checkpoint()`` only, so a lost executor never loses a
-result.  The folder is the one the cluster names in ``spark.checkpoint.dir``.
+Results that are read more than once are written as Parquet to the shared folder, so a
+lost executor never loses one.  The folder is the one the cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders handed out in the shared folder, for ``clear_scratch``.
+_PATHS: set[str] = set()
+
 
 def build_session(app: str = "undercroft", master: str = "local[8]", shuffle_partitions: int = 8,
                   driver_memory: str = "8g") -> SparkSession:
@@ -45,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = sc.getCheckpointDir()
     if current is None:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="undercroft-"))
         current = sc.getCheckpointDir()
@@ -54,10 +57,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for tables written between two jobs."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _PATHS.add(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as Parquet in the shared folder, read again: columns, not whole rows, and a plan that starts there."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result is stored and the plan before it is dropped."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the tables that this session has stored and no longer reads; gives their number."""
+    removed = 0
+    for path in list(_PATHS):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        removed += folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _PATHS.discard(path)
+    return removed
