@@ -132,9 +132,16 @@ def _(t):
     return ev.showcase_events(t.scored, 0.5, KEYS, 12)
 
 
-@query("score_card", "events:i base:d pr_auc:d precision:d recall:d alerts:i hits:i", f"""
-    SELECT max(pos) AS events, round(max(pos) / max(n), 6) AS base, sum(CASE WHEN y = 1 THEN CAST(tp AS DOUBLE) / rn END) / max(pos) AS pr_auc, round(sum(naive * y) / sum(naive), 6) AS precision,
-           round(sum(naive * y) / max(pos), 6) AS recall, sum(naive) AS alerts, sum(naive * y) AS hits FROM ({RANK_SQL})""")
+POINT_SQL = "round(sum(y) / count(*), 6) AS {p}_precision, round(sum(y) / max(pos), 6) AS {p}_recall, count(*) AS {p}_alerts, sum(y) AS {p}_hits, round(min(p), 6) AS {p}_threshold"
+POINT_SPEC = " ".join(f"{p}_{c}:{k}" for p in ("recall", "alerts") for c, k in (("precision", "d"), ("recall", "d"), ("alerts", "i"), ("hits", "i"), ("threshold", "d")))
+
+
+@query("score_card", f"events:i base:d pr_auc:d precision:d recall:d alerts:i hits:i {POINT_SPEC}", f"""
+    WITH r AS ({RANK_SQL}), c AS (SELECT max(pos) AS events, round(max(pos) / max(n), 6) AS base, sum(CASE WHEN y = 1 THEN CAST(tp AS DOUBLE) / rn END) / max(pos) AS pr_auc, round(sum(naive * y) / sum(naive), 6) AS precision,
+           round(sum(naive * y) / max(pos), 6) AS recall, sum(naive) AS alerts, sum(naive * y) AS hits FROM r),
+    a AS (SELECT {POINT_SQL.format(p="recall")} FROM r WHERE rn <= (SELECT min(rn) FROM r WHERE tp >= (SELECT hits FROM c))),
+    b AS (SELECT {POINT_SQL.format(p="alerts")} FROM r WHERE rn <= (SELECT alerts FROM c))
+    SELECT * FROM c CROSS JOIN a CROSS JOIN b""")
 def _(t):
     return ev.score_card(t.scored, KEYS)
 

@@ -44,7 +44,7 @@ def _(t):
 
 @query("cross_validate", "fold:s seed:i unit_id:i day:D y:i naive:i margin:d")
 def _(t):
-    return md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217,), rounds=3, depth=3)
+    return md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217,), rounds=3, depth=3, stop_days=60)
 
 
 @query("fold_report", "fold:s base:d pr_auc:d precision:d recall:d alerts:i model_alerts:i")
