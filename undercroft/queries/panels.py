@@ -464,11 +464,12 @@ def _(t):
 EVT_CHAR = "SELECT unit_id, day, CAST(day AS TIMESTAMP) + (unit_id % 24) * INTERVAL 1 HOUR + (m * 7) * INTERVAL 1 MINUTE AS moment FROM unit_event WHERE ev = 1"
 
 
-@query("event_character", "unit_id:i moment:t char_burstiness:d char_rayleigh:d char_hour_entropy:d", f"""
-    WITH f AS (SELECT *, epoch(moment - lag(moment) OVER (PARTITION BY unit_id ORDER BY moment)) / 86400.0 AS g, hour(moment) + minute(moment) / 60.0 AS h FROM ({EVT_CHAR})),
-    c AS (SELECT f.unit_id, f.moment, count(*) AS n, count(p.g) AS ng, avg(p.g) AS mu, sum(coalesce(p.g, 0) * coalesce(p.g, 0)) AS g2, sum(cos(2 * {math.pi} * p.h / 24)) AS cs, sum(sin(2 * {math.pi} * p.h / 24)) AS sn,
+@query("event_character", "unit_id:i moment:t char_burstiness:d char_memory:d char_rayleigh:d char_hour_cos:d char_hour_sin:d char_hour_entropy:d", f"""
+    WITH f AS (SELECT *, lag(g) OVER (PARTITION BY unit_id ORDER BY moment) AS pg FROM (SELECT *, epoch(moment - lag(moment) OVER (PARTITION BY unit_id ORDER BY moment)) / 86400.0 AS g, hour(moment) + minute(moment) / 60.0 AS h FROM ({EVT_CHAR}))),
+    c AS (SELECT f.unit_id, f.moment, count(*) AS n, count(p.g) AS ng, avg(p.g) AS mu, count(p.pg) AS np, avg(p.g * p.pg) AS xy, avg(CASE WHEN p.pg IS NOT NULL THEN p.g END) AS y1, avg(p.pg) AS x1, avg(CASE WHEN p.pg IS NOT NULL THEN p.g * p.g END) AS y2, avg(p.pg * p.pg) AS x2, sum(coalesce(p.g, 0) * coalesce(p.g, 0)) AS g2, sum(cos(2 * {math.pi} * p.h / 24)) AS cs, sum(sin(2 * {math.pi} * p.h / 24)) AS sn,
                  {', '.join(f'count(*) FILTER (floor(p.h / 4) = {i}) AS b{i}' for i in range(6))} FROM f JOIN f p ON p.unit_id = f.unit_id AND p.moment <= f.moment GROUP BY 1, 2)
-    SELECT unit_id, moment, CASE WHEN ng >= 2 THEN (sd - mu) / (sd + mu) END AS char_burstiness, sqrt(cs * cs + sn * sn) / n AS char_rayleigh, -({' + '.join(f'CASE WHEN b{i} > 0 THEN (b{i} / n) * ln(b{i} / n) ELSE 0 END' for i in range(6))}) AS char_hour_entropy
+    SELECT unit_id, moment, CASE WHEN ng >= 2 THEN (sd - mu) / (sd + mu) END AS char_burstiness, CASE WHEN np >= 3 AND (x2 - x1 * x1) * (y2 - y1 * y1) > 0 THEN (xy - x1 * y1) / sqrt((x2 - x1 * x1) * (y2 - y1 * y1)) END AS char_memory,
+           sqrt(cs * cs + sn * sn) / n AS char_rayleigh, cs / n AS char_hour_cos, sn / n AS char_hour_sin, -({' + '.join(f'CASE WHEN b{i} > 0 THEN (b{i} / n) * ln(b{i} / n) ELSE 0 END' for i in range(6))}) AS char_hour_entropy
     FROM (SELECT *, sqrt(greatest(g2 / greatest(ng, 1) - mu * mu, 0)) AS sd FROM c)""")
 def _(t):
     from undercroft.plans.hypotheses import event_character

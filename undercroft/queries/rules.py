@@ -40,14 +40,14 @@ WATER_SQL = f"""
 WATER_SPEC = "object_id:i gallery:i picket:i day:D labeled:i n_hours:i n_moments:i has_sensor:i has_pump:i pump_on_ratio:d pump_changes_ratio:d pump_all_running:i pump_unavailable:i neighbour_units:i signal_yesterday:i precip_3d_mm:d melt_3d_cm:d pump_on_before_2h_ratio:d pump_on_after_2h_ratio:d span_minutes:i n_episodes:i other_units_within_1h:i"
 
 
-def water_days(t):
+def water_days(t, norm_days=None):
     signals = t.journal.filter("event_type IN ('error', 'click')")
     kind = lambda k: (F.col("event_type") == k).cast("int")
     hours = signals.groupBy(*K, "hour").agg(F.count(F.lit(1)).alias("n_moments"), F.max(kind("error")).alias("from_sensor"), F.max(kind("click")).alias("from_pump"))
     places = t.journal.select("channel_id", *K).distinct()
     pumps = stored(iv.pump_hours(t.pump_rows).join(places, "channel_id"))
     weather = t.weather_hour.groupBy(F.to_date("hour").alias("day")).agg(F.sum("precip").alias("precip_mm"), (F.count(F.lit(1)) / 7).alias("melt_cm"))
-    return lb.water_event_features(hours, signals, pumps, weather, t.cal, "2024-01-20")
+    return lb.water_event_features(hours, signals, pumps, weather, t.cal, "2024-01-20", norm_days=norm_days)
 
 
 @query("water_event_features", WATER_SPEC, WATER_SQL)
@@ -55,6 +55,15 @@ def _(t):
     return water_days(t)
 
 
+NORM_SQL = f"nm AS (SELECT {P}, avg(on_min) AS mo, avg(chg) AS mc FROM pd WHERE day < DATE '2024-01-20' GROUP BY ALL),"
+OWN_NORM_SQL = "nm AS (SELECT d.object_id, d.gallery, d.picket, d.day, avg(pd.on_min) AS mo, avg(pd.chg) AS mc FROM d JOIN pd ON pd.object_id = d.object_id AND pd.gallery = d.gallery AND pd.picket = d.picket AND pd.day < d.day AND pd.day >= d.day - 365 GROUP BY ALL)"
+
+
+@query("water_event_features_own_norm", WATER_SPEC, WATER_SQL.replace(NORM_SQL, "").replace("FROM sg JOIN cal USING (day) GROUP BY ALL)", f"FROM sg JOIN cal USING (day) GROUP BY ALL), {OWN_NORM_SQL}").replace(f"LEFT JOIN nm USING ({P})", f"LEFT JOIN nm USING ({P}, day)"))
+def _(t):
+    return water_days(t, norm_days=365)
+
+
 @query("water_label_rule", "object_id:i gallery:i picket:i day:D is_labelled:b is_water:b p_water:d", f"""
     SELECT object_id, gallery, picket, day, labeled AS is_labelled, CASE WHEN labeled = 1 OR p >= 0.6 THEN 1 ELSE 0 END AS is_water, CASE WHEN labeled = 1 THEN 1.0 ELSE p END AS p_water
     FROM (SELECT *, CASE WHEN n_moments % 4 <> 0 THEN least(n_hours / 3.0, 1.0) END AS p FROM ({WATER_SQL}))""")
