@@ -164,3 +164,18 @@ def test_small_rules(spark):
         model_columns(["cal_day_of_week", "evt_a"], ["evt", "bad"], {"evt_": "evt", "cal_": "bad"}, config.WORK_WEEK_COLUMNS)
     with pytest.raises(KeyError):
         model_columns(["evt_a"], ["no"], {"evt_": "evt"})
+
+
+def test_predictors_refuse_what_does_not_fit(spark):
+    from undercroft.plans.run import Predictor, Predictors, forecasts_of
+
+    held = Predictors()
+    held.add("FLOOD_RISK", Predictor(lambda units, at: units))
+    with pytest.raises(ValueError):
+        held.add("FLOOD_RISK", Predictor(lambda units, at: units))
+    with pytest.raises(KeyError):
+        held.add("NO_RISK", Predictor(lambda units, at: units))
+    held.add("FIRE_RISK", Predictor(lambda units, at: units, features=("heat",)))
+    assert held.due() == ["FIRE_RISK", "FLOOD_RISK"] and "UNAUTHORIZED_ACCESS" in held.missing()
+    with pytest.raises(KeyError, match="heat"):
+        forecasts_of("FIRE_RISK", held.held["FIRE_RISK"], spark.range(1).withColumnRenamed("id", "facility_id"), "2024-01-01", 1)

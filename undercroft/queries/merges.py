@@ -217,3 +217,51 @@ def _(t):
     start = t.card.select("prediction_id", F.lit("NEW").alias("card_status"), F.lit("NONE").alias("order_status"))
     replayed = ac.replay(log, start, tiebreak=("seq", "l_partkey"))
     return ac.final_states(replayed, tiebreak=("seq", "l_partkey"))
+
+
+# --- one run over all directions -----------------------------------------------------------
+
+RUN_AT = "2001-08-02 09:00:00"
+
+
+def run_predictors():
+    """Scores by rule of the unit's number: enough to drive every branch of a run."""
+    from undercroft.plans.run import Predictor, Predictors
+
+    def score(step):
+        return lambda units, at: units.select("facility_id", (F.col("facility_id") * step % 100 / 100).alias("probability"), F.lit(None).cast("timestamp").alias("event_at"))
+
+    out = Predictors()
+    out.add("FLOOD_RISK", Predictor(score(37), applies=lambda units, at: units.filter("facility_id % 3 <> 0"), features=("facility_id",)))
+    out.add("UNAUTHORIZED_ACCESS", Predictor(score(53)))
+    out.add("FIRE_RISK", Predictor(score(71), bands=lambda rows, at: (("MEDIUM", 0.25), ("HIGH", 0.5), ("CRITICAL", 0.75))))
+    return out
+
+
+def run_tables(t):
+    cards = stored_cards(t).withColumn("facility_id", F.col("facility_id").cast("long"))
+    orders = t.work_order.withColumn("order_id", F.col("order_id").cast("string")).withColumn("prediction_id", F.col("prediction_id").cast("string"))
+    return t.facility.select("facility_id"), cards, orders
+
+
+RUN_FORE_SQL = f"""
+    SELECT facility_id, direction, TIMESTAMP '2001-08-02' AS bucket, TIMESTAMP '{RUN_AT}' AS computed_at, CAST(NULL AS TIMESTAMP) AS event_at, CAST(facility_id * step % 100 AS DOUBLE) / 100 AS probability
+    FROM facility CROSS JOIN (VALUES ('FLOOD_RISK', 37), ('UNAUTHORIZED_ACCESS', 53), ('FIRE_RISK', 71)) AS d(direction, step) WHERE direction <> 'FLOOD_RISK' OR facility_id % 3 <> 0"""
+
+
+@query("direction_run", "direction:s new_cards:i", f"""
+    SELECT direction, coalesce(sum(n), 0) AS new_cards FROM (SELECT direction, is_new AS n FROM ({PLAN_SQL.replace(FORE_SQL, RUN_FORE_SQL)}) UNION ALL SELECT direction, 0 FROM card) GROUP BY direction""")
+def _(t):
+    from undercroft.plans.run import run_directions
+
+    return run_directions(run_predictors(), *run_tables(t), RUN_AT, 7)["report"]
+
+
+@query("direction_run_again", "new_cards:i new_orders:i", "SELECT 0 AS new_cards, 0 AS new_orders")
+def _(t):
+    from undercroft.plans.run import run_directions
+
+    units, cards, orders = run_tables(t)
+    first = run_directions(run_predictors(), units, cards, orders, RUN_AT, 7)
+    again = run_directions(run_predictors(), units, first["cards"], first["orders"], RUN_AT, 7, 10_000)
+    return again["report"].agg(F.sum("new_cards").alias("new_cards"), F.sum("new_orders").alias("new_orders"))

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undercroft import config
-from undercroft.functions.mapping import alarm_flag, with_place
-from undercroft.operators.journal import live_channels
+from undercroft.functions.mapping import alarm_flag
 
 # Column names of the dump. The value column has two spellings.
 COLUMNS = {"event_id": "ид_события", "channel_id": "ид_канала_данных", "day": "дата", "time": "время", "alarm": "тревожное"}
