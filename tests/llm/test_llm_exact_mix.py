@@ -79,6 +79,14 @@ def test_mix_targets_and_order(spark):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(7)).collect()}
 
 
+def test_mixed_documents_are_the_mix(spark):
+    rng = random.Random(2)
+    data = [(k, " ".join("w" for _ in range(rng.randint(0, 60))), "en", ("a", "b", None, "c")[0 if k % 3 else k % 4], 0, None, None, None, None) for k in range(500)]
+    df = frame(spark, data)
+    plan = {r.doc_id: r.copies for r in mixing.mix(df).collect() if r.copies}
+    assert plan == {r.doc_id: r["count"] for r in mixing.mixed_documents(df).groupBy("doc_id").count().collect()}
+
+
 def test_mix_edges(spark):
     got = mixing.mix(frame(spark)).collect()
     assert len(got) == len(rows()) and all(r.taken <= 2 * r.size for r in got)

@@ -109,13 +109,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns; of rows that repeat an id and a text, one."""
-    sha, keep, size = fresh(docs, "sha", "keep_id", "group_size")
-    groups = staged(copy_groups(docs, id_col, text_col), "exact-groups").toDF(sha, keep, size)
-    met = docs.withColumn(sha, F.sha2(normalised(text_col), 256)).join(groups, sha, "left")
-    once = met.filter(F.col(size).isNull())
-    first = met.filter(F.col(size).isNotNull() & F.col(id_col).eqNullSafe(F.col(keep))).dropDuplicates([sha])
-    return once.unionByName(first).select(*docs.columns)
+    """The rows of ``docs`` that stay, all their columns; of rows that repeat an id and a text, one.
+
+    Texts move once: to the repeated fingerprints, by a sort-merge join at every size.  Those that meet one are folded by
+    their bytes, before the shuffle and after it, to the row with the least id.
+    """
+    base = staged(slim(docs, id_col, text_col), "exact")
+    fp, again, norm = fresh(docs, "fp", "again", "norm")
+    repeated = staged(repeated_fingerprints(base.select("fp"), base.count()), "exact-fp").select(F.col("fp").alias(fp), F.lit(True).alias(again))
+    met = docs.withColumn(fp, F.xxhash64(normalised(text_col))).join(repeated.hint("merge"), fp, "left")
+    once = met.filter(F.col(again).isNull()).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    row = F.struct(*[F.col(c).alias(o) for c, o in zip(docs.columns, own, strict=True)])
+    first = met.filter(F.col(again)).groupBy(normalised(text_col).alias(norm)).agg(F.min_by(row, F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))).alias("row"))
+    return once.union(first.select(*[F.col("row")[o].alias(c) for o, c in zip(own, docs.columns, strict=True)]))
 
 
 COPIES_SQL = r"""

@@ -48,12 +48,15 @@ def targets(totals: DataFrame, weights: tuple[int, ...], budget: float, most_rep
     return t.select("source", "source_size", F.when(level.isNull(), F.col("most")).otherwise(F.least("most", level * F.col("weight"))).alias("target"))
 
 
+def shuffle_key(id_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def mix_order(docs: DataFrame, id_col: str, size: Column, source_col: str, weights: tuple[int, ...], budget: float, most_repeats: int) -> DataFrame:
-    """A row for each document: ``id, source, size, place`` in its source's order, ``source_size, target, ends`` (finish time of the first copy)."""
+    """A row for each document: ``id, source, size``, its key ``h`` and ``place`` in its source's order, ``source_size, target, ends`` (finish time of the first copy)."""
     base = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix")
     slices = min(65536, sized(base.count(), SLICE_ROWS, 64))
-    h = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    base = base.withColumn("h", h).withColumn("slice", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * slices / 65536).cast("int"))
+    base = base.withColumn("h", shuffle_key("id")).withColumn("slice", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * slices / 65536).cast("int"))
     sums = staged(base.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "mix-slices")
     totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     aim = staged(targets(totals, weights, budget, most_repeats), "mix-targets")
@@ -66,11 +69,11 @@ def mix_order(docs: DataFrame, id_col: str, size: Column, source_col: str, weigh
     begins = begins.withColumnsRenamed({"source": "s", "slice": "c"})
     met = placed.join(begins, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("c")))
     ends = (F.col("cum") + F.col("words_before")) / F.col("target")
-    return met.select("id", "source", "size", (F.col("rn") + F.col("rows_before")).alias("place"), "source_size", "target", (F.col("cum") + F.col("words_before")).alias("ends"), F.when(F.col("target") > 0, ends).alias("finish"))
+    return met.select("id", "source", "size", "h", (F.col("rn") + F.col("rows_before")).alias("place"), "source_size", "target", (F.col("cum") + F.col("words_before")).alias("ends"), F.when(F.col("target") > 0, ends).alias("finish"))
 
 
 def mixture(order: DataFrame, most_repeats: int = 2) -> DataFrame:
-    """The copies that the mix takes in its order: ``source, place, copy, id, size, finish, total`` (words of the mix up to its end).
+    """The copies that the mix takes: ``source, place, copy, h, id, size, finish, total`` (words of the mix up to its end, which is its order).
 
     ``order`` is a staged result of ``mix_order``.
     """
@@ -78,7 +81,7 @@ def mixture(order: DataFrame, most_repeats: int = 2) -> DataFrame:
     sources = order.groupBy("source").agg(F.max("target").alias("target"))
     most = F.lit(float(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]))
     copies = order.filter("size > 0").select(
-        "id", "source", "place", "size", "target", "source_size", "ends", F.explode(F.sequence(F.lit(1), F.lit(most_repeats))).alias("copy")
+        "id", "h", "source", "place", "size", "target", "source_size", "ends", F.explode(F.sequence(F.lit(1), F.lit(most_repeats))).alias("copy")
     ).filter((F.col("copy") == 1) | (F.col("target") > (F.col("copy") - 1) * F.col("source_size")))
     copies = copies.withColumn("finish", (F.col("ends") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target"))
     copies = copies.withColumn("time", F.least(F.floor(F.col("finish") * slices), F.lit(4 * slices)))
@@ -87,7 +90,7 @@ def mixture(order: DataFrame, most_repeats: int = 2) -> DataFrame:
     per = staged(per.filter(F.col("before") <= most).drop("words"), "mix-time")
     inside = Window.partitionBy("time").orderBy("finish", F.col("source").isNull(), "source", "place", "copy").rowsBetween(Window.unboundedPreceding, 0)
     got = copies.withColumn("run", F.sum("size").over(inside)).join(per, "time").withColumn("total", F.col("run") + F.col("before"))
-    return got.filter(F.col("total") - F.col("size") / 2 <= most).select("source", "place", "copy", "id", "size", "finish", "total")
+    return got.filter(F.col("total") - F.col("size") / 2 <= most).select("source", "place", "copy", "h", "id", "size", "finish", "total")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most_repeats: int = 2) -> DataFrame:
@@ -99,16 +102,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return met.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("source").alias(source_col))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most_repeats: int = 2) -> DataFrame:
     """The documents of the mix, all columns of ``docs``, each as often as the mix takes it.
 
-    Rows without a word stay out; others that share an id share the larger number of copies, at most ``most_repeats``.
+    Finish times rise along a source's order, so of each pass over a source the mix takes all up to a last document.  Those are
+    a row per source and pass; each document is held against them where it stands, and no text is shuffled.  Rows that are
+    equal in id and size share the verdict.
     """
-    own, copies, turn = fresh(docs, "mix_id", "mix_copies", "mix_turn")
-    plan = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0")
-    plan = staged(plan.groupBy(F.col(id_col).alias(own)).agg(F.max("copies").alias(copies)), "mix-plan")
-    met = docs.filter(text_of(text_col).rlike(WORD)).join(plan, F.col(id_col).eqNullSafe(F.col(own)))
-    return met.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    order = staged(mix_order(docs, id_col, words(text_col), source_col, weights, budget, most_repeats), "mix-order")
+    src, last, turn, key = fresh(docs, "mix_source", "mix_last", "mix_turn", "mix_key")
+    place = F.struct("h", "id", "size")
+    ends = mixture(order, most_repeats).groupBy("source", "copy").agg(F.max(place).alias("end"))
+    ends = staged(ends.groupBy(F.col("source").alias(src)).agg(F.collect_list("end").alias(last)), "mix-ends")
+    mine = docs.withColumn(key, F.struct(shuffle_key(id_col).alias("h"), F.col(id_col).alias("id"), words(text_col).alias("size")))
+    met = mine.join(ends, F.col(source_col).eqNullSafe(F.col(src)))
+    copies = F.when(F.col(key)["size"] > 0, F.size(F.filter(F.col(last), lambda e: F.col(key) <= e))).otherwise(0)
+    return met.withColumn(turn, copies).filter(F.col(turn) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turn)))).select(*docs.columns)
 
 
 MIX_SQL = r"""

@@ -17,14 +17,13 @@ name is its smallest id, null ids aside (null where it has no other).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undercroft.llm.common import fresh, staged, text_batches
@@ -231,11 +230,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, most: int = MOST) -> DataFrame:
-    """One row of ``docs`` for each group, the one with its smallest id, all columns."""
+    """One row of ``docs`` for each group, the one with its smallest id, all columns.
+
+    What goes is taken out, being less than what stays.  Rows that share an id stay if one of them does.
+    """
     prints = staged(with_fingerprint(docs, id_col, text_col, size), "simhash")
     groups = staged(near_groups(prints, most), "simhash-groups")
-    stays = prints.join(groups, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    own, = fresh(docs, "stays_id")
-    stays = staged(stays.select(F.col("id").alias(own)).distinct(), "simhash-stays")
-    met = docs.join(stays, F.col(id_col).eqNullSafe(F.col(own)))
-    return met.select(*docs.columns)
+    own, = fresh(docs, "gone_id")
+    stays = F.col("id").eqNullSafe(F.col("component_id"))
+    gone = prints.join(groups, "fp").groupBy("id").agg(F.max(stays).alias("stays")).filter("NOT stays")
+    gone = staged(gone.select(F.col("id").alias(own)), "simhash-gone")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
