@@ -2,9 +2,9 @@
 
 A plain ``partitionBy(key).orderBy(ts)`` window puts a whole key into one task.
 When one object writes a third of the journal that task is the job.  The
-operators here cut every key into calendar buckets (an hour by default), run the
-window inside a bucket, and carry one summary row per key and bucket across.  The
-summary window sees at most one row per key and hour, some ten thousand a year,
+operators here cut every key into calendar buckets (a day by default; hours where a
+key and day can be hot), run the window inside a bucket, and carry one summary row per
+key and bucket across.  The summary window sees at most one row per key and bucket,
 whatever the journal weighs.
 
 ``ranked`` does the same for orders that are not time: it range-partitions on
@@ -25,12 +25,12 @@ from undercroft.session import stored
 UNBOUNDED = Window.unboundedPreceding
 
 
-def bucket_of(ts: str | Column, bucket: str = "hour") -> Column:
+def bucket_of(ts: str | Column, bucket: str = "day") -> Column:
     return F.date_trunc(bucket, F.col(ts) if isinstance(ts, str) else ts)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
-                sums: Mapping[str, Column], bucket: str = "hour", maxes: Mapping[str, Column] | None = None) -> DataFrame:
+                sums: Mapping[str, Column], bucket: str = "day", maxes: Mapping[str, Column] | None = None) -> DataFrame:
     """Adds cumulative sums (and maxima) over ``(ts, tiebreak)``, the current row included."""
     maxes = dict(maxes or {})
     rows = df.withColumn("_b", bucket_of(ts, bucket))
@@ -56,7 +56,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[
 
 def neighbour_rows(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
                    previous: Mapping[str, Column] | None = None, following: Mapping[str, Column] | None = None,
-                   bucket: str = "hour") -> DataFrame:
+                   bucket: str = "day") -> DataFrame:
     """Adds values of the previous and of the next row of the key, both in one pass."""
     rows = df.withColumn("_b", bucket_of(ts, bucket))
     part = [*keys, "_b"]
@@ -78,7 +78,7 @@ def neighbour_rows(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequen
 
 
 def neighbour_row(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
-                  values: Mapping[str, Column], bucket: str = "hour", forward: bool = False) -> DataFrame:
+                  values: Mapping[str, Column], bucket: str = "day", forward: bool = False) -> DataFrame:
     """Values of the previous row of the key, or of the next one (``forward``)."""
     if forward:
         return neighbour_rows(df, keys, ts, tiebreak, following=values, bucket=bucket)
@@ -86,7 +86,7 @@ def neighbour_row(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequenc
 
 
 def state_runs(states: DataFrame, keys: Sequence[str], ts: str, value: str, out: str,
-               bucket: str = "hour") -> DataFrame:
+               bucket: str = "day") -> DataFrame:
     """Rows where the value changes, each with the stamp of the next change (null for the last).
 
     A bucket tells its first and last value and its first inner change.  Whether its
@@ -115,7 +115,7 @@ def state_runs(states: DataFrame, keys: Sequence[str], ts: str, value: str, out:
 
 
 def number_islands(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
-                   breaks, out: str, bucket: str = "hour") -> DataFrame:
+                   breaks, out: str, bucket: str = "day") -> DataFrame:
     """Gaps and islands: numbers runs of rows per key, starting at 1.
 
     ``breaks(prev_ts, ts)`` tells whether a new run starts at a row.  One pass:
@@ -150,7 +150,7 @@ def number_islands(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequen
 
 def asof_last(points: DataFrame, events: DataFrame, keys: Sequence[str], point_ts: str,
               event_ts: str, values: Mapping[str, Column], strict: bool = True,
-              tiebreak: Sequence[str] = (), bucket: str = "hour", forward: bool = False) -> DataFrame:
+              tiebreak: Sequence[str] = (), bucket: str = "day", forward: bool = False) -> DataFrame:
     """For every point the values of the last event before it (left as-of join).
 
     ``strict`` keeps events at the very moment of the point out; ``forward`` takes
@@ -191,7 +191,7 @@ def asof_last(points: DataFrame, events: DataFrame, keys: Sequence[str], point_t
 
 def stab_count(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_ts: str,
                lo: str, hi: str, out: str, closed: str = "left", weight: Column | None = None,
-               bucket: str = "hour") -> DataFrame:
+               bucket: str = "day") -> DataFrame:
     """For every point the number of intervals of its key that hold it.
 
     A sweep: a start adds one, an end takes one away, the running sum at a point
@@ -215,7 +215,7 @@ def stab_count(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
 
 
 def sweep(points: DataFrame, deltas: DataFrame, keys: Sequence[str], point_ts: str, out: str,
-          bucket: str = "hour") -> DataFrame:
+          bucket: str = "day") -> DataFrame:
     """Running sum of ``deltas(keys, _t, _o, _d)`` read at the points (order mark 1)."""
     steps = deltas.filter(F.col("_t").isNotNull()).groupBy(*keys, "_t", "_o").agg(F.sum("_d").alias("_d"))
     left = points.select(
@@ -290,7 +290,7 @@ def exact_quantile(df: DataFrame, value: str, q: float, group: Sequence[str] = (
 
 def prefix_sums(points: DataFrame, events: DataFrame, keys: Sequence[str], event_ts: str,
                 probes: Mapping[str, Column], sums: Mapping[str, Column], point_id: Sequence[str],
-                bucket: str = "hour", maxes: Mapping[str, Column] | None = None) -> DataFrame:
+                bucket: str = "day", maxes: Mapping[str, Column] | None = None) -> DataFrame:
     """Sums (and maxima) of events strictly before each probe stamp of a point: columns
     ``<name>_<probe>``.
 

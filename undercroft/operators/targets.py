@@ -258,15 +258,46 @@ def scenario_lift(panel: DataFrame, signals: Mapping[str, Column]) -> DataFrame:
         F.when(F.col("_base") > 0, F.round(share / F.col("_base"), 2)).alias("lift"))
 
 
+#: Counts up to this one get exact bounds; beyond it the approximation is right to a millionth.
+EXACT_COUNTS = 1000
+
+
+def poisson_cdf(k: Column, mean: Column) -> Column:
+    """P(X <= k) of a Poisson variable, for k up to ``EXACT_COUNTS``: the last term by logarithms, the others from it."""
+    log_factorial = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.when(i > 1, F.log(i.cast("double"))).otherwise(0.0))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(s: Column, i: Column) -> Column:
+        term = s["term"] * (k - i) / mean
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    below = F.aggregate(F.filter(F.sequence(F.lit(0), k), lambda i: i < k), start, add)["total"]
+    return F.exp(k * F.log(mean) - mean - log_factorial) * below
+
+
+def poisson_mean(k: Column, probability: float) -> Column:
+    """The mean at which P(X <= k) is the probability, by sixty halvings."""
+    start = F.struct(F.lit(0.0).alias("lo"), (k + 10 * F.sqrt(k + 1) + 20).cast("double").alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["lo"] + s["hi"]) / 2
+        more = poisson_cdf(k, middle) > probability
+        return F.struct(F.when(more, middle).otherwise(s["lo"]).alias("lo"), F.when(more, s["hi"]).otherwise(middle).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve)["lo"]
+
+
 def poisson_bounds(k: Column, exposure: Column) -> tuple[Column, Column]:
-    """95 % interval of a Poisson rate, Wilson-Hilferty approximation of the chi-square quantiles."""
-    z = 1.959963984540054
+    """95 % interval of a Poisson rate: exact for small counts, by Wilson-Hilferty quantiles beyond."""
+    z, small = 1.959963984540054, k <= EXACT_COUNTS
+    n = F.when(small, k).otherwise(0).cast("int")
 
     def half_quantile(n: Column, sign: float) -> Column:
         return n * F.pow(1 - 1 / (9 * n) + sign * z / (3 * F.sqrt(n)), 3)
 
-    low = F.when(k > 0, half_quantile(k.cast("double"), -1.0)).otherwise(0.0)
-    return F.try_divide(low, exposure), F.try_divide(half_quantile((k + 1).cast("double"), 1.0), exposure)
+    low = F.when(k == 0, 0.0).when(small, poisson_mean(F.greatest(n - 1, F.lit(0)), 0.975)).otherwise(half_quantile(k.cast("double"), -1.0))
+    high = F.when(small, poisson_mean(n, 0.025)).otherwise(half_quantile((k + 1).cast("double"), 1.0))
+    return F.try_divide(low, exposure), F.try_divide(high, exposure)
 
 
 def burn_in_curve(channels: DataFrame, events: DataFrame, unit: str, censor: str,

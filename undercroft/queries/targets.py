@@ -236,13 +236,19 @@ def ages(t):
 
 
 CURVE_SQL = """
-    WITH life AS (SELECT channel_id, min(day) AS born, max(day) AS dead FROM long_rows GROUP BY 1 HAVING min(day) >= DATE '1995-01-05'),
+    WITH RECURSIVE life AS (SELECT channel_id, min(day) AS born, max(day) AS dead FROM long_rows GROUP BY 1 HAVING min(day) >= DATE '1995-01-05'),
     b AS (SELECT * FROM (VALUES (0, 7), (8, 14), (15, 30), (31, 60), (61, 90), (91, 180), (181, 365), (366, 100000)) v(lo, hi)),
     expo AS (SELECT lo, hi, sum(greatest(0, least(hi, date_diff('day', born, dead)) - lo + 1)) AS exposure FROM life CROSS JOIN b GROUP BY 1, 2),
     ev AS (SELECT lo, count(*) AS k FROM (SELECT DISTINCT channel_id, day FROM long_rows WHERE l_quantity >= 40) e JOIN life USING (channel_id) JOIN b ON date_diff('day', born, e.day) BETWEEN lo AND hi GROUP BY 1),
     r AS (SELECT lo, hi, coalesce(k, 0) AS events, exposure, coalesce(k, 0) / exposure AS rate, CAST(coalesce(k, 0) AS DOUBLE) AS k FROM expo LEFT JOIN ev USING (lo)),
-    c AS (SELECT *, CASE WHEN k > 0 THEN k * pow(1 - 1 / (9 * k) - 1.959963984540054 / (3 * sqrt(k)), 3) ELSE 0 END / exposure AS ci_low,
-                 (k + 1) * pow(1 - 1 / (9 * (k + 1)) + 1.959963984540054 / (3 * sqrt(k + 1)), 3) / exposure AS ci_high, (SELECT max_by(rate, lo) FROM r) AS mature_rate FROM r)"""
+    q(lo, side, n, target, a, b, step) AS (
+      SELECT lo, 'low', CAST(k AS BIGINT) - 1, 0.975::DOUBLE, 0.0::DOUBLE, k + 10 * sqrt(k + 1) + 20, 0 FROM r WHERE k BETWEEN 1 AND 1000
+      UNION ALL SELECT lo, 'high', CAST(k AS BIGINT), 0.025::DOUBLE, 0.0::DOUBLE, k + 10 * sqrt(k + 1) + 20, 0 FROM r WHERE k <= 1000
+      UNION ALL SELECT lo, side, n, target, CASE WHEN p > target THEN (a + b) / 2 ELSE a END, CASE WHEN p > target THEN b ELSE (a + b) / 2 END, step + 1
+      FROM (SELECT *, (SELECT sum(exp(i * ln((a + b) / 2) - (a + b) / 2 - lgamma(i + 1))) FROM unnest(range(0, n + 1)) AS u(i)) AS p FROM q WHERE step < 60)),
+    e AS (SELECT lo, max(a) FILTER (side = 'low') AS lo_mean, max(a) FILTER (side = 'high') AS hi_mean FROM q WHERE step = 60 GROUP BY lo),
+    c AS (SELECT r.*, CASE WHEN k = 0 THEN 0 WHEN k <= 1000 THEN lo_mean ELSE k * pow(1 - 1 / (9 * k) - 1.959963984540054 / (3 * sqrt(k)), 3) END / exposure AS ci_low,
+                 CASE WHEN k <= 1000 THEN hi_mean ELSE (k + 1) * pow(1 - 1 / (9 * (k + 1)) + 1.959963984540054 / (3 * sqrt(k + 1)), 3) END / exposure AS ci_high, (SELECT max_by(rate, lo) FROM r) AS mature_rate FROM r LEFT JOIN e USING (lo))"""
 
 
 @query("burn_in_curve", "lo:i hi:i events:i exposure:i rate:d ci_low:d ci_high:d ratio_to_mature:d", f"""
