@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -7,6 +8,7 @@ import numpy as np
 from llm_cases import SCHEMA, empty, frame, prose, rows
 
 from undercroft.llm import components, neighbours, passages, simhash, suffixes
+from undercroft.llm.queries import op2_passages
 
 
 def classes_of(n, pairs):
@@ -153,6 +155,50 @@ def test_passages_by_brute_force(spark):
             assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (gone, runs, hashlib.sha256(kept).hexdigest())
 
 
+def brute_runs(texts, size):
+    """Byte spans of the windows of words that an equal one, not overlapping, comes before."""
+    first, cuts = {}, defaultdict(list)
+    for k, t in enumerate(texts):
+        at = [(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode().translate(passages.LOWER))]
+        for i in range(len(at) - size + 1):
+            a, b = at[i][0], at[i + size - 1][1]
+            doc, end = first.setdefault(tuple(w for *_, w in at[i:i + size]), (k, b))
+            if doc != k or end <= a:
+                cuts[k].append((a, b))
+    return cuts
+
+
+def test_passages_whatever_the_lines_by_brute_force(spark):
+    rng = random.Random(17)
+    shared = [prose(rng, n).split() for n in (50, 51, 60, 140)]
+    texts = []
+    for k in range(80):
+        parts = [prose(rng, rng.randint(1, 30))]
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(shared)
+            cut = rng.choice((0, 0, 1, 30))
+            parts += ["".join(w + rng.choice((" ", " ", " ", "\n", " \n\t")) for w in own[cut:]), prose(rng, rng.randint(1, 30)).upper()]
+        texts.append(" ".join(parts) + "\n" * (k % 2))
+    texts += ["x " * 300, "y\n" * 99, "y\n" * 100, " ".join(["é"] + shared[3])]
+    want = brute_runs(texts, 50)
+    data = [(k, t, None, None, 0, None, None, None, None) for k, t in enumerate(texts)]
+    data.append(data[3])  # a repeated row is the same document
+    got = {r.doc_id: r for r in passages.drop_passages(frame(spark, data), least=10_000, runs=50).collect()}
+    assert len(want) > 30
+    for k, t in enumerate(texts):
+        kept, gone, n = passages.remove(t.encode(), want[k])
+        assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (gone, n, hashlib.sha256(kept).hexdigest()), k
+
+
+def test_passages_query_crosses_lines(spark, tmp_path):
+    rng = random.Random(18)
+    own = prose(rng, 120).split()
+    texts = [prose(rng, 9) + " " + " ".join(own), "\n".join(" ".join(own[k:k + 12]) for k in range(0, 120, 12))]
+    frame(spark, [(k, t, None, None, 0, None, None, None, None) for k, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op2_passages(spark, str(tmp_path)).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed == len(texts[1]) and got[1].repeats_of == [0]
+
+
 def test_passages_edges(spark):
     got = passages.drop_passages(frame(spark)).collect()
     assert len(got) == len(rows())

@@ -11,6 +11,11 @@ A paragraph is a line of at least ``WORDS`` words; shingles are five words, lowe
    ``MOST`` paragraphs is met in pairs of blocks, so no task holds more than two blocks.
 4. Components of verified links are classes.  The first occurrence of a class (least document id, then place) stays,
    the others are removed.
+5. With ``runs``, passages of that many words are found whatever the line breaks.  Every window of so many words stands
+   under the least-hash shingle in it, its anchor: equal windows have equal anchors.  Anchors that stand in one place only are
+   dropped.  The windows in a row of one anchor are folded with equal rows by a 128-bit hash of their words, and meet one by
+   one, by anchor and 64-bit hash, where rows of an anchor differ.  A window goes where an equal one that does not
+   overlap it comes first.  What goes by lines and by windows is merged.
 
 Defined results: a null text is empty; a null id is after all others; rows that repeat an id and a text are
 one document whose passages stay or go together.
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from undercroft.llm.common import staged, text_batches, text_of
 from undercroft.llm.components import components
-from undercroft.llm.hashing import Spans, mix, powers
+from undercroft.llm.hashing import BASE, INVERSE, Spans, mix, powers
 
 WORDS, SHINGLE, SIMILARITY, RECALL, ROWS, MOST = 50, 5, 0.8, 0.999, 3, 2048
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -89,6 +94,29 @@ def signatures(text: bytes, first_doc: np.ndarray, least: int, bands: int, rows:
     return owner, a, b, keys
 
 
+def windows(text: bytes, first_doc: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Of every run of ``size`` words inside a document: first word and anchor (place of its least shingle hash); then hashes of all shingles, starts and ends of all words."""
+    data = np.frombuffer(text, np.uint8)
+    starts, ends = words_of(data)
+    hashes = shingle_hashes(Spans(data), starts, ends)
+    none = np.zeros(0, np.int64)
+    if len(starts) < size:
+        return none, none, hashes, starts, ends
+    least = [np.lib.stride_tricks.sliding_window_view(hashes[at:at + 65536 + size - SHINGLE], size - SHINGLE + 1).argmin(1) for at in range(0, len(starts) - size + 1, 65536)]
+    least = np.concatenate(least)
+    owner = np.searchsorted(first_doc, starts, side="right")
+    head = np.flatnonzero(owner[:len(least)] == owner[size - 1:])
+    return head, head + least[head], hashes, starts, ends
+
+
+def anchors(text: bytes, first_doc: np.ndarray, size: int) -> list[list[int]]:
+    """The hashes under which the windows of each document stand."""
+    _, anchor, hashes, starts, _ = windows(text, first_doc, size)
+    at = np.unique(anchor)
+    cut = np.searchsorted(starts[at], first_doc[1:]) if len(at) else np.zeros(len(first_doc) - 1, int)
+    return [x.tolist() for x in np.split(hashes[at].view(np.int64), cut)]
+
+
 def buffer_of(texts: list) -> tuple[bytes, np.ndarray]:
     """Documents lower-cased by A-Z, each with a line feed, and where each begins."""
     parts = [(t or "").encode("utf-8", "replace") + b"\n" for t in texts]
@@ -99,8 +127,8 @@ def paragraph_hash(raw: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(raw.split()))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, bands: int) -> DataFrame:
-    """``id, th`` (hash of the text), ``n_bytes, sha``, and ``lines``: start, end, 128-bit hash, band keys."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, bands: int, runs: int = 0) -> DataFrame:
+    """``id, th`` (hash of the text), ``n_bytes, sha``, ``lines``: start, end, 128-bit hash, band keys; and ``anchors`` of runs."""
     kind = docs.schema[id_col].dataType.simpleString()
     item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ph", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
@@ -114,11 +142,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, bands:
                 for o, x, y, k in zip(owner.tolist(), s.tolist(), e.tolist(), keys.view(np.int64).tolist(), strict=True):
                     lines[o].append({"start": x - int(first[o]), "end": y - int(first[o]), "ph": paragraph_hash(text[x:y]), "keys": k})
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("th"), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(lines, pa.list_(item))],
-                    names=["id", "th", "n_bytes", "sha", "lines"])
+                    [b.column("id"), b.column("th"), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(lines, pa.list_(item)),
+                     pa.array(anchors(text, first, runs) if runs else [[]] * len(raw), pa.list_(pa.int64()))],
+                    names=["id", "th", "n_bytes", "sha", "lines", "anchors"])
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, th long, n_bytes long, sha string, lines array<struct<start:long,end:long,ph:binary,keys:array<long>>>")
+    return source.mapInArrow(run, f"id {kind}, th long, n_bytes long, sha string, lines array<struct<start:long,end:long,ph:binary,keys:array<long>>>, anchors array<long>")
 
 
 def band_links(distinct: DataFrame) -> DataFrame:
@@ -173,13 +202,19 @@ def shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(Spans(data), starts, ends))
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """``i, h, text, fetch``: the documents that have a marked paragraph, and the family paragraphs that are read from them (each from its first place)."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, marks: DataFrame, standing: DataFrame) -> DataFrame:
+    """``i, h, text, fetch, anchors``: the documents that have a marked paragraph or an anchor that repeats, the family paragraphs that are
+    read from them (each from its first place), and those anchors."""
     met = lines.select("id", "th", "start", "end", "ph").join(marks, "ph")
     mine = F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.th") == F.col("th")) & (F.col("keep.start") == F.col("start")) & F.col("family").isNotNull()
     per = met.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_list(F.when(mine, F.struct("ph", "start", "end", "family", "block", "blocks"))).alias("fetch"))
+    again = staged(standing.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "passages-anchors")
+    held = standing.join(again, "anchor").groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_set("anchor").alias("anchors"))
+    none = F.array().cast("array<long>").alias("anchors")
+    per = per.select("i", "h", "fetch", none).union(held.select("i", "h", F.array().cast(per.schema["fetch"].dataType), "anchors"))
+    per = per.groupBy("i", "h").agg(F.flatten(F.collect_list("fetch")).alias("fetch"), F.flatten(F.collect_list("anchors")).alias("anchors"))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).alias("text"))
-    return source.join(per, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("i", "h", "text", "fetch")
+    return source.join(per, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("i", "h", "text", "fetch", "anchors")
 
 
 def verified(texts: DataFrame, similarity: float) -> DataFrame:
@@ -228,21 +263,90 @@ def classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(whole, "root").select("ph", F.col("class_keep").alias("keep"))
 
 
-def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST) -> DataFrame:
+def segments(texts: DataFrame, size: int) -> DataFrame:
+    """``id, th, seg, anchor, at, n, hashes``: the windows of each kept anchor, which stand in a row: hash of their words, first word, how many,
+    and their hashes (where a task meets the segment first)."""
+    kind = texts.schema["i"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for whole in batches:
+            for b in text_batches([whole], "text", 2_000_000):
+                text, first = buffer_of(b.column("text").to_pylist())
+                head, anchor, shingles, starts, ends = windows(text, first, size)
+                cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][:len(anchor)])
+                n = np.diff(np.r_[cut, len(anchor)])
+                begin, key = head[cut], shingles[anchor[cut]].view(np.int64)
+                doc = np.searchsorted(first, starts[begin], side="right") - 1
+                kept = [set(x) for x in b.column("anchors").to_pylist()]
+                use = [j for j, (d, k) in enumerate(zip(doc.tolist(), key.tolist(), strict=True)) if k in kept[d]]
+                begin, n, key, doc = begin[use], n[use], key[use], doc[use]
+                word = Spans(np.frombuffer(text, np.uint8)).of(starts, ends)
+                sums, back = np.zeros(len(word) + 1, np.uint64), powers(INVERSE, len(word) + 1)
+                np.cumsum(word * powers(BASE, len(word)), out=sums[1:])
+                joined, at = b" ".join(text.split()), np.r_[0, np.cumsum(ends - starts + 1)]
+                spans = zip(at[begin].tolist(), (at[begin + n + size - 1] - 1).tolist(), strict=True)
+                segs, hashes = [xxhash.xxh3_128_digest(joined[x:y]) for x, y in spans], []
+                for seg, x, y in zip(segs, begin.tolist(), (begin + n).tolist(), strict=True):
+                    hashes.append(None if seg in seen else mix((sums[x + size:y + size] - sums[x:y]) * back[x:y]).view(np.int64))
+                    seen.add(seg)
+                if len(seen) > 300_000:
+                    seen.clear()
+                mine, base = pa.array(doc), np.searchsorted(starts, first)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("i").take(mine), b.column("h").take(mine), pa.array(segs, pa.binary()), pa.array(key), pa.array(begin - base[doc]), pa.array(n.astype(np.int64)), pa.array(hashes, pa.list_(pa.int64()))],
+                    names=["id", "th", "seg", "anchor", "at", "n", "hashes"])
+
+    return texts.filter(F.size("anchors") > 0).select("i", "h", "text", "anchors").mapInArrow(run, f"id {kind}, th long, seg binary, anchor long, at long, n long, hashes array<long>")
+
+
+def repeated_runs(texts: DataFrame, size: int) -> DataFrame:
+    """``id, th, start, end`` (words) and ``keep`` (id of the first place) of the windows of ``size`` words that an equal one comes before.
+
+    Equal segments are folded first.  Only where an anchor has several segments do their windows meet one by one."""
+    found = staged(segments(texts, size), "passages-segments")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "at")
+    distinct = staged(found.groupBy("seg").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times"), F.first("anchor").alias("anchor"), F.first("hashes", ignorenulls=True).alias("hashes")), "passages-distinct-segments")
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    each = distinct.join(several, "anchor").select("seg", "anchor", "place", F.posexplode("hashes").alias("o", "wh"))
+    moved = F.struct("place.no_id", "place.id", "place.th", (F.col("place.at") + F.col("o")).alias("at"))
+    each = each.select("seg", "anchor", "o", "wh", moved.alias("mine"))
+    firsts = each.groupBy("anchor", "wh").agg(F.min("mine").alias("keep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    other = each.join(firsts, ["anchor", "wh"]).filter(~F.col("keep").eqNullSafe(F.col("mine"))).groupBy("seg").agg(F.collect_list(F.struct("o", "keep")).alias("others"))
+    known = distinct.select("seg", "place", "times").join(other, "seg", "left").filter("times > 1 OR others IS NOT NULL")
+    met = found.select("id", "th", "seg", "at", "n").join(staged(known.drop("times"), "passages-known-segments"), "seg")
+
+    def apart(keep, at):
+        return ~(keep["id"].eqNullSafe(F.col("id")) & (keep["th"] == F.col("th"))) | (keep["at"] + size <= at)
+
+    # a window that goes for its segment's first place goes for an earlier one too
+    others = F.filter(F.coalesce("others", F.array().cast(known.schema["others"].dataType)), lambda x: apart(x["keep"], F.col("at") + x["o"]))
+    single = F.transform(others, lambda x: F.struct((F.col("at") + x["o"]).alias("start"), (F.col("at") + x["o"] + size).alias("end"), x["keep"]["id"].alias("keep")))
+    whole = F.when(apart(F.col("place"), F.col("at")) & (F.coalesce(F.size("others"), F.lit(0)) < F.col("n")), F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + size).alias("end"), F.col("place.id").alias("keep"))))
+    spans = F.concat(F.coalesce(whole, F.array().cast(f"array<struct<start:bigint,end:bigint,keep:{texts.schema['i'].dataType.simpleString()}>>")), single)
+    return met.select("id", "th", F.explode(spans).alias("s")).select("id", "th", "s.*").distinct()
+
+
+def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST, runs: int = 0) -> DataFrame:
     """Every row: id, ``n_bytes, n_paragraphs, n_repeated`` (paragraphs in a class), ``n_removed`` (bytes), ``n_spans``, ``kept_sha256`` and
-    ``repeats_of`` (ids of the documents whose passage stays for each class the document has part in)."""
-    read = staged(occurrences(docs, id_col, text_col, least, tuned(similarity, recall)), "passages")
+    ``repeats_of`` (ids of the documents whose passage stays for each class the document has part in, and for each of its runs that go).
+    ``runs``: words of a passage that repeats whatever its line breaks, ``SHINGLE`` at least; 0 looks at lines only."""
+    read = staged(occurrences(docs, id_col, text_col, least, tuned(similarity, recall), runs), "passages")
     lines = read.select("id", "th", F.explode("lines").alias("l")).select("id", "th", "l.*")
     distinct, marks = candidates(lines, most)
-    texts = staged(texts_of(docs, id_col, text_col, lines, marks), "passages-texts")
+    standing = read.select("id", "th", F.explode("anchors").alias("anchor"))
+    texts = staged(texts_of(docs, id_col, text_col, lines, marks, standing), "passages-texts")
     links = staged(verified(texts, similarity), "passages-verified")
     found = staged(classes(distinct, links), "passages-classes")
     hit = lines.select("id", "th", "start", "end", "ph").join(found, "ph")
     stays = F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.th") == F.col("th")) & (F.col("keep.start") == F.col("start"))
     hit = hit.withColumn("gone", ~stays).dropDuplicates(["id", "th", "start"])
+    hit = hit.select("id", "th", "start", "end", "gone", F.col("keep.id").alias("keep"), F.lit(1).cast("long").alias("line"))
+    if runs:
+        hit = hit.union(repeated_runs(texts, runs).select("id", "th", "start", "end", F.lit(True), "keep", F.lit(0).cast("long")))
     per = staged(hit.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(
-        F.count(F.lit(1)).alias("n_repeated"), F.sort_array(F.collect_set("keep.id")).alias("repeats_of"),
-        F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("start", "end")))).alias("cuts")), "passages-cuts")
+        F.sum("line").alias("n_repeated"), F.sort_array(F.collect_set("keep")).alias("repeats_of"),
+        F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("start", "end", (F.col("line") == 0).alias("words"))))).alias("cuts")), "passages-cuts")
     slim = read.select("id", "th", "n_bytes", "sha", F.size("lines").cast("long").alias("n_paragraphs"))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))
     kept = staged(without(texts, per.filter(F.size("cuts") > 0).select("i", "h", "cuts")), "passages-kept").withColumnsRenamed({"i": "ki", "h": "kh"})
@@ -254,7 +358,7 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without(texts: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``i, h, n_removed, n_spans, kept_sha256`` of the documents with byte spans ``cuts`` taken out."""
+    """``i, h, n_removed, n_spans, kept_sha256`` of the documents with spans ``cuts`` taken out, of bytes or of words."""
     kind = texts.schema["i"].dataType.simpleString()
     cuts = cuts.withColumnsRenamed({"i": "ci", "h": "ch"})
     met = texts.select("i", "h", "text").join(cuts, F.col("i").eqNullSafe(F.col("ci")) & (F.col("h") == F.col("ch"))).select("i", "h", "text", "cuts").dropDuplicates(["i", "h"])
@@ -264,7 +368,9 @@ def without(texts: DataFrame, cuts: DataFrame) -> DataFrame:
             for b in text_batches([whole], "text"):
                 gone, spans, shas = [], [], []
                 for text, where in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                    kept, n, at = remove((text or "").encode("utf-8", "replace"), [(w["start"], w["end"]) for w in where])
+                    raw = (text or "").encode("utf-8", "replace")
+                    starts, ends = words_of(np.frombuffer(raw, np.uint8)) if any(w["words"] for w in where) else ([], [])
+                    kept, n, at = remove(raw, [(int(starts[w["start"]]), int(ends[w["end"] - 1])) if w["words"] else (w["start"], w["end"]) for w in where])
                     gone.append(n)
                     spans.append(at)
                     shas.append(hashlib.sha256(kept).hexdigest())

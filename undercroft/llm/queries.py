@@ -23,7 +23,7 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return passages.drop_passages(table(spark, folder, "documents"))
+    return passages.drop_passages(table(spark, folder, "documents"), runs=passages.WORDS)
 
 
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
