@@ -96,6 +96,17 @@ def test_language_edges(spark):
     assert [r.doc_id for r in language.known_language(untaught).collect()] == [1]
 
 
+def test_language_beyond_the_first_plane(spark):
+    texts = ["\U0001F600 \U0001F680", "a\U0001F600b", "\U00010400\U00010401", "one two three"]
+    is_letter = language.letters()
+    blank = [(p == 32).tolist() for t in texts[:3] for p, _ in language.pieces([t], is_letter)]
+    assert all(blank[0]) and blank[1] == [True, False, True, False, True] and blank[2] == [True, False, False, True]
+    data = [(k, t, "en", None, 0, None, None, None, None) for k, t in enumerate(texts)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language_id(frame(spark, data)).collect()}
+    assert got[0] == ("und", 0) and all(got[k][0] == "en" for k in (1, 2, 3))
+    assert {r.doc_id for r in language.known_language(frame(spark, data)).collect()}.isdisjoint({0})
+
+
 def test_language_pieces_do_not_matter():
     is_letter = language.letters()
     text = prose(random.Random(3), 3000)

@@ -40,7 +40,8 @@ class Model:
 
 
 def letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
+    """Of every code point."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def pieces(texts: list, is_letter: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -50,7 +51,7 @@ def pieces(texts: list, is_letter: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         if not text:
             continue
         whole = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        whole = np.where(is_letter[np.minimum(whole, 65535)] | (whole > 65535), whole, np.uint32(32))
+        whole = np.where(is_letter[whole], whole, np.uint32(32))
         at = 0
         while at < len(whole):
             end = min(len(whole), at + PIECE)
