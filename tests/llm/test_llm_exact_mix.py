@@ -79,6 +79,12 @@ def test_mix_targets_and_order(spark):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(7)).collect()}
 
 
+def test_mix_orders_only_the_slices_it_takes(spark):
+    order = mixing.staged(mixing.mix_order(frame(spark), "doc_id", mixing.words("text"), "source", (3, 1, 2), 1.5, 2), "test-order")
+    plan = mixing.mixture(order)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Window [") < plan.index("Join ")  # the join feeds the window
+
+
 def test_mixed_documents_are_the_mix(spark):
     rng = random.Random(2)
     data = [(k, " ".join("w" for _ in range(rng.randint(0, 60))), "en", ("a", "b", None, "c")[0 if k % 3 else k % 4], 0, None, None, None, None) for k in range(500)]

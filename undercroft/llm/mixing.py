@@ -89,7 +89,8 @@ def mixture(order: DataFrame, most_repeats: int = 2) -> DataFrame:
     per = per.withColumn("before", F.coalesce(F.sum("words").over(Window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     per = staged(per.filter(F.col("before") <= most).drop("words"), "mix-time")
     inside = Window.partitionBy("time").orderBy("finish", F.col("source").isNull(), "source", "place", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    got = copies.withColumn("run", F.sum("size").over(inside)).join(per, "time").withColumn("total", F.col("run") + F.col("before"))
+    # slices past the budget leave before anything is put in order
+    got = copies.join(per, "time").withColumn("run", F.sum("size").over(inside)).withColumn("total", F.col("run") + F.col("before"))
     return got.filter(F.col("total") - F.col("size") / 2 <= most).select("source", "place", "copy", "h", "id", "size", "finish", "total")
 
 
