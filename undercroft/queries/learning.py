@@ -98,7 +98,8 @@ def _(t):
 @query("monthly_retrain", "month:s unit_id:i day:D y:i scored:b", f"""
     SELECT strftime(day, '%Y-%m-01') AS month, unit_id, day, ev AS y, 1 AS scored FROM ({DENSE_SQL}) WHERE day >= DATE '2000-07-01' AND day < DATE '2001-01-01'""")
 def _(t):
-    scores = md.monthly_retrain(stored(panel(t)), FEATURES, KEYS, tuple(f"2000-{m:02d}-01" for m in range(7, 13)), rounds=3)
+    p = stored(panel(t))
+    scores = md.monthly_retrain(p, FEATURES, KEYS, md.months_from(p, "2000-07-01"), rounds=3)
     return scores.withColumn("scored", F.col("p").between(0.0, 1.0))
 
 
