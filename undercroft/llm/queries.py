@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from undercroft.llm import bpe, exact, language, mixing, neighbours, passages, privacy, simhash, suffixes, urls
+from undercroft.llm import bpe, exact, language, mixing, negatives, neighbours, passages, privacy, simhash, suffixes, urls
 from undercroft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +60,16 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), label_col=moved)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_passages, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup, op10_repeated_bytes, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_passages, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup, op10_repeated_bytes, op11_hard_negatives, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL}
