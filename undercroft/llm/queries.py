@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undercroft.llm import bpe, exact, language, mixing, negatives, neighbours, passages, privacy, simhash, suffixes, urls
+from undercroft.llm import bpe, contamination, exact, language, mixing, negatives, neighbours, passages, privacy, simhash, suffixes, urls
 from undercroft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +65,18 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, folder, "embeddings"), label_col=moved)
 
 
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = contamination.words_covered()
+    names = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_passages, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup, op10_repeated_bytes, op11_hard_negatives, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_passages, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup, op10_repeated_bytes, op11_hard_negatives, op13_decontamination, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL, "op13_decontamination": contamination.CONTAMINATION_SQL}
