@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undercroft.llm import bpe, contamination, exact, language, mixing, negatives, neighbours, passages, privacy, simhash, suffixes, urls
+from undercroft.llm import bpe, contamination, exact, language, mixing, negatives, neighbours, passages, privacy, simhash, suffixes, trie, urls
 from undercroft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, folder, "embeddings"), label_col=moved)
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, folder, "conversations"))
+    return trie.node_digests(trie.prefix_trie(trie.branches(turns)))
+
+
 def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     n_hit = contamination.words_covered()
@@ -78,5 +83,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_passages, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup, op10_repeated_bytes, op11_hard_negatives, op13_decontamination, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL, "op13_decontamination": contamination.CONTAMINATION_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_passages, op3_personal_data, op4_bpe, op5_language_id, op6_url_filter, op7_nearest, op8_simhash, op9_exact_dedup, op10_repeated_bytes, op11_hard_negatives, op12_prefix_trie, op13_decontamination, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op6_url_filter": urls.URL_SQL, "op9_exact_dedup": exact.COPIES_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL, "op12_prefix_trie": trie.TRIE_SQL, "op13_decontamination": contamination.CONTAMINATION_SQL}
