@@ -96,7 +96,7 @@ def _(t):
 
 
 @query("monthly_retrain", "month:s unit_id:i day:D y:i scored:b", f"""
-    SELECT strftime(day, '%Y-%m-01') AS month, unit_id, day, ev AS y, 1 AS scored FROM ({DENSE_SQL}) WHERE day >= DATE '2000-07-01' AND day < DATE '2001-01-01'""")
+    SELECT strftime(day, '%Y-%m-01') AS month, unit_id, day, ev AS y, 1 AS scored FROM ({DENSE_SQL}) WHERE day >= DATE '2000-07-01'""")
 def _(t):
     p = stored(panel(t))
     scores = md.monthly_retrain(p, FEATURES, KEYS, md.months_from(p, "2000-07-01"), rounds=3)

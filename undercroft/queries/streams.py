@@ -8,6 +8,7 @@ from undercroft.functions.calendar import is_day_off
 from undercroft.queries.base import query
 from undercroft.queries.functions import CODE_SQL, FLAG_SQL
 from undercroft.session import scratch_path
+from undercroft.streaming import bursts as bu
 from undercroft.streaming import ingest as ing
 from undercroft.streaming import windows as win
 
@@ -111,6 +112,39 @@ def _(t):
     return got.filter("NOT late").groupBy("facility_id", "started").agg(F.count(F.lit(1)).alias("signals"))
 
 
+FIRE_SQL = """
+    s AS (SELECT event_id, object_id, gallery, picket, channel_id % 40 AS facility_id, ts, day FROM journal WHERE event_type IN ('error', 'click')),
+    b AS (SELECT *, (SELECT count(DISTINCT (o.gallery, o.picket)) FROM s o WHERE o.object_id = s.object_id AND o.day = s.day AND o.ts BETWEEN s.ts - INTERVAL 60 MINUTE AND s.ts + INTERVAL 60 MINUTE) - 1 > 2 AS burst FROM s)"""
+
+
+def fire_signals(t):
+    """Fire signals as a stream of files out of order, and a last row that lets all others be judged."""
+    path = scratch_path(t.spark, "fire-signals")
+    rows = t.journal.filter("event_type IN ('error', 'click')").selectExpr("event_id", "object_id", "gallery", "picket", "channel_id % 40 AS facility_id", "ts")
+    rows.repartition(4, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    win.closed(rows, "ts").write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).parquet(path)
+
+
+def judged_signals(t):
+    with bu.rocks_state(t.spark):
+        return win.run_available(t.spark, bu.burst_free_incidents(fire_signals(t)), "burst-incidents")
+
+
+@query("fire_bursts_stream", "object_id:i facility_id:i ts:t burst:b n:i", f"WITH {FIRE_SQL} SELECT object_id, facility_id, ts, CAST(burst AS INT) AS burst, count(*) AS n FROM b GROUP BY 1, 2, 3, 4")
+def _(t):
+    return judged_signals(t).groupBy("object_id", "facility_id", "ts", "burst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fire_incident_burst_free_stream", "facility_id:i started:t signals:i", f"""
+    WITH RECURSIVE {FIRE_SQL}, q AS (SELECT object_id, facility_id, ts FROM b WHERE NOT burst), r AS (
+      SELECT facility_id, min(ts) AS started FROM q GROUP BY 1 UNION ALL
+      SELECT r.facility_id, (SELECT min(ts) FROM q WHERE q.facility_id = r.facility_id AND q.ts >= r.started + INTERVAL 24 HOUR) FROM r WHERE EXISTS (SELECT 1 FROM q WHERE q.facility_id = r.facility_id AND q.ts >= r.started + INTERVAL 24 HOUR))
+    SELECT r.facility_id, r.started, (SELECT count(*) FROM q WHERE q.facility_id = r.facility_id AND q.ts >= r.started AND q.ts < r.started + INTERVAL 24 HOUR) AS signals FROM r""")
+def _(t):
+    return judged_signals(t).filter("NOT burst").groupBy("facility_id", "started").agg(F.count(F.lit(1)).alias("signals"))
+
+
 @query("late_rows_kept", "day:D n:i off:b", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(isodow(CAST(ts AS DATE)) >= 6 OR CAST(ts AS DATE) <= DATE '2024-01-08' AS INT) AS off FROM events GROUP BY 1")
 def _(t):
     """Rows arriving in any order land in their own day: history is partitioned by event time."""
