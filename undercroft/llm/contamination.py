@@ -89,7 +89,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, shin
 
 def bitmap(shingles: DataFrame, count: int) -> tuple[int, np.ndarray]:
     """Which upper bits the hashes ``h`` have: the number of bits, and words of 64 flags."""
-    bits = min(MOST_BITS, max(12, (16 * count).bit_length()))
+    bits = min(MOST_BITS, max(12, (1024 * count).bit_length()))
     upper = f"shiftrightunsigned(h, {64 - bits})"
     rows = shingles.selectExpr(f"shiftright({upper}, 6) AS w", f"shiftleft(1L, int({upper} & 63)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     flags = np.zeros(1 << (bits - 6), np.uint64)
