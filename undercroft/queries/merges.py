@@ -265,3 +265,76 @@ def _(t):
     first = run_directions(run_predictors(), units, cards, orders, RUN_AT, 7)
     again = run_directions(run_predictors(), units, first["cards"], first["orders"], RUN_AT, 7, 10_000)
     return again["report"].agg(F.sum("new_cards").alias("new_cards"), F.sum("new_orders").alias("new_orders"))
+
+
+def hooked_predictors():
+    """A direction of the stream with every hook, a daily one without."""
+    from undercroft.plans.cadence import moved_since
+    from undercroft.plans.run import Predictor, Predictors
+
+    def scores(units, at):
+        return units.select("facility_id", (F.col("facility_id") * 71 % 100 / 100).alias("probability"))
+
+    hours = lambda at, n: F.lit(at).cast("timestamp") - F.make_dt_interval(hours=(F.col("facility_id") % n).cast("int"))
+    out = Predictors()
+    out.add("FLOOD_RISK", Predictor(scores, applies=lambda units, at: units.filter("facility_id % 3 <> 0")))
+    out.add("FIRE_RISK", Predictor(
+        scores, level=lambda at: F.when(F.col("facility_id") % 5 == 0, "CRITICAL").otherwise("MEDIUM"),
+        incident=lambda at: F.when(F.col("facility_id") % 4 > 0, hours(at, 20)), last_event=lambda at: hours(at, 7),
+        summary=lambda at: F.concat(F.lit("сигналов "), (F.col("facility_id") % 9).cast("string")), candidates=moved_since))
+    return out
+
+
+HOOK_SQL = f"""
+    SELECT facility_id, 'FLOOD_RISK' AS direction, TIMESTAMP '{RUN_AT}' AS computed_at, TIMESTAMP '2001-08-02' AS bucket, CAST(NULL AS TIMESTAMP) AS event_at, CASE WHEN facility_id * 71 % 100 >= 30 THEN 'CRITICAL' WHEN facility_id * 71 % 100 / 100.0 >= 0.092818 THEN 'HIGH' WHEN facility_id * 71 % 100 / 100.0 >= 0.011471 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(NULL AS VARCHAR) AS summary FROM facility WHERE facility_id % 3 <> 0
+    UNION ALL SELECT facility_id, 'FIRE_RISK', TIMESTAMP '{RUN_AT}', CASE WHEN facility_id % 4 = 0 THEN TIMESTAMP '2001-08-02' ELSE TIMESTAMP '{RUN_AT}' - to_hours(facility_id % 20) END, TIMESTAMP '{RUN_AT}' - to_hours(facility_id % 7), CASE WHEN facility_id % 5 = 0 THEN 'CRITICAL' ELSE 'MEDIUM' END, concat('сигналов ', facility_id % 9) FROM facility"""
+
+
+@query("direction_run_forecasts", "facility_id:i direction:s computed_at:t bucket:t event_at:t level:s summary:s", HOOK_SQL)
+def _(t):
+    from undercroft.plans.run import run_directions
+
+    return run_directions(hooked_predictors(), *run_tables(t), RUN_AT, 7)["forecasts"]
+
+
+RUN_CARDS_SQL = f"""
+    WITH p AS ({PLAN_SQL.replace(FORE_SQL, RUN_FORE_SQL)}), b AS (SELECT * FROM (VALUES ('FLOOD_RISK', 0.011471, 0.092818, 0.3), ('UNAUTHORIZED_ACCESS', 0.008183, 0.140342, 0.3), ('FIRE_RISK', 0.25, 0.5, 0.75)) AS v(direction, m, h, c)),
+    q AS (SELECT p.*, CASE WHEN probability >= c THEN 'CRITICAL' WHEN probability >= h THEN 'HIGH' WHEN probability >= m THEN 'MEDIUM' ELSE 'LOW' END AS lv FROM p JOIN b USING (direction))
+    SELECT c.prediction_id, c.facility_id, c.direction, CASE WHEN q.action = 'follow' THEN q.bucket ELSE c.bucket END AS bucket, c.status, CASE WHEN q.action = 'follow' THEN q.probability ELSE c.probability END AS probability, CASE WHEN q.action = 'follow' THEN q.lv ELSE c.level END AS level,
+      CASE WHEN q.action = 'follow' OR q.action = 'refresh' AND c.status NOT IN {FIN} THEN TIMESTAMP '{RUN_AT}' ELSE c.computed_at END AS computed_at, CASE WHEN q.action = 'follow' THEN 7 ELSE 0 END AS run_id
+    FROM ({CARD_SQL}) c LEFT JOIN q ON q.target_id = c.prediction_id AND q.action IN ('follow', 'refresh')
+    UNION ALL SELECT concat(direction, '-', facility_id, '-', CAST(epoch(bucket) AS BIGINT)), facility_id, direction, bucket, 'NEW', probability, lv, TIMESTAMP '{RUN_AT}', 7 FROM q WHERE action = 'insert'"""
+
+
+@query("direction_run_cards", "prediction_id:s facility_id:i direction:s bucket:t status:s probability:d level:s computed_at:t run_id:i", RUN_CARDS_SQL)
+def _(t):
+    from undercroft.plans.run import run_directions
+
+    return run_directions(run_predictors(), *run_tables(t), RUN_AT, 7)["cards"]
+
+
+#: Quarters of two days in which batches arrive.
+ARRIVALS = ("2024-01-10 00:00:00", "2024-01-10 06:00:00", "2024-01-10 12:00:00", "2024-01-11 00:00:00")
+CADENCE_SQL = f"""
+    WITH e AS (SELECT channel_id % 100 AS f, ts, {" ".join(["CASE", *[f"WHEN ts >= TIMESTAMP '{at}' AND ts < TIMESTAMP '{at}' + INTERVAL 6 HOUR THEN {k}" for k, at in enumerate(ARRIVALS)], "END"])} AS k FROM journal),
+    m AS (SELECT k, max(max(ts)) OVER (ORDER BY k) AS moment FROM e WHERE k IS NOT NULL GROUP BY k), u AS (SELECT DISTINCT channel_id % 100 AS f FROM journal)
+    SELECT 'FIRE_RISK' AS direction, k AS run_id, moment AS "at", 1 AS "full", (SELECT count(*) FROM u) AS scored FROM m WHERE k IN (0, 3)
+    UNION ALL SELECT 'FLOOD_RISK', k, moment, 1, (SELECT count(*) FROM u WHERE f % 3 <> 0) FROM m WHERE k IN (0, 3)
+    UNION ALL SELECT 'FIRE_RISK', m.k, m.moment, 0, (SELECT count(DISTINCT f) FROM e WHERE e.k <= m.k AND (ts > p.moment AND ts <= m.moment OR ts > p.moment - INTERVAL 24 HOUR AND ts <= m.moment - INTERVAL 24 HOUR)) FROM m JOIN m p ON p.k = m.k - 1 WHERE m.k IN (1, 2)"""
+
+
+@query("cadence_runs", "direction:s run_id:i at:t full:b scored:i", CADENCE_SQL)
+def _(t):
+    """Batches of a stream over two days: the second and third of a day score only units with new events, and no daily direction."""
+    from undercroft.plans.cadence import serve, served
+    from undercroft.session import scratch_path
+
+    path, source = scratch_path(t.spark, "cadence"), scratch_path(t.spark, "cadence-events")
+    rows = t.journal.select((F.col("channel_id") % 100).alias("facility_id"), "ts")
+    for at in ARRIVALS:
+        start = F.lit(at).cast("timestamp")
+        rows.filter((F.col("ts") >= start) & (F.col("ts") < start + F.expr("INTERVAL 6 HOURS"))).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema("facility_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    _, cards, orders = run_tables(t)
+    serve(stream, hooked_predictors(), rows.select("facility_id").distinct(), cards.filter("false"), orders.filter("false"), path, f"{path}-state", every=None).awaitTermination()
+    return served(t.spark, path, "runs")
