@@ -88,11 +88,16 @@ def days_since(last_day: Column, day: str = "day", cap: int | None = None) -> Co
 
 def rolling_median(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str,
                    days: int = 30, gap_hours: int = 1) -> DataFrame:
-    """Median of the past ``days`` up to ``gap_hours`` before a row, over hourly rows."""
-    micros = F.unix_micros(ts)
-    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(
-        -days * 86_400_000_000, -gap_hours * 3_600_000_000)
-    return df.withColumn(out, F.percentile(value, 0.5).over(w))
+    """Median of the past ``days`` up to ``gap_hours`` before a row.
+
+    Time is cut into spans of the window's length, and a row stands in its own span and, to be looked back at, in the next:
+    the window of a key is so many pieces, none of which holds more than two spans.
+    """
+    micros, length = F.unix_micros(ts), days * 86_400_000_000
+    span = F.floor(micros / length)
+    spread = df.withColumn("_span", F.explode(F.array(span, span + 1)))
+    w = Window.partitionBy(*keys, "_span").orderBy(micros).rangeBetween(-length, -gap_hours * 3_600_000_000)
+    return spread.withColumn(out, F.percentile(value, 0.5).over(w)).filter(F.col("_span") == span).drop("_span")
 
 
 def decaying_memory(days: DataFrame, keys: Sequence[str], flag: str, taus: Sequence[float], most_months: int = 2048) -> DataFrame:
