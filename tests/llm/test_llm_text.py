@@ -165,6 +165,57 @@ def test_disclosing_terms(spark):
     assert all(clean[k] == data[k][1] for k in range(6, 200)) and all("<email>" in clean[k] and "Zanz" not in clean[k] for k in range(6))
 
 
+def test_disclosure_of_all_pairs_by_brute_force(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(12)
+    rare = [f"{a}{b}qu" for a in ("zan", "mor", "tel", "vik", "rou") for b in ("ba", "ke", "lo", "mi")]
+    data = []
+    for k in range(150):
+        words = prose(rng, rng.randint(0, 40)).split() + rng.sample(rare, rng.choice((0, 0, 1, 2)))
+        if k % 6 == 0:
+            words += [f"user{j}@mail{j}.example" for j in rng.sample(range(8), rng.choice((1, 1, 2)))] + [rare[k % 5].title(), f"only{'abcdefghij'[k // 6 % 10]}"]
+        if k % 25 == 7:
+            words += ["agent@mail.example.net", "Kestrelqu"]
+        if k % 20 == 9:
+            words += ["boss@mail.example.net", "Falconqu"]
+        words += ["kestrelqu"] * (k == 3)  # also without the entity
+        rng.shuffle(words)
+        data.append((k, " ".join(words), "en", "s", 0, None, None, None, None))
+    data += [(200 + k, data[0][1], "en", "s", 0, None, None, None, None) for k in range(60)]  # copies are no evidence
+    data += [(300, None, None, None, 0, None, None, None, None), (None, data[6][1], None, None, 0, None, None, None, None)]
+    texts = [r[1] or "" for r in data]
+    parts = []
+    for text in texts:
+        spans = privacy.base_spans(text)
+        parts.append(({text[a:b].lower() for _, a, b in spans}, [(m.start(), m.end(), m[0].lower()) for m in privacy.TERM.finditer(text) if all(m.end() <= a or m.start() >= b for _, a, b in spans)]))
+    n_t, n_e, n_et, kinds = Counter(), Counter(), Counter(), defaultdict(set)
+    for (own, found), text in zip(parts, texts, strict=True):
+        for t in {t for *_, t in found}:
+            n_t[t] += 1
+            for e in own:
+                n_et[e, t] += 1
+                kinds[e, t].add(text)
+        n_e.update(own)
+    left, z = {}, privacy.NORMAL
+    for (e, t), n in n_et.items():
+        p = n / n_t[t]
+        m = len(kinds[e, t]) / p
+        low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        if low * len(texts) > n_e[e]:
+            left[t] = min(left.get(t, 99), -math.log2(low))
+    kind = {t: "term" if x <= privacy.REMOVE else "class" for t, x in left.items() if x <= privacy.GENERALISE}
+    assert set(kind.values()) == {"term", "class"} and n_t["kestrelqu"] == 7 and "kestrelqu" in kind
+    got = privacy.find_private(frame(spark, data)).collect()
+    assert len(got) == len(data)
+    want = Counter((r[0], ",".join(["%s:%d:%d" % s for s in privacy.base_spans(text)] + [f"{k}:{a}:{b}" for k in ("term", "class") for a, b, t in found if kind.get(t) == k])) for r, text, (_, found) in zip(data, texts, parts, strict=True))
+    assert Counter((r.doc_id, r.spans) for r in got) == want
+    clean = {r.doc_id: r.text for r in privacy.sanitised(frame(spark, data)).collect()}
+    gone = next(t for t, k in kind.items() if k == "term")
+    assert all(gone not in (t or "").lower().split() for t in clean.values())
+
+
 def test_private_edges(spark):
     got = privacy.find_private(frame(spark)).collect()
     assert len(got) == len(rows())
