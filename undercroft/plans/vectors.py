@@ -6,7 +6,8 @@ aggregation; there is no loop over facilities and no cache between vectors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from undercroft import config
 from undercroft.functions.calendar import is_day_off, is_holiday, season
 from undercroft.functions.cards import hours_back
 from undercroft.functions.clock import local_day, local_midnight, shift
+from undercroft.operators.features import FeatureGraph, value
 from undercroft.operators.intervals import on_intervals, overlap_hours
 from undercroft.operators.ordered import state_runs
 from undercroft.operators.sessions import flag_events
@@ -27,6 +29,9 @@ PUMP_STATES = ("PUMP_ON", "PUMP_OFF")
 WATER_TYPES = ("FLOODED", "FLOOD_SENSOR_OPEN")
 
 
+CALENDAR_NAMES = ("day_of_week", "day_of_month", "day_of_year", "week_of_year", "is_day_off")
+
+
 def calendar_columns(day: Column) -> dict[str, Column]:
     return {
         "day_of_week": F.weekday(day), "day_of_month": F.dayofmonth(day), "day_of_year": F.dayofyear(day),
@@ -58,63 +63,117 @@ def back_days(ts: str, at: Column) -> Column:
     return F.floor((F.unix_micros(at) - F.unix_micros(ts) - 1) / 8.64e10)
 
 
-def access_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame, at: str) -> DataFrame:
-    """28 access features per facility. ``events``: (facility_id, sensor_id, code, ts);
-    ``facilities``: (facility_id, collector, born); ``born`` may be null."""
-    now = F.lit(at).cast("timestamp")
-    known = events.filter(F.col("ts") < now)
+@dataclass(frozen=True)
+class AccessInputs:
+    """``events``: (facility_id, sensor_id, code, ts); ``facilities``: (facility_id, collector, born), ``born`` may be null."""
+
+    events: DataFrame
+    facilities: DataFrame
+    sensors: DataFrame
+    at: str
+
+    @property
+    def now(self) -> Column:
+        return F.lit(self.at).cast("timestamp")
+
+
+ACCESS = FeatureGraph("UNAUTHORIZED_ACCESS", "units")
+
+
+@ACCESS.frame("known")
+def _(i: AccessInputs) -> DataFrame:
+    return i.events.filter(F.col("ts") < i.now)
+
+
+@ACCESS.frame("units", "known")
+def _(i: AccessInputs, known: DataFrame) -> DataFrame:
     seen = known.groupBy("facility_id").agg(
         F.min("ts").alias("_seen"),
-        F.countDistinct(F.when(F.col("code").isin(*ACCESS_TYPES), F.col("sensor_id"))).alias("n_channels"))
-    units = facilities.join(seen, "facility_id", "left").withColumn(
-        "_life", F.least(F.coalesce(F.col("born"), F.col("_seen"), now), now)).withColumn(
-        "unit_age_days", F.floor((F.unix_micros(now) - F.unix_micros("_life")) / 8.64e10))
-    runs = guard_runs(known)
-    windows = runs.filter("value = 'SECURITY_DISARMED'").select("facility_id", F.col("ts").alias("t_from"), F.col("next").alias("t_to"))
-    m = access_moments(known, windows, sensors).withColumn("_d", back_days("ts", now))
+        F.countDistinct(F.when(F.col("code").isin(*ACCESS_TYPES), F.col("sensor_id"))).alias("_channels"))
+    return i.facilities.join(seen, "facility_id", "left").withColumn("_life", F.least(F.coalesce(F.col("born"), F.col("_seen"), i.now), i.now))
+
+
+@ACCESS.frame("guard", "known")
+def _(i: AccessInputs, known: DataFrame) -> DataFrame:
+    return guard_runs(known)
+
+
+@ACCESS.frame("windows", "guard")
+def _(i: AccessInputs, runs: DataFrame) -> DataFrame:
+    return runs.filter("value = 'SECURITY_DISARMED'").select("facility_id", F.col("ts").alias("t_from"), F.col("next").alias("t_to"))
+
+
+@ACCESS.frame("days", "known", "windows")
+def _(i: AccessInputs, known: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per unit and day back: every share and distinct-day count is a plain sum over it."""
+    m = access_moments(known, windows, i.sensors).withColumn("_d", back_days("ts", i.now))
     hit = F.col("event")
-    # One row per unit and day back: every share and distinct-day count is a plain sum over it.
-    per_day = stored(m.groupBy("facility_id", "_d").agg(
-        F.count(F.lit(1)).alias("_a"), F.count_if(hit).alias("_e"), F.max("ts").alias("_la"),
-        F.max(F.when(hit, F.col("ts"))).alias("_le")))
-    d, a, e = F.col("_d"), F.col("_a"), F.col("_e")
-    upto = lambda c, n: F.coalesce(F.sum(F.when(d < n, c)), F.lit(0))
-    days_with = lambda c, n: F.count_if((d < n) & (c > 0)) / float(n)
-    own = per_day.groupBy("facility_id").agg(
-        upto(a, 7).alias("n_alarms_7d"), upto(e, 7).alias("n_armed_7d"), upto(e, 90).alias("n_armed_90d"),
-        days_with(a, 7).alias("alarm_day_share_7d"), days_with(a, 365).alias("alarm_day_share_365d"),
-        days_with(e, 30).alias("armed_day_share_30d"),
-        F.max("_la").alias("_la"), F.max("_le").alias("_le"),
-        F.max(((d == 6) & (e > 0)).cast("int")).alias("armed_same_weekday_1w"))
-    objects = per_day.join(facilities.select("facility_id", "collector"), "facility_id").groupBy("collector").agg(
-        upto(a, 1).alias("obj_alarms_1d"), upto(a, 7).alias("obj_alarms_7d"),
-        F.count_if(d < 7).alias("obj_units_alarmed_7d"))
-    hours = overlap_hours(windows, ("facility_id",), now, {"disarm_hours_7d": 168, "_d30": 720})
-    # The first arming without a disarming before it is no change.
-    change = runs.groupBy("facility_id").agg(
+    return stored(m.groupBy("facility_id", "_d").agg(
+        F.count(F.lit(1)).alias("_a"), F.count_if(hit).alias("_e"), F.max("ts").alias("_la"), F.max(F.when(hit, F.col("ts"))).alias("_le")))
+
+
+def upto(c: str, n: int) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("_d") < n, F.col(c))), F.lit(0))
+
+
+def days_with(c: str, n: int) -> Column:
+    return F.count_if((F.col("_d") < n) & (F.col(c) > 0)) / float(n)
+
+
+@ACCESS.frame("own", "days", on=("facility_id",))
+def _(i: AccessInputs, days: DataFrame) -> DataFrame:
+    return days.groupBy("facility_id").agg(
+        upto("_a", 7).alias("_a7"), upto("_e", 7).alias("_e7"), upto("_e", 90).alias("_e90"),
+        days_with("_a", 7).alias("_da7"), days_with("_a", 365).alias("_da365"), days_with("_e", 30).alias("_de30"),
+        F.max("_la").alias("_la"), F.max("_le").alias("_le"), F.max(((F.col("_d") == 6) & (F.col("_e") > 0)).cast("int")).alias("_same"))
+
+
+@ACCESS.frame("objects", "days", on=("collector",))
+def _(i: AccessInputs, days: DataFrame) -> DataFrame:
+    return days.join(i.facilities.select("facility_id", "collector"), "facility_id").groupBy("collector").agg(
+        upto("_a", 1).alias("_oa1"), upto("_a", 7).alias("_oa7"), F.count_if(F.col("_d") < 7).alias("_ou7"))
+
+
+@ACCESS.frame("hours", "windows", on=("facility_id",))
+def _(i: AccessInputs, windows: DataFrame) -> DataFrame:
+    return overlap_hours(windows, ("facility_id",), i.now, {"_h7": 168, "_h30": 720})
+
+
+@ACCESS.frame("change", "guard", on=("facility_id",))
+def _(i: AccessInputs, runs: DataFrame) -> DataFrame:
+    """The first arming without a disarming before it is no change."""
+    return runs.groupBy("facility_id").agg(
         F.max("ts").alias("_hi"), F.min("ts").alias("_lo"),
         F.max(F.when(F.col("value") == "SECURITY_DISARMED", F.col("ts"))).alias("_off")).select(
         "facility_id", F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_off")).alias("_change"))
-    net = network_share(per_day, units, now)
-    day = F.to_date(now)
-    full = (
-        units.join(own, "facility_id", "left").join(objects, "collector", "left").join(hours, "facility_id", "left")
-        .join(change, "facility_id", "left").withColumn("_k", F.lit(1)).join(F.broadcast(net), "_k"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    age = F.col("unit_age_days")
-    since_days = lambda c: F.coalesce(back_days(c, now) + 1, age + 1)
-    since_hours = lambda c: F.coalesce(boundary_hours(c, now), 24 * (age + 1))
-    counts = ("n_alarms_7d", "n_armed_7d", "n_armed_90d", "alarm_day_share_7d", "alarm_day_share_365d",
-              "armed_day_share_30d", "armed_same_weekday_1w", "obj_alarms_1d", "obj_alarms_7d", "obj_units_alarmed_7d",
-              "disarm_hours_7d", "n_channels")
-    return full.select(
-        "facility_id", *[z(c).alias(c) for c in counts], "unit_age_days",
-        since_days("_la").alias("days_since_last_alarm"), since_days("_le").alias("days_since_last_armed"),
-        since_hours("_la").alias("hours_since_last_alarm"), since_hours("_le").alias("hours_since_last_armed"),
-        (z("_d30") / 720.0).alias("disarm_share_30d"), boundary_hours("_change", now).alias("hours_since_guard_change"),
-        "net_event_share_1d", "net_event_share_7d", "date_event_share_prev_years",
-        *[c.alias(n) for n, c in calendar_columns(day).items()],
-        F.when(is_day_off(day), day_off_run(day)).otherwise(0).alias("day_off_chain"))
+
+
+@ACCESS.frame("network", "days", "units", on=())
+def _(i: AccessInputs, days: DataFrame, units: DataFrame) -> DataFrame:
+    return network_share(days, units, i.now).drop("_k")
+
+
+def counted(**columns: str) -> dict[str, Callable[[AccessInputs], Column]]:
+    return {n: lambda i, c=c: F.coalesce(F.col(c), F.lit(0)) for n, c in columns.items()}
+
+
+ACCESS.add(counted(n_alarms_7d="_a7", n_armed_7d="_e7", n_armed_90d="_e90", alarm_day_share_7d="_da7", alarm_day_share_365d="_da365", armed_day_share_30d="_de30", armed_same_weekday_1w="_same"), ["own"])
+ACCESS.add(counted(obj_alarms_1d="_oa1", obj_alarms_7d="_oa7", obj_units_alarmed_7d="_ou7"), ["objects"])
+ACCESS.add(counted(disarm_hours_7d="_h7"), ["hours"])
+ACCESS.add(counted(n_channels="_channels"), ["units"])
+ACCESS.add({"unit_age_days": lambda i: F.floor((F.unix_micros(i.now) - F.unix_micros("_life")) / 8.64e10)}, ["units"])
+ACCESS.add({n: lambda i, c=c: F.coalesce(back_days(c, i.now) + 1, value("unit_age_days") + 1) for n, c in (("days_since_last_alarm", "_la"), ("days_since_last_armed", "_le"))}, ["own"], ["unit_age_days"])
+ACCESS.add({n: lambda i, c=c: F.coalesce(boundary_hours(c, i.now), 24 * (value("unit_age_days") + 1)) for n, c in (("hours_since_last_alarm", "_la"), ("hours_since_last_armed", "_le"))}, ["own"], ["unit_age_days"])
+ACCESS.add({"disarm_share_30d": lambda i: F.coalesce(F.col("_h30"), F.lit(0)) / 720.0}, ["hours"])
+ACCESS.add({"hours_since_guard_change": lambda i: boundary_hours("_change", i.now)}, ["change"])
+ACCESS.add({n: lambda i, n=n: F.col(n) for n in ("net_event_share_1d", "net_event_share_7d", "date_event_share_prev_years")}, ["network"])
+ACCESS.add({n: lambda i, n=n: calendar_columns(F.to_date(i.now))[n] for n in CALENDAR_NAMES})
+ACCESS.add({"day_off_chain": lambda i: F.when(is_day_off(F.to_date(i.now)), day_off_run(F.to_date(i.now))).otherwise(0)})
+
+
+def access_vector(events: DataFrame, facilities: DataFrame, sensors: DataFrame, at: str, names: Sequence[str] | None = None) -> DataFrame:
+    """The access features of every facility at the moment of a run: all, or those that a model names."""
+    return ACCESS.build(AccessInputs(events, facilities, sensors, at), names)
 
 
 def boundary_hours(ts: str, now: Column) -> Column:

@@ -393,17 +393,32 @@ ACC_VECTOR_SQL = f"""
            (SELECT date_diff('hour', max(ts), {A}) FROM st WHERE st.facility_id = lf.facility_id AND (code = 'SECURITY_DISARMED' OR bef IS NOT NULL)) AS hours_since_guard_change,
            (SELECT count(DISTINCT sensor_id) FROM e WHERE e.facility_id = lf.facility_id AND code IN ('DOOR_OPEN', 'MOTION')) AS n_channels,
            (SELECT count(DISTINCT (facility_id, d)) FROM x WHERE d < 7 AND ev) / (SELECT sum((SELECT count(*) FROM (SELECT unnest(generate_series(0, 6)) AS k) WHERE l2.life < {A} - k * INTERVAL 1 DAY)) FROM lf l2) AS net_event_share_7d,
-           28 + 1 AS day_of_month, 0 AS day_of_week, 0 AS is_day_off
+           (SELECT count(*) FROM x JOIN f USING (facility_id) WHERE f.collector = lf.collector AND d < 7) AS obj_alarms_7d,
+           coalesce((SELECT date_diff('hour', max(ts), {A}) FROM x WHERE x.facility_id = lf.facility_id), 24 * (floor((epoch({A}) - epoch(life)) / 86400) + 1)) AS hours_since_last_alarm,
+           coalesce((SELECT sum(greatest(0, epoch(least(coalesce(b, {A}), {A})) - epoch(greatest(a, {A} - INTERVAL 30 DAY)))) / 3600 FROM w WHERE w.facility_id = lf.facility_id), 0) / 720.0 AS disarm_share_30d,
+           (SELECT count(DISTINCT facility_id) FROM x WHERE d < 1 AND ev) / (SELECT count(*) FROM lf l2 WHERE l2.life < {A}) AS net_event_share_1d, CAST(NULL AS DOUBLE) AS date_event_share_prev_years,
+           28 + 1 AS day_of_month, 0 AS day_of_week, 29 AS day_of_year, 5 AS week_of_year, 0 AS is_day_off, 0 AS day_off_chain
     FROM lf"""
 
 
-@query("access_vector", "facility_id:i unit_age_days:i n_alarms_7d:i n_armed_7d:i n_armed_90d:i alarm_day_share_7d:d alarm_day_share_365d:d armed_day_share_30d:d days_since_last_alarm:i days_since_last_armed:i hours_since_last_armed:i armed_same_weekday_1w:i obj_alarms_1d:i obj_units_alarmed_7d:i disarm_hours_7d:d hours_since_guard_change:i n_channels:i net_event_share_7d:d day_of_month:i day_of_week:i is_day_off:i", ACC_VECTOR_SQL)
+@query("access_vector", "facility_id:i unit_age_days:i n_alarms_7d:i n_armed_7d:i n_armed_90d:i alarm_day_share_7d:d alarm_day_share_365d:d armed_day_share_30d:d days_since_last_alarm:i days_since_last_armed:i hours_since_last_armed:i armed_same_weekday_1w:i obj_alarms_1d:i obj_units_alarmed_7d:i disarm_hours_7d:d hours_since_guard_change:i n_channels:i net_event_share_7d:d obj_alarms_7d:i hours_since_last_alarm:i disarm_share_30d:d net_event_share_1d:d date_event_share_prev_years:d day_of_month:i day_of_week:i day_of_year:i week_of_year:i is_day_off:i day_off_chain:i", ACC_VECTOR_SQL)
 def _(t):
     events = run_events(t, {"error": "DOOR_OPEN", "click": "MOTION", "view": "SECURITY_ARMED", "signup": "SECURITY_DISARMED"})
     sensors = t.journal.filter("channel_id % 2 = 0").select((F.col("channel_id") % 60).alias("facility_id"), F.col("channel_id").alias("sensor_id")).distinct().withColumn("sensor_type", F.lit("CONTACT"))
     return vectors.access_vector(events, run_units(t).withColumn("born", F.lit(None).cast("timestamp")), sensors, "2024-01-29 00:00:00")
 
 
+NAMED = ("hours_since_guard_change", "disarm_hours_7d", "unit_age_days")
+
+
+@query("access_vector_named", "facility_id:i hours_since_guard_change:i disarm_hours_7d:d unit_age_days:i", f"SELECT facility_id, {', '.join(NAMED)} FROM ({ACC_VECTOR_SQL})")
+def _(t):
+    """What a model of three features asks for: no moments, no objects, no network are made."""
+    events = run_events(t, {"error": "DOOR_OPEN", "click": "MOTION", "view": "SECURITY_ARMED", "signup": "SECURITY_DISARMED"})
+    units = run_units(t).withColumn("born", F.lit(None).cast("timestamp"))
+    return vectors.access_vector(events, units, t.spark.createDataFrame([], "facility_id long, sensor_id long, sensor_type string"), "2024-01-29 00:00:00", NAMED)
+
+
 WORK_SQL = f"""
     SELECT facility_id, CASE WHEN a < 24 AND a < lim THEN 'Выезд группы реагирования' WHEN l < 24 AND l < lim THEN 'Осмотр люка и запорного механизма' WHEN g > 168 AND g < lim THEN 'Проверка СКУД' ELSE 'Замена замка' END AS work_type
     FROM (SELECT facility_id, hours_since_last_armed AS a, days_since_last_alarm * 20 AS l, hours_since_guard_change * 12 AS g, 24 * (unit_age_days + 1) AS lim FROM ({ACC_VECTOR_SQL}))"""
