@@ -21,7 +21,7 @@ def test_ingest_counts_and_hour_max(spark):
     rows = spark.createDataFrame(ROWS, "event_id long, channel_id long, ts timestamp, alarm string, value string")
     sensors = spark.createDataFrame(SENSORS, "channel_id long, sensor_id string, facility_id string, channel_type string")
     mapped = ing.map_rows(rows, sensors)
-    assert tuple(ing.counters(mapped).first()) == (7, 3, 3)
+    assert tuple(mapped.agg(*ing.counters()).first()) == (7, 3, 3)
     path = scratch_path(spark, "rows")
     shuffled = ROWS[:]
     random.Random(2).shuffle(shuffled)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undercroft import config
@@ -148,21 +148,20 @@ def state_share_by_hour(changes: DataFrame, keys: Sequence[str], at: Column, hou
                         ts: str = "ts", value: str = "value") -> DataFrame:
     """Share of each of the last ``hours`` hours in the ON state.
 
-    The state before the window is carried in; keys without any record are absent.
+    The state before the window is carried in, from just before it; keys without any record are absent.  Runs of a state are
+    found by hour buckets, so no key's rows meet in one task.
     """
     start = F.date_trunc("hour", shift(at, -hours * 3600))
     end = shift(start, hours * 3600)
     known = changes.filter(F.col(ts) < at)
     before = (
         known.filter(F.col(ts) < start).groupBy(*keys)
-        .agg(F.max_by(value, F.struct(ts, value)).alias(value)).withColumn(ts, start)
+        .agg(F.max_by(value, F.struct(ts, value)).alias(value)).withColumn(ts, start - F.expr("INTERVAL 1 MICROSECOND"))
     )
     rows = known.filter(F.col(ts) >= start).select(*keys, ts, value).unionByName(
         before.select(*keys, ts, value))
-    w = Window.partitionBy(*keys).orderBy(ts, value)
-    spans = rows.select(
-        *keys, value, F.col(ts).alias("a"), F.coalesce(F.lead(ts).over(w), end).alias("b")
-    ).filter(F.col(value) == on)
+    runs = state_runs(rows, keys, ts, value, "_next", bucket="hour").filter(F.col(value) == on)
+    spans = runs.select(*keys, value, F.col(ts).alias("a"), F.coalesce("_next", end).alias("b"))
     on_time = cut(spans, keys, "a", "b", "hour", "hour").groupBy(*keys, "hour").agg(
         F.sum((F.unix_micros("b") - F.unix_micros("a")) / 3.6e9).alias("share")
     )

@@ -25,6 +25,12 @@ def _(t):
     return ev.rule_point(t.scored, F.col("naive") == 1)
 
 
+@query("blend_levels", "medium:d high:d critical:d", """
+    SELECT round(avg(y), 6) AS medium, 0.55 AS high, (SELECT min(s) FROM (VALUES (0.3), (0.4), (0.5), (0.6), (0.8)) AS v(s) WHERE s > 0.55) AS critical FROM scored""")
+def _(t):
+    return ev.level_bounds(t.scored, 0.55)
+
+
 @query("rule_point_by_year", "year:i precision:d recall:d alerts:i hits:i", """
     SELECT year, round(h / a, 6) AS precision, CASE WHEN s > 0 THEN round(h / s, 6) ELSE 0 END AS recall, a AS alerts, h AS hits FROM (
       SELECT year(day) AS year, sum(CASE WHEN p >= 0.6 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN p >= 0.6 THEN y ELSE 0 END) AS h, sum(y) AS s FROM scored GROUP BY 1)""")

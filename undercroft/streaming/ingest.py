@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from undercroft.functions.mapping import alarm_flag, event_code, metric, metric_unit, reading_value
 from undercroft.sources.writers import read_greatest, write_batch
 
+COUNTERS = ("received", "events", "skipped")
 READING_KEYS = ("sensor_id", "metric", "hour")
 READING_SCHEMA = "sensor_id string, facility_id string, metric string, hour timestamp, value double, unit string, day date"
 
@@ -53,25 +54,26 @@ def readings_of(mapped: DataFrame) -> DataFrame:
         F.max("h.number").alias("value")).withColumn("day", F.to_date("hour"))
 
 
-def counters(mapped: DataFrame) -> DataFrame:
-    return mapped.agg(
-        F.count(F.lit(1)).alias("received"),
-        F.coalesce(F.sum(F.size(F.filter("hits", lambda h: h["code"].isNotNull()))), F.lit(0)).alias("events"),
-        F.coalesce(F.sum((F.size("hits") == 0).cast("int")), F.lit(0)).alias("skipped"))
+def counters() -> list[Column]:
+    """What a batch counts while its rows pass."""
+    events = F.size(F.filter("hits", lambda h: h["code"].isNotNull()))
+    return [F.count(F.lit(1)).alias("received"), F.coalesce(F.sum(events), F.lit(0)).alias("events"), F.coalesce(F.sum((F.size("hits") == 0).cast("int")), F.lit(0)).alias("skipped")]
 
 
 def start_ingest(rows: DataFrame, sensors: DataFrame, path: str, checkpoint: str, received_at: str | None = None) -> StreamingQuery:
     """Runs the stream until the available input is done.
 
     Events, readings and counters of a batch land in ``events``, ``readings`` (both by day) and ``counters`` under the batch
-    id, so a replayed batch changes nothing and a day's history is one folder.
+    id, so a replayed batch changes nothing and a day's history is one folder.  Counters are observed while events are written.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         mapped = map_rows(batch, sensors).persist()
         stamp = F.current_timestamp() if received_at is None else F.lit(received_at).cast("timestamp")
-        write_batch(events_of(mapped).withColumns({"received_at": stamp, "day": F.to_date("occurred_at")}), f"{path}/events", batch_id)
+        seen = Observation()
+        write_batch(events_of(mapped.observe(seen, *counters())).withColumns({"received_at": stamp, "day": F.to_date("occurred_at")}), f"{path}/events", batch_id)
         write_batch(readings_of(mapped), f"{path}/readings", batch_id)
-        write_batch(counters(mapped).withColumn("day", F.to_date(stamp)), f"{path}/counters", batch_id)
+        counted = batch.sparkSession.createDataFrame([tuple(seen.get[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+        write_batch(counted.withColumn("day", F.to_date(stamp)), f"{path}/counters", batch_id)
         mapped.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
