@@ -96,6 +96,45 @@ def test_language_edges(spark):
     assert [r.doc_id for r in language.known_language(untaught).collect()] == [1]
 
 
+def test_language_by_plain_naive_bayes(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    def buckets(text):
+        points = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+        out = Counter()
+        for at in range(len(points)):
+            key = 0
+            for n in (1, 2, 3):
+                gram = points[at:at + n]
+                if len(gram) < n:
+                    break
+                key = (key * 0x100000001B3 + gram[-1] + n) % 2**64
+                if (gram[0] != 32 if n == 1 else gram != [32, 32] if n == 2 else gram[1] != 32):
+                    x = key * 0x9E3779B97F4A7C15 % 2**64
+                    out[(x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % 2**64 >> 48] += 1
+        return out
+
+    rng = random.Random(21)
+    parts = {"aa": ("ka", "lo", "mi", "the"), "bb": ("ör", "stü", "lo", "der"), "cc": ("ña", "mi", "él", "ka")}
+    data = []
+    for k in range(240):
+        lang = rng.choice("aa bb cc".split())
+        text = " ".join("".join(rng.choice(parts[lang if rng.random() < 0.6 else rng.choice(list(parts))]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12)))
+        data.append((k, rng.choice((text, text.upper(), text + " 12!? 🙂", text.replace(" ", "\n"))), None if k % 11 == 0 else lang, "s", 0, None, None, None, None))
+    taught = [r for r in data if zlib.crc32(str(r[0]).encode()) % 5 and r[2]]
+    counts = {x: sum((buckets(r[1]) for r in taught if r[2] == x), Counter()) for x in parts}
+    prior = {x: math.log(sum(r[2] == x for r in taught) / len(taught)) for x in parts}
+    got = {r.doc_id: r for r in language.language_id(frame(spark, data)).collect()}
+    for r in data:
+        own = buckets(r[1])
+        total = {x: prior[x] + sum(n * (math.log(counts[x][b] + 0.5) - math.log(sum(counts[x].values()) + 0.5 * 65536)) for b, n in own.items()) for x in parts}
+        best = max(sorted(parts), key=total.get)
+        share = 1 / sum(math.exp(v - total[best]) for v in total.values())
+        assert (got[r[0]].lang_pred, got[r[0]].held_out) == (best, zlib.crc32(str(r[0]).encode()) % 5 == 0) and abs(got[r[0]].score - share) < 1e-6
+
+
 def test_language_beyond_the_first_plane(spark):
     texts = ["\U0001F600 \U0001F680", "a\U0001F600b", "\U00010400\U00010401", "one two three"]
     is_letter = language.letters()
