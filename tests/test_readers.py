@@ -1,17 +1,18 @@
-"""The journal reader splits files, and finds the same rows wherever a split falls."""
+"""The journal reader finds the same rows whatever the size of a split."""
 
 import random
 
+import pytest
+
 from undercroft.session import scratch_path
 from undercroft.sources import readers as rd
 
 
-def test_records_cross_splits(spark):
+@pytest.mark.parametrize("line_breaks", [True, False])
+def test_rows_do_not_depend_on_splits(spark, line_breaks):
     rnd = random.Random(3)
-    rows = []
-    for k in range(400):
-        value = rnd.choice(["На охране", "21,5", 'с "кавычкой"', "строка, часть\nвторая\n\nтретья", "\n", ""])
-        rows.append((k, rnd.randint(1, 9), f"2024-03-{1 + k % 28:02d}", "10:00:00", "t", value))
+    values = ["На охране", "21,5", 'с "кавычкой"', "строка, часть", ""] + ["строка, часть\nвторая\n\nтретья", "\n"] * line_breaks
+    rows = [(k, rnd.randint(1, 9), f"2024-03-{1 + k % 28:02d}", "10:00:00", "t", rnd.choice(values)) for k in range(400)]
     quoted = lambda v: '"' + str(v).replace('"', '""') + '"'
     names = [*rd.COLUMNS.values(), "значение"]
     text = "\n".join([",".join(names), *[",".join(map(quoted, r)) if i % 50 else ",".join(names) + "\n" + ",".join(map(quoted, r)) for i, r in enumerate(rows)]])
@@ -22,8 +23,13 @@ def test_records_cross_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", 1)
         try:
-            got = sorted((r.event_id, r.channel_id, r.value or "") for r in rd.read_journal_csv(spark, {"значение": [path]}).collect())
+            df = rd.read_journal_csv(spark, {"значение": [path]}, line_breaks=line_breaks)
+            got = sorted((r.event_id, r.channel_id, r.value or "") for r in df.collect())
+            tasks = df.rdd.getNumPartitions()
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
             spark.conf.unset("spark.sql.files.openCostInBytes")
         assert got == [(r[0], r[1], r[5]) for r in rows], size
+        assert (tasks == 1) == line_breaks
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,77 +21,29 @@ WEATHER_FIELDS = {"precip": "precipitation", "rain": "rain", "snowfall": "snowfa
                   "snow_depth": "snow_depth"}
 
 
-def read_csv_text(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Quoted multi-line CSV with every column as text."""
+def read_csv_text(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], line_breaks: bool = True) -> DataFrame:
+    """Quoted CSV with every column as text.
+
+    With ``line_breaks`` values may hold some, and a file is one task; without, files are read in splits.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
     return (
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        spark.read.option("header", True).option("multiLine", line_breaks).option("quote", '"').option("escape", '"')
         .option("enforceSchema", False).schema(schema).csv(paths))
 
 
-def csv_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``record``: the records of quoted CSV files as text, read in splits though values may hold line breaks.
-
-    One pass counts quotes by split; an odd running count before a split means that it begins inside a value.  The driver
-    holds the numbers of those splits only, fewer than the tasks it plans.  The second pass joins lines to
-    records; what crosses a split's border is given out in pieces and put together at the end.
-    """
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
-    odd = lines.groupBy("file", "at").agg((F.sum(F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2).alias("odd"))
-    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    inside = odd.withColumn("open", F.sum("odd").over(before) % 2 == 1).filter("open").select("file", "at").collect()
-    begins_open = spark.sparkContext.broadcast({(r["file"], r["at"]) for r in inside})
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held, part = None, [], 0
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["file", "at", "part", "record"])
-
-        for b in batches:
-            rows = []
-            for file, at, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (file, at) != split:
-                    if held:
-                        rows.append((*split, part or 2, "\n".join(held)))
-                    split, held, part = (file, at), [], 0
-                    if split in begins_open.value:
-                        part = 1  # the rest of a record that an earlier split began
-                        open_ = True
-                    else:
-                        open_ = False
-                held.append(line)
-                open_ ^= line.count('"') % 2 == 1
-                if not open_:
-                    rows.append((file, at, 3 if part else 0, "\n".join(held)))
-                    held, part = [], 0
-            if rows:
-                yield out(rows)
-        if held:
-            yield out([(*split, part or 2, "\n".join(held))])
-
-    # 0 whole, 1 goes through a split, 2 begins at a split's end, 3 ends at a split's begin
-    pieces = lines.mapInArrow(join, "file string, at long, part int, record string")
-    order = Window.partitionBy("file").orderBy("at", F.when(F.col("part") == 2, 1).otherwise(0))
-    cut = pieces.filter("part > 0").withColumn("n", F.sum((F.col("part") == 2).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    put = cut.groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("part") == 2, 1).otherwise(0).alias("last"), "record"))).alias("p"))
-    return pieces.filter("part = 0").select("record").union(put.select(F.concat_ws("\n", F.transform("p", lambda x: x["record"])).alias("record")))
-
-
 def read_journal_csv(spark: SparkSession, paths: Mapping[str, Sequence[str]], columns: Mapping[str, str] = COLUMNS,
-                     online_flags: bool = False) -> DataFrame:
-    """Journal files as typed rows, read in splits; a header, also one repeated inside a file, is not a row.
+                     online_flags: bool = False, line_breaks: bool = True) -> DataFrame:
+    """Journal files as typed rows; a header, also one repeated inside a file, is not a row.
 
-    ``paths`` maps the spelling of the value column to the files that use it; the files
-    of each spelling are one scan and the scans are united by name.
+    ``paths`` maps the spelling of the value column to the files that use it; the files of each spelling are one scan
+    and the scans are united by name.  ``line_breaks`` tells whether values may hold some: a dump that has none is read in
+    splits of its files, one that has them file by file, so it should come in many files.  Turn it to Parquet once.
     """
     parts = []
     for value_name, files in paths.items():
         names = [*columns.values(), value_name]
-        row = F.from_csv("record", ", ".join(f"`{c}` string" for c in names), {"quote": '"', "escape": '"', "multiLine": "true"})
-        raw = csv_records(spark, list(files)).select(row.alias("r")).select("r.*")
+        raw = read_csv_text(spark, list(files), names, line_breaks)
         parts.append(raw.select(*[F.col(src).alias(dst) for dst, src in columns.items()], F.col(value_name).alias("value")))
     rows = parts[0]
     for p in parts[1:]:
