@@ -55,6 +55,14 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+@query("indexed_facts", "channel_id:i n:i total:d", "SELECT channel_id, count(*) AS n, sum(value) AS total FROM journal WHERE channel_id % 50 = 7 AND day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1")
+def _(t):
+    path = scratch_path(t.spark, "indexed-facts")
+    wr.write_journal(t.journal.select("event_id", "channel_id", "ts", "value", "day"), path, index=("channel_id",))
+    facts = t.spark.read.parquet(path).filter("day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND channel_id % 50 = 7")
+    return facts.groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("read_dictionaries", "cid:i oid:i stype:s name:s parent:i", "SELECT cid, object_id AS oid, stype, name, object_id % 3 AS parent FROM channels")
 def _(t):
     ch, ob = scratch_path(t.spark, "channels"), scratch_path(t.spark, "objects")
