@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert set(QUERIES) <= set(entry.queries()) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} - {"pipeline"}
+    assert set(QUERIES) <= set(entry.queries()) and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} - {"pipeline"}
     assert corpus_pipeline.ORACLE_SQL is None
 
 
