@@ -103,13 +103,26 @@ def _(t):
     return scores.withColumn("scored", F.col("p").between(0.0, 1.0))
 
 
-@query("pu_label", "unit_id:i day:D labeled:i score:d p_real:d real:b")
-def _(t):
+def pu_rows(t):
     rows = t.unit_event.select("unit_id", "object_id", "day", "m", (F.col("unit_id") % 7).alias("place"), F.dayofmonth("day").alias("dom"),
                                ((F.weekday("day") >= 5) & (F.col("m") >= 1)).cast("int").alias("labeled"))
     return lb.pu_label(rows, ("m", "place", "dom"), KEYS, "2000-07-01", "1999-07-01", rounds=2)
 
 
+@query("pu_label", "unit_id:i day:D labeled:i score:d p_real:d real:b")
+def _(t):
+    return pu_rows(t)
+
+
+@query("pu_label_rows", "unit_id:i day:D labeled:i fits:b", "SELECT unit_id, day, CASE WHEN isodow(day) >= 6 AND m >= 1 THEN 1 ELSE 0 END AS labeled, 1 AS fits FROM unit_event")
+def _(t):
+    """The rows and known positives, and whether scores are shares, known positives are certain, and what is surer than a real one is real."""
+    rows = stored(pu_rows(t))
+    least = rows.agg(F.min(F.when(F.col("real"), F.col("p_real"))).alias("least"))
+    sure = F.col("score").between(0.0, 1.0) & F.col("p_real").between(0.0, 1.0) & ((F.col("labeled") == 0) | (F.col("p_real") == 1))
+    return rows.join(F.broadcast(least)).withColumn("fits", sure & (F.col("real") == (F.col("p_real") >= F.col("least"))))
+
+
 @query("embedding_pca", "unit_id:i emb1_abs:d emb2_abs:d")
 def _(t):
     signals = t.long_rows.filter("l_quantity >= 40").select(F.col("channel_id").alias("unit_id"), "l_partkey", F.col("hour").alias("ts"), F.col("l_returnflag").alias("stype"))
