@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Where a staged table stands, as long as its frame lives.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -34,7 +39,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: a lost executor loses nothing of it."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def swept(df: DataFrame, name: str) -> DataFrame:
+    """Like ``staged``; the shuffle files of the write go as soon as the table stands, not with the session."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf = df.sparkSession.conf
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        out = staged(df, name)
+    finally:
+        conf.set(key, was)
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in frames:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undercroft.llm.common import staged, text_batches, text_of
+from undercroft.llm.common import forget, swept, text_batches, text_of
 from undercroft.llm.components import components
 from undercroft.llm.hashing import BASE, INVERSE, Spans, mix, powers
 
@@ -208,7 +208,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, mark
     met = lines.select("id", "th", "start", "end", "ph").join(marks, "ph")
     mine = F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.th") == F.col("th")) & (F.col("keep.start") == F.col("start")) & F.col("family").isNotNull()
     per = met.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_list(F.when(mine, F.struct("ph", "start", "end", "family", "block", "blocks"))).alias("fetch"))
-    again = staged(standing.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "passages-anchors")
+    again = swept(standing.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "passages-anchors")
     held = standing.join(again, "anchor").groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_set("anchor").alias("anchors"))
     none = F.array().cast("array<long>").alias("anchors")
     per = per.select("i", "h", "fetch", none).union(held.select("i", "h", F.array().cast(per.schema["fetch"].dataType), "anchors"))
@@ -245,20 +245,20 @@ def verified(texts: DataFrame, similarity: float) -> DataFrame:
 def candidates(lines: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Distinct paragraphs ``ph, n, keep`` (their first place), and of those that repeat or have a family ``ph, keep, family, block, blocks``."""
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "start")
-    distinct = staged(lines.groupBy("ph").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("keep"), F.first("keys").alias("keys"))
+    distinct = swept(lines.groupBy("ph").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("keep"), F.first("keys").alias("keys"))
                       .withColumn("pid", F.conv(F.substring(F.hex("ph"), 1, 15), 16, 10).cast("long")), "passages-distinct")
-    linked = components(staged(band_links(distinct), "passages-links")).withColumnsRenamed({"node": "pid", "component": "family"})
+    linked = components(swept(band_links(distinct), "passages-links")).withColumnsRenamed({"node": "pid", "component": "family"})
     sizes = linked.join(distinct.select("pid"), "pid").groupBy("family").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / most).cast("int"))
-    linked = staged(linked.join(sizes, "family").select("pid", "family", "blocks"), "passages-families")
+    linked = swept(linked.join(sizes, "family").select("pid", "family", "blocks"), "passages-families")
     marks = distinct.select("ph", "n", "keep", "pid").join(linked, "pid", "left").filter("n > 1 OR family IS NOT NULL")
     marks = marks.select("ph", "keep", "family", F.pmod(F.xxhash64("ph"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    return distinct.select("ph", "n", "keep"), staged(marks, "passages-marks")
+    return distinct.select("ph", "n", "keep"), swept(marks, "passages-marks")
 
 
 def classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
     """``ph, keep`` (id, text hash and start of the occurrence that stays) of paragraphs in a class of two or more."""
     roots = components(links).withColumnsRenamed({"node": "ph", "component": "root"})
-    rooted = staged(distinct.join(roots, "ph", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "ph")), "passages-roots")
+    rooted = swept(distinct.join(roots, "ph", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "ph")), "passages-roots")
     whole = rooted.groupBy("root").agg(F.min("keep").alias("class_keep"))
     return rooted.join(whole, "root").select("ph", F.col("class_keep").alias("keep"))
 
@@ -300,56 +300,120 @@ def segments(texts: DataFrame, size: int) -> DataFrame:
     return texts.filter(F.size("anchors") > 0).select("i", "h", "text", "anchors").mapInArrow(run, f"id {kind}, th long, seg binary, anchor long, at long, n long, hashes array<long>")
 
 
-def repeated_runs(texts: DataFrame, size: int) -> DataFrame:
+def others_type(each: DataFrame) -> str:
+    return f"array<struct<o:bigint,e:bigint,keep:struct<no_id:boolean,id:{each.schema['id'].dataType.simpleString()},th:bigint,at:bigint>>>"
+
+
+def met_windows(each: DataFrame) -> DataFrame:
+    """``seg, others``: the rows of windows (offsets ``o`` to ``e``) of a segment that stand in an earlier segment of its anchor, from ``keep`` on.
+
+    ``each`` is (anchor, seg, no_id, id, th, at, hashes), few segments to an anchor.  Hashes stay arrays in the shuffle, and a task
+    holds the segments of one anchor and a batch."""
+    fields = ["anchor", "seg", "no_id", "id", "th", "at", "hashes"]
+    rows = each.select(*fields).repartition("anchor").sortWithinPartitions("anchor", "no_id", "id", "th", "at")
+
+    def meet(t: pa.Table) -> pa.RecordBatch:
+        lists = t["hashes"].combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        wh, cut = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(n)]
+        own = np.repeat(np.arange(len(n)), n)
+        o, anchor = np.arange(len(wh)) - cut[own], t["anchor"].to_numpy()[own]
+        order = np.lexsort((wh, anchor))  # stable: the first of equal windows is the first place
+        new = np.r_[True, (wh[order][1:] != wh[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])][:len(order)]
+        head = np.empty(len(order), np.int64)
+        head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        goes = head != np.arange(len(order))
+        # windows in a row that stand in a row elsewhere too
+        on = np.zeros(len(order), bool)
+        on[1:] = goes[1:] & goes[:-1] & (own[1:] == own[:-1]) & (own[head[1:]] == own[head[:-1]]) & (head[1:] == head[:-1] + 1)
+        begin = np.flatnonzero(goes & ~on)
+        end = np.flatnonzero(goes & ~np.r_[on[1:], False][:len(order)]) + 1
+        seg, first = own[begin], own[head[begin]]
+        keep = pa.StructArray.from_arrays([*(t[c].combine_chunks().take(pa.array(first)) for c in ("no_id", "id", "th")), pa.array(t["at"].to_numpy()[first] + o[head[begin]])], names=["no_id", "id", "th", "at"])
+        items = pa.StructArray.from_arrays([pa.array(o[begin]), pa.array(o[begin] + end - begin), keep], names=["o", "e", "keep"])
+        at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]][:len(seg)])
+        return pa.RecordBatch.from_arrays([t["seg"].combine_chunks().take(pa.array(seg[at])), pa.ListArray.from_arrays(pa.array(np.r_[at, len(seg)].astype(np.int32)), items)], names=["seg", "others"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if t.num_rows:
+                anchor = t["anchor"].to_numpy()
+                last = int(np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])[-1])
+                if last:
+                    yield meet(t.slice(0, last).combine_chunks())
+                rest = t.slice(last)
+        if rest is not None and rest.num_rows:
+            yield meet(rest.combine_chunks())
+
+    return rows.mapInArrow(sweep, f"seg binary, others {others_type(each)}")
+
+
+def met_windows_apart(each: DataFrame) -> DataFrame:
+    """The same for anchors of any number of segments: every window is a row, and no group is held."""
+    mine = F.struct("no_id", "id", "th", (F.col("at") + F.col("o")).alias("at"))
+    rows = each.select("seg", "anchor", "no_id", "id", "th", "at", F.posexplode("hashes").alias("o", "wh")).select("seg", "anchor", F.col("o").cast("long").alias("o"), "wh", mine.alias("mine"))
+    firsts = rows.groupBy("anchor", "wh").agg(F.min("mine").alias("keep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    met = rows.join(firsts, ["anchor", "wh"]).filter(~F.col("keep").eqNullSafe(F.col("mine")))
+    return met.groupBy("seg").agg(F.collect_list(F.struct("o", (F.col("o") + 1).alias("e"), "keep")).cast(others_type(each)).alias("others"))
+
+
+def repeated_runs(texts: DataFrame, size: int, most: int = MOST) -> DataFrame:
     """``id, th, start, end`` (words) and ``keep`` (id of the first place) of the windows of ``size`` words that an equal one comes before.
 
-    Equal segments are folded first.  Only where an anchor has several segments do their windows meet one by one."""
-    found = staged(segments(texts, size), "passages-segments")
+    Equal segments are folded first.  Only where an anchor has several segments do their windows meet: an anchor of up to ``most`` in one
+    sweep over its segments, one of more as rows of single windows."""
+    found = swept(segments(texts, size), "passages-segments")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "at")
-    distinct = staged(found.groupBy("seg").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times"), F.first("anchor").alias("anchor"), F.first("hashes", ignorenulls=True).alias("hashes")), "passages-distinct-segments")
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    each = distinct.join(several, "anchor").select("seg", "anchor", "place", F.posexplode("hashes").alias("o", "wh"))
-    moved = F.struct("place.no_id", "place.id", "place.th", (F.col("place.at") + F.col("o")).alias("at"))
-    each = each.select("seg", "anchor", "o", "wh", moved.alias("mine"))
-    firsts = each.groupBy("anchor", "wh").agg(F.min("mine").alias("keep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    other = each.join(firsts, ["anchor", "wh"]).filter(~F.col("keep").eqNullSafe(F.col("mine"))).groupBy("seg").agg(F.collect_list(F.struct("o", "keep")).alias("others"))
-    known = distinct.select("seg", "place", "times").join(other, "seg", "left").filter("times > 1 OR others IS NOT NULL")
-    met = found.select("id", "th", "seg", "at", "n").join(staged(known.drop("times"), "passages-known-segments"), "seg")
+    distinct = swept(found.groupBy("seg").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times"), F.first("anchor").alias("anchor"), F.first("hashes", ignorenulls=True).alias("hashes")), "passages-distinct-segments")
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    each = distinct.join(several, "anchor").select("m", "anchor", "seg", "place.*", "hashes")
+    others = met_windows(each.filter(F.col("m") <= most)).union(met_windows_apart(each.filter(F.col("m") > most)))
+    known = distinct.select("seg", "place", "times").join(others, "seg", "left").filter("times > 1 OR others IS NOT NULL")
+    known = swept(known.drop("times"), "passages-known-segments")
+    met = found.select("id", "th", "seg", "at", "n").join(known, "seg")
 
     def apart(keep, at):
         return ~(keep["id"].eqNullSafe(F.col("id")) & (keep["th"] == F.col("th"))) | (keep["at"] + size <= at)
 
-    # a window that goes for its segment's first place goes for an earlier one too
-    others = F.filter(F.coalesce("others", F.array().cast(known.schema["others"].dataType)), lambda x: apart(x["keep"], F.col("at") + x["o"]))
-    single = F.transform(others, lambda x: F.struct((F.col("at") + x["o"]).alias("start"), (F.col("at") + x["o"] + size).alias("end"), x["keep"]["id"].alias("keep")))
-    whole = F.when(apart(F.col("place"), F.col("at")) & (F.coalesce(F.size("others"), F.lit(0)) < F.col("n")), F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + size).alias("end"), F.col("place.id").alias("keep"))))
-    spans = F.concat(F.coalesce(whole, F.array().cast(f"array<struct<start:bigint,end:bigint,keep:{texts.schema['i'].dataType.simpleString()}>>")), single)
-    return met.select("id", "th", F.explode(spans).alias("s")).select("id", "th", "s.*").distinct()
+    # a window that goes for its segment's first place goes for an earlier one too; a row of windows moves as one with the row it is equal to
+    rows = F.filter(F.coalesce("others", F.array().cast(known.schema["others"].dataType)), lambda x: apart(x["keep"], F.col("at") + x["o"]))
+    some = F.transform(rows, lambda x: F.struct((F.col("at") + x["o"]).alias("start"), (F.col("at") + x["e"] - 1 + size).alias("end"), x["keep"]["id"].alias("keep")))
+    gone = F.aggregate(F.coalesce("others", F.array().cast(known.schema["others"].dataType)), F.lit(0).cast("long"), lambda n, x: n + F.when(apart(x["keep"], F.col("at") + x["o"]), x["e"] - x["o"]).otherwise(0))
+    whole = F.when(apart(F.col("place"), F.col("at")) & (gone < F.col("n")), F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + size).alias("end"), F.col("place.id").alias("keep"))))
+    spans = F.concat(F.coalesce(whole, F.array().cast(f"array<struct<start:bigint,end:bigint,keep:{texts.schema['i'].dataType.simpleString()}>>")), some)
+    out = swept(met.select("id", "th", F.explode(spans).alias("s")).select("id", "th", "s.*").distinct(), "passages-runs")
+    forget(found, distinct, known)
+    return out
 
 
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST, runs: int = 0) -> DataFrame:
     """Every row: id, ``n_bytes, n_paragraphs, n_repeated`` (paragraphs in a class), ``n_removed`` (bytes), ``n_spans``, ``kept_sha256`` and
     ``repeats_of`` (ids of the documents whose passage stays for each class the document has part in, and for each of its runs that go).
     ``runs``: words of a passage that repeats whatever its line breaks, ``SHINGLE`` at least; 0 looks at lines only."""
-    read = staged(occurrences(docs, id_col, text_col, least, tuned(similarity, recall), runs), "passages")
+    read = swept(occurrences(docs, id_col, text_col, least, tuned(similarity, recall), runs), "passages")
     lines = read.select("id", "th", F.explode("lines").alias("l")).select("id", "th", "l.*")
     distinct, marks = candidates(lines, most)
     standing = read.select("id", "th", F.explode("anchors").alias("anchor"))
-    texts = staged(texts_of(docs, id_col, text_col, lines, marks, standing), "passages-texts")
-    links = staged(verified(texts, similarity), "passages-verified")
-    found = staged(classes(distinct, links), "passages-classes")
+    texts = swept(texts_of(docs, id_col, text_col, lines, marks, standing), "passages-texts")
+    links = swept(verified(texts, similarity), "passages-verified")
+    found = swept(classes(distinct, links), "passages-classes")
     hit = lines.select("id", "th", "start", "end", "ph").join(found, "ph")
     stays = F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.th") == F.col("th")) & (F.col("keep.start") == F.col("start"))
     hit = hit.withColumn("gone", ~stays).dropDuplicates(["id", "th", "start"])
     hit = hit.select("id", "th", "start", "end", "gone", F.col("keep.id").alias("keep"), F.lit(1).cast("long").alias("line"))
     if runs:
-        hit = hit.union(repeated_runs(texts, runs).select("id", "th", "start", "end", F.lit(True), "keep", F.lit(0).cast("long")))
-    per = staged(hit.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(
+        hit = hit.union(repeated_runs(texts, runs, most).select("id", "th", "start", "end", F.lit(True), "keep", F.lit(0).cast("long")))
+    per = swept(hit.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(
         F.sum("line").alias("n_repeated"), F.sort_array(F.collect_set("keep")).alias("repeats_of"),
         F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("start", "end", (F.col("line") == 0).alias("words"))))).alias("cuts")), "passages-cuts")
     slim = read.select("id", "th", "n_bytes", "sha", F.size("lines").cast("long").alias("n_paragraphs"))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))
-    kept = staged(without(texts, per.filter(F.size("cuts") > 0).select("i", "h", "cuts")), "passages-kept").withColumnsRenamed({"i": "ki", "h": "kh"})
+    forget(links, found)
+    kept = swept(without(texts, per.filter(F.size("cuts") > 0).select("i", "h", "cuts")), "passages-kept").withColumnsRenamed({"i": "ki", "h": "kh"})
+    forget(texts)
     met = slim.join(per.drop("cuts"), same, "left").join(kept, F.col("id").eqNullSafe(F.col("ki")) & (F.col("th") == F.col("kh")), "left")
     zero = F.lit(0).cast("long")
     return met.select(
