@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undercroft.session import stored
+
 UNBOUNDED = Window.unboundedPreceding
 
 
@@ -100,20 +102,23 @@ def rolling_median(df: DataFrame, keys: Sequence[str], ts: str, value: str, out:
     return spread.withColumn(out, F.percentile(value, 0.5).over(w)).filter(F.col("_span") == span).drop("_span")
 
 
-def decaying_memory(days: DataFrame, keys: Sequence[str], flag: str, taus: Sequence[float], most_months: int = 2048) -> DataFrame:
+def decaying_memory(days: DataFrame, keys: Sequence[str], flag: str, taus: Sequence[float]) -> DataFrame:
     """h[t] = a (h[t-1] + ev[t-1]), a = exp(-1/tau), over the dense day grid.
 
     Inside a month the state is a running sum of exp(days from its first / tau).  Months hand their state on by
     doubling: a round adds what the month 1, 2, 4, ... event months earlier holds, decayed over the time between, so
-    no list is built and no exponent spans more than a month.  A day then reads the last state before it.
+    no list is built and no exponent spans more than a month.  The rounds follow from the longest chain of months.
+    A day then reads the last state before it.
     """
     names = {tau: f"hawkes_tau{str(tau).replace('.', '_')}" for tau in taus}
     events = days.filter(F.col(flag) == 1).select(*keys, "day", F.trunc("day", "month").alias("_b"))
     since = F.datediff("day", "_b").cast("double")
     months = events.groupBy(*keys, "_b").agg(*[F.sum(F.exp(since / tau)).alias(f"_own{n}") for tau, n in names.items()])
+    months = stored(months)
+    longest = months.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     chain, step = Window.partitionBy(*keys).orderBy("_b"), 1
     months = months.withColumns({f"_all{n}": F.col(f"_own{n}") for n in names.values()})
-    while step < most_months:
+    while step < longest:
         apart = F.datediff("_b", F.lag("_b", step).over(chain)).cast("double")
         months = months.withColumns({f"_all{n}": F.col(f"_all{n}") + F.coalesce(F.lag(f"_all{n}", step).over(chain) * F.exp(-apart / tau), F.lit(0.0)) for tau, n in names.items()})
         step *= 2
