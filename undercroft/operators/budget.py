@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undercroft import config
 from undercroft.operators.evaluate import by_score
 from undercroft.operators.ordered import ranked
+from undercroft.session import stored
 
 
 def day_budget(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
@@ -19,38 +20,52 @@ def day_budget(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFram
     return order.join(k, day).withColumn("flag", (F.col("rn") <= F.col("_k")).cast("int")).drop("rn", "_k")
 
 
+#: Fan-out of one pass over the score histogram.
+BINS = 256
+
+
 def rolling_thresholds(df: DataFrame, window: int, day: str = "day", p: str = "p", naive: str = "naive") -> DataFrame:
     """Threshold of every day: the budget-th largest score of its last ``window`` days.
 
     The budget is the number of naive alerts in those days; a day with none has no
-    threshold.  Scores are counted per day and value first.  A day keeps the values
-    that can still matter (the top B, B the largest budget it serves), each is sent to
-    the days it serves, and the budget is looked up in running counts.
+    threshold, and one with fewer scores takes its smallest.  Distinct scores get their
+    place from the top, once.  A place is read as digits to the base ``BINS``: each pass
+    counts scores by day and digit inside the bins still open, adds up the days of a
+    window, and keeps the bin in which the budget runs out.  What is sent to the days of a
+    window are at most ``BINS`` counts a day and pass, whatever the number of scores.
+    Null scores raise no threshold.
     """
-    counts = df.groupBy(day, p).agg(F.count(F.lit(1)).alias("_c"))
-    naive_days = df.groupBy(day).agg(F.sum(naive).alias("_b"))
+    counts = df.filter(F.col(p).isNotNull()).groupBy(day, p).agg(F.count(F.lit(1)).alias("_c"))
+    place = stored(ranked(counts.select(p).distinct(), [F.col(p).desc()], rank="_at").withColumn("_at", F.col("_at") - 1))
+    cells = stored(counts.join(place, p).select(day, "_at", "_c"))
     serves = F.expr(f"sequence({day}, date_add({day}, {window - 1}), INTERVAL 1 DAY)")
-    served = naive_days.select(F.col(day).alias("_src"), "_b", F.explode(serves).alias("_day"))
+    by_day = df.groupBy(day).agg(F.sum(naive).alias("_b"), F.count(p).alias("_n"))
+    days = by_day.select(F.col(day).alias("_day"))
     budget = (
-        served.groupBy("_day").agg(F.sum("_b").alias("budget"))
-        .join(naive_days.select(F.col(day).alias("_day")), "_day", "left_semi")
-    )
-    reach = served.join(budget, "_day").groupBy(F.col("_src").alias(day)).agg(F.max("budget").alias("_reach"))
-    top = (
-        ranked(counts, [F.col(p).desc()], [day], sums={"_upto": "_c"})
-        .join(reach, day)
-        .filter(F.col("_upto") - F.col("_c") < F.col("_reach"))
-    )
-    sent = (
-        top.select(F.explode(serves).alias("_day"), p, "_c")
-        .groupBy("_day", p).agg(F.sum("_c").alias("_c"))
-        .join(budget.filter(F.col("budget") > 0), "_day")
-    )
-    placed = ranked(sent, [F.col(p).desc()], ["_day"], sums={"_upto": "_c"})
-    total = F.min(F.when(F.col("_upto") >= F.col("budget"), F.struct(F.col("_upto"), F.col(p))))
-    return placed.groupBy(F.col("_day").alias(day)).agg(
-        F.coalesce(total[p], F.min(p)).alias("threshold"), F.first("budget").alias("budget")
+        by_day.select(F.explode(serves).alias("_day"), "_b", "_n").join(days, "_day", "left_semi")
+        .groupBy("_day").agg(F.sum("_b").alias("budget"), F.sum("_n").alias("_n"))
     )
+    # What is still to be counted from the top of the open bin; never more than there is.
+    open_bin = budget.filter((F.col("budget") > 0) & (F.col("_n") > 0)).select(
+        "_day", "budget", F.lit(0).cast("long").alias("_bin"), F.least("budget", "_n").alias("_left"))
+    most = place.agg(F.max("_at")).first()[0] or 0
+    passes = 1
+    while BINS ** passes <= most:
+        passes += 1
+    for level in reversed(range(passes)):
+        width = BINS ** level
+        digit = F.floor(F.col("_at") / width).cast("long")
+        hist = cells.groupBy(day, digit.alias("_to")).agg(F.sum("_c").alias("_c"))
+        hist = hist.withColumn("_bin", F.floor(F.col("_to") / BINS).cast("long"))
+        sources = open_bin.withColumn(day, F.explode(F.expr(
+            f"sequence(date_sub(_day, {window - 1}), _day, INTERVAL 1 DAY)")))
+        slid = sources.join(hist, [day, "_bin"]).groupBy("_day", "budget", "_left", "_to").agg(F.sum("_c").alias("_c"))
+        # At most BINS rows a day.
+        upto = F.sum("_c").over(Window.partitionBy("_day").orderBy("_to"))
+        hit = F.min(F.when(F.col("_upto") >= F.col("_left"), F.struct("_to", (F.col("_left") - F.col("_upto") + F.col("_c")).alias("_left"))))
+        open_bin = stored(slid.withColumn("_upto", upto).groupBy("_day", "budget").agg(hit.alias("_h")).select(
+            "_day", "budget", F.col("_h._to").alias("_bin"), F.col("_h._left").alias("_left")))
+    return open_bin.join(place, F.col("_bin") == F.col("_at")).select(F.col("_day").alias(day), F.col(p).alias("threshold"), "budget")
 
 
 def rolling_budget(df: DataFrame, window: int, day: str = "day") -> DataFrame:
