@@ -8,6 +8,8 @@ from undercroft.operators import actions as ac
 from undercroft.operators import cards as cm
 from undercroft.operators import orders as om
 from undercroft.queries.base import query
+from undercroft.session import scratch_path
+from undercroft.sources import stores as st
 from undercroft.sources import writers as wr
 
 AT = "2001-08-02 09:00:00"
@@ -49,18 +51,30 @@ def _(t):
     return cm.merge_plan(stored_cards(t), forecasts(t))
 
 
-@query("merge_cards", "prediction_id:s facility_id:i direction:s bucket:t status:s probability:d level:s computed_at:t run_id:i is_new:b", f"""
+MERGED_SPEC = "prediction_id:s facility_id:i direction:s bucket:t status:s probability:d level:s computed_at:t run_id:i is_new:b"
+MERGED_SQL = f"""
     WITH p AS ({PLAN_SQL}), q AS (SELECT *, CASE direction WHEN 'FLOOD_RISK' THEN CASE WHEN probability >= 0.3 THEN 'CRITICAL' WHEN probability >= 0.092818 THEN 'HIGH' WHEN probability >= 0.011471 THEN 'MEDIUM' ELSE 'LOW' END
        WHEN 'UNAUTHORIZED_ACCESS' THEN CASE WHEN probability >= 0.3 THEN 'CRITICAL' WHEN probability >= 0.140342 THEN 'HIGH' WHEN probability >= 0.008183 THEN 'MEDIUM' ELSE 'LOW' END
        ELSE CASE WHEN probability >= 0.78 THEN 'CRITICAL' WHEN probability >= 0.55 THEN 'HIGH' WHEN probability >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END END AS lv FROM p)
     SELECT c.prediction_id, c.facility_id, c.direction, CASE WHEN q.action = 'follow' THEN q.bucket ELSE c.bucket END AS bucket, c.status, CASE WHEN q.action = 'follow' THEN q.probability ELSE c.probability END AS probability, CASE WHEN q.action = 'follow' THEN q.lv ELSE c.level END AS level,
       CASE WHEN q.action = 'follow' OR q.action = 'refresh' AND c.status NOT IN {FIN} THEN TIMESTAMP '{AT}' ELSE c.computed_at END AS computed_at, CASE WHEN q.action = 'follow' THEN 7 ELSE 0 END AS run_id, CASE WHEN q.action = 'follow' THEN q.is_new ELSE 0 END AS is_new
     FROM ({CARD_SQL}) c LEFT JOIN q ON q.target_id = c.prediction_id AND q.action IN ('follow', 'refresh')
-    UNION ALL SELECT concat(direction, '-', facility_id, '-', CAST(epoch(bucket) AS BIGINT)), facility_id, direction, bucket, 'NEW', probability, lv, TIMESTAMP '{AT}', 7, 1 FROM q WHERE action = 'insert'""")
+    UNION ALL SELECT concat(direction, '-', facility_id, '-', CAST(epoch(bucket) AS BIGINT)), facility_id, direction, bucket, 'NEW', probability, lv, TIMESTAMP '{AT}', 7, 1 FROM q WHERE action = 'insert'"""
+
+
+@query("merge_cards", MERGED_SPEC, MERGED_SQL)
 def _(t):
     return cm.merge_cards(stored_cards(t), forecasts(t))
 
 
+@query("merge_cards_stored", MERGED_SPEC.replace(" is_new:b", ""), f"SELECT * EXCLUDE (is_new) FROM ({MERGED_SQL})")
+def _(t):
+    path = scratch_path(t.spark, "cards")
+    st.write_cards(stored_cards(t), path)
+    st.merge_stored(t.spark, path, forecasts(t))
+    return st.read_cards(t.spark, path)
+
+
 #: Cards after a first run, then the plan of the same forecasts over them.
 AGAIN_SQL = f"""
     WITH p AS ({PLAN_SQL}),

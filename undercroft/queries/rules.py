@@ -13,7 +13,8 @@ from undercroft.plans import fire, fire_rules
 from undercroft.queries.base import query
 from undercroft.queries.intervals import PUMP_HOUR_SQL
 from undercroft.queries.neighbours import NB_SQL
-from undercroft.session import stored
+from undercroft.session import scratch_path, stored
+from undercroft.sources.stores import relabel_stored, write_labels
 
 K = ("object_id", "gallery", "picket")
 P = "object_id, gallery, picket"
@@ -73,13 +74,24 @@ def _(t):
     return lb.water_label_rule(days, 0.6)
 
 
-@query("incremental_relabel", "unit_id:i day:D ev:i", """
-    SELECT unit_id, day, CASE WHEN day >= DATE '2000-06-29' AND day < DATE '2000-07-10' THEN 1 - ev ELSE ev END AS ev FROM unit_event WHERE day < DATE '2000-07-10'""")
+RELABEL_SQL = """
+    SELECT unit_id, day, CASE WHEN day >= DATE '2000-06-29' AND day < DATE '2000-07-10' THEN 1 - ev ELSE ev END AS ev FROM unit_event WHERE day < DATE '2000-07-10'"""
+
+
+@query("incremental_relabel", "unit_id:i day:D ev:i", RELABEL_SQL)
 def _(t):
     stored = t.unit_event.filter("day < DATE '2000-07-01'").select("unit_id", "day", "ev")
     return lb.relabel(stored, t.unit_event.withColumn("ev", 1 - F.col("ev")), "2000-07-10")
 
 
+@query("incremental_relabel_stored", "unit_id:i day:D ev:i", RELABEL_SQL)
+def _(t):
+    path = scratch_path(t.spark, "labels")
+    write_labels(t.unit_event.filter("day < DATE '2000-07-01'").select("unit_id", "day", "ev"), path)
+    relabel_stored(t.spark, path, t.unit_event.select("unit_id", "day", (1 - F.col("ev")).alias("ev")), "2000-07-10")
+    return t.spark.read.parquet(path)
+
+
 @query("label_acceptance", "volume:i week_ratio:d kept_known:d passes_volume:b passes_week:b passes_known:b", """
     WITH g AS (SELECT unit_id, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT unit_id, min(day) AS lo, max(day) AS hi FROM unit_event GROUP BY 1)),
     s AS (SELECT unit_id, day, y AS labeled, y = 1 OR p >= 0.8 AS "real" FROM scored WHERE day < DATE '2000-07-01')
