@@ -14,13 +14,13 @@ FORE = "facility_id long, direction string, bucket timestamp, probability double
 NOW = dt.datetime(2024, 3, 5, 12)
 
 
-def card(pid, fac, day, status, assignee=None, verdict=None):
-    at = dt.datetime(2024, 3, day) if day else None
+def card(pid, fac, day, status, assignee=None, verdict=None, month=3):
+    at = dt.datetime(2024, month, day) if day else None
     return (pid, fac, "FLOOD_RISK", at, status, assignee, verdict, 0.2, "HIGH", at, 1)
 
 
 def some_cards(spark):
-    old = [card(f"old{i}", i % 7, 1 + i % 3, "DECIDED", "u", "AGREED") for i in range(60)]
+    old = [card(f"old{i}", i % 7, 1 + i % 3, "DECIDED", "u", "AGREED", 1 + i % 2) for i in range(60)]
     return spark.createDataFrame(old + [
         card("free", 1, 4, "NEW"), card("busy", 2, 5, "IN_REVIEW", "u"), card("done", 3, 5, "DECIDED", "u", "AGREED"), card("again", 4, 5, "CLOSED_CONFIRMED", "u"),
         card("taken", 5, 5, "NEW", "u"), card("bare", 8, 5, None), card("undated", 9, None, "DECIDED")], CARDS)
@@ -49,19 +49,19 @@ def test_run_over_a_store_reads_and_rewrites_open_cards(spark, tmp_path):
     want = cm.merge_cards(cards, fore)
     assert rows_of(st.read_cards(spark, path)) == rows_of(want.drop("is_new"))
     assert {r.prediction_id for r in merged.filter("is_new").collect()} == {r.prediction_id for r in want.filter("is_new").collect()}
-    # Finished cards keep their files, and only those of the run's day are in its input.
+    # Finished cards keep their files, and only those of the run's month are in its input.
     assert {f for f in before if "part=done" in f} == {f for f in files(path) if "part=done" in f}
     some = st.read_cards(spark, path, since="2024-03-05")
     read = [r[0] for r in some.select(F.input_file_name()).distinct().collect()]
-    assert read and all("part=open" in f or "part=done-2024-03-05" in f for f in read)
+    assert read and all("part=open" in f or "part=done-2024-03" in f for f in read)
     # Folders are left out before their files are opened.
     plan = some._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "done-2024-03-05" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "PartitionFilters: [" in plan and "done-2024-03" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
     assert st.merge_stored(spark, path, fore).filter("is_new").count() == 0
     assert rows_of(st.merge_stored(spark, path, fore.limit(0)).drop("is_new")) == rows_of(st.read_cards(spark, path, finished=False))
 
 
-def test_decided_cards_leave_for_their_day(spark, tmp_path):
+def test_decided_cards_leave_for_their_month(spark, tmp_path):
     path = str(tmp_path / "cards")
     cards = some_cards(spark)
     st.write_cards(cards, path)

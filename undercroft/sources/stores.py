@@ -14,15 +14,16 @@ OPEN = "open"
 
 
 def card_part() -> Column:
-    """Where a card lies: with the open ones, or with the finished ones of its day."""
+    """Where a card lies: with the open ones, or with the finished ones of its month."""
     finished = F.coalesce(F.col("status").isin(*config.FINISHED_CARDS), F.lit(False))
-    return F.when(finished, F.concat(F.lit("done-"), F.coalesce(F.date_format("bucket", "yyyy-MM-dd"), F.lit("0000")))).otherwise(OPEN)
+    return F.when(finished, F.concat(F.lit("done-"), F.coalesce(F.date_format("bucket", "yyyy-MM"), F.lit("0000")))).otherwise(OPEN)
 
 
 def overwrite_parts(rows: DataFrame, path: str, *parts: str) -> None:
     """Replaces the folders that ``rows`` have rows for, when the job commits; the others stay as they are."""
-    rows.repartition(*parts, F.pmod(F.hash(*[c for c in rows.columns if c not in parts]), F.lit(8))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    # Ranges of (folder, hash) split a large folder and give a small one a single file.
+    spread = F.xxhash64(*[c for c in rows.columns if c not in parts])
+    rows.repartitionByRange(*parts, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def empty_part(rows: DataFrame, path: str, part: str, value: str) -> None:
@@ -31,17 +32,17 @@ def empty_part(rows: DataFrame, path: str, part: str, value: str) -> None:
 
 
 def write_cards(cards: DataFrame, path: str) -> None:
-    cards.withColumn("part", card_part()).repartition("part", F.pmod(F.xxhash64("facility_id"), F.lit(8))).write.mode(
-        "overwrite").partitionBy("part").parquet(path)
+    """A new store; over an old one, only the folders that ``cards`` has rows for are replaced."""
+    overwrite_parts(cards.withColumn("part", card_part()), path, "part")
 
 
 def read_cards(spark: SparkSession, path: str, since: str | None = None, finished: bool = True) -> DataFrame:
-    """Open cards and the finished ones; with ``since`` those of that day and later, with ``finished=False`` none."""
+    """Open cards and the finished ones; with ``since`` those of that day's month and later, with ``finished=False`` none."""
     cards = spark.read.parquet(path)
     if not finished:
         return cards.filter(F.col("part") == OPEN).drop("part")
     if since is not None:
-        cards = cards.filter((F.col("part") == OPEN) | (F.col("part") >= f"done-{since}"))
+        cards = cards.filter((F.col("part") == OPEN) | (F.col("part") >= f"done-{since[:7]}"))
     return cards.drop("part")
 
 
@@ -49,7 +50,7 @@ def merge_stored(spark: SparkSession, path: str, forecasts: DataFrame) -> DataFr
     """``merge_cards`` over a store: gives the open cards after the run with ``is_new`` and leaves them in the store.
 
     A finished card never changes and speaks only for forecasts of its bucket or an earlier one, so the
-    run reads the finished cards from the first day a forecast names, and rewrites the open ones alone.
+    run reads the finished cards from the first month a forecast names, and rewrites the open ones alone.
     A run without forecasts changes nothing.
     """
     first = forecasts.agg(F.min(F.least(F.to_date("bucket"), F.to_date("computed_at")))).first()[0]
@@ -60,20 +61,20 @@ def merge_stored(spark: SparkSession, path: str, forecasts: DataFrame) -> DataFr
 
 
 def settle(spark: SparkSession, path: str, decisions: DataFrame) -> None:
-    """Decisions on open cards; those finished by them leave for their day.
+    """Decisions on open cards; those finished by them leave for their month.
 
     ``decisions`` is (prediction_id, status, assignee, verdict), one row per card; a null keeps what the
     card has.  Cards that are finished, or not there, are left alone.  Read are the open cards and the
-    finished ones of the days that gain some.
+    finished ones of the months that gain some.
     """
     new = decisions.select("prediction_id", *[F.col(c).alias(f"_{c}") for c in ("status", "assignee", "verdict")])
     cards = read_cards(spark, path, finished=False)
     changed = stored(cards.join(new, "prediction_id", "left").withColumns(
         {c: F.coalesce(f"_{c}", c) for c in ("status", "assignee", "verdict")}
     ).select(*cards.columns).withColumn("part", card_part()))
-    # One value per day of the cards that were decided.
-    days = [r.part for r in changed.filter(F.col("part") != OPEN).select("part").distinct().collect()]
-    beside = spark.read.parquet(path).filter(F.col("part").isin(days))
+    # One value per month of the cards that were decided.
+    months = [r.part for r in changed.filter(F.col("part") != OPEN).select("part").distinct().collect()]
+    beside = spark.read.parquet(path).filter(F.col("part").isin(months))
     whole = stored(changed.unionByName(beside))
     overwrite_parts(whole, path, "part")
     if whole.filter(F.col("part") == OPEN).isEmpty():
@@ -81,6 +82,7 @@ def settle(spark: SparkSession, path: str, decisions: DataFrame) -> None:
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
+    """A new store by day; over an old one, only the days that ``labels`` has rows for are replaced."""
     overwrite_parts(labels, path, "day")
 
 
