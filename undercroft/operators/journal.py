@@ -160,7 +160,9 @@ def section_map(pickets: DataFrame, nodes: DataFrame, line: Sequence[str] = ("ob
     )
     order = Window.partitionBy(*line).orderBy("_at", "_side")
     back = F.last("_n", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_n", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Read backwards: a frame that runs on to the end is gone through anew at every row.
+    backward = Window.partitionBy(*line).orderBy(F.desc("_at"), F.desc("_side"))
+    ahead = F.last("_n", ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, 0))
     near = (
         both.withColumn("_back", back).withColumn("_ahead", ahead).filter(F.col("picket").isNotNull())
         .withColumn("_db", F.greatest(F.lit(0), F.col("picket") - F.col("_back.pk_to")))
