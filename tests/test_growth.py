@@ -31,3 +31,14 @@ def test_section_map_reads_ahead_without_open_frames(spark):
         near = [(max(lo - r.picket, r.picket - hi, 0), n) for ob, g, n, lo, hi in nodes if (ob, g) == (r.object_id, r.gallery)]
         assert (r.entry_dist, r.section) == (min(near) if near else (None, 1000 + r.picket // 15))
 
+
+def test_nearest_district_samples_its_registry_once(spark):
+    districts = (("B", ((0.0, 0.0), (10.0, 0.0))), ("A", ((0.0, 5.0), (5.0, 9.0), (10.0, 5.0))), ("C", ((0.0, 0.0), (10.0, 0.0))))
+    rows = [(i, [(float(x), float(y))]) for i, (x, y) in enumerate([(1, 1), (5, 8), (9, 2), (0, 2), (40, 40), (5, 2)])]
+    rows += [(20, None), (21, [(None, 1.0)]), (22, [(float("nan"), 1.0)]), (23, [(9.0, 9.0), (3.0, 0.5), (0.0, 9.0)])]
+    lines = spark.createDataFrame(rows, "id long, line array<struct<lon:double,lat:double>>")
+    got = nb.nearest_district(lines, districts, samples=11)
+    assert "polyline" not in plan(got) and "from_json" not in plan(got) and "jsontostructs" not in plan(got)
+    got = {r.id: r.district for r in got.collect()}
+    assert got == {0: "B", 1: "A", 2: "B", 3: "B", 4: "A", 5: "B", 20: "A", 21: "A", 22: "A", 23: "B"}
+
