@@ -42,3 +42,16 @@ def test_nearest_district_samples_its_registry_once(spark):
     got = {r.id: r.district for r in got.collect()}
     assert got == {0: "B", 1: "A", 2: "B", 3: "B", 4: "A", 5: "B", 20: "A", 21: "A", 22: "A", 23: "B"}
 
+
+def test_state_runs_read_ahead_without_open_frames(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("hhhx"), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randint(0, 9000)), rnd.choice(["off", "on"])) for _ in range(300)]
+    got = o.state_runs(spark.createDataFrame(rows, "k string, ts timestamp, value string"), ["k"], "ts", "value", "next")
+    assert "unboundedfollowing" not in plan(got)
+    expected = []
+    for k in "hx":
+        seen = sorted({r[1:] for r in rows if r[0] == k})
+        starts = [r for i, r in enumerate(seen) if i == 0 or seen[i - 1][1] != r[1]]
+        expected += [(k, ts, v, nxt) for (ts, v), nxt in zip(starts, [s[0] for s in starts[1:]] + [None])]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
