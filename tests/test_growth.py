@@ -55,3 +55,19 @@ def test_state_runs_read_ahead_without_open_frames(spark):
         expected += [(k, ts, v, nxt) for (ts, v), nxt in zip(starts, [s[0] for s in starts[1:]] + [None])]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
 
+
+def test_rolling_top_and_mean(spark):
+    rnd = random.Random(7)
+    values = [rnd.choice([None, 0, 0, rnd.randint(1, 99)]) for _ in range(500)]
+    df = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), v, v is not None) for i, v in enumerate(values)], "k long, day date, v long, has boolean")
+    w = gr.Rolling(("k",))
+    rows = df.withColumn("one", F.col("has").cast("int"))
+    for n in (1, 2, 7, 8, 9, 30, 365):
+        rows = w.top(rows, "v", n, f"t{n}")
+    got = w.cumulate(rows.withColumn("z", F.coalesce("v", F.lit(0))), "z", "one").select("*", w.mean_of("z", "one", 365).alias("mean")).orderBy("day").collect()
+    for i, r in enumerate(got):
+        for n in (1, 2, 7, 8, 9, 30, 365):
+            past = [v for v in values[max(0, i - n):i] if v is not None]
+            assert r[f"t{n}"] == max(past, default=None)
+        past = [v for v in values[max(0, i - 365):i] if v is not None]
+        assert (r["mean"] is None and not past) or abs(r["mean"] - sum(past) / len(past)) < 1e-9

@@ -37,8 +37,9 @@ def rng(n: int) -> str:
 def _(t):
     w = gr.Rolling(("unit_id",))
     z = lambda c: F.coalesce(c, F.lit(0))
-    return w.cumulate(dense(t), "m").select("unit_id", "day", z(w.sum("m", 1)).alias("s1"), z(w.sum("m", 7)).alias("s7"), z(w.sum("m", 30)).alias("s30"),
-                           w.mean("m", 90).alias("mean90"), w.max("m", 365).alias("max365"))
+    rows = w.top(dense(t).withColumn("_one", F.lit(1)), "m", 365, "max365")
+    return w.cumulate(rows, "m", "_one").select("unit_id", "day", z(w.sum("m", 1)).alias("s1"), z(w.sum("m", 7)).alias("s7"), z(w.sum("m", 30)).alias("s30"),
+                           w.mean_of("m", "_one", 90).alias("mean90"), "max365")
 
 
 @query("since_last", "unit_id:i day:D since:i capped:i", f"""
