@@ -9,6 +9,7 @@ from undercroft.operators import grids as gr
 from undercroft.operators import journal as jr
 from undercroft.operators import neighbours as nb
 from undercroft.operators import ordered as o
+from undercroft.plans import access
 
 DAY = dt.date(2024, 1, 1)
 
@@ -71,3 +72,31 @@ def test_rolling_top_and_mean(spark):
             assert r[f"t{n}"] == max(past, default=None)
         past = [v for v in values[max(0, i - 365):i] if v is not None]
         assert (r["mean"] is None and not past) or abs(r["mean"] - sum(past) / len(past)) < 1e-9
+
+
+def test_fanout_of_one_object_is_many_tasks(spark):
+    channels = spark.createDataFrame([(c, 1) for c in range(20)] + [(30, None), (31, 2)], "cid long, object_id long")
+    sections = spark.createDataFrame([(1, -1, s % 40) for s in range(80)] + [(1, -1, None), (None, -1, 1)], "object_id long, gallery long, section long")
+    got = jr.object_channel_fanout(channels, sections)
+    assert got.columns == ["object_id", "cid", "gallery", "section"]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted([(1, c, -1, s) for c in range(20) for s in [*range(40), None]], key=str)
+    used = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(used) > 10 and max(r["count"] for r in used) < len(rows) / 4
+
+
+def test_points_of_a_day_meet_no_sweep(spark):
+    hour = lambda d, h: dt.datetime(2024, 1, d, h)
+    key = "object_id long, gallery long, section long"
+    armed, alarm = [(1, -1, 1, hour(3, 5), 2), (1, -1, 1, hour(4, 12), 1)], [(1, -1, 1, hour(3, 5), 3), (1, -1, 1, hour(3, 11), 4)]
+    t = access.AccessInputs(*[None] * 9)
+    t.armed, t.alarm = (spark.createDataFrame(x, f"{key}, hour timestamp, n_moments long") for x in (armed, alarm))
+    got = access.seen_at(t, (0, 12))
+    assert "window" not in plan(got)
+    got = {r.day.day: [tuple(s) for s in r._seen] for r in got.collect()}
+    assert got == {
+        2: [(0, 0, 0, 0, 0, 0, None, None), (1, 0, 0, 0, 0, 0, None, None)],
+        3: [(1, 0, 0, 0, 0, 0, None, None), (0, 1, 4, 4, 0, 0, hour(3, 11), hour(3, 5))],
+        4: [(1, 1, 0, 0, 0, 0, None, None), (1, 0, 0, 0, 0, 0, None, None)],
+        5: [(0, 1, 0, 0, 0, 0, None, None), (0, 1, 0, 0, 0, 0, None, None)]}
+

@@ -207,9 +207,16 @@ def sensors_of_units(unit_channels: DataFrame, channel: str = "cid", unit: str =
     ).drop("_n")
 
 
-def object_channel_fanout(object_channels: DataFrame, sections: DataFrame, oid: str = "object_id") -> DataFrame:
-    """Channels of a whole object (guard mode) put on every section of it."""
-    return object_channels.join(sections.distinct(), oid)
+def object_channel_fanout(object_channels: DataFrame, sections: DataFrame, oid: str = "object_id",
+                          parts: int = 128) -> DataFrame:
+    """Channels of a whole object (guard mode) put on every section of it.
+
+    The sections of an object are dealt over ``parts``, so that few objects still make many tasks.
+    """
+    places = sections.distinct()
+    dealt = places.withColumn("_part", F.pmod(F.xxhash64(*places.columns), F.lit(parts)).cast("int"))
+    asked = object_channels.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return asked.repartition(parts, oid, "_part").join(dealt, [oid, "_part"]).drop("_part")
 
 
 def parent_child(units: DataFrame, parents: DataFrame) -> DataFrame:
