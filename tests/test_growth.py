@@ -100,3 +100,12 @@ def test_points_of_a_day_meet_no_sweep(spark):
         4: [(1, 1, 0, 0, 0, 0, None, None), (1, 0, 0, 0, 0, 0, None, None)],
         5: [(0, 1, 0, 0, 0, 0, None, None), (0, 1, 0, 0, 0, 0, None, None)]}
 
+
+def test_quantile_ranks_equal_values_once(spark, monkeypatch):
+    ranked, sizes = o.ranked, []
+    monkeypatch.setattr(o, "ranked", lambda df, *a, **k: sizes.append(df.count()) or ranked(df, *a, **k))
+    rows = [("a", float(i % 5)) for i in range(1000)] + [("b", 3.0), ("b", 4.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.quantile for r in o.exact_quantile(df, "v", 0.3, ["g"]).collect()}
+    assert sizes == [7] and abs(got["a"] - 1.0) < 1e-9 and abs(got["b"] - 3.3) < 1e-9
+    assert abs(o.exact_quantile(df, "v", 0.2).first()[0] - 1.0) < 0.01
