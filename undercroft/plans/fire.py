@@ -72,9 +72,10 @@ def unit_days(t: FireInputs) -> DataFrame:
                            [d for d in range(-config.LINE_PICKETS, config.LINE_PICKETS + 1) if d], {"l_ev": "ev"})
     context = od.join(t.objtemp, ["object_id", "day"], "left").join(t.object_complex, "object_id", "left").join(
         t.cxday, ["complex_id", "day"], "left").fillna(0, list(COMPLEX_COUNTS))
+    context = stored(context)  # its size is known before the join: the grid is not shuffled to meet a small one
     w = Rolling(KEY)
-    return (
-        ud.join(line, [*KEY, "day"], "left").fillna(0, ["l_ev"]).join(context, ["object_id", "day"])
+    return (  # dealt for the windows while it is narrow
+        ud.join(line, [*KEY, "day"], "left").fillna(0, ["l_ev"]).repartition(*KEY).join(context, ["object_id", "day"])
         .withColumn("rep", F.col("ev") * F.coalesce(w.lag("ev", 1), F.lit(0)))
         .withColumn("n_ev", F.col("o_ev") - F.col("ev")).withColumn("n_chk", F.col("o_chk") - F.col("chk"))
         .withColumn("o_walk", (F.col("o_chk") > 0).cast("int"))
@@ -138,13 +139,11 @@ def fire_daily(t: FireInputs) -> DataFrame:
     )
     lines = t.unit.groupBy("object_id", "gallery").agg(
         F.min("picket").alias("_lo"), F.max("picket").alias("_hi"), F.count(F.lit(1)).alias("geo_object_units"))
+    # The wide panel stays where its windows left it: units carry what their line knows, days are broadcast.
+    units = t.unit.select(*KEY, "hour_from", "n_smoke", "n_temp", "n_heat").join(lines, ["object_id", "gallery"])
+    around = t.calendar.select("day", "day_of_week", "is_day_off", "season", "month", "day_of_year").join(weather_days(t), "day", "left")
     p = F.col("picket")
-    full = (
-        rolled.join(t.unit.select(*KEY, "hour_from", "n_smoke", "n_temp", "n_heat"), list(KEY))
-        .filter(F.col("day") > F.to_date("hour_from"))
-        .join(lines, ["object_id", "gallery"])
-        .join(t.calendar.select("day", "day_of_week", "is_day_off", "season", "month", "day_of_year").join(weather_days(t), "day", "left"), "day")
-    )
+    full = rolled.join(units, list(KEY)).filter(F.col("day") > F.to_date("hour_from")).join(F.broadcast(around), "day")
     return (
         full.withColumn("naive", (F.col("evt_days_1d") > 0).cast("int"))
         .withColumn("obj_walk_phase", F.col("obj_walk_days_since") * F.col("obj_walks_365d") / 365.0)
