@@ -73,7 +73,7 @@ def sparse_days(t: AccessInputs) -> DataFrame:
 def dense_days(t: AccessInputs) -> DataFrame:
     grid = dense_grid(t.unit, KEY, keep=("n_channels",))
     dense = grid.join(sparse_days(t), [*KEY, "day"], "left").join(
-        disarm_hours_by_day(t.disarm_window), ["object_id", "day"], "left")
+        stored(disarm_hours_by_day(t.disarm_window)), ["object_id", "day"], "left")
     return dense.withColumn("had_alarm", F.col("m_all").isNotNull().cast("int")).withColumn(
         "had_armed", F.col("m_armed").isNotNull().cast("int")
     ).fillna(0, ["m_all", "m_night", "m_armed", "n_fault", "chain", "disarm_hours"])
@@ -164,7 +164,8 @@ def access_daily(t: AccessInputs, guard_filter: bool = True) -> DataFrame:
         .withColumn("naive", (F.col("n_armed_1d") > 0).cast("int"))
         .drop("_night_30", "_night_365", "disarm_hours_30d", "chain")
     )
-    # All that an object-day or a day knows is one table, which the panel meets once.
+    # All that an object-day or a day knows is one table, which the panel meets once; stored, so that its size is known
+    # and the wide panel is shuffled to it only where it is large.
     around = (
         objects.join(guard_days(per_object, t.disarm_window), ["object_id", "day"], "left")
         .join(network_days(per_object), "day", "left").join(t.calendar.select("day", *CALENDAR), "day")
@@ -172,7 +173,7 @@ def access_daily(t: AccessInputs, guard_filter: bool = True) -> DataFrame:
     if guard_filter:
         around = around.join(unknown_days(per_object, t.guard_unknown), ["object_id", "day"], "left_anti")
     counts = ["obj_alarms_1d", "obj_alarms_7d", "obj_units_alarmed_7d"]
-    return panel.join(around.fillna(0, counts), ["object_id", "day"]).join(t.section_info.select(*KEY, *PASSPORT), list(KEY), "left")
+    return panel.join(t.section_info.select(*KEY, *PASSPORT), list(KEY), "left").join(stored(around.fillna(0, counts)), ["object_id", "day"])
 
 
 def unknown_days(days: DataFrame, unknown: DataFrame, hours: int = 24) -> DataFrame:
