@@ -108,7 +108,7 @@ def flood_hourly(t: FloodInputs, blink: float, horizon: int = 24) -> DataFrame:
 
     first = w.first()
     unit = w.cumulate(hours, *MEASURES).select(
-        *KEY, "hour", w.ahead_sum("had_evt", horizon).alias("_next"), w.ahead_rows(horizon).alias("_rows"),
+        *KEY, "hour", w.next_sum("had_evt", horizon).alias("_next"), w.next_rows(horizon).alias("_rows"),
         *[s("chg", n).alias(f"pump_changes_{n}h") for n in (1, 6, 24)],
         *[s("blink", n).alias(f"pump_blink_hours_{n}h") for n in (24, 168)],
         *[s("on_min", n).alias(f"_on_{n}") for n in (6, 24, 168, 720)],
@@ -126,16 +126,17 @@ def flood_hourly(t: FloodInputs, blink: float, horizon: int = 24) -> DataFrame:
     by_object = stored(group_hours(t, blink))
     by_complex = by_object.join(t.object_complex, "object_id").groupBy("complex_id", "hour").agg(*[
         F.sum(m).alias(m) for m in GROUP_MEASURES])
-    objects = group_rolled(by_object, t.unit, "object_id", "_o_")
-    complexes = group_rolled(by_complex, t.unit.join(t.object_complex, "object_id"), "complex_id", "_c_")
+    # Stored, so that their size is known: the wide hours of units are shuffled to them only where they are large.
+    objects = stored(group_rolled(by_object, t.unit, "object_id", "_o_"))
+    complexes = stored(group_rolled(by_complex, t.unit.join(t.object_complex, "object_id"), "complex_id", "_c_"))
+    about = t.unit.select(*KEY, "hour_to").join(t.unit_meta, list(KEY)).join(t.object_complex, "object_id")
     joined = (
-        unit.join(t.unit.select(*KEY, "hour_to"), list(KEY)).join(t.unit_meta, list(KEY))
-        .join(t.object_complex, "object_id")
+        unit.join(about, list(KEY))
         .filter((F.col("_rows") == horizon)
                 & (F.col("hour") + F.expr(f"INTERVAL {horizon - 1} HOURS") <= F.col("hour_to")))
         .join(objects, ["object_id", "hour"], "left").join(complexes, ["complex_id", "hour"], "left")
-        .join(weather_rolled(t.weather), "hour", "left")
-        .withColumn("day", F.to_date("hour")).join(t.calendar, "day")
+        .join(stored(weather_rolled(t.weather)), "hour", "left")
+        .withColumn("day", F.to_date("hour")).join(F.broadcast(t.calendar), "day")
     )
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     pumps = F.greatest(F.col("n_pumps"), F.lit(1))
