@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from undercroft.operators import grids as gr
 from undercroft.operators import journal as jr
+from undercroft.operators import models as md
 from undercroft.operators import neighbours as nb
 from undercroft.operators import ordered as o
 from undercroft.plans import access
@@ -109,3 +110,107 @@ def test_quantile_ranks_equal_values_once(spark, monkeypatch):
     got = {r.g: r.quantile for r in o.exact_quantile(df, "v", 0.3, ["g"]).collect()}
     assert sizes == [7] and abs(got["a"] - 1.0) < 1e-9 and abs(got["b"] - 3.3) < 1e-9
     assert abs(o.exact_quantile(df, "v", 0.2).first()[0] - 1.0) < 0.01
+
+
+def test_bit_strings_are_no_lists(spark):
+    rnd = random.Random(11)
+    flags = {k: [rnd.choice(c) for _ in range(200)] for k, c in ((1, [0, 0, 0, 1]), (2, [0, 1, None]), (3, [0]), (4, [1]))}
+    df = spark.createDataFrame([(k, DAY + dt.timedelta(days=i), v) for k, f in flags.items() for i, v in enumerate(f)], "k long, day date, ev int")
+    for window in (1, 5, 64, 100):
+        got = md.lz_complexity(df, ("k",), "ev", window)
+        assert "collect_list" not in plan(got) and got.columns == ["k", "day", "ev", "lz_complexity"]
+        for r in got.collect():
+            i = (r.day - DAY).days
+            assert r.lz_complexity == md.phrase_count("".join(str(v) for v in flags[r.k][max(0, i - window):i] if v is not None))
+
+
+def test_equal_training_rows_are_folded(spark):
+    rnd = random.Random(13)
+    rows = [(rnd.randint(0, 2), rnd.choice([None, 1.0]), int(rnd.random() < 0.3), rnd.choice([0.5, 1.0])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b double, y int, w double")
+    got = md.folded(df, ("a", "b"), "y", "w").collect()
+    assert len(got) == 12 and sum(r["_rows"] for r in got) == 3000 and abs(sum(r["_w"] for r in got) - sum(r[3] for r in rows)) < 1e-6
+    seen, fit = [], md.Pipeline.fit
+    try:
+        md.Pipeline.fit = lambda self, frame: seen.append(frame.agg(F.count("*"), F.sum("_w")).first()) or fit(self, frame)
+        model = md.fit_trees(df, ("a", "b"), "y", rounds=2)
+    finally:
+        md.Pipeline.fit = fit
+    assert seen[0][0] == 12 * md.COPIES and abs(seen[0][1] - 3000) < 1e-6
+    share = {k: [r[2] for r in rows if r[0] == k] for k in range(3)}
+    for r in md.score_trees(model, df).select("a", "p").distinct().collect():
+        assert abs(r.p - sum(share[r.a]) / len(share[r.a])) < 0.3
+
+
+def test_months_fit_what_was_before_them(spark):
+    rnd = random.Random(17)
+    days = [DAY + dt.timedelta(days=i) for i in range(100)]
+    panel = spark.createDataFrame([(u, d, (u + d.day) % 4, int((u + d.day) % 4 == 0), rnd.randint(0, 1)) for u in range(20) for d in days],
+                                  "unit long, day date, f int, label int, naive int")
+    weights, fit = {}, md.fit_folded
+
+    def note(rows, *args, **options):
+        got = rows.agg(F.sum("_rows").alias("n"), F.sum("_w").alias("w")).first()
+        weights[got.n] = got.w
+        return fit(rows, *args, **options)
+
+    try:
+        md.fit_folded = note
+        out = md.monthly_retrain(panel, ("f",), ("unit", "day"), ("2024-02-01", "2024-04-01"), rounds=2).collect()
+    finally:
+        md.fit_folded = fit
+    assert sorted(weights) == [31 * 20, 91 * 20] and len(out) == (29 + 9) * 20
+    for n, start in ((31, dt.date(2024, 2, 1)), (91, dt.date(2024, 4, 1))):
+        assert abs(weights[n * 20] - 20 * sum(0.5 ** ((start - d).days / 365) for d in days[:n])) < 1e-6
+    assert {(r.month, r.day.month) for r in out} == {("2024-02-01", 2), ("2024-04-01", 4)}
+
+
+def test_next_sums_are_differences(spark):
+    rnd = random.Random(19)
+    values = [rnd.randint(0, 1) for _ in range(60)]
+    df = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), v) for i, v in enumerate(values)], "k long, day date, v long")
+    w = gr.Rolling(("k",))
+    got = w.cumulate(df, "v").select("day", w.next_sum("v", 24).alias("s"), w.next_rows(24).alias("n"))
+    assert "24 following" not in plan(got)
+    for i, r in enumerate(got.orderBy("day").collect()):
+        assert (r.s, r.n) == (sum(values[i:i + 24]), len(values[i:i + 24]))
+
+
+def above_windows(df):
+    """The physical plan down to the first window on the way to the rows."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Window [")[0]
+
+
+def test_wide_panels_are_not_shuffled_after_their_windows(spark, tmp_path):
+    from undercroft.queries.base import REGISTRY, Tables
+    from undercroft.queries.load import load_all
+
+    load_all()
+    i, at = F.col("id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 977)
+    spark.range(400).select(
+        i.alias("l_orderkey"), (i % 13).alias("l_partkey"), (i % 23).alias("l_suppkey"), (i % 7 + 1).alias("l_linenumber"), (i % 50 + 1.0).alias("l_quantity"),
+        (i % 11 / 100).alias("l_discount"), F.element_at(F.array(*map(F.lit, "RAN")), (i % 3 + 1).cast("int")).alias("l_returnflag"),
+        F.date_add(F.lit(DAY), (i % 90).cast("int")).alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).select(
+        i.alias("o_orderkey"), (i % 17).alias("o_custkey"), F.date_add(F.lit(DAY), (i % 90).cast("int")).alias("o_orderdate"),
+        F.element_at(F.array(*map(F.lit, "OFP")), (i % 3 + 1).cast("int")).alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(300).select(
+        i.alias("event_id"), (i % 37).alias("user_id"), at.alias("ts"), (i % 9 * 1.5).alias("value"),
+        F.element_at(F.array(*map(F.lit, ("error", "click", "view", "signup", "purchase"))), (i % 5 + 1).cast("int")).alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    for name in ("access_daily", "flood_hourly"):
+        assert "hashpartitioning" not in above_windows(REGISTRY[name].build(t)).lower(), name
+
+
+def test_character_is_read_by_month(spark):
+    from undercroft.plans import hypotheses as hy
+
+    at = lambda d, h: dt.datetime(2024, 1, 1, h) + dt.timedelta(days=d)
+    days = spark.createDataFrame([(1, DAY + dt.timedelta(days=i)) for i in range(70)], "k long, day date")
+    marks = {0: 5, 30: 0, 31: 7, 45: 23}
+    character = spark.createDataFrame([(1, at(d, h), *[float(d)] * 6) for d, h in marks.items()], "k long, moment timestamp, " + ", ".join(f"{c} double" for c in hy.CHARACTER))
+    got = hy.add_character(days, character, ("k",))
+    assert "month" in plan(got)
+    for r in got.collect():
+        past = [float(d) for d, h in marks.items() if at(d, h) < dt.datetime.combine(r.day, dt.time())]
+        assert r.char_memory == (past[-1] if past else None)
