@@ -10,6 +10,7 @@ from undercroft.operators import journal as jr
 from undercroft.operators import models as md
 from undercroft.operators import neighbours as nb
 from undercroft.operators import ordered as o
+from undercroft.operators import targets as tg
 from undercroft.plans import access
 
 DAY = dt.date(2024, 1, 1)
@@ -214,3 +215,44 @@ def test_character_is_read_by_month(spark):
     for r in got.collect():
         past = [float(d) for d, h in marks.items() if at(d, h) < dt.datetime.combine(r.day, dt.time())]
         assert r.char_memory == (past[-1] if past else None)
+
+
+def test_criteria_screen_holds_no_table_of_unit_days_by_criterion(spark):
+    rnd = random.Random(8)
+    stamp = lambda d, h: dt.datetime(2024, 1, 1 + d, h)
+    hours = [(rnd.randrange(5), rnd.randrange(2), d, h, rnd.random() < 0.4, rnd.choice([True, False, None]))
+             for d, h in ((rnd.randrange(9), rnd.randrange(24)) for _ in range(300))]
+    places = sorted({(u, ob, d) for u, ob, d, *_ in hours})
+    # Some unit-days stand twice, with other facts.
+    days = [(*p, rnd.choice([None, 0.5, 1.5, 2.5]), rnd.choice([True, False, None])) for p in places + places[::4]]
+    wet = [(d, d % 2 == 0) for d in range(8)] + [(3, True)]
+    life = [(u, ob, d, d % 7 > 4) for u in range(5) for ob in range(2) for d in range(9)]
+    date = lambda d: DAY + dt.timedelta(d)
+    tests = {"all": F.lit(True), "off": ~F.col("busy"), "near": F.col("adjacent"), "both": ~F.col("busy") & (F.col("pump_ratio") > 1)}
+    met = {"all": lambda b, p, a: True, "off": lambda b, p, a: b is False, "near": lambda b, p, a: a is True, "both": lambda b, p, a: b is False and p is not None and p > 1}
+    got = tg.criteria_screen(
+        spark.createDataFrame([(u, ob, date(d), stamp(d, h), off, b) for u, ob, d, h, off, b in hours], "unit_id int, object_id int, day date, hour timestamp, day_off boolean, busy boolean"),
+        spark.createDataFrame([(u, ob, date(d), p, a) for u, ob, d, p, a in days], "unit_id int, object_id int, day date, pump_ratio double, adjacent boolean"),
+        spark.createDataFrame([(u, ob, date(d), off) for u, ob, d, off in life], "unit_id int, object_id int, day date, day_off boolean"),
+        spark.createDataFrame([(date(d), w) for d, w in wet], "day date, wet boolean"),
+        ("unit_id", "object_id"), {n: (c, 24, 24) for n, c in tests.items()}, "2024-01-05")
+    assert not any("aggregate [criterion" in line and "unit_id" in line for line in plan(got).splitlines())
+    found = {r.criterion: r for r in got.collect()}
+    for name, meets in met.items():
+        n = train = adj = near = h816 = 0
+        pumps, tops = [], {}
+        for u, ob, d in places:
+            hits = [(h, p, a) for hu, ho, hd, h, _, b in hours if (hu, ho, hd) == (u, ob, d)
+                    for p, a in [x[3:] for x in days if x[:3] == (u, ob, d)] if meets(b, p, a)]
+            if not hits:
+                continue
+            times = max(1, sum(w[0] == d for w in wet))
+            n, train, tops[ob] = n + times, train + times * (d < 4), tops.get(ob, 0) + times
+            pumps += [max(p for _, p, _ in hits if p is not None)] * times if any(p is not None for _, p, _ in hits) else []
+            adj += times * any(a for _, _, a in hits)
+            near, h816 = near + times * len(hits), h816 + times * sum(8 <= h < 16 for h, _, _ in hits)
+        r = found[name]
+        assert (r.positive_unit_days, r.positive_unit_days_train) == (n, train)
+        for have, want in ((r.top_object_share, max(tops.values()) / n), (r.adjacent_share, adj / n), (r.share_8_16, h816 / near)):
+            assert abs(have - want) < 0.00051
+        assert abs(r.pump_vs_normal - sum(pumps) / len(pumps)) < 0.0051
