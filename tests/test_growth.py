@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from undercroft.operators import cards as cm
 from undercroft.operators import grids as gr
 from undercroft.operators import journal as jr
 from undercroft.operators import models as md
@@ -256,3 +257,17 @@ def test_criteria_screen_holds_no_table_of_unit_days_by_criterion(spark):
         for have, want in ((r.top_object_share, max(tops.values()) / n), (r.adjacent_share, adj / n), (r.share_8_16, h816 / near)):
             assert abs(have - want) < 0.00051
         assert abs(r.pump_vs_normal - sum(pumps) / len(pumps)) < 0.0051
+
+
+def test_merge_deals_cards_by_their_number(spark, monkeypatch):
+    at = dt.datetime(2024, 2, 1, 9)
+    rows = [(f"p{i % 290}", i % 40 or None, ("FIRE_RISK", "FLOOD_RISK")[i % 2], at - dt.timedelta(days=i % 5), ("NEW", "IN_REVIEW", "CLOSED_CONFIRMED")[i % 7 % 3],
+             None, None, 0.1, "LOW", at - dt.timedelta(days=1), 0) for i in range(300)]
+    stored = spark.createDataFrame(rows, "prediction_id string, facility_id int, direction string, bucket timestamp, status string, assignee string, verdict string, probability double, level string, computed_at timestamp, run_id int")
+    fresh = spark.createDataFrame([(f, d, at, at, None, 0.5, "HIGH", 7) for f in range(50) for d in ("FIRE_RISK", "FLOOD_RISK")],
+                                  "facility_id int, direction string, bucket timestamp, computed_at timestamp, event_at timestamp, probability double, level string, run_id int")
+    want = sorted(map(repr, cm.merge_cards(stored, fresh).collect()))
+    monkeypatch.setattr(cm, "CARDS_A_PART", 5)
+    got = cm.merge_cards(stored, fresh)
+    assert sum(", 60" in line for line in plan(got).splitlines() if "repartition" in line) >= 4
+    assert sorted(map(repr, got.collect())) == want

@@ -13,6 +13,8 @@ from undercroft.functions.clock import shift
 from undercroft.operators.journal import side_by_side
 
 PAIR = ("facility_id", "direction")
+#: Stored cards that one task of a merge joins.
+CARDS_A_PART = 250_000
 FRESH = ("probability", "level", "computed_at", "run_id")
 
 
@@ -28,7 +30,20 @@ def assign_levels(forecasts: DataFrame, bands: Sequence[tuple[str, float]] | Non
     return forecasts.withColumn("level", F.coalesce(own, by_p))
 
 
-def merge_plan(cards: DataFrame, forecasts: DataFrame) -> DataFrame:
+def merge_parts(cards: DataFrame) -> int:
+    """Parts of a merge by the number of cards, so that what a task sorts does not grow with the store.
+
+    0 leaves the parts to the planner: each core has no more cards than a part then.
+    """
+    parts = -(-cards.count() // CARDS_A_PART)
+    return parts if parts > cards.sparkSession.sparkContext.defaultParallelism else 0
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df
+
+
+def merge_plan(cards: DataFrame, forecasts: DataFrame, parts: int | None = None) -> DataFrame:
     """What each forecast does: ``follow`` an untouched card, ``insert`` one, ``refresh`` a
     taken one, or ``none``.
 
@@ -39,7 +54,8 @@ def merge_plan(cards: DataFrame, forecasts: DataFrame) -> DataFrame:
     c = cards.select(*PAIR, F.col("prediction_id").alias("_id"), F.col("bucket").alias("_bucket"),
                      F.col("status").alias("_st"), F.col("computed_at").alias("_at"), untouched().alias("_free"))
     f = forecasts.select(*PAIR, F.col("bucket").alias("item_bucket"), F.col("computed_at").alias("at"), "event_at")
-    joined = f.join(c, list(PAIR), "left")
+    parts = merge_parts(cards) if parts is None else parts
+    joined = dealt(f, parts, *PAIR).join(dealt(c, parts, *PAIR), list(PAIR), "left")
     later = F.col("_bucket") >= F.col("item_bucket")
     folded = joined.groupBy(*PAIR, "item_bucket", "at", "event_at").agg(
         F.max(F.col("_st").isin(*config.CARDS_IN_WORK).cast("int")).alias("_busy"),
@@ -80,14 +96,15 @@ def merge_cards(cards: DataFrame, forecasts: DataFrame) -> DataFrame:
     Taken cards keep level and probability and only refresh ``computed_at``; finished
     cards are frozen.
     """
-    plan = merge_plan(cards, forecasts)
-    fresh = forecasts.select(*PAIR, *[F.col(c).alias(f"_f_{c}") for c in FRESH]).join(plan, list(PAIR))
+    parts = merge_parts(cards)
+    plan = merge_plan(cards, forecasts, parts)
+    fresh = dealt(forecasts.select(*PAIR, *[F.col(c).alias(f"_f_{c}") for c in FRESH]), parts, *PAIR).join(plan, list(PAIR))
     changes = fresh.filter(F.col("action").isin("follow", "refresh")).select(
         F.col("target_id").alias("prediction_id"), F.col("action").alias("_a"), F.col("bucket").alias("_b"),
         F.col("is_new").alias("_new"), *[f"_f_{c}" for c in FRESH])
     follow = F.col("_a") == "follow"
     live = (F.col("_a") == "refresh") & ~F.col("status").isin(*config.FINISHED_CARDS)
-    kept = cards.join(changes, "prediction_id", "left")
+    kept = dealt(cards, parts, "prediction_id").join(dealt(changes, parts, "prediction_id"), "prediction_id", "left")
     updated = kept.withColumns({
         **{c: F.when(follow | (live if c == "computed_at" else F.lit(False)), F.col(f"_f_{c}")).otherwise(F.col(c)) for c in FRESH},
         "bucket": F.when(follow, F.col("_b")).otherwise(F.col("bucket")),
