@@ -271,3 +271,33 @@ def test_merge_deals_cards_by_their_number(spark, monkeypatch):
     got = cm.merge_cards(stored, fresh)
     assert sum(", 60" in line for line in plan(got).splitlines() if "repartition" in line) >= 4
     assert sorted(map(repr, got.collect())) == want
+
+
+def test_line_neighbours_are_not_spread_over_pickets(spark):
+    rnd = random.Random(24)
+    start = dt.datetime(2024, 1, 1)
+
+    def some():
+        at = start + dt.timedelta(seconds=rnd.choice([0, 1800, 3600, 21600]) * rnd.randint(0, 9), microseconds=rnd.choice([0, 0, 1]))
+        return rnd.choice([1, 1, None, 2]), rnd.choice([-1, 0]), rnd.choice([None, *range(-70, -55), *range(0, 8), *range(55, 65)]), at, rnd.choice(["smoke", "heat", None])
+
+    rows = [(i, *some()) for i in range(350)]
+    rows += [(400 + i, *rows[i][1:]) for i in range(40)] + [(500, 1, -1, 3, None, "heat")]
+    df = spark.createDataFrame(rows, "id long, object_id long, gallery long, picket long, ts timestamp, stype string")
+    line, warm = ("object_id", "gallery"), F.col("stype") != "smoke"
+    one = nb.rows_nearby(df, df.filter(warm), line, "picket", "ts", 5, 60, "heat", own_picket=True)
+    assert "window" not in plan(one)  # a sweep over every picket in reach
+    both = nb.nearby_counts(df, df, line, "picket", "ts", 5, {"near": (30, False, F.lit(True)), "heat": (60, True, warm)}, size=20)
+    assert both.columns == [*df.columns, "near", "heat"]
+    known = [r for r in rows if None not in r[1:5]]
+
+    def around(r, minutes, own, kinds):
+        return sum(x[1:3] == r[1:3] and abs(x[3] - r[3]) <= 5 and (own or x[3] != r[3]) and x[5] in kinds
+                   and abs(x[4] - r[4]) <= dt.timedelta(minutes=minutes) for x in known)
+
+    heat = {r[0]: around(r, 60, True, {"heat"}) for r in known}
+    assert {r.id: r.heat for r in one.collect()} == heat
+    near = {r[0]: around(r, 30, False, {"smoke", "heat", None}) for r in known}
+    assert {r.id: (r.near, r.heat) for r in both.collect()} == {i: (near[i], heat[i]) for i in near}
+    assert max(heat.values()) > 3 and max(near.values()) > 3
+    assert nb.rows_nearby(df.limit(0), df, line, "picket", "ts", 5, 30, "near", own_picket=False).count() == 0
