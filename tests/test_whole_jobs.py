@@ -1,7 +1,10 @@
 """Queries that once did part of their job, on rows made here."""
 
+import datetime as dt
 from types import SimpleNamespace
 
+from undercroft.functions.calendar import calendar
+from undercroft.plans import fire_rules
 from undercroft.queries.base import REGISTRY
 from undercroft.queries.load import load_all
 
@@ -13,3 +16,31 @@ def test_guard_channels_of_every_number_are_spread(spark):
     journal = spark.createDataFrame([(1, -1, 4), (1, -1, 4), (1, 0, 5), (2, -1, 6)], "object_id long, gallery long, section long")
     got = REGISTRY["guard_fanout"].build(SimpleNamespace(channels=channels, journal=journal))
     assert sorted((r.cid, r.object_id, r.gallery, r.section) for r in got.collect()) == [(7, 1, -1, 4), (7, 1, 0, 5), (49, 1, -1, 4), (49, 1, 0, 5), (60, 2, -1, 6)]
+
+
+def test_facts_hold_the_gas_of_the_complex(spark):
+    at = lambda d, h: dt.datetime(2024, 3, d, h)
+    day = lambda d: dt.date(2024, 3, d)
+    f = spark.createDataFrame
+    signals = f([(10 * o, o, -1, 5, at(d, 11), "smoke") for o in (1, 2, 4) for d in (5, 6)], "channel_id long, object_id long, gallery long, picket long, ts timestamp, stype string")
+    births = f([(10 * o, o, day(1)) for o in (1, 2, 4)], "channel_id long, object_id long, born date")
+    complexes = f([(1, 1), (2, 1), (3, 1), (4, 2)], "object_id long, complex_id long")
+    empty = lambda schema: f([], schema)
+    # Objects 2 and 3 have the sensors of complex 1; 3 is in maintenance on the 6th.  101 is no share, a null no reading.
+    gas = f([(2, at(5, 9), 3.0), (2, at(5, 20), 7.0), (3, at(5, 10), 101.0), (3, at(5, 10), None), (2, at(6, 10), 2.0), (3, at(6, 21), 30.0), (4, at(4, 9), 9.0)], "object_id long, ts timestamp, v double")
+    windows = f([(3, day(6), day(6))], "object_id long, start date, end date")
+
+    def facts(**more):
+        out = fire_rules.fire_facts(signals, births, empty("object_id long, hour timestamp, v double"), empty("complex_id long, hour timestamp"),
+                                    complexes, calendar(spark, "2024-01-01", "2024-12-31"), "smoke", "2024-01-01", **more)
+        graded = fire_rules.grade(out).collect()
+        return {(r.object_id, r.day.day): (r.gas_pct, r.gas_off_hours, r.level) for r in graded}
+
+    got = facts(gas=gas, maintenance=windows)
+    assert got == {(1, 5): (7.0, True, "CRITICAL"), (2, 5): (7.0, True, "CRITICAL"), (1, 6): (2.0, False, "LOW"), (2, 6): (2.0, False, "LOW"),
+                   (4, 5): (0.0, False, "LOW"), (4, 6): (0.0, False, "LOW")}
+    assert facts(gas=gas)[1, 6][:2] == (30.0, True) and set(v[:2] for v in facts().values()) == {(0.0, False)}
+
+
+def test_query_of_fire_facts_reads_gas():
+    assert {"gas_pct", "gas_off_hours"} <= {c for c, _ in REGISTRY["fire_facts"].columns}
