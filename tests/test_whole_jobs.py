@@ -52,3 +52,13 @@ def test_labels_are_boosted_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(learning.lb, "pu_label", lambda *args, **more: asked.append(more["rounds"]))
     learning.pu_rows(SimpleNamespace(unit_event=spark.createDataFrame([(1, 1, dt.date(2000, 1, 1), 1)], "unit_id long, object_id long, day date, m long")))
     assert asked == [300]
+
+
+def test_months_are_boosted_to_the_end(spark, monkeypatch):
+    asked = []
+    days = spark.createDataFrame([(dt.date(2000, 7, 1), 0.5)], "day date, p double")
+    monkeypatch.setattr(learning, "panel", lambda t: days)
+    monkeypatch.setattr(learning, "stored", lambda df: df)
+    monkeypatch.setattr(learning.md, "monthly_retrain", lambda p, *args, **more: asked.append(more["rounds"]) or p)
+    REGISTRY["monthly_retrain"].build(None)
+    assert asked == [335]
