@@ -62,3 +62,19 @@ def test_months_are_boosted_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(learning.md, "monthly_retrain", lambda p, *args, **more: asked.append(more["rounds"]) or p)
     REGISTRY["monthly_retrain"].build(None)
     assert asked == [335]
+
+
+def test_ladder_climbs_every_rung_and_boosts_until_the_loss_stands(spark, monkeypatch):
+    md, asked, fit = learning.md, [], learning.md.fit_folded
+
+    def short(rows, names, **more):
+        asked.append((len(names), more["rounds"], more["stop"]))
+        return fit(rows, names, **more | {"rounds": 2})
+
+    days = spark.sql("SELECT unit_id, day, CAST(dayofmonth(day) % 5 = 0 AS INT) AS label, unit_id AS evt_s7, dayofmonth(day) % 5 AS evt_s30, 1 AS evt_since, month(day) AS cal_month"
+                     " FROM (SELECT id AS unit_id, explode(sequence(DATE '1998-06-01', DATE '2000-12-31')) AS day FROM range(2))")
+    monkeypatch.setattr(learning, "panel", lambda t: days)
+    monkeypatch.setattr(md, "fit_folded", short)
+    got = REGISTRY["feature_selection_ladder"].build(None).collect()
+    assert sorted(asked) == [(k, 2000, "_stop") for k in (1, 2, 3, 4) for _ in range(2)]
+    assert [r.k for r in got] == [1, 2, 3, 4] and [r.chosen for r in got] == [True, False, False, False] and got[0].features == "evt_s30"
