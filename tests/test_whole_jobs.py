@@ -3,7 +3,11 @@
 import datetime as dt
 from types import SimpleNamespace
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from undercroft.functions.calendar import calendar
+from undercroft.operators import grids
 from undercroft.plans import fire_rules
 from undercroft.queries import learning
 from undercroft.queries.base import REGISTRY
@@ -78,3 +82,19 @@ def test_ladder_climbs_every_rung_and_boosts_until_the_loss_stands(spark, monkey
     got = REGISTRY["feature_selection_ladder"].build(None).collect()
     assert sorted(asked) == [(k, 2000, "_stop") for k in (1, 2, 3, 4) for _ in range(2)]
     assert [r.k for r in got] == [1, 2, 3, 4] and [r.chosen for r in got] == [True, False, False, False] and got[0].features == "evt_s30"
+
+
+def test_filled_grid_shuffles_no_row_of_the_grid(spark):
+    at = lambda m, d: dt.datetime(2024, m, d)
+    units = spark.createDataFrame([(1, -1, at(1, 1), at(12, 31)), (2, None, at(1, 1), at(1, 3)), (3, -1, at(2, 1), at(2, 1))], "object_id long, gallery long, hour_from timestamp, hour_to timestamp")
+    day = lambda m, d: dt.date(2024, m, d)
+    facts = spark.createDataFrame([(1, -1, day(1, 2), 5, None), (1, -1, day(1, 2), None, 7), (1, -1, dt.date(2023, 12, 31), 9, 9), (2, None, day(1, 2), 4, 4), (8, -1, day(1, 2), 3, 3)],
+                                  "object_id long, gallery long, day date, a long, b long")
+    got = grids.filled_grid(units, ("object_id", "gallery"), facts).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("object_id", "gallery").orderBy("day")))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = got.collect()
+    assert len(rows) == 366 + 3 + 1 and [(r.object_id, r.day, r.a, r.b) for r in rows if r.a or r.b] == [(1, day(1, 2), 5, 7)]
+    lived = grids.in_life(facts, units, ("object_id", "gallery")).collect()
+    assert [(r.object_id, r.day, r.a, r.b) for r in sorted(lived, key=lambda r: str(r.a))] == [(1, day(1, 2), 5, None), (1, day(1, 2), None, 7)]
+    alive = grids.units_by_day(units.withColumn("complex_id", F.lit(1)), ("complex_id",), "n").filter("day IN (DATE '2024-01-02', DATE '2024-02-01', DATE '2024-12-31')").collect()
+    assert sorted((r.day, r.n) for r in alive) == [(day(1, 2), 2), (day(2, 1), 2), (day(12, 31), 1)]

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from undercroft import config
 from undercroft.functions.clock import boundary_diff, shift
 from undercroft.functions.mapping import decimal
-from undercroft.operators.grids import Rolling, days_since, dense_grid
+from undercroft.operators.grids import Rolling, days_since, filled_grid, in_life, units_by_day
 from undercroft.operators.neighbours import burst_neighbours, line_neighbours
 from undercroft.operators.ordered import stab_count
-from undercroft.session import stored
+from undercroft.session import light, stored
 
 KEY = ("object_id", "gallery", "picket")
 EVENT_FACTS = ("ev_to_midnight", "ev_channels", "ev_smoke", "ev_heat", "ev_temp")
@@ -56,26 +56,30 @@ def event_day(alarm: DataFrame, keys: Sequence[str] = KEY, ts: str = "moment",
 
 
 def unit_days(t: FireInputs) -> DataFrame:
-    """Dense unit x day grid with everything known about the day itself."""
-    grid = dense_grid(t.unit, KEY)
+    """Dense unit x day grid with everything known about the day itself.
+
+    Sums over objects and lines are made of the days with facts, before the grid: its rows stay where they are spread.
+    """
     facts = event_day(t.alarm).unionByName(
         t.fault.select(*KEY, "day", F.col("n").alias("faults")), allowMissingColumns=True
     ).unionByName(t.temp.select(*KEY, "day", "t_max", "t_mean"), allowMissingColumns=True)
-    sparse = facts.groupBy(*KEY, "day").agg(*[
+    sparse = in_life(facts, t.unit, KEY).groupBy(*KEY, "day").agg(*[
         F.max(c).alias(c) for c in ("m_ev", "m_chk", *EVENT_FACTS, "faults", "t_max", "t_mean")])
-    ud = grid.join(sparse, [*KEY, "day"], "left").fillna(0, ["m_ev", "m_chk", "faults"]).withColumn(
-        "ev", (F.col("m_ev") > 0).cast("int")).withColumn("chk", (F.col("m_chk") > 0).cast("int"))
-    ud = stored(ud)  # read by the object sums, the line neighbours and the panel
-    od = ud.groupBy("object_id", "day").agg(
-        F.sum("ev").alias("o_ev"), F.sum("chk").alias("o_chk"), F.count(F.lit(1)).alias("o_units"))
-    line = line_neighbours(ud, ("object_id", "gallery"), "picket",
+    sparse = stored(sparse)  # read by the object sums, the line neighbours and the panel
+    flag = lambda c: F.coalesce((F.col(c) > 0).cast("int"), F.lit(0))
+    marked = sparse.withColumn("ev", flag("m_ev")).withColumn("chk", flag("m_chk"))
+    sums = marked.groupBy("object_id", "day").agg(F.sum("ev").alias("o_ev"), F.sum("chk").alias("o_chk"))
+    od = units_by_day(t.unit, ("object_id",), "o_units").join(sums, ["object_id", "day"], "left").fillna(0, ["o_ev", "o_chk"])
+    line = line_neighbours(marked, ("object_id", "gallery"), "picket",
                            [d for d in range(-config.LINE_PICKETS, config.LINE_PICKETS + 1) if d], {"l_ev": "ev"})
     context = od.join(t.objtemp, ["object_id", "day"], "left").join(t.object_complex, "object_id", "left").join(
         t.cxday, ["complex_id", "day"], "left").fillna(0, list(COMPLEX_COUNTS))
-    context = stored(context)  # its size is known before the join: the grid is not shuffled to meet a small one
+    context = light(stored(context))  # its size is known before the join: the grid is not shuffled to meet a small one
+    ud = filled_grid(t.unit, KEY, sparse.unionByName(line, allowMissingColumns=True)).fillna(
+        0, ["m_ev", "m_chk", "faults", "l_ev"]).withColumn("ev", flag("m_ev")).withColumn("chk", flag("m_chk"))
     w = Rolling(KEY)
-    return (  # dealt for the windows while it is narrow
-        ud.join(line, [*KEY, "day"], "left").fillna(0, ["l_ev"]).repartition(*KEY).join(context, ["object_id", "day"])
+    return (
+        ud.join(context, ["object_id", "day"])
         .withColumn("rep", F.col("ev") * F.coalesce(w.lag("ev", 1), F.lit(0)))
         .withColumn("n_ev", F.col("o_ev") - F.col("ev")).withColumn("n_chk", F.col("o_chk") - F.col("chk"))
         .withColumn("o_walk", (F.col("o_chk") > 0).cast("int"))
