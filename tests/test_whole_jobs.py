@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from undercroft.functions.calendar import calendar
 from undercroft.operators import grids
-from undercroft.plans import fire_rules
+from undercroft.plans import access, fire_rules
 from undercroft.queries import learning
 from undercroft.queries.base import REGISTRY
 from undercroft.queries.load import load_all
@@ -98,3 +98,24 @@ def test_filled_grid_shuffles_no_row_of_the_grid(spark):
     assert [(r.object_id, r.day, r.a, r.b) for r in sorted(lived, key=lambda r: str(r.a))] == [(1, day(1, 2), 5, None), (1, day(1, 2), None, 7)]
     alive = grids.units_by_day(units.withColumn("complex_id", F.lit(1)), ("complex_id",), "n").filter("day IN (DATE '2024-01-02', DATE '2024-02-01', DATE '2024-12-31')").collect()
     assert sorted((r.day, r.n) for r in alive) == [(day(1, 2), 2), (day(2, 1), 2), (day(12, 31), 1)]
+
+
+def test_panels_of_sections_store_days_with_facts_only(spark, monkeypatch):
+    """Two sections live ten days, one has one alarm: the tables between the jobs hold its day and object-days, never the grid."""
+    f, key = spark.createDataFrame, "object_id long, gallery long, section long"
+    at = lambda d, h=0: dt.datetime(2024, 3, d, h)
+    roll = f"{key}, hour timestamp, n_alarms long, n_moments long, n_channels long"
+    rows = f([(1, -1, 2, at(4, 5), 3, 2, 1)], roll)
+    tables = access.AccessInputs(
+        unit=f([(1, -1, s, at(1), at(10, 23), 4) for s in (2, 3, 9)], f"{key}, hour_from timestamp, hour_to timestamp, n_channels int"), alarm=rows, armed=rows,
+        disarm_window=f([], "object_id long, t_from timestamp, t_to timestamp, open_end boolean"), guard_unknown=f([], "object_id long, t_from timestamp, t_to timestamp"),
+        fault_day=f([(1, -1, 2, dt.date(2024, 4, 1), 2, 1)], f"{key}, day date, n_fault long, n_fault_channels long"), access_chain=f([], f"{key}, completed_ts timestamp"),
+        section_info=f([(1, -1, s, 0, 0, 3, 2, 1, 0, 1, 0) for s in (2, 3, 9)], f"{key}, " + ", ".join(f"{c} long" for c in access.PASSPORT)), calendar=calendar(spark, "2024-01-01", "2024-12-31"))
+    kept, store = [], access.stored
+    monkeypatch.setattr(access, "stored", lambda df: (out := store(df), kept.append((set(access.KEY) <= set(df.columns), out.count())))[0])
+    panel = {(r.section, r.day.day): r for r in access.access_daily(tables).collect()}
+    assert len(panel) == 30 and panel[2, 4].label == 1 and panel[2, 5].naive == 1 and panel[3, 5].nb_events_1d == 1 and panel[9, 5].nb_events_7d == 0
+    assert (panel[9, 5].obj_alarms_1d, panel[9, 5].obj_units_alarmed_7d, panel[9, 5].net_event_share_1d) == (2, 1, 1 / 3)
+    points = {(r.section, r.as_of): r for r in access.access_rolling(tables).collect()}
+    assert len(points) == 3 * (9 * 4 + 1) and points[2, at(4, 6)].events_last_1h == 2 and points[2, at(3, 6)].label == 1 and points[3, at(4, 6)].events_last_1h == 0
+    assert [n for wide, n in kept if wide] == [1, 1] and max(n for _, n in kept) <= 10
